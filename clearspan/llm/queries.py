@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import license_scan, line_dedup, quality_rules, token_store, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +36,40 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.OUTPUTS)
 
 
-QUERIES = {"op6_line_dedup": op6_line_dedup, "op9_quality_rules": op9_quality_rules}
-ORACLES = {"op6_line_dedup": OP6_SQL}
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(_table(spark, sf_dir, "embeddings"), k=10, scale=1024.0)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT * FROM (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+WHERE rank <= 10
+"""
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest = token_store.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.read_tokens(manifest)
+
+
+QUERIES = {
+    "op3_exact_topk": op3_exact_topk,
+    "op5_license_scan": op5_license_scan,
+    "op6_line_dedup": op6_line_dedup,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_token_store": op10_token_store,
+}
+ORACLES = {"op3_exact_topk": OP3_SQL, "op6_line_dedup": OP6_SQL}
