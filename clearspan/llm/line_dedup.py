@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, lower_ascii, whole
+from .shared import BLANKS, lower_ascii, stored, whole
 
 
 def line_key(line: Column) -> Column:
@@ -47,7 +47,8 @@ def drop_frequent_lines(docs: DataFrame, *, text: str = "text", doc: str = "doc_
     cleaned; null ids are one id. An empty table gives an empty one. Input columns named n_lines or n_dropped are
     replaced; every other extra column is carried.
     """
-    hot = frequent_keys(docs, text=text, doc=doc, min_docs=min_docs, min_chars=min_chars).select("h")
+    # as a table of its own it gets its own exchange below the join, so that AQE can split the rows of a hot line
+    hot = stored(frequent_keys(docs, text=text, doc=doc, min_docs=min_docs, min_chars=min_chars).select("h"), "lines")
     owned = line_hashes(docs, text, doc, min_chars).join(hot.hint("merge"), "h", "left_semi")
     lists = owned.groupBy("doc").agg(F.collect_set("h").alias("__hot"))
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
