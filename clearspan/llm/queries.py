@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, near_dedup, quality_rules, token_store, topk_search, toxicity
+from . import license_scan, line_dedup, near_dedup, piece_coding, quality_rules, token_store, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op7_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every text and decodes it again; decoded_sha256 is that of the text itself."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piece_coding.decode(piece_coding.encode(_table(spark, sf_dir, "documents"), model), model)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), "score", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
@@ -78,6 +87,7 @@ QUERIES = {
     "op3_exact_topk": op3_exact_topk,
     "op5_license_scan": op5_license_scan,
     "op6_line_dedup": op6_line_dedup,
+    "op7_piece_coding": op7_piece_coding,
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_store": op10_token_store,
