@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, near_dedup, piece_coding, quality_rules, token_store, topk_search, toxicity
+from . import license_scan, line_dedup, near_dedup, piece_coding, quality_rules, source_mixing, token_store, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.OUTPUTS)
 
 
+#: Target shares of the domains.
+TARGETS = {"clean": 0.90, "poor": 0.04, "toxic": 0.06}
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return source_mixing.mix_sources(docs, _table(spark, sf_dir, "labels"), TARGETS).drop("text")
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(_table(spark, sf_dir, "embeddings"), k=10, scale=1024.0)
 
@@ -84,6 +93,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_source_mixing": op2_source_mixing,
     "op3_exact_topk": op3_exact_topk,
     "op5_license_scan": op5_license_scan,
     "op6_line_dedup": op6_line_dedup,

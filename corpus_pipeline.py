@@ -1,7 +1,63 @@
-"""Corpus preparation in stages."""
-STAGES: list = []
+"""Corpus preparation: quality rules, line dedup, near-dedup, mixing to target weights, SentencePiece encoding.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clearspan.llm import line_dedup, near_dedup, piece_coding, quality_rules, source_mixing
+from clearspan.llm.shared import stored
+
+#: Target shares of the mixing stage. The clean share is more than clean documents can fill at a rate of 1, so these stay.
+TARGETS = {"clean": 0.97, "poor": 0.01, "toxic": 0.02}
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    judged = quality_rules.with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.where("kept").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that 10 documents or more share go from all of them; n_chars follows the text."""
+    cleaned = line_dedup.drop_frequent_lines(docs, min_docs=10, min_chars=1).select(docs.columns)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
+    found = near_dedup.near_duplicates(docs, shingle_words=5, percent=80)
+    gone = stored(found.where("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rates from 0 to 1 fitted to TARGETS; a document stays if its number of copies, by its rate and the hash of its id, is 1."""
+    mixed = source_mixing.mix_sources(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS, most=1.0)
+    return mixed.where("copies >= 1").select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_pieces, score): the pieces of each document."""
+    import public_tokenizers
+
+    coded = piece_coding.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), "score")
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("source_mixing", mixing), ("piece_coding", encoding)]
+
+#: Fitted models, components and pieces have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over documents, each result stored and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
