@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, near_dedup, piece_coding, quality_rules, source_mixing, token_store, topk_search, toxicity
+from . import license_scan, line_dedup, near_dedup, piece_coding, quality_rules, source_mixing, substring_dedup, token_store, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,29 @@ WHERE rank <= 10
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=20).drop("spans")
+
+
+OP4_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(20)) AS i FROM late),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+marked AS (SELECT word.doc_id, word.i, word.word, gone.i IS NOT NULL AS gone FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i),
+summed AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN summed s ON d.doc_id = s.doc_id
+"""
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -95,6 +118,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_source_mixing": op2_source_mixing,
     "op3_exact_topk": op3_exact_topk,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_line_dedup": op6_line_dedup,
     "op7_piece_coding": op7_piece_coding,
@@ -102,4 +126,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_store": op10_token_store,
 }
-ORACLES = {"op3_exact_topk": OP3_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES = {"op3_exact_topk": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL}
