@@ -13,6 +13,7 @@ length, b"BPLANES1".
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,51 +28,85 @@ from pyspark.sql import functions as F
 from .shared import new_path, stored, whole
 
 MAGIC = b"BPLANES1"
-SEPARATOR = "<|endoftext|>"
 _CACHES: dict[str, tuple] = {}
 
 
+#: A word of Latin letters and the ASCII punctuation after it: two pieces of text that no token joins.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
+
+#: Marks that may join a capital and a small letter to different characters.
+_COMBINING = re.compile("[\u0300-\u036f]")
+
+
 class Encoder:
-    """Encodes texts with a tokenizers file. Words (between ASCII white space, which this vocabulary drops and which no
-    token crosses) keep their ids in a table of bounded size; new words of a batch go to the library in one call."""
+    """Encodes texts with a tokenizers file whose vocabulary has word ends, lower-cases, and drops white space.
 
-    def __init__(self, path: str, most: int = 300_000):
+    No token crosses ASCII white space, so words keep their ids in a table of bounded size. A new word of Latin letters,
+    with or without punctuation after it, is put together from the ids of its letters in lower case and of its
+    punctuation, which have a table too; the letters of a batch that are new go to the library in one call and
+    come apart at the tokens that end a word. Any other word goes to the library by itself.
+    """
+
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
-        self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        odd = [w for w in words if b"<|" in w or b"|>" in w]
-        plain = [w for w in words if b"<|" not in w and b"|>" not in w] if odd else words
-        for w in odd:
-            self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(SEPARATOR.join(w.decode() for w in some), add_special_tokens=False).ids, dtype="<u4")
-            ends, data = [*np.flatnonzero(ids == self.separator).tolist(), len(ids)], ids.tobytes()
-            begin = 0
-            for w, end in zip(some, ends, strict=True):
-                self.known[w] = data[4 * begin : 4 * end]
-                begin = end + 1
+        known, parts = self.known, self.parts
+        if len(known) + len(words) > self.most:
+            known.clear()
+        if len(parts) + len(words) > self.most:
+            parts.clear()
+            parts[""] = b""
+        split, fresh = [], {}
+        for w in words:
+            text = w.decode()
+            m = _PLAIN.fullmatch(text)
+            if m is None:
+                known[w] = self.alone(text)
+                continue
+            letters, rest = m[1].lower(), m[2]
+            split.append((w, letters, rest))
+            if letters not in parts:
+                fresh[letters] = None
+            if rest not in parts:
+                parts[rest] = self.alone(rest)
+        if fresh:
+            ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, dtype="<u4")
+            data, begin = ids.tobytes(), 0
+            for letters, end in zip(fresh, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+                parts[letters] = data[begin:end]
+                begin = end
+        for w, letters, rest in split:
+            known[w] = parts[letters] + parts[rest]
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        words, known = text.encode().split(), self.known
+        data = text.encode()
+        if b"<|" not in data and (text.isascii() or not _COMBINING.search(text)):
+            data = data.lower()  # A-Z alone: what the vocabulary's own steps make of them anyway, in fewer different words
+        words, known = data.split(), self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            parts = []
+            done = []
             for at in range(0, len(words), 50_000):  # a giant text may hold more new words than the table keeps
                 some = words[at : at + 50_000]
-                if new := [w for w in dict.fromkeys(some) if w not in known]:
-                    if len(known) + len(new) > self.most:
-                        new = list(dict.fromkeys(some))
-                    self.learn(new)
-                parts.append(b"".join([known[w] for w in some]))
-            return b"".join(parts)
+                new = [w for w in dict.fromkeys(some) if w not in known]
+                if len(known) + len(new) > self.most:
+                    new = list(dict.fromkeys(some))
+                self.learn(new)
+                done.append(b"".join([known[w] for w in some]))
+            return b"".join(done)
 
 
 def encoder(path: str) -> Encoder:
@@ -168,7 +203,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", doc: st
     other, ordered by text. An empty table has an empty manifest. Other columns of docs take no part.
     """
     folder = path or new_path(docs.sparkSession, "tokens")
-    ordered = docs.select(F.col(doc).cast("long").alias("doc"), whole(F.col(text)).alias("text")).repartitionByRange("doc", "text").sortWithinPartitions("doc", "text")
+    ordered = docs.select(F.col(doc).cast("long").alias("doc"), whole(F.col(text)).alias("text")).repartitionByRange("doc").sortWithinPartitions("doc", "text")
     end = int(end_id).to_bytes(4, "little")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
