@@ -39,7 +39,7 @@ def low_words(text: str) -> Column:
     return words_of(F.lower(whole(F.col(text))))
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str = "doc_id", buckets: int = 32_768, fit_rows: int = 20_000) -> tuple[list[float], list[list[float]]]:
+def fit_domains(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str = "doc_id", buckets: int = 16_384, fit_rows: int = 20_000) -> tuple[list[float], list[list[float]]]:
     """Log priors and log weights by domain and bucket, from the fit_rows labelled ids with the smallest hashes (the
     documented bound; it bounds what is broadcast, and the result has a fixed size)."""
     sample = labels.withColumn("__domain", label_domain()).where(F.col("__domain").isNotNull() & F.col(doc).isNotNull())
@@ -141,4 +141,7 @@ def mix_sources(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *
     total = narrow.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"] * tokens
     share = sum(weights.values()) or 1.0
     steps = fit_rates(narrow, {d: total * weights.get(d, 0.0) / share for d in DOMAINS}, most=most)
-    return scored.withColumn("rate", rate_after(steps, most)).withColumn("copies", copies(F.col("rate"), F.col(doc), seed))
+    rated = scored.withColumn("rate", rate_after(steps, most)).withColumns({"copies": copies(F.col("rate"), F.col(doc), seed), "__row": F.monotonically_increasing_id()})
+    # a filter on copies that moved below these columns would write out the posteriors for every gradient step; it can't move
+    # past a column that depends on the row, so one that is always true keeps it here
+    return rated.where("__row >= 0").drop("__row")
