@@ -94,14 +94,16 @@ def _largest_eigenvalue(m: list[list[float]]) -> float:
     return size
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], *, most: float | None = None, iterations: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
+def fit_rates(rows: DataFrame, targets: dict[str, float], *, most: float | None = None, iterations: int = 60, tolerance: float = 1e-4) -> list[list[float]]:
     """Gradient steps for rows with n_tokens and p_<domain>; targets are token totals by domain. Stops once every total is
     within tolerance of its target (relative to all targets), or once no total moves by that much any more."""
     n, p = F.col("n_tokens"), [F.col(f"p_{d}") for d in DOMAINS]
     pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
     first = rows.agg(*[F.coalesce(F.sum(n * p[i] * p[j]), F.lit(0.0)).alias(f"h{i}{j}") for i, j in pairs]).first()
     h = [[float(first[f"h{min(i, j)}{max(i, j)}"]) for j in range(len(p))] for i in range(len(p))]
-    scale = [math.sqrt(h[i][i]) or 1.0 for i in range(len(p))]
+    # a domain that is next to absent gets no more weight than one with a hundredth of the largest: its total can't move all rates
+    floor = 0.01 * max(h[i][i] for i in range(len(p)))
+    scale = [math.sqrt(max(h[i][i], floor)) or 1.0 for i in range(len(p))]
     step = 1 / max(_largest_eigenvalue([[h[i][j] / scale[i] / scale[j] for j in range(len(p))] for i in range(len(p))]), 1e-12)
     goal, steps, before = [float(targets.get(d, 0.0)) for d in DOMAINS], [], None
     small = tolerance * max(sum(goal), 1.0)
