@@ -19,6 +19,7 @@ bounded table.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,7 @@ class Coder:
     """A vocabulary with its scores, and the cuts of units seen so far."""
 
     def __init__(self, path: str, most: int = 300_000):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -59,10 +61,18 @@ class Coder:
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - 10
         self.crossable = any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.breaks = "".join(c for c in BREAKS if not any(c in p for p in self.pieces))
-        self.unit = re.compile(f"{MARK}*[^{MARK}{re.escape(self.breaks)}]+|{MARK}+|[{re.escape(self.breaks)}]") if self.breaks else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        stops = "".join(c for c in ",.;:!?" if not any(p[k] == c and p[k - 1].isalpha() for p in self.pieces for k in range(1, len(p))))
+        ends = f"(?=[{re.escape(stops + self.breaks)}{MARK}]|$)"  # no piece goes from a letter over one of these
+        one = f"|[{re.escape(self.breaks)}]" if self.breaks else ""
+        self.unit = re.compile(f"{MARK}*[^\\W\\d_]+{ends}|{MARK}*[^{MARK}{re.escape(self.breaks)}]+|{MARK}+{one}")
         if self.crossable:
             self.unit = re.compile(r"(?s).+")
         self.known: dict[str, tuple[bytes, float]] = {}
+        self.single = {p for p in self.pieces if len(p) == 1}
+        self.finder = ahocorasick.Automaton()
+        for p, (i, score) in self.pieces.items():
+            self.finder.add_word(p, (len(p), score, i))
+        self.finder.make_automaton()
         self.most = most
 
     def forward(self, text: str, entry: list[float], ends: int) -> tuple[list[float], list[int]]:
@@ -113,14 +123,44 @@ class Coder:
                 self.known[unit] = found
         return found
 
+    def learn(self, units: list[str]) -> None:
+        """Cuts new units of characters that are pieces, all in one pass of an automaton that reports every piece in them."""
+        if len(self.known) + len(units) > self.most:
+            self.known.clear()
+        text = "\0".join(units)
+        best, size, piece = [LOW] * (len(text) + 1), [0] * (len(text) + 1), [0] * (len(text) + 1)
+        at = 0
+        for u in units:
+            best[at] = 0.0
+            at += len(u) + 1
+        # pieces that end at a place come longest first, so of equal scores the longest stays
+        for last, (n, score, i) in self.finder.iter(text):
+            end = last + 1
+            total = best[end - n] + score
+            if total > best[end]:
+                best[end], size[end], piece[end] = total, n, i
+        at = 0
+        for u in units:
+            end = at + len(u)
+            ids, here = [], end
+            while here > at:
+                ids.append(piece[here])
+                here -= size[here]
+            self.known[u] = array("i", ids[::-1]).tobytes(), best[end]
+            at = end + 1
+
     def between(self, text: str) -> tuple[bytes, float]:
         """Ids and score of a text that begins and ends where no piece crosses."""
-        known, parts, total = self.known, [], 0.0
-        for unit in self.unit.findall(text):
-            found = known.get(unit) or self.cut(unit)
-            parts.append(found[0])
-            total += found[1]
-        return b"".join(parts), total
+        known, units = self.known, self.unit.findall(text)
+        for start in range(0, len(units), 50_000):
+            new = [u for u in dict.fromkeys(units[start : start + 50_000]) if u not in known and len(u) <= 64 and self.single.issuperset(u)]
+            if new:
+                self.learn(new)
+        try:
+            found = [known[u] for u in units]
+        except KeyError:  # units that are long or hold other characters, or a table that was emptied meanwhile
+            found = [known.get(u) or self.cut(u) for u in units]
+        return b"".join([f[0] for f in found]), float(sum([f[1] for f in found]))
 
     def encode(self, text: str) -> tuple[bytes, float]:
         return self.between(marked(text)) if text else (b"", 0.0)
