@@ -1,14 +1,14 @@
 """Substring dedup: word windows that occurred earlier are removed, found by prefix-partitioned suffix trees.
 
 The suffixes of all texts that start with a window repeated anywhere are dealt into memory-sized groups by their prefix:
-by the first 5 words, and where such a group is too large by the first 20. Each group builds its part of the suffix
-tree as a sorted array of suffixes with their first 5 and first 20 words as edges (64-bit hashes of the words); an
+by the first 8 words, and where such a group is too large by the first 20. Each group builds its part of the suffix
+tree as a sorted array of suffixes with their first 8 and first 20 words as edges (64-bit hashes of the words); an
 internal node at depth 20 is a repeat, its first leaf (smallest document and place) stays and every other leaf is
 marked. Runs of marked windows are the maximal repeats, given as spans.
 
 Few suffixes can repeat, so those that can't never leave their task:
- 1. each window has an anchor, the least hash among its 5-word pieces; equal windows have equal anchors, and a document
-    has one for about 8 words. Anchors are counted over all documents, with a sum before the shuffle;
+ 1. each window has an anchor, the least hash among its 8-word pieces; equal windows have equal anchors, and a document
+    has one for about 7 words. Anchors are counted over all documents, with a sum before the shuffle;
  2. a document's repeated anchors come back to it, and only windows with such an anchor become suffixes. Of equal
     windows met in one batch only the first becomes one, and the others are marked at once, so however often a
     passage occurs it costs a row for each batch.
@@ -29,7 +29,7 @@ from .hashing import mix, word_hashes
 from .shared import stored, whole
 
 #: Words of the shortest prefix and of an anchor's piece.
-PREFIX = 5
+PREFIX = 8
 #: Suffixes that a group may hold before its prefix is made longer.
 GROUP = 60_000
 FIRST = np.iinfo(np.int64).min
@@ -171,7 +171,8 @@ def later_leaves(rows: DataFrame, total: int) -> DataFrame:
     groups = max(1, (total + GROUP // 2 - 1) // (GROUP // 2))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("prefix"), F.lit(groups)))
     sizes = stored(rows.groupBy("part").agg(F.count("*").alias("size")).where(F.col("size") > GROUP), "sizes")
-    dealt = rows.join(sizes.hint("merge"), "part", "left")
+    # at most one row for each part: broadcast up to so many parts (16 bytes a row), else merged
+    dealt = rows.join(sizes.hint("broadcast" if groups <= 100_000 else "merge"), "part", "left")
     longer = F.when(F.col("size").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("value"), F.ceil(F.col("size") / F.lit(GROUP // 4))))
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
