@@ -13,7 +13,7 @@ from clearspan.llm import line_dedup, near_dedup, piece_coding, quality_rules, s
 from clearspan.llm.shared import stored
 
 #: Target shares of the mixing stage. The clean share is more than clean documents can fill at a rate of 1, so these stay.
-TARGETS = {"clean": 0.93, "poor": 0.01, "toxic": 0.06}
+TARGETS = {"clean": 0.88, "poor": 0.02, "toxic": 0.10}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
