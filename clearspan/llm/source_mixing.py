@@ -1,20 +1,23 @@
 """Mixing to target weights with soft memberships and distributed projected gradients.
 
-1. A naive Bayes classifier over hashed word beginnings and endings, fitted on a bounded sample of the labels table, gives each
-   document a posterior over domains: p_d. Buckets whose counts do not differ significantly carry no weight.
+1. Two logistic models, toxic or not and poor or clean among the others, give each document a posterior over domains: p_d.
+   Features are words, their beginnings and endings that tell a domain from the rest in a bounded sample of the labels table,
+   and the logarithm of the text's length, so that long texts aren't taken for toxic because they hold more words.
 2. A document of n_d tokens at rate r_d adds n_d * p_dk * r_d expected tokens to domain k. Projected gradient descent fits
    rates 0 <= r_d (<= most, if given) so that these totals meet the targets in least squares, starting from 1. Steps
    are taken in the metric that weighs a document by its tokens, where the Hessian is one small matrix
    sum_d n_d p_d p_d^T: it gives the step length, and convergence does not depend on how long documents are.
 A step moves a document by sum_k p_dk * g_k for one small vector g, so a rate is a closed expression of p_d and the g's so
 far: an iteration is one aggregate that returns a number for each domain, nothing is joined, and no text is shuffled.
-Built-in functions only.
+Built-in functions only; the models are solved in the driver, whose input is bounded by fit_rows and most_features.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,51 +31,137 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
 
 
-def buckets_of(words: Column, buckets: int) -> Column:
-    """Distinct numbers from 1: of the first five characters of each word, and of its last two."""
-    heads = F.transform(words, lambda w: (F.pmod(F.xxhash64(F.substring(w, 1, 5)), F.lit(buckets)) + 1).cast("int"))
-    tails = F.transform(words, lambda w: (F.pmod(F.xxhash64(F.lit("tail"), F.substring(w, -2, 2)), F.lit(buckets)) + 1).cast("int"))
-    return F.array_distinct(F.concat(heads, tails))
+#: Marks at the end of a word that its spelling doesn't need.
+STOPS = ".,;:!?"
+
+
+def hashes_of(words: Column) -> Column:
+    """64-bit hashes: of each word and its first five characters, both without closing punctuation, and of its last two."""
+    bare = lambda w: F.rtrim(w, F.lit(STOPS))
+    return F.concat(
+        F.transform(words, lambda w: F.xxhash64(F.lit("word"), bare(w))),
+        F.transform(words, lambda w: F.xxhash64(F.lit("head"), F.substring(bare(w), 1, 5))),
+        F.transform(words, lambda w: F.xxhash64(F.lit("tail"), F.substring(w, -2, 2))),
+    )
 
 
 def low_words(text: str) -> Column:
     return words_of(F.lower(whole(F.col(text))))
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str = "doc_id", buckets: int = 16_384, fit_rows: int = 20_000) -> tuple[list[float], list[list[float]]]:
-    """Log priors and log weights by domain and bucket, from the fit_rows labelled ids with the smallest hashes (the
-    documented bound; it bounds what is broadcast, and the result has a fixed size)."""
+@dataclass(frozen=True)
+class DomainModel:
+    """The features' hashes, and of both models (toxic; poor among the others): bias, weight of the logarithm of the length, weights
+    of the features. priors are the log odds of texts without words."""
+
+    features: list[int]
+    bias: tuple[float, float]
+    length: tuple[float, float]
+    weights: tuple[list[float], list[float]]
+    priors: tuple[float, float]
+
+
+def places(features: list[int]) -> tuple[int, int]:
+    """(shift, size) for which (hash >>> shift) mod size differs among the features."""
+    size = 1 << 16
+    while True:
+        for shift in range(48):
+            if len({((h % (1 << 64)) >> shift) % size for h in features}) == len(features):
+                return shift, size
+        size *= 2
+
+
+def found_in(words: Column, features: list[int]) -> Column:
+    """The distinct features that stand among the words. Compared by their whole hashes: no two features share a place."""
+    shift, size = places(features)
+    keys = [0] * size
+    for h in features:
+        keys[((h % (1 << 64)) >> shift) % size] = h
+    table = F.split(F.lit(",".join(map(str, keys))), ",").cast("array<bigint>")
+    return F.array_distinct(F.filter(hashes_of(words), lambda h: F.element_at(table, place_of(h, shift, size)) == h))
+
+
+def place_of(h: Column, shift: int, size: int) -> Column:
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(size - 1)) + 1).cast("int")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights by Newton steps; the first two columns (bias and length) bear next to no ridge."""
+    penalty = np.r_[1e-3, 1e-3, np.full(x.shape[1] - 2, ridge)]
+    w = np.zeros(x.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        s = x @ v
+        return float(np.logaddexp(0, s).sum() - y @ s + 0.5 * v @ (penalty * v))
+
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        h = np.diag(penalty)
+        for at in range(0, len(x), 2000):
+            part = x[at : at + 2000].astype(float)
+            h += part.T @ (part * (p[at : at + 2000] * (1 - p[at : at + 2000]))[:, None])
+        step = np.linalg.solve(h, x.T @ (p - y) + penalty * w)
+        rate, now = 1.0, loss(w)
+        while rate > 1e-4 and loss(w - rate * step) > now:
+            rate /= 2
+        w = w - rate * step
+        if np.abs(rate * step).max() < 1e-5:
+            break
+    return w
+
+
+def fit_domains(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str = "doc_id", fit_rows: int = 20_000, most_features: int = 600) -> DomainModel:
+    """From the fit_rows labelled ids with the smallest hashes (the documented bound; it bounds what is broadcast and what the
+    driver gets). Features are those whose counts differ from a domain's share by 5 deviations or more; of toxic and of poor
+    ones the most_features / 2 that differ most."""
     sample = labels.withColumn("__domain", label_domain()).where(F.col("__domain").isNotNull() & F.col(doc).isNotNull())
     sample = sample.groupBy(F.col(doc).alias("__id")).agg(F.max("__domain").alias("__domain")).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     rows = docs.select(F.col(doc).alias("__doc"), text).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
-    exploded = rows.select("__domain", F.explode(buckets_of(low_words(text), buckets)).alias("bucket"))
-    counts = exploded.groupBy("bucket").agg(*[F.count(F.when(F.col("__domain") == d, 1)).alias(d) for d in DOMAINS]).collect()
+    rows = stored(rows.select("__id", "__domain", low_words(text).alias("__words")), "labelled")
     sizes = {r["__domain"]: r["n"] for r in rows.groupBy("__domain").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    priors = [math.log((sizes.get(d, 0) + 1) / (total + len(DOMAINS))) for d in DOMAINS]
-    weights = [[0.0] * buckets for _ in DOMAINS]
-    for r in counts:
-        seen = sum(r[d] for d in DOMAINS)
-        for k, d in enumerate(DOMAINS):
-            expected = seen * sizes.get(d, 0) / total
-            if abs(r[d] - expected) >= 5 * math.sqrt(expected + 1):
-                rest = (seen - r[d] + 0.5) / (total - sizes.get(d, 0) + 1)
-                weight = math.log((r[d] + 0.5) / (sizes.get(d, 0) + 1) / rest)
-                weights[k][r["bucket"] - 1] = round(max(-4.0, min(4.0, weight)), 6)
-    return priors, weights
-
-
-def with_posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], *, text: str = "text") -> DataFrame:
+    total, (clean, poor, toxic) = sum(sizes.values()), (sizes.get(d, 0) for d in DOMAINS)
+    priors = math.log((toxic + 1) / (total - toxic + 2)), math.log((poor + 1) / (clean + 1))
+    if not total:
+        return DomainModel([], priors, (0.0, 0.0), ([], []), priors)
+    exploded = rows.select("__domain", F.explode(F.array_distinct(hashes_of(F.col("__words")))).alias("h"))
+    counts = exploded.groupBy("h").agg(F.count("*").alias("seen"), *[F.count(F.when(F.col("__domain") == d, 1)).alias(d) for d in DOMAINS[1:]])
+    telling = lambda d: F.abs(F.col(d) - F.col("seen") * sizes.get(d, 0) / total) / F.sqrt(F.col("seen") * sizes.get(d, 0) / total + 1)
+    sure = stored(counts.select("h", *[telling(d).alias(d) for d in DOMAINS[1:]]).where(" OR ".join(f"{d} >= 5" for d in DOMAINS[1:])), "features")
+    features = sorted({r["h"] for d in DOMAINS[1:] for r in sure.where(F.col(d) >= 5).orderBy(F.desc(d), "h").limit(most_features // 2).collect()})
+    at = {h: i + 2 for i, h in enumerate(features)}
+    seen = rows.select("__id", "__domain", F.size("__words").alias("n"), found_in(F.col("__words"), features).alias("found")).collect()
+    seen.sort(key=lambda r: (r["__id"], r["n"]))
+    x = np.zeros((len(seen), len(features) + 2), dtype=np.float32)
+    for i, r in enumerate(seen):
+        x[i, 0], x[i, 1] = 1, math.log1p(r["n"])
+        x[i, [at[h] for h in r["found"]]] = 1
+    domain = np.array([r["__domain"] for r in seen])
+    models = []
+    for mine, among, prior in ((domain == "toxic", domain != "", priors[0]), (domain == "poor", domain != "toxic", priors[1])):
+        both = 0 < mine[among].sum() < among.sum()
+        models.append(logistic(x[among], mine[among].astype(float)) if both else np.r_[prior, np.zeros(len(features) + 1)])
+    t, q = [[round(float(v), 6) for v in m] for m in models]
+    return DomainModel(features, (t[0], q[0]), (t[1], q[1]), (t[2:], q[2:]), priors)
+
+
+def with_posteriors(docs: DataFrame, model: DomainModel, *, text: str = "text") -> DataFrame:
     """docs with n_tokens and p_<domain>. A text without words has the priors."""
-    priors, weights = model
-    tables = [long_table(w) for w in weights]
-    start = F.struct(*[F.lit(p).alias(d) for d, p in zip(DOMAINS, priors, strict=True)])
-    add = lambda acc, b: F.struct(*[(acc[d] + F.element_at(t, b)).alias(d) for d, t in zip(DOMAINS, tables, strict=True)])
+    shift, size = places(model.features)
+    tables = []
+    for weights in model.weights:
+        table = [0.0] * size
+        for h, w in zip(model.features, weights, strict=True):
+            table[((h % (1 << 64)) >> shift) % size] = w
+        tables.append(long_table(table))
     out = docs.withColumn("__words", low_words(text)).withColumn("n_tokens", F.size("__words").cast("long"))
-    out = out.withColumn("__s", F.aggregate(buckets_of(F.col("__words"), len(weights[0])), start, add)).drop("__words")
-    top = F.greatest(*[F.col("__s")[d] for d in DOMAINS])
-    out = out.withColumn("__e", F.struct(*[F.exp(F.col("__s")[d] - top).alias(d) for d in DOMAINS]))
-    return out.withColumns({f"p_{d}": F.col("__e")[d] / sum(F.col("__e")[x] for x in DOMAINS) for d in DOMAINS}).drop("__s", "__e")
+    out = out.withColumn("__found", F.transform(found_in(F.col("__words"), model.features), lambda h: place_of(h, shift, size))).drop("__words")
+    names, odds = ("__toxic", "__poor"), []
+    for table, bias, length, prior in zip(tables, model.bias, model.length, model.priors, strict=True):
+        sum_of = F.aggregate("__found", F.lit(0.0), lambda acc, b: acc + F.element_at(table, b))  # noqa: B023
+        odds.append(F.when(F.col("n_tokens") > 0, F.lit(bias) + F.lit(length) * F.log1p("n_tokens") + sum_of).otherwise(F.lit(prior)))
+    out = out.withColumns({name: 1 / (1 + F.exp(-o)) for name, o in zip(names, odds, strict=True)}).drop("__found")
+    t, q = F.col("__toxic"), F.col("__poor")
+    return out.withColumns({"p_clean": (1 - t) * (1 - q), "p_poor": (1 - t) * q, "p_toxic": t}).drop(*names)
 
 
 def rate_after(steps: list[list[float]], most: float | None) -> Column:
