@@ -15,6 +15,7 @@ Built-in functions only; the models are solved in the driver, whose input is bou
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -224,14 +225,38 @@ def mix_sources(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *
     share a rate; null ids share the choice of copies. An empty table gives an empty one. Input columns with the
     name of an output are replaced.
     """
+    share = sum(weights.values()) or 1.0
+    return _mixed(docs, labels, lambda totals: {d: sum(totals.values()) * tokens * weights.get(d, 0.0) / share for d in DOMAINS}, text=text, doc=doc, most=most, fit_rows=fit_rows, seed=seed)
+
+
+def cap_sources(docs: DataFrame, labels: DataFrame, ceilings: dict[str, float], *, text: str = "text", doc: str = "doc_id", fit_rows: int = 20_000, seed: int = 7) -> DataFrame:
+    """As mix_sources, at rates of 1 at most: domains of ceilings that have more than their share of the outcome are scaled down
+    to it; all others have their own measured totals as targets, whatever the domains' shares of the input are."""
+    return _mixed(docs, labels, lambda totals: capped(totals, ceilings), text=text, doc=doc, most=1.0, fit_rows=fit_rows, seed=seed)
+
+
+def capped(totals: dict[str, float], ceilings: dict[str, float]) -> dict[str, float]:
+    """Totals with those above their ceilings (shares of the outcome) scaled down to them; the others stay."""
+    if sum(ceilings.values()) >= 1:
+        raise ValueError("ceilings must leave a share to the other domains")
+    down: set[str] = set()
+    while True:
+        size = sum(n for d, n in totals.items() if d not in down) / (1 - sum(ceilings[d] for d in down))
+        more = {d for d in ceilings.keys() - down if totals.get(d, 0.0) > ceilings[d] * size}
+        if not more:
+            return {d: ceilings[d] * size if d in down else n for d, n in totals.items()}
+        down |= more
+
+
+def _mixed(docs: DataFrame, labels: DataFrame, targets: Callable[[dict[str, float]], dict[str, float]], *, text: str, doc: str, most: float | None, fit_rows: int, seed: int) -> DataFrame:
+    """targets makes the domains' target totals from their measured ones."""
     outputs = {"n_tokens", "rate", "copies", *[f"p_{d}" for d in DOMAINS]}
     docs = docs.drop(*[c for c in docs.columns if c in outputs])
     model = fit_domains(docs, labels, text=text, doc=doc, fit_rows=fit_rows)
     scored = with_posteriors(docs, model, text=text)
     narrow = stored(scored.select("n_tokens", *[f"p_{d}" for d in DOMAINS]), "posteriors")
-    total = narrow.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"] * tokens
-    share = sum(weights.values()) or 1.0
-    steps = fit_rates(narrow, {d: total * weights.get(d, 0.0) / share for d in DOMAINS}, most=most)
+    measured = narrow.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in DOMAINS]).first()
+    steps = fit_rates(narrow, targets({d: float(measured[d]) for d in DOMAINS}), most=most)
     rated = scored.withColumn("rate", rate_after(steps, most)).withColumns({"copies": copies(F.col("rate"), F.col(doc), seed), "__row": F.monotonically_increasing_id()})
     # a filter on copies that moved below these columns would write out the posteriors for every gradient step; it can't move
     # past a column that depends on the row, so one that is always true keeps it here

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from clearspan.llm import line_dedup, near_dedup, piece_coding, quality_rules, source_mixing
 from clearspan.llm.shared import stored
 
-#: Target shares of the mixing stage. The clean share is more than clean documents can fill at a rate of 1, so these stay.
-TARGETS = {"clean": 0.88, "poor": 0.02, "toxic": 0.10}
+#: Largest shares of the mixing stage's outcome; clean documents have their own total as target, so these stay.
+CEILINGS = {"poor": 0.02, "toxic": 0.10}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates from 0 to 1 fitted to TARGETS; a document stays if its number of copies, by its rate and the hash of its id, is 1."""
-    mixed = source_mixing.mix_sources(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS, most=1.0)
+    """Rates from 0 to 1 that scale domains down to CEILINGS; a document stays if its number of copies, by its rate and the hash of its id, is 1."""
+    mixed = source_mixing.cap_sources(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), CEILINGS)
     return mixed.where("copies >= 1").select(docs.columns)
 
 
