@@ -141,7 +141,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, where: Column, *, text: st
             yield pd.DataFrame({
                 "words": [" ".join(sorted(set(_WORD.findall(t.lower())))) for t in b["text"]],
                 "toxic": b["toxic"],
-                "pairs": ["\n".join(f"{a} {c}" for a, c in sorted(set(counterfactuals(t)))[:50]) for t in b["text"]],
+                "pairs": ["\n".join(f"{a} {c}" for a, c in sorted(set(counterfactuals(t)))) for t in b["text"]],
                 "id": b["__id"],
             })
 
