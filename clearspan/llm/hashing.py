@@ -43,8 +43,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def _piece(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word of bytes that begin and end between words."""
+def _piece(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of bytes that begin and end between words."""
     blank = np.ones(len(raw) + 2, dtype=bool)
     blank[1:-1] = _BLANK[raw]
     edges = np.flatnonzero(blank[1:] != blank[:-1])
@@ -52,17 +52,24 @@ def _piece(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     """The 64-bit hashes of each text's words (runs of anything but ASCII white space), in order."""
+    return [h for h, _, _ in word_places(texts)]
+
+
+def word_places(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As word_hashes, with the byte places where each word starts and ends (not included)."""
     out, group, size = [], [], 0
     for t in texts:
         if size and size + len(t) > PIECE:
             out += _together(group)
             group, size = [], 0
         if len(t) > PIECE:
+            out += _together(group)
+            group, size = [], 0
             out.append(_long(t))
         else:
             group.append(t)
@@ -70,15 +77,16 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     return out + _together(group)
 
 
-def _together(texts: list[bytes]) -> list[np.ndarray]:
+def _together(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     if not texts:
         return []
-    hashes, starts = _piece(np.frombuffer(b"\n".join(texts), dtype=np.uint8))
-    ends = np.cumsum([len(t) + 1 for t in texts])[:-1]
-    return np.split(hashes, np.searchsorted(starts, ends))
+    hashes, starts, ends = _piece(np.frombuffer(b"\n".join(texts), dtype=np.uint8))
+    at = np.cumsum([0] + [len(t) + 1 for t in texts])
+    cuts = np.searchsorted(starts, at)
+    return [(hashes[a:b], starts[a:b] - o, ends[a:b] - o) for a, b, o in zip(cuts[:-1].tolist(), cuts[1:].tolist(), at.tolist(), strict=False)]
 
 
-def _long(text: bytes) -> np.ndarray:
+def _long(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw, parts, at = np.frombuffer(text, dtype=np.uint8), [], 0
     while at < len(raw):
         end = min(at + PIECE, len(raw))
@@ -89,6 +97,8 @@ def _long(text: bytes) -> np.ndarray:
             else:  # one word of more than a piece
                 more = np.flatnonzero(_BLANK[raw[end:]])
                 end = end + int(more[0]) if len(more) else len(raw)
-        parts.append(_piece(raw[at:end])[0])
+        h, s, e = _piece(raw[at:end])
+        parts.append((h, s + at, e + at))
         at = end
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    none = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none.astype(np.uint64), none, none)

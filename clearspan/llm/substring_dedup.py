@@ -1,18 +1,21 @@
 """Substring dedup: word windows that occurred earlier are removed, found by prefix-partitioned suffix trees.
 
-The suffixes of all texts that start with a window repeated anywhere are dealt into memory-sized groups by their prefix:
-by the first 8 words, and where such a group is too large by the first 20. Each group builds its part of the suffix
-tree as a sorted array of suffixes with their first 8 and first 20 words as edges (64-bit hashes of the words); an
-internal node at depth 20 is a repeat, its first leaf (smallest document and place) stays and every other leaf is
-marked. Runs of marked windows are the maximal repeats, given as spans.
-
-Few suffixes can repeat, so those that can't never leave their task:
- 1. each window has an anchor, the least hash among its 8-word pieces; equal windows have equal anchors, and a document
-    has one for about 7 words. Anchors are counted over all documents, with a sum before the shuffle;
- 2. a document's repeated anchors come back to it, and only windows with such an anchor become suffixes. Of equal
-    windows met in one batch only the first becomes one, and the others are marked at once, so however often a
-    passage occurs it costs a row for each batch.
-Texts move once to meet their anchors; texts with suffixes are kept and move again to meet their marks.
+Every suffix of every text belongs to the subtree of its prefix. The shortest prefix is an anchor of 8 words: the least hash
+among the 8-word pieces of the suffix's first window. Equal windows have equal anchors at equal places, so a node as deep as
+a window lies in one subtree, and the suffixes around an anchor (7 on average) travel as one row with their words: 13 before the
+anchor, REACH after it. Subtrees are dealt into groups that fit a task's memory. In a group the suffixes are sorted
+word by word, neighbours give the lengths of their common prefixes, and the runs of neighbours that share a window or more
+are the tree's deep internal nodes: all leaves of such a node but the least (smallest document, then place) are marked.
+Runs of marked windows are given as spans; `maximal_repeats` lists the nodes themselves.
+
+Few suffixes can repeat, and the others never leave their task:
+ 1. anchors are counted over all documents, with a sum before the shuffle;
+ 2. a document's repeated anchors come back to it, and only suffixes with such an anchor are sent. Of rows with equal words
+    in one batch only the first is sent and the others are marked at once.
+An anchor with more places than a group may hold gets a longer prefix, the whole window. A node at that depth needs its least leaf
+only, so its subtree isn't built: an aggregate carries the least leaf up, and a sort-merge join (which AQE splits) marks the rest.
+Words are compared as 64-bit hashes, one for each word, inside one anchor (64 bits more over 8 words): two windows that
+differ are taken for equal with a chance of 2^-64 for a pair that differs in one word.
 """
 
 from __future__ import annotations
@@ -25,13 +28,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import mix, word_hashes
+from .hashing import mix, word_hashes, word_places
 from .shared import stored, whole
 
-#: Words of the shortest prefix and of an anchor's piece.
+#: Words of an anchor.
 PREFIX = 8
-#: Suffixes that a group may hold before its prefix is made longer.
-GROUP = 60_000
+#: Words from an anchor on that a row carries beyond a window: nodes are told apart to window + BEYOND words at least.
+BEYOND = 16
+#: Rows that a group may hold before a prefix is made longer.
+GROUP = 20_000
+#: Longer words travel as a digest of so many characters.
+LONGEST = 64
 FIRST = np.iinfo(np.int64).min
 
 
@@ -53,25 +60,26 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def _sliding_place(x: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first least value in each run of width values."""
+    have, at = 1, np.arange(len(x))
+    while have < width:
+        step = min(have, width - have)
+        n = len(x) - step
+        right = x[step:] < x[:n]
+        x, at = np.where(right, x[step:], x[:n]), np.where(right, at[step:], at[:n])
+        have += step
+    return at
+
+
 def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(anchor of each window, values of all pieces) of a text's word hashes."""
     pieces = _pieces(words, PREFIX)
     return _sliding_min(pieces, window - PREFIX + 1), pieces
 
 
-def _windows(words: np.ndarray, pieces: np.ndarray, window: int) -> np.ndarray:
-    """Hashes of all windows, put together from the pieces that tile them."""
-    n = len(words) - window + 1
-    made, at = np.full(n, window, dtype=np.uint64), 0
-    while at < window:
-        start = min(at, window - PREFIX)
-        made = mix(made * np.uint64(0xD6E8FEB86659FD93) + pieces[start : start + n])
-        at += PREFIX
-    return made
-
-
 def count_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor): anchors with two places or more. docs: (doc, text)."""
+    """(anchor, n): anchors with two places or more. docs: (doc, sub, text)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole_batch in batches:
@@ -88,133 +96,271 @@ def count_anchors(docs: DataFrame, window: int) -> DataFrame:
                     yield pd.DataFrame({"anchor": values.view(np.int64), "n": np.bincount(place, weights=np.concatenate([c for _, c in found])).astype(np.int64)})
 
     counted = docs.select("text").mapInPandas(count, "anchor long, n long")
-    return counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    return counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
 
 
 def document_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, anchor): the different anchors of each row."""
+    """(doc, sub, anchor): the different anchors of each row."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole_batch in batches:
             for at in range(0, len(whole_batch), 500):
                 b = whole_batch.iloc[at : at + 500]
                 own = [np.unique(anchors(w, window)[0]) if len(w) >= window else w[:0] for w in word_hashes([t.encode() for t in b["text"]])]
-                if any(map(len, own)):
-                    yield pd.DataFrame({"doc": np.repeat(b["doc"].to_numpy(np.int64), [len(a) for a in own]), "anchor": np.concatenate(own).view(np.int64)})
+                sizes = [len(a) for a in own]
+                if any(sizes):
+                    yield pd.DataFrame({"doc": np.repeat(b["doc"].to_numpy(np.int64), sizes), "sub": np.repeat(b["sub"].to_numpy(np.int64), sizes), "anchor": np.concatenate(own).view(np.int64)})
 
-    return docs.mapInPandas(find, "doc long, anchor long")
+    return docs.mapInPandas(find, "doc long, sub long, anchor long")
 
 
-def _marked(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which of n words stand in a window that starts at one of starts."""
+def _covered(n: int, ranges: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words stand in a window whose start lies in one of the ranges (rows: first start, last start)."""
     edges = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + window, -1)
+    np.add.at(edges, ranges[:, 0], 1)
+    np.add.at(edges, ranges[:, 1] + window, -1)
     return np.cumsum(edges)[:n] > 0
 
 
-def _digest(text: str, starts: np.ndarray, window: int) -> tuple[int, int, str, list[int]]:
+def _digest(text: str, ranges: np.ndarray, window: int) -> tuple[int, int, str, list[int]]:
     """(words, removed words, sha256 of the kept words, spans) of a text."""
     words = text.encode().split()
-    gone = _marked(len(words), starts, window)
-    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
-    edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
-    return len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), edges.tolist()
+    if not len(ranges):
+        return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest(), []
+    gone = _covered(len(words), ranges, window)
+    edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0])).tolist()
+    kept, at = [], 0
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        kept += words[at:a]
+        at = b
+    kept += words[at:]
+    return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), edges
 
 
-RESULT = "doc long, n_words long, n_removed long, kept_sha256 string, spans array<int>"
+def _short(word: bytes) -> bytes:
+    return word if len(word) <= LONGEST else b"\0" + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
 
 
-def suffixes(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """A row for each row of docs: its result if it has no suffix to compare; else its text, the starts marked already,
-    and the prefix hash, window hash and start of each suffix."""
+def _cut(raw: bytes, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[bytes]:
+    """The words low..high - 1 of a text for each pair of places; white space and long words are shortened."""
+    sizes = ends - starts
+    odd = np.r_[0, np.cumsum((np.r_[starts[1:] - ends[:-1] > 1, False]) | (sizes > LONGEST))]
+    strange = (odd[high] - odd[low]).tolist()
+    cut = [raw[a:b] for a, b in zip(starts[low].tolist(), ends[high - 1].tolist(), strict=True)]
+    return [b" ".join(map(_short, c.split())) if s else c for c, s in zip(cut, strange, strict=True)]
+
+
+RESULT = "doc long, sub long, n_words long, n_removed long, kept_sha256 string, spans array<int>"
+#: Of each row sent: its anchor and the anchor's place, the first and last of the starts it stands for (places before the anchor), words before the anchor, words.
+PACKED = "anchor array<long>, place array<int>, near array<int>, far array<int>, before array<int>, words array<binary>"
+ROW = ["anchor", "place", "near", "far", "before", "words"]
+
+
+def suffixes(docs: DataFrame, wanted: DataFrame, window: int, fold: bool) -> DataFrame:
+    """A row for each row of docs: its result if it has no suffix to compare; else its text, the ranges of starts that are marked
+    already (first, last, first, ...), and its suffixes, packed by anchor. fold: of equal rows in a batch send only the first."""
+    left, right = window - PREFIX + 1, window + BEYOND
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole_batch in batches:
             for at in range(0, len(whole_batch), 500):
-                b = whole_batch.iloc[at : at + 500]
-                texts, docs_, found = b["text"].tolist(), b["doc"].to_numpy(np.int64), []
-                for k, (words, own) in enumerate(zip(word_hashes([t.encode() for t in texts]), b["anchors"], strict=True)):
-                    if own is None or len(words) < window:
+                b = whole_batch.iloc[at : at + 500].sort_values(["doc", "sub"], kind="stable")
+                raws, seen, out = [t.encode() for t in b["text"]], {}, []
+                for raw, text, doc, sub, own, (words, starts, ends) in zip(raws, b["text"], b["doc"].tolist(), b["sub"].tolist(), b["anchors"], word_places(raws), strict=True):
+                    packs = []
+                    if own is not None and len(words) >= window:
+                        pieces = _pieces(words, PREFIX)
+                        place = _sliding_place(pieces, left)
+                        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                        last = np.r_[first[1:], len(place)] - 1
+                        place = place[first]
+                        used = np.isin(pieces[place], np.asarray(own, dtype=np.int64).view(np.uint64))
+                        place, first, last = place[used], first[used], last[used]
+                        low, high = np.maximum(place - left, 0), np.minimum(place + right, len(words))
+                        packs = list(zip(pieces[place].view(np.int64).tolist(), place.tolist(), (place - last).tolist(), (place - first).tolist(), (place - low).tolist(), _cut(raw, starts, ends, low, high), strict=True))
+                    if not packs:
+                        out.append((doc, sub, *_digest(text, np.zeros((0, 2), np.int64), window), None, None, *[None] * 6))
                         continue
-                    anchor, pieces = anchors(words, window)
-                    starts = np.flatnonzero(np.isin(anchor, np.asarray(own, dtype=np.int64).view(np.uint64)))
-                    if len(starts):
-                        found.append((np.full(len(starts), k), starts, pieces[starts], _windows(words, pieces, window)[starts]))
-                row, start, prefix, value = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
-                order = np.lexsort((start, docs_[row], value)) if len(row) else np.zeros(0, np.int64)
-                row, start, prefix, value = row[order], start[order], prefix[order], value[order]
-                # equal windows of one batch: the first stands for all; a row that repeats the first one's place is no later
-                new = np.r_[True, value[1:] != value[:-1]] if len(row) else np.zeros(0, bool)
-                lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(row) else np.zeros(0, np.int64)
-                same = (docs_[row] == docs_[row[lead]]) & (start == start[lead]) if len(row) else new
-                out = []
-                by_row = np.argsort(row, kind="stable")
-                bounds = np.searchsorted(row[by_row], np.arange(len(b) + 1))
-                for k in range(len(b)):
-                    mine = by_row[bounds[k] : bounds[k + 1]]
-                    if not len(mine):
-                        n, removed, digest, spans = _digest(texts[k], np.zeros(0, np.int64), window)
-                        out.append((docs_[k], n, removed, digest, spans, None, None, None, None, None))
-                    else:
-                        left = mine[same[mine]]
-                        out.append((docs_[k], None, None, None, None, texts[k], start[mine[~same[mine]]].astype(np.int32), prefix[left].view(np.int64), value[left].view(np.int64), start[left].astype(np.int32)))
-                frame = pd.DataFrame(out, columns=["doc", "n_words", "n_removed", "kept_sha256", "spans", "text", "gone", "prefix", "value", "start"])
+                    gone, sent = [], []
+                    for p in packs:
+                        if not fold or seen.setdefault(p[2:], (doc, sub, p[1])) == (doc, sub, p[1]):
+                            sent.append(p)
+                        else:
+                            gone += [p[1] - p[3], p[1] - p[2]]
+                    out.append((doc, sub, None, None, None, None, text, gone, *([list(x) for x in zip(*sent, strict=True)] if sent else [[]] * 6)))
+                frame = pd.DataFrame(out, columns=["doc", "sub", "n_words", "n_removed", "kept_sha256", "spans", "text", "gone", *ROW])
                 yield frame.astype({"n_words": "Int64", "n_removed": "Int64"})
 
-    joined = docs.join(wanted.hint("shuffle_hash"), docs["doc"] == wanted["of"], "left").select("doc", "text", "anchors")
-    return joined.mapInPandas(find, RESULT + ", text string, gone array<int>, prefix array<long>, value array<long>, start array<int>")
+    joined = docs.join(wanted.hint("shuffle_hash"), (docs["doc"] == wanted["of"]) & (docs["sub"] == wanted["of_sub"]), "left").select("doc", "sub", "text", "anchors")
+    return joined.mapInPandas(find, f"{RESULT}, text string, gone array<int>, {PACKED}")
+
+
+class Subtree:
+    """The part of the suffix tree that a group's rows hold: for each distance from an anchor the suffixes in order."""
+
+    def __init__(self, rows: pd.DataFrame, window: int):
+        rows = rows.sort_values(["doc", "sub", "place"], kind="stable")
+        self.left, self.right, self.window = window - PREFIX + 1, window + BEYOND, window
+        self.doc, self.sub, self.place, self.near, self.far = (rows[c].to_numpy(np.int64) for c in ("doc", "sub", "place", "near", "far"))
+        hashed = word_hashes(rows["words"].tolist())
+        sizes = np.array([len(h) for h in hashed], dtype=np.int64)
+        # a row's words around its anchor; 0 where there are none, which is no word
+        self.words = np.zeros((len(rows), self.left + self.right), dtype=np.uint64)
+        line = np.repeat(np.arange(len(rows)), sizes)
+        column = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.left - rows["before"].to_numpy(np.int64), sizes)
+        if len(rows):
+            self.words[line, column] = np.concatenate(hashed)
+
+    def levels(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(words before the anchor, suffixes that start there in order of their words): each order follows from the one before, by the new first word."""
+        order = np.lexsort(self.words[:, self.left :].T[::-1])
+        for k in range(self.left):
+            if k:
+                order = order[np.argsort(self.words[order, self.left - k], kind="stable")]
+            yield k, order[(self.near[order] <= k) & (self.far[order] >= k)]
+
+    def shared(self, k: int, order: np.ndarray, most: int) -> np.ndarray:
+        """Length of the common prefix of each suffix and the one before it, up to most words."""
+        w = self.words[order, self.left - k : self.left - k + most]
+        same = (w[1:] == w[:-1]) & (w[1:] != 0)
+        return np.r_[0, np.where(same.all(axis=1), w.shape[1], same.argmin(axis=1))]
+
+    def later(self) -> np.ndarray:
+        """Rows (doc, sub, first start, last start) of the leaves that aren't the least below a node as deep as a window."""
+        late = np.zeros((len(self.doc), self.left + 2), dtype=np.int8)
+        for k, order in self.levels():
+            if len(order) > 1:
+                tops = np.flatnonzero(self.shared(k, order, self.window) < self.window)
+                least = np.repeat(np.minimum.reduceat(order, tops), np.diff(np.r_[tops, len(order)]))  # rows are in order of document and place
+                late[order, k + 1] = (self.doc[order] != self.doc[least]) | (self.sub[order] != self.sub[least]) | (self.place[order] != self.place[least])
+        row, edge = np.nonzero(np.diff(late, axis=1))
+        row, near, far = row[::2], edge[::2], edge[1::2] - 1
+        return np.stack([self.doc[row], self.sub[row], self.place[row] - far, self.place[row] - near], axis=1)
+
+    def nodes(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """(depth, leaves, doc, sub, start of the least leaf) of the internal nodes as deep as a window whose leaves don't all follow the same word."""
+        for k, order in self.levels():
+            most = self.right + k
+            depth, before = self.shared(k, order, most).tolist() + [0], self.words[order, self.left - k - 1].tolist() if len(order) else []
+            open_: list[list] = []  # [depth, first leaf]
+            for i in range(1, len(depth)):
+                first = i - 1
+                while open_ and open_[-1][0] > depth[i]:
+                    d, first = open_.pop()
+                    if len(set(before[first:i])) > 1 or 0 in before[first:i]:
+                        r = int(order[first:i].min())
+                        yield d, i - first, int(self.doc[r]), int(self.sub[r]), int(self.place[r]) - k
+                if depth[i] >= self.window and (not open_ or open_[-1][0] < depth[i]):
+                    open_.append([depth[i], first])
+
+
+def packed_rows(found: DataFrame) -> DataFrame:
+    """(doc, sub, anchor, place, near, far, before, words): the rows sent."""
+    return found.where("text IS NOT NULL").select("doc", "sub", F.explode(F.arrays_zip(*ROW)).alias("s")).select("doc", "sub", "s.*")
+
+
+def groups_of(rows: DataFrame, total: int, group: int) -> DataFrame:
+    return rows.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(max(1, 2 * total // group + 1)))).groupBy("part")
+
+
+def later_starts(rows: DataFrame, hot: DataFrame | None, total: int, window: int, group: int) -> DataFrame:
+    """(doc, sub, low, high): ranges of starts whose window starts earlier elsewhere. hot: (anchor) of those with longer prefixes."""
+
+    def tree(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(Subtree(part, window).later(), columns=["doc", "sub", "low", "high"]).astype({"low": "int32", "high": "int32"})
+
+    schema = "doc long, sub long, low int, high int"
+    if hot is None:
+        return groups_of(rows, total, group).applyInPandas(tree, schema)
+    long = hot_starts(stored(rows.join(hot.hint("merge"), "anchor", "left_semi"), "hot"), window)
+    least = long.groupBy("a", "b").agg(F.min(F.struct("doc", "sub", "start")).alias("least"))
+    others = long.join(least.hint("merge"), ["a", "b"]).where(F.struct("doc", "sub", "start") != F.col("least"))
+    cool = rows.join(hot.hint("merge"), "anchor", "left_anti")
+    return groups_of(cool, total, group).applyInPandas(tree, schema).unionByName(others.select("doc", "sub", F.col("start").alias("low"), F.col("start").alias("high")))
+
+
+def hot_starts(rows: DataFrame, window: int) -> DataFrame:
+    """(a, b, doc, sub, start): the suffixes of packed rows with 128 bits of their window as prefix."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole_batch in batches:
+            for at in range(0, len(whole_batch), 2000):
+                t = Subtree(whole_batch.iloc[at : at + 2000], window)
+                for k in range(t.left):
+                    r = np.flatnonzero((t.near <= k) & (t.far >= k))
+                    a, b = np.full(len(r), 1, dtype=np.uint64), np.full(len(r), 2, dtype=np.uint64)
+                    for j in range(window):
+                        w = t.words[r, t.left - k + j]
+                        a, b = mix(a * np.uint64(0xD6E8FEB86659FD93) + w), mix(b * np.uint64(0x9E3779B97F4A7C55) + w)
+                    yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), "doc": t.doc[r], "sub": t.sub[r], "start": (t.place[r] - k).astype(np.int32)})
 
+    return rows.mapInPandas(spread, "a long, b long, doc long, sub long, start int")
 
-def later_leaves(rows: DataFrame, total: int) -> DataFrame:
-    """(doc, start) of the suffixes whose window starts earlier elsewhere. rows: (prefix, value, doc, start)."""
-    groups = max(1, (total + GROUP // 2 - 1) // (GROUP // 2))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("prefix"), F.lit(groups)))
-    sizes = stored(rows.groupBy("part").agg(F.count("*").alias("size")).where(F.col("size") > GROUP), "sizes")
-    # at most one row for each part: broadcast up to so many parts (16 bytes a row), else merged
-    dealt = rows.join(sizes.hint("broadcast" if groups <= 100_000 else "merge"), "part", "left")
-    longer = F.when(F.col("size").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("value"), F.ceil(F.col("size") / F.lit(GROUP // 4))))
 
-    def tree(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["prefix", "value", "doc", "start"], kind="stable")
-        value, prefix, doc, start = (g[c].to_numpy() for c in ("value", "prefix", "doc", "start"))
-        deep = np.r_[True, (value[1:] != value[:-1]) | (prefix[1:] != prefix[:-1])]  # a new node at the depth of a window
-        lead = np.flatnonzero(deep)[np.cumsum(deep) - 1]
-        later = (doc != doc[lead]) | (start != start[lead])
-        return pd.DataFrame({"doc": doc[later], "start": start[later]})
+def _rows(docs: DataFrame, text: str, doc: str) -> DataFrame:
+    """(doc, sub, text): a row without an id is a document of its own, told apart by its text."""
+    key, body = F.col(doc).cast("long"), whole(F.col(text))
+    return docs.select(F.coalesce(key, F.lit(int(FIRST))).alias("doc"), F.when(key.isNull(), F.xxhash64(body)).otherwise(F.lit(0)).alias("sub"), body.alias("text"))
 
-    return dealt.withColumn("longer", longer).select("part", "longer", "prefix", "value", "doc", "start").groupBy("part", "longer").applyInPandas(tree, "doc long, start int")
 
+def _found(rows: DataFrame, window: int, fold: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(repeated anchors, suffixes), both stored."""
+    if window < 2 * PREFIX:
+        raise ValueError(f"a window has {2 * PREFIX} words at least")
+    repeated = stored(count_anchors(rows, window), "anchors")
+    own = document_anchors(rows, window).join(repeated.select("anchor").hint("merge"), "anchor", "left_semi")
+    wanted = own.groupBy(F.col("doc").alias("of"), F.col("sub").alias("of_sub")).agg(F.collect_set("anchor").alias("anchors"))
+    return repeated, stored(suffixes(rows, wanted, window, fold), "suffixes")
+
+
+def _total(found: DataFrame) -> int:
+    return int(found.agg(F.coalesce(F.sum(F.size("place")), F.lit(0)).alias("n")).first()["n"])
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", window: int = 20) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", window: int = 20, group: int = GROUP) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans) of each row; spans has the starts and ends (not included) of the removed
     runs of words, in words from 0, one after the other.
 
     A word goes if a window of the input that covers it starts earlier too: in a smaller doc_id, or earlier in the same one.
-    Null ids come before all others. Rows that share an id share its places: equal windows at an equal place are
-    no earlier than each other. A null text has no words; texts of fewer words than a window lose nothing. An empty
-    table gives an empty one. Other columns of docs take no part.
+    Rows without an id come before all others, in the order of their texts' hashes. Rows that share an id share its places:
+    equal windows at an equal place are no earlier than each other. Ids that are no whole numbers count as null. A null text has
+    no words; texts of fewer words than a window lose nothing. An empty table gives an empty one. Other columns of docs take
+    no part. group is the number of rows a task sorts at once; anchors with more places get longer prefixes.
     """
-    if window < 2 * PREFIX:
-        raise ValueError(f"a window has {2 * PREFIX} words at least")
-    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(int(FIRST))).alias("doc"), whole(F.col(text)).alias("text"))
-    repeated = stored(count_anchors(rows, window), "anchors")
-    own = document_anchors(rows, window).join(repeated.hint("merge"), "anchor", "left_semi")
-    wanted = own.groupBy(F.col("doc").alias("of")).agg(F.collect_set("anchor").alias("anchors"))
-    found = stored(suffixes(rows, wanted, window), "suffixes")
-    leaves = found.where("text IS NOT NULL").select("doc", F.explode(F.arrays_zip("prefix", "value", "start")).alias("s")).select("s.prefix", "s.value", "doc", "s.start")
-    total = found.agg(F.coalesce(F.sum(F.size("start")), F.lit(0)).alias("n")).where("n > 0").collect()
-    marks = later_leaves(leaves, total[0]["n"] if total else 1).groupBy(F.col("doc").alias("of")).agg(F.collect_list("start").alias("later"))
+    rows = _rows(docs, text, doc)
+    repeated, found = _found(rows, window)
+    hot = stored(repeated.where(F.col("n") > group).select("anchor"), "hot")
+    later = later_starts(packed_rows(found), hot if hot.limit(1).count() else None, _total(found), window, group)
+    marks = later.groupBy(F.col("doc").alias("of"), F.col("sub").alias("of_sub")).agg(F.flatten(F.collect_list(F.array("low", "high"))).alias("later"))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for d, t, gone, own_starts, later in zip(b["doc"], b["text"], b["gone"], b["start"], b["later"], strict=True):
-                late = np.intersect1d(np.asarray(own_starts, np.int64), np.asarray(later, np.int64)) if later is not None else np.zeros(0, np.int64)
-                out.append((d, *_digest(t, np.r_[np.asarray(gone, np.int64), late], window)))
-            yield pd.DataFrame(out, columns=["doc", "n_words", "n_removed", "kept_sha256", "spans"])
-
-    open_ = found.where("text IS NOT NULL").select("doc", "text", "gone", "start")
-    ended = open_.join(marks.hint("shuffle_hash"), open_["doc"] == marks["of"], "left").select("doc", "text", "gone", "start", "later").mapInPandas(finish, RESULT)
-    every = found.where("text IS NULL").select("doc", "n_words", "n_removed", "kept_sha256", "spans").unionByName(ended)
+            for d, s, t, gone, late in zip(b["doc"], b["sub"], b["text"], b["gone"], b["later"], strict=True):
+                both = np.r_[np.asarray(gone, np.int64), np.asarray(late if late is not None else [], np.int64)]
+                out.append((d, s, *_digest(t, both.reshape(-1, 2), window)))
+            yield pd.DataFrame(out, columns=["doc", "sub", "n_words", "n_removed", "kept_sha256", "spans"])
+
+    open_ = found.where("text IS NOT NULL").select("doc", "sub", "text", "gone")
+    ended = open_.join(marks.hint("shuffle_hash"), (open_["doc"] == marks["of"]) & (open_["sub"] == marks["of_sub"]), "left").select("doc", "sub", "text", "gone", "later").mapInPandas(finish, RESULT)
+    every = found.where("text IS NULL").select("doc", "sub", "n_words", "n_removed", "kept_sha256", "spans").unionByName(ended)
     return every.select(F.when(F.col("doc") != int(FIRST), F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "spans")
+
+
+def maximal_repeats(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", window: int = 20, group: int = GROUP) -> DataFrame:
+    """(depth, n_leaves, doc_id, start): the deep internal nodes that are maximal repeats: runs of depth words that stand at several places
+    and are followed, and preceded, by different words there. doc_id and start name the first place.
+
+    depth is exact up to window + BEYOND words at least; a longer repeat is cut there, and found again by a later node only
+    where it branches. Anchors with more than group places have no subtree here: their repeats are in the spans of
+    remove_repeats. Nulls and empty tables as there.
+    """
+    repeated, found = _found(_rows(docs, text, doc), window, fold=False)
+    hot = repeated.where(F.col("n") > group).select("anchor")
+
+    def tree(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(Subtree(part, window).nodes()), columns=["depth", "n_leaves", "doc", "sub", "start"], dtype="int64")
+
+    rows = packed_rows(found).join(hot.hint("merge"), "anchor", "left_anti")
+    nodes = groups_of(rows, _total(found), group).applyInPandas(tree, "depth int, n_leaves long, doc long, sub long, start int")
+    return nodes.select("depth", "n_leaves", F.when(F.col("doc") != int(FIRST), F.col("doc")).alias("doc_id"), "start")

@@ -98,8 +98,19 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
     assert {r.doc_id for r in quality_rules.with_quality(d, marks).where("kept").collect()} == set(range(60))
 
 
-def test_substring_dedup(docs, empty):
-    rows = [(-(2**63) if i is None else i, words(t)) for i, t in texts()]
+PASSAGE = sentence(50, 35)
+
+
+def repeating():
+    """texts() with a passage of 35 words in two of them, words that repeat without end, and words longer than a row carries."""
+    return texts() + [
+        (100, f"{sentence(51, 30)} {PASSAGE} {sentence(52, 30)}"), (101, f"{sentence(53, 41)}\n{PASSAGE}  {sentence(54, 33)}"), (102, sentence(7, 40) + " " + sentence(55, 9)),
+        (103, "a b " * 30 + sentence(51, 30)), (104, ("x" * 500 + " y z ") * 20), (105, ("x" * 500 + " y z ") * 20 + sentence(51, 25)), (None, sentence(56, 25) + " " + PASSAGE)]
+
+
+@pytest.mark.parametrize("group", [20_000, 3])
+def test_substring_dedup(spark, docs, empty, group):
+    rows = [((i is not None, i or 0, 0 if i is not None else hash_of(spark, t)), words(t)) for i, t in repeating()]
     first = {}
     for i, w in rows:
         for k in range(len(w) - 19):
@@ -109,11 +120,38 @@ def test_substring_dedup(docs, empty):
     for i, w in rows:
         gone = {j for k in range(len(w) - 19) if first[tuple(w[k : k + 20])] != (i, k) for j in range(k, k + 20)}
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
-        want[(None if i < 0 else i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
-    out = substring_dedup.remove_repeats(docs).collect()
+        want[(i[1] if i[0] else None, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
+    table = spark.createDataFrame([(i, t, -1) for i, t in repeating()], "doc_id long, text string, anchors int").repartition(3)
+    out = substring_dedup.remove_repeats(table, group=group).collect()
     assert bag((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == want
     assert all(sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2])) == r.n_removed for r in out)
-    assert substring_dedup.remove_repeats(empty).count() == 0
+    assert substring_dedup.remove_repeats(empty, group=group).count() == 0
+
+
+def hash_of(spark, text):
+    return spark.range(1).select(F.xxhash64(F.lit(text or ""))).first()[0]
+
+
+def test_maximal_repeats(spark, empty):
+    table = spark.createDataFrame([r for r in repeating() if r[0] in (100, 101)], "doc_id long, text string")
+    assert [tuple(r) for r in substring_dedup.maximal_repeats(table).collect()] == [(35, 2, 100, 30)]
+    # three places share 25 words and two of them 33: a node of depth 33 below one of depth 25
+    w = sentence(60, 33).split()
+    rows = [(1, " ".join(["p", *w, "q"])), (2, " ".join(["r", *w, "s"])), (3, " ".join(["t", *w[:25], "u"]))]
+    found = substring_dedup.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in found} == {(33, 2, 1, 1), (25, 3, 1, 1)}
+    assert substring_dedup.maximal_repeats(empty).count() == 0
+
+
+def test_word_places_of_a_long_text():
+    from clearspan.llm import hashing
+
+    text = (sentence(3, 400_000) + " " + "y" * 3_000_000 + "\t" + sentence(4, 1000)).encode()
+    want = [text[m.start() : m.end()] for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    assert len(text) > 2 * hashing.PIECE
+    short, (hashes, starts, ends), _ = hashing.word_places([b"a  b", text, b" c"])
+    assert [text[a:b] for a, b in zip(starts, ends)] == want and short[1].tolist() == [0, 3]
+    assert len(set(zip(hashes.tolist(), want))) == len(set(hashes.tolist())) == len(set(want))
 
 
 @pytest.mark.parametrize("size", [2, 5])
