@@ -1,25 +1,23 @@
-"""SentencePiece encoding and decoding as a max-plus problem, giant documents in parallel.
-
-A text becomes U+2581 + text with spaces as U+2581, and is cut into vocabulary pieces of the largest total score; a
-character without a piece is written as its UTF-8 bytes, at the lowest score less 10. Among equal cuts the one whose
-last piece is longest is taken, then the one whose piece before that is longest, and so on.
-
-That sum of scores is linear over (max, +). Cut at any place into chunks, a text's state at a boundary is how many characters
-the piece across it reaches into the next chunk, and a chunk is a matrix from entry to exit states. Products
-of these matrices are associative: blocks of FAN chunks are multiplied side by side, then the blocks of each document, then
-every chunk learns the best scores of its entry states. From these each chunk maps exit to entry states by itself;
-the maps are composed the same way from the end, and each chunk is cut between its two states by itself. The result is the
-one of the whole text, ties included. FAN * FAN chunks are more than the largest string that Spark holds.
-
-Shorter documents take one step. There, and inside chunks, places where no piece can cross (before a space mark after
-another character, and around characters that stand in no piece) split the text into units, whose cuts are kept in a
-bounded table.
+"""SentencePiece encoding and decoding, giant documents in parallel by a max-plus scan.
+
+A text becomes U+2581 + text with spaces as U+2581, and its pieces are those of the vocabulary's merges, as the sentencepiece library
+finds them. Merges don't look like a sum of scores, but their result is the only cut of a text in which every two
+neighbours stand the test of a pair: merging the two together gives just the two again. So a cut is a path through the
+pieces that stand in a text, a forbidden pair weighs minus infinity, and the best path is linear over (max, +).
+
+Cut at any place into chunks, a text's state at a boundary is the piece that reaches or crosses it, and a chunk is a matrix from
+the states of its entry to those of its exit. Products of these matrices are associative: blocks of FAN chunks are multiplied
+side by side, then the blocks of each document, then every chunk learns the best scores of its entry states. From these and its matrix each
+chunk maps exit to entry states by itself; the maps are composed the same way from the end, and each chunk is cut
+between its two states by itself. The result is the one of the whole text. FAN * FAN chunks are more than the largest string
+that Spark holds.
+
+No piece goes over two characters that are neighbours in no piece. Between the first and the last such place of a chunk its
+cut doesn't depend on the states and comes from the library in one call, as do whole documents of one chunk or less.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,221 +29,153 @@ from .shared import stored, whole
 
 MARK = "▁"
 FAN = 512
-#: Control characters at which texts are split if no piece holds them.
-BREAKS = "\n\t\r\x0b\x0c"
+#: A character before which the library puts its mark, so that the text after it stays as it is.
+GUARD = "\n"
 LOW = -np.inf
 _CODERS: dict = {}
 
+#: A piece by the places where it starts and ends in a text. None: a place that no piece crosses, so that it doesn't matter which one ends there.
+Span = tuple[int, int] | None
+#: Where paths go on: the piece before ('' at an open place), where it ends, its scores from each entry.
+Head = tuple[str, int, np.ndarray]
+
 
 class Coder:
-    """A vocabulary with its scores, and the cuts of units seen so far."""
+    """A vocabulary: its pieces, which neighbours are allowed, and the library's coder."""
 
-    def __init__(self, path: str, most: int = 300_000):
-        import ahocorasick
+    def __init__(self, path: str, most: int = 500_000):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces: dict[str, tuple[int, float]] = {}
-        self.bytes, self.text_of = [0] * 256, {}
+        self.bytes, self.written = [0] * 256, [b""] * model.get_piece_size()
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.bytes[int(piece[1:-1], 16)] = i
+                self.written[i] = bytes([int(piece[1:-1], 16)])
             elif not (model.is_control(i) or model.is_unknown(i)):
                 self.pieces[piece] = (i, float(model.get_score(i)))
-                self.text_of[i] = piece
-        #: Every beginning of a piece, with the piece's (id, score) if it is one itself: a look-up that fails ends a search.
-        self.table = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)}
+                self.written[i] = piece.replace(MARK, " ").encode()
+        self.begins = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        self.bonds = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.longest = max(map(len, self.pieces))
-        self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - 10
-        self.crossable = any(MARK in p.lstrip(MARK) for p in self.pieces)
-        self.breaks = "".join(c for c in BREAKS if not any(c in p for p in self.pieces))
-        stops = "".join(c for c in ",.;:!?" if not any(p[k] == c and p[k - 1].isalpha() for p in self.pieces for k in range(1, len(p))))
-        ends = f"(?=[{re.escape(stops + self.breaks)}{MARK}]|$)"  # no piece goes from a letter over one of these
-        one = f"|[{re.escape(self.breaks)}]" if self.breaks else ""
-        self.unit = re.compile(f"{MARK}*[^\\W\\d_]+{ends}|{MARK}*[^{MARK}{re.escape(self.breaks)}]+|{MARK}+{one}")
-        if self.crossable:
-            self.unit = re.compile(r"(?s).+")
-        self.known: dict[str, tuple[bytes, float]] = {}
-        self.single = {p for p in self.pieces if len(p) == 1}
-        self.finder = ahocorasick.Automaton()
-        for p, (i, score) in self.pieces.items():
-            self.finder.add_word(p, (len(p), score, i))
-        self.finder.make_automaton()
+        self.scores = np.array([model.get_score(i) if not model.is_byte(i) else 0.0 for i in range(model.get_piece_size())])
+        self.guard = len(model.encode(GUARD))
+        self.known: dict[tuple[str, str], bool] = {}
         self.most = most
 
-    def forward(self, text: str, entry: list[float], ends: int) -> tuple[list[float], list[int]]:
-        """Best scores of the places 0..ends and the starts of their last pieces (-1: an entry state); entry[a] is the
-        score of arriving at place a from before the text."""
-        best, last = [LOW] * (ends + 1), [-1] * (ends + 1)
-        best[: min(len(entry), ends + 1)] = entry[: ends + 1]
-        table, longest, n = self.table, self.longest, len(text)
-        for start in range(min(n, ends)):
-            base = best[start]
-            if base == LOW:
-                continue
-            for end in range(start + 1, min(start + longest, n, ends) + 1):
-                hit = table.get(text[start:end], 0)
-                if hit:
-                    score = base + hit[1]
-                elif end == start + 1:
-                    score = base + self.unknown
-                elif hit is None:
-                    continue
-                else:
-                    break
-                # starts ascend, so an equal score that came first has the longer last piece; an entry state counts as longest
-                if score > best[end]:
-                    best[end], last[end] = score, start
-        return best, last
-
-    def ids(self, text: str, start: int, end: int) -> list[int]:
-        hit = self.pieces.get(text[start:end])
-        return [hit[0]] if hit else [self.bytes[b] for b in text[start:end].encode()]
-
-    def back(self, text: str, last: list[int], end: int) -> tuple[int, list[int]]:
-        """(entry place, ids) of the best cut that ends at a place."""
-        parts = []
-        while last[end] >= 0:
-            parts.append(self.ids(text, last[end], end))
-            end = last[end]
-        return end, [i for p in reversed(parts) for i in p]
-
-    def cut(self, unit: str) -> tuple[bytes, float]:
-        found = self.known.get(unit)
-        if found is None:
-            best, last = self.forward(unit, [0.0], len(unit))
-            found = np.array(self.back(unit, last, len(unit))[1], dtype="<i4").tobytes(), best[len(unit)]
-            if len(unit) <= 64:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                self.known[unit] = found
-        return found
-
-    def learn(self, units: list[str]) -> None:
-        """Cuts new units of characters that are pieces, all in one pass of an automaton that reports every piece in them."""
-        if len(self.known) + len(units) > self.most:
-            self.known.clear()
-        text = "\0".join(units)
-        best, size, piece = [LOW] * (len(text) + 1), [0] * (len(text) + 1), [0] * (len(text) + 1)
-        at = 0
-        for u in units:
-            best[at] = 0.0
-            at += len(u) + 1
-        # pieces that end at a place come longest first, so of equal scores the longest stays
-        for last, (n, score, i) in self.finder.iter(text):
-            end = last + 1
-            total = best[end - n] + score
-            if total > best[end]:
-                best[end], size[end], piece[end] = total, n, i
-        at = 0
-        for u in units:
-            end = at + len(u)
-            ids, here = [], end
-            while here > at:
-                ids.append(piece[here])
-                here -= size[here]
-            self.known[u] = array("i", ids[::-1]).tobytes(), best[end]
-            at = end + 1
-
-    def between(self, text: str) -> tuple[bytes, float]:
-        """Ids and score of a text that begins and ends where no piece crosses."""
-        known, units = self.known, self.unit.findall(text)
-        for start in range(0, len(units), 50_000):
-            new = [u for u in dict.fromkeys(units[start : start + 50_000]) if u not in known and len(u) <= 64 and self.single.issuperset(u)]
-            if new:
-                self.learn(new)
-        try:
-            found = [known[u] for u in units]
-        except KeyError:  # units that are long or hold other characters, or a table that was emptied meanwhile
-            found = [known.get(u) or self.cut(u) for u in units]
-        return b"".join([f[0] for f in found]), float(sum([f[1] for f in found]))
-
-    def encode(self, text: str) -> tuple[bytes, float]:
-        return self.between(marked(text)) if text else (b"", 0.0)
+    def between(self, marked_text: str) -> list[int]:
+        """Ids of a text between places that no piece crosses."""
+        return self.library.encode(GUARD + marked_text.replace(MARK, " "))[self.guard :] if marked_text else []
 
-    def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.text_of.get(i, "").replace(MARK, " ").encode() for i in ids.tolist())
-        return raw.decode("utf-8", "replace")[1:] if len(raw) else ""
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.library.encode(texts, num_threads=1)
 
-    def safe(self, text: str, before: str, n: int) -> tuple[int, int] | None:
-        """The first and last place from 0 to n that no piece crosses, or None. before: the character before the text."""
-        if self.crossable:
-            return None
-        marks = [m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}" + (f"|[{re.escape(self.breaks)}]|(?<=[{re.escape(self.breaks)}])(?s:.)" if self.breaks else ""), before + text)]
-        places = [m - len(before) for m in marks if 0 <= m - len(before) <= n]
-        return (places[0], places[-1]) if places else None
+    def score(self, ids: list[int] | np.ndarray) -> float:
+        """The sum of the pieces' scores; bytes have none."""
+        return float(self.scores[np.asarray(ids, dtype=np.int64)].sum())
 
-    # a chunk: before (a character or nothing), text with longest - 1 characters more than its n
+    def decode(self, ids: np.ndarray) -> str:
+        table = self.written
+        return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
+
+    def weight(self, token: str) -> float:
+        hit = self.pieces.get(token)
+        return hit[1] if hit else 0.0
+
+    def ids(self, token: str) -> list[int]:
+        hit = self.pieces.get(token)
+        return [hit[0]] if hit else [self.bytes[b] for b in token.encode()]
+
+    def allowed(self, a: str, b: str) -> bool:
+        """Whether a and b stand side by side where merges end."""
+        if a[-1] + b[0] not in self.bonds:
+            return True
+        found = self.known.get((a, b))
+        if found is None:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            found = self.known[a, b] = self.between(a + b) == self.ids(a) + self.ids(b)
+        return found
 
-    def matrix(self, before: str, text: str, n: int) -> np.ndarray:
-        """Scores from entry to exit states."""
-        width = self.longest
-        out, safe = np.full((width, width), LOW), self.safe(text, before, n)
-        if safe and safe[0] < width:
-            first, last = safe
-            total = self.between(text[first:last])[1]
-            best = self.forward_exits(text[last:], [0.0], n - last)
-            for a in range(first + 1):
-                head = self.forward(text[a:first], [0.0], first - a)[0][first - a]
-                out[a] = head + total + np.array(best)
-            return out
-        for a in range(width):
-            out[a] = self.forward_exits(text, [LOW] * a + [0.0], n)
+    # a chunk: its text from longest characters before it to longest after it, as far as there are some; a, z: where it begins and ends in that
+
+    def is_open(self, text: str, place: int) -> bool:
+        """Whether no piece crosses a place. A text is cut off at chunks' surroundings only, so place 0 and its end are the document's."""
+        return place == 0 or place == len(text) or text[place - 1 : place + 1] not in self.bonds
+
+    def inside(self, text: str, a: int, z: int) -> tuple[int, int] | None:
+        """The first and the last open place of a chunk."""
+        first = next((p for p in range(a, z + 1) if self.is_open(text, p)), None)
+        return None if first is None else (first, next(p for p in range(z, a - 1, -1) if self.is_open(text, p)))
+
+    def states(self, text: str, at: int) -> list[Span]:
+        """The pieces that start before a place and reach or cross it, in order."""
+        if self.is_open(text, at):
+            return [None]
+        spans = ((s, e) for s in range(max(0, at - self.longest), at) for e in range(at, min(s + self.longest, len(text)) + 1))
+        return [(s, e) for s, e in spans if e == s + 1 or text[s:e] in self.pieces]
+
+    def heads(self, text: str, a: int) -> list[Head]:
+        entry = self.states(text, a)
+        unit = np.where(np.eye(len(entry)) > 0, 0.0, LOW)
+        return [(text[s[0] : s[1]] if s else "", s[1] if s else a, unit[i]) for i, s in enumerate(entry)]
+
+    def paths(self, text: str, heads: list[Head], stop: int) -> dict[int, list[tuple[int, np.ndarray]]]:
+        """By the place where they end, the pieces that start before stop and continue the heads: (start, best scores from each entry)."""
+        ending: dict[int, list[tuple[str, np.ndarray]]] = {}
+        for token, end, scores in heads:
+            ending.setdefault(end, []).append((token, scores))
+        out: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for p in range(min(ending), min(stop, len(text))):
+            for q in range(p + 1, min(p + self.longest, len(text)) + 1) if p in ending else ():
+                token = text[p:q]
+                if q == p + 1 or token in self.pieces:
+                    come = [v for before, v in ending[p] if not before or self.allowed(before, token)]
+                    if come:
+                        scores = np.maximum.reduce(come) + self.weight(token)
+                        ending.setdefault(q, []).append((token, scores))
+                        out.setdefault(q, []).append((p, scores))
+                if token not in self.begins:
+                    break
         return out
 
-    def forward_exits(self, text: str, entry: list[float], n: int) -> list[float]:
-        best, _ = self.forward_chunk(text, entry, n)
-        return best[n : n + self.longest]
-
-    def forward_chunk(self, text: str, entry: list[float], n: int) -> tuple[list[float], list[int]]:
-        """As forward, over the pieces that start before place n and end at n + longest - 1 at most."""
-        size = n + self.longest - 1
-        best, last = [LOW] * (size + 1), [-1] * (size + 1)
-        for a, s in enumerate(entry[: size + 1]):
-            best[a] = s
-        table, longest = self.table, self.longest
-        for start in range(min(n, len(text))):
-            base = best[start]
-            if base == LOW:
-                continue
-            for end in range(start + 1, min(start + longest, len(text)) + 1):
-                hit = table.get(text[start:end], 0)
-                if hit:
-                    score = base + hit[1]
-                elif end == start + 1:
-                    score = base + self.unknown
-                elif hit is None:
-                    continue
-                else:
-                    break
-                if score > best[end]:
-                    best[end], last[end] = score, start
-        return best, last
-
-    def entries(self, before: str, text: str, n: int, entry: list[float]) -> list[int]:
-        """For each exit state the entry state of its best cut; -1 where there is none."""
-        safe, width = self.safe(text, before, n), self.longest
-        if safe and safe[0] < width:
-            first = safe[0]
-            _, last = self.forward(text[:first], entry[: first + 1], first)
-            return [self.back(text, last, first)[0]] * width
-        best, last = self.forward_chunk(text, entry, n)
-        return [self.back(text, last, n + b)[0] if best[n + b] > LOW else -1 for b in range(width)]
-
-    def cut_chunk(self, before: str, text: str, n: int, entry: list[float], exit_: int) -> bytes:
-        """The ids of the best cut of a chunk to an exit state."""
-        safe = self.safe(text, before, n)
-        if safe and safe[0] < self.longest:
-            first, final = safe
-            _, last = self.forward(text[:first], entry[: first + 1], first)
-            head = self.back(text, last, first)[1]
-            _, last = self.forward_chunk(text[final:], [0.0], n - final)
-            tail = self.back(text[final:], last, n - final + exit_)[1]
-            return np.array(head, dtype="<i4").tobytes() + self.between(text[first:final])[0] + np.array(tail, dtype="<i4").tobytes()
-        _, last = self.forward_chunk(text, entry, n)
-        return np.array(self.back(text, last, n + exit_)[1], dtype="<i4").tobytes()
+    def matrix(self, text: str, a: int, z: int) -> np.ndarray:
+        """Scores from entry to exit states."""
+        heads, out, open_ = self.heads(text, a), self.states(text, z), self.inside(text, a, z)
+        nothing = np.full(len(heads), LOW)
+        if open_ is None:
+            ends = {(e - len(t), e): v for t, e, v in heads} | {(s, e): v for e, row in self.paths(text, heads, z).items() for s, v in row}
+            return np.stack([ends.get(s, nothing) for s in out], axis=1)
+        first, last = open_
+        come = [v for _, e, v in heads if e == first] + [v for _, v in self.paths(text, heads, first).get(first, [])]
+        entry = np.maximum.reduce([nothing, *come]) + self.score(self.between(text[first:last]))
+        ends = {(s, e): v[0] for e, row in self.paths(text, [("", last, np.zeros(1))], z).items() for s, v in row}
+        return entry[:, None] + np.array([0.0 if s is None else ends.get(s, LOW) for s in out])[None, :]
+
+    def trace(self, text: str, head: Head, stop: int, target: Span) -> list[int]:
+        """Ids of the best path from a head to a piece (included), or to any piece that ends at an open place stop."""
+        token, end, _ = head
+        found = self.paths(text, [head], stop)
+        span = target or ((max(found[stop], key=lambda f: f[1][0])[0], stop) if stop > end else None)
+        parts: list[list[int]] = []
+        while span and span[1] > end:
+            piece = text[span[0] : span[1]]
+            parts.append(self.ids(piece))
+            before = [(v[0], s) for s, v in found.get(span[0], []) if self.allowed(text[s : span[0]], piece)]
+            span = (max(before)[1], span[0]) if before else None
+        return [i for p in reversed(parts) for i in p]
+
+    def cut_chunk(self, text: str, a: int, z: int, enter: int, leave: int) -> list[int]:
+        """The ids after an entry state up to an exit state, that one's piece included."""
+        token, end, _ = self.heads(text, a)[enter]
+        head, target, open_ = (token, end, np.zeros(1)), self.states(text, z)[leave], self.inside(text, a, z)
+        if open_ is None:
+            return self.trace(text, head, z, target)
+        first, last = open_
+        tail = self.trace(text, ("", last, np.zeros(1)), z, target) if last < z else []
+        return self.trace(text, head, first, None) + self.between(text[first:last]) + tail
 
 
 def coder(path: str) -> Coder:
@@ -264,132 +194,127 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[..., :, None] + b).max(axis=-2)
 
 
-def _square(raw: bytes) -> np.ndarray:
-    m = np.frombuffer(raw, dtype=np.float64)
-    return m.reshape(int(round(len(m) ** 0.5)), -1)
+def _matrix(raw: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.float64).reshape(rows, -1)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<i4").tobytes()
 
 
 def chunks(docs: DataFrame, model: str, text: str, doc: str, chunk_chars: int) -> DataFrame:
-    """(row, doc, no, count, before, body, n): the chunks of the texts longer than chunk_chars."""
+    """(row, doc, no, body, a, z): the chunks of the texts longer than chunk_chars."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        extra, row = coder(model).longest - 1, TaskContext.get().partitionId() << 32
+        around, row = coder(model).longest, TaskContext.get().partitionId() << 32
+        if chunk_chars < around:
+            raise ValueError(f"a chunk has {around} characters at least")
         for b in batches:
-            for d, t in zip(b["doc"], b["text"], strict=True):
-                whole_text = marked(t)
-                count = (len(whole_text) + chunk_chars - 1) // chunk_chars
-                for no in range(count):
-                    at = no * chunk_chars
-                    body = whole_text[at : at + chunk_chars + extra]
-                    yield pd.DataFrame({"row": [row], "doc": pd.array([None if pd.isna(d) else int(d)], dtype="Int64"), "no": [no], "count": [count], "before": [whole_text[at - 1 : at] if at else ""], "body": [body], "n": [min(chunk_chars, len(whole_text) - at)]})
+            for d, t in zip(b["doc"].astype("Int64"), b["text"], strict=True):
+                body, out = marked(t), []
+                for no, at in enumerate(range(0, len(body), chunk_chars)):
+                    begin, end = max(0, at - around), min(at + chunk_chars, len(body))
+                    out.append((row, d, no, body[begin : end + around], at - begin, end - begin))
+                for at in range(0, len(out), 64):
+                    yield pd.DataFrame(out[at : at + 64], columns=["row", "doc", "no", "body", "a", "z"]).astype({"doc": "Int64"})
                 row += 1
 
     long = docs.where(F.length(text) > chunk_chars).select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
-    return stored(long.mapInPandas(split, "row long, doc long, no int, count int, before string, body string, n int"), "chunks")
+    return stored(long.mapInPandas(split, "row long, doc long, no int, body string, a int, z int"), "chunks")
 
 
 def scan_chunks(parts: DataFrame, model: str) -> DataFrame:
-    """(row, doc, no, ids, score): the cut of each chunk; score is the document's, on its last chunk."""
-    width = "row long, no int, count int"
+    """(row, doc, no, ids): the cut of each chunk."""
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = coder(model)
         for b in batches:
-            yield b[["row", "no", "count"]].assign(m=[c.matrix(p, t, n).tobytes() for p, t, n in zip(b["before"], b["body"], b["n"], strict=True)])
+            made = [c.matrix(t, a, z) for t, a, z in zip(b["body"], b["a"], b["z"], strict=True)]
+            yield b[["row", "no"]].assign(n=[len(m) for m in made], m=[m.tobytes() for m in made])
 
     def block_product(b: pd.DataFrame) -> pd.DataFrame:
         b, m = b.sort_values("no"), None
-        for raw in b["m"]:
-            m = _square(raw) if m is None else times(m, _square(raw))
-        return pd.DataFrame({"row": [b["row"].iloc[0]], "block": [b["no"].iloc[0] // FAN], "m": [m.tobytes()]})
+        for raw, n in zip(b["m"], b["n"], strict=True):
+            m = _matrix(raw, n) if m is None else times(m, _matrix(raw, n))
+        return pd.DataFrame({"row": [b["row"].iloc[0]], "block": [b["no"].iloc[0] // FAN], "n": [len(m)], "m": [m.tobytes()]})
 
     def block_entries(b: pd.DataFrame) -> pd.DataFrame:
-        b, entry, out = b.sort_values("block"), None, []
-        for raw in b["m"]:
-            m = _square(raw)
-            if entry is None:
-                entry = np.r_[0.0, np.full(len(m) - 1, LOW)]
+        b, entry, out = b.sort_values("block"), np.zeros(1), []
+        for raw, n in zip(b["m"], b["n"], strict=True):
             out.append(entry.tobytes())
-            entry = times(entry, m)
+            entry = times(entry, _matrix(raw, n))
         return pd.DataFrame({"row": b["row"], "block": b["block"], "entry": out})
 
-    def chunk_entries(key, b: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
+    def chunk_maps(key, b: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
+        """For each exit state of a chunk the entry state of its best cut."""
         b, out = b.sort_values("no"), []
         entry = np.frombuffer(top["entry"].iloc[0], dtype=np.float64)
-        ends = []
-        for raw in b["m"]:
-            out.append(entry.tobytes())
-            entry = times(entry, _square(raw))
-            ends.append(float(entry[0]))
-        return pd.DataFrame({"row": b["row"], "no": b["no"], "count": b["count"], "entry": out, "score": ends})
-
-    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = coder(model)
-        for b in batches:
-            yield b[["row", "no", "count"]].assign(back=[c.entries(p, t, n, np.frombuffer(e, dtype=np.float64).tolist()) for p, t, n, e in zip(b["before"], b["body"], b["n"], b["entry"], strict=True)])
+        for raw, n in zip(b["m"], b["n"], strict=True):
+            reached = entry[:, None] + _matrix(raw, n)
+            out.append(reached.argmax(axis=0).tolist())
+            entry = reached.max(axis=0)
+        return b[["row", "no"]].assign(back=out)
 
     def compose(b: pd.DataFrame) -> pd.DataFrame:
         """Exit states of a block's last chunk to entry states of its first."""
         b, made = b.sort_values("no", ascending=False), None
         for back in b["back"]:
-            made = list(back) if made is None else [back[s] if s >= 0 else -1 for s in made]
+            made = list(back) if made is None else [int(back[s]) for s in made]
         return pd.DataFrame({"row": [b["row"].iloc[0]], "block": [b["no"].iloc[-1] // FAN], "back": [made]})
 
     def block_exits(b: pd.DataFrame) -> pd.DataFrame:
         b, state, out = b.sort_values("block", ascending=False), 0, []
         for back in b["back"]:
             out.append(state)
-            state = back[state]
+            state = int(back[state])
         return pd.DataFrame({"row": b["row"], "block": b["block"], "leave": out})
 
     def chunk_exits(key, b: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
         b, state, out = b.sort_values("no", ascending=False), int(top["leave"].iloc[0]), []
         for back in b["back"]:
-            out.append(state)
-            state = back[state]
-        return pd.DataFrame({"row": b["row"], "no": b["no"], "leave": out})
+            out.append((int(back[state]), state))
+            state = out[-1][0]
+        return b[["row", "no"]].assign(enter=[e for e, _ in out], leave=[x for _, x in out])
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = coder(model)
         for b in batches:
-            ids = [c.cut_chunk(p, t, n, np.frombuffer(e, dtype=np.float64).tolist(), x) for p, t, n, e, x in zip(b["before"], b["body"], b["n"], b["entry"], b["leave"], strict=True)]
-            yield b[["row", "doc", "no", "score"]].assign(ids=ids)
+            ids = [_packed(c.cut_chunk(*chunk)) for chunk in zip(b["body"], b["a"], b["z"], b["enter"], b["leave"], strict=True)]
+            yield b[["row", "doc", "no"]].assign(doc=b["doc"].astype("Int64"), ids=ids)
 
     block = F.floor(F.col("no") / FAN).cast("int").alias("block")
-    m = stored(parts.mapInPandas(matrices, width + ", m binary"), "matrices")
-    tops = m.groupBy("row", block).applyInPandas(block_product, "row long, block int, m binary").groupBy("row").applyInPandas(block_entries, "row long, block int, entry binary")
-    entry = stored(m.groupBy("row", block).cogroup(tops.groupBy("row", "block")).applyInPandas(chunk_entries, width + ", entry binary, score double"), "entries")
-    with_entry = parts.join(entry.drop("count").hint("shuffle_hash"), ["row", "no"])
-    back = stored(with_entry.mapInPandas(maps, width + ", back array<int>"), "maps")
+    m = stored(parts.select("row", "no", "body", "a", "z").mapInPandas(matrices, "row long, no int, n int, m binary"), "matrices")
+    tops = m.groupBy("row", block).applyInPandas(block_product, "row long, block int, n int, m binary").groupBy("row").applyInPandas(block_entries, "row long, block int, entry binary")
+    back = stored(m.groupBy("row", block).cogroup(tops.groupBy("row", "block")).applyInPandas(chunk_maps, "row long, no int, back array<int>"), "maps")
     leaves = back.groupBy("row", block).applyInPandas(compose, "row long, block int, back array<int>").groupBy("row").applyInPandas(block_exits, "row long, block int, leave int")
-    exits = stored(back.groupBy("row", block).cogroup(leaves.groupBy("row", "block")).applyInPandas(chunk_exits, "row long, no int, leave int"), "exits")
-    return with_entry.join(exits.hint("shuffle_hash"), ["row", "no"]).mapInPandas(finish, "row long, doc long, no int, score double, ids binary")
+    states = back.groupBy("row", block).cogroup(leaves.groupBy("row", "block")).applyInPandas(chunk_exits, "row long, no int, enter int, leave int")
+    return parts.join(stored(states, "states").hint("shuffle_hash"), ["row", "no"]).select("row", "doc", "no", "body", "a", "z", "enter", "leave").mapInPandas(finish, "row long, doc long, no int, ids binary")
 
 
 def encode(docs: DataFrame, model: str, *, text: str = "text", doc: str = "doc_id", chunk_chars: int = 32_768) -> DataFrame:
-    """(doc_id, ids, score) of each row: ids as little-endian 32-bit integers.
+    """(doc_id, ids, score) of each row: ids as little-endian 32-bit integers, equal to the library's; score is the sum of the pieces' scores.
 
-    A null or empty text has no ids and score 0. Repeated rows and null ids give a row each; an empty table gives an
-    empty one. Other columns of docs take no part. A U+2581 in a text is a space after decoding.
+    A null or empty text has no ids and score 0. Repeated rows and null ids give a row each (ids that are no whole numbers
+    count as null); an empty table gives an empty one. Other columns of docs take no part. A U+2581 in a text is a space after decoding.
     """
     short = docs.where(F.length(whole(F.col(text))) <= chunk_chars).select(F.col(doc).cast("long").alias("doc"), whole(F.col(text)).alias("text"))
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = coder(model)
         for b in batches:
-            for at in range(0, len(b), 1000):
-                some = b.iloc[at : at + 1000]
-                cuts = [c.encode(t) for t in some["text"]]
-                yield pd.DataFrame({"doc_id": some["doc"].astype("Int64"), "ids": [x for x, _ in cuts], "score": [s for _, s in cuts]})
+            for at in range(0, len(b), 500):
+                some = b.iloc[at : at + 500]
+                cuts = [np.array(i, dtype="<i4") for i in c.encode(some["text"].tolist())]
+                yield pd.DataFrame({"doc_id": some["doc"].astype("Int64"), "ids": [i.tobytes() for i in cuts], "score": [c.score(i) for i in cuts]})
 
     schema = "doc_id long, ids binary, score double"
     cut = scan_chunks(chunks(docs, model, text, doc, chunk_chars), model)
 
     def join(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("no")
-        return pd.DataFrame({"doc_id": b["doc"].astype("Int64").iloc[:1], "ids": [b"".join(b["ids"])], "score": [b["score"].iloc[-1]]})
+        ids = b"".join(b.sort_values("no")["ids"])
+        return pd.DataFrame({"doc_id": b["doc"].astype("Int64").iloc[:1], "ids": [ids], "score": [coder(model).score(np.frombuffer(ids, dtype="<i4"))]})
 
     return short.mapInPandas(one, schema).unionByName(cut.groupBy("row").applyInPandas(join, schema))
 
@@ -400,8 +325,8 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = coder(model)
         for b in batches:
-            for at in range(0, len(b), 1000):
-                some = b.iloc[at : at + 1000]
+            for at in range(0, len(b), 500):
+                some = b.iloc[at : at + 500]
                 yield some.assign(doc_id=some["doc_id"].astype("Int64"), text=[c.decode(np.frombuffer(x, dtype="<i4")) for x in some["ids"]])
 
     return coded.select("doc_id", "ids", "score").mapInPandas(run, "doc_id long, ids binary, score double, text string")

@@ -254,20 +254,43 @@ def test_planes_round_trip():
             assert np.array_equal(token_store.from_planes(token_store.to_planes(np.asarray(ids, np.uint32), kind), len(ids), kind), ids)
 
 
-def test_piece_coding(docs, empty):
+def test_piece_coding(spark, empty):
+    """Ids are the library's, whole and in chunks; one text has more than a block of chunks, some have no place to cut at."""
+    import sentencepiece
+
     model = P.path("piece_bpe_32k.model")
-    c, want = piece_coding.Coder(model), collections.Counter()
-    for i, t in texts():
-        m = piece_coding.marked(t) if t else ""
-        best, last = c.forward(m, [0.0], len(m))
-        ids = c.back(m, last, len(m))[1]
-        want[(i, np.array(ids, "<i4").tobytes(), best[len(m)], t or "")] += 1
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    rows = texts() + [(200, sentence(9, 6000)), (201, "theonreationsthe" * 40), (202, "=" * 300), (203, "a\tb\n\n  c <s> <0x0A> </s>"), (204, "漢字かな" * 30), (205, "x"), (206, " lead and trail  ")]
+    want = collections.Counter((i, np.array(library.encode(t or ""), "<i4").tobytes(), t or "") for i, t in rows)
+    table = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(3)
     for chunk in (37, 32_768):
-        out = piece_coding.decode(piece_coding.encode(docs, model, chunk_chars=chunk), model).collect()
-        assert bag((r.doc_id, bytes(r.ids), r.score, r.text) for r in out) == want
+        out = piece_coding.decode(piece_coding.encode(table, model, chunk_chars=chunk), model).collect()
+        assert bag((r.doc_id, bytes(r.ids), r.text) for r in out) == want
+    assert len(rows[-7][1]) > 37 * piece_coding.FAN
     assert piece_coding.encode(empty, model).count() == 0
 
 
+def test_chunks_of_any_text_meet_as_the_library_cuts_it():
+    coder, r = piece_coding.Coder(P.path("piece_bpe_32k.model")), np.random.default_rng(8)
+    alphabets = [list("abctheonr"), list("abc é\n\t,.☃😀漢▁<0x>-=aa  "), ["the", "ing", "er", "on", "a", "==", "un", "st", "ation", " "]]
+    for k in range(600):
+        text = "".join(r.choice(alphabets[k % 3], size=int(r.integers(1, 90))))
+        body, size = piece_coding.marked(text), (16, 23, 50)[k // 3 % 3]
+        parts = []
+        for at in range(0, len(body), size):
+            begin, end = max(0, at - coder.longest), min(at + size, len(body))
+            parts.append((body[begin : end + coder.longest], at - begin, end - begin))
+        entry, backs, state, ids = np.zeros(1), [], 0, []
+        for part in parts:
+            reached = entry[:, None] + coder.matrix(*part)
+            backs.append(reached.argmax(axis=0))
+            entry = reached.max(axis=0)
+        for part, back in zip(parts[::-1], backs[::-1], strict=True):
+            ids = coder.cut_chunk(*part, int(back[state]), state) + ids
+            state = int(back[state])
+        assert ids == coder.library.encode(text) and entry[0] == coder.score(ids)
+
+
 def test_mixing_meets_its_targets(spark, docs, labels, empty):
     r = np.random.default_rng(3)
     rows = [(k, sentence(k, int(r.integers(20, 60))) + (" foulword" if k % 5 == 0 else " fair")) for k in range(300)]
