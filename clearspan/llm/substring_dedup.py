@@ -3,7 +3,7 @@
 Every suffix of every text belongs to the subtree of its prefix. The shortest prefix is an anchor of 8 words: the least hash
 among the 8-word pieces of the suffix's first window. Equal windows have equal anchors at equal places, so a node as deep as
 a window lies in one subtree, and the suffixes around an anchor (7 on average) travel as one row with their words: 13 before the
-anchor, REACH after it. Subtrees are dealt into groups that fit a task's memory. In a group the suffixes are sorted
+anchor and a window from it on (more for `maximal_repeats`, which tells deeper nodes apart). Subtrees are dealt into groups that fit a task's memory. In a group the suffixes are sorted
 word by word, neighbours give the lengths of their common prefixes, and the runs of neighbours that share a window or more
 are the tree's deep internal nodes: all leaves of such a node but the least (smallest document, then place) are marked.
 Runs of marked windows are given as spans; `maximal_repeats` lists the nodes themselves.
@@ -33,10 +33,12 @@ from .shared import stored, whole
 
 #: Words of an anchor.
 PREFIX = 8
-#: Words from an anchor on that a row carries beyond a window: nodes are told apart to window + BEYOND words at least.
+#: Words beyond a window that a row of maximal_repeats carries: nodes are told apart to window + BEYOND words at least.
 BEYOND = 16
 #: Rows that a group may hold before a prefix is made longer.
 GROUP = 20_000
+#: Hot anchors up to this number are broadcast.
+BROADCAST_HOT = 100_000
 #: Longer words travel as a digest of so many characters.
 LONGEST = 64
 FIRST = np.iinfo(np.int64).min
@@ -156,15 +158,15 @@ PACKED = "anchor array<long>, place array<int>, near array<int>, far array<int>,
 ROW = ["anchor", "place", "near", "far", "before", "words"]
 
 
-def suffixes(docs: DataFrame, wanted: DataFrame, window: int, fold: bool) -> DataFrame:
+def suffixes(docs: DataFrame, wanted: DataFrame, window: int, beyond: int, fold: bool) -> DataFrame:
     """A row for each row of docs: its result if it has no suffix to compare; else its text, the ranges of starts that are marked
     already (first, last, first, ...), and its suffixes, packed by anchor. fold: of equal rows in a batch send only the first."""
-    left, right = window - PREFIX + 1, window + BEYOND
+    left, right = window - PREFIX + 1, window + beyond
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole_batch in batches:
-            for at in range(0, len(whole_batch), 500):
-                b = whole_batch.iloc[at : at + 500].sort_values(["doc", "sub"], kind="stable")
+            for at in range(0, len(whole_batch), 1000):
+                b = whole_batch.iloc[at : at + 1000].sort_values(["doc", "sub"], kind="stable")
                 raws, seen, out = [t.encode() for t in b["text"]], {}, []
                 for raw, text, doc, sub, own, (words, starts, ends) in zip(raws, b["text"], b["doc"].tolist(), b["sub"].tolist(), b["anchors"], word_places(raws), strict=True):
                     packs = []
@@ -198,9 +200,9 @@ def suffixes(docs: DataFrame, wanted: DataFrame, window: int, fold: bool) -> Dat
 class Subtree:
     """The part of the suffix tree that a group's rows hold: for each distance from an anchor the suffixes in order."""
 
-    def __init__(self, rows: pd.DataFrame, window: int):
+    def __init__(self, rows: pd.DataFrame, window: int, beyond: int = 0):
         rows = rows.sort_values(["doc", "sub", "place"], kind="stable")
-        self.left, self.right, self.window = window - PREFIX + 1, window + BEYOND, window
+        self.left, self.right, self.window = window - PREFIX + 1, window + beyond, window
         self.doc, self.sub, self.place, self.near, self.far = (rows[c].to_numpy(np.int64) for c in ("doc", "sub", "place", "near", "far"))
         hashed = word_hashes(rows["words"].tolist())
         sizes = np.array([len(h) for h in hashed], dtype=np.int64)
@@ -263,6 +265,14 @@ def groups_of(rows: DataFrame, total: int, group: int) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(max(1, 2 * total // group + 1)))).groupBy("part")
 
 
+def hot_anchors(repeated: DataFrame, group: int) -> DataFrame | None:
+    """(anchor) of those with more than group places, or None. Each has that many places, so they are few: broadcast up to a counted bound
+    (8 bytes each), else merged."""
+    hot = stored(repeated.where(F.col("n") > group).select("anchor"), "hot")
+    n = hot.limit(BROADCAST_HOT + 1).count()
+    return hot.hint("broadcast" if n <= BROADCAST_HOT else "merge") if n else None
+
+
 def later_starts(rows: DataFrame, hot: DataFrame | None, total: int, window: int, group: int) -> DataFrame:
     """(doc, sub, low, high): ranges of starts whose window starts earlier elsewhere. hot: (anchor) of those with longer prefixes."""
 
@@ -272,10 +282,11 @@ def later_starts(rows: DataFrame, hot: DataFrame | None, total: int, window: int
     schema = "doc long, sub long, low int, high int"
     if hot is None:
         return groups_of(rows, total, group).applyInPandas(tree, schema)
-    long = hot_starts(stored(rows.join(hot.hint("merge"), "anchor", "left_semi"), "hot"), window)
-    least = long.groupBy("a", "b").agg(F.min(F.struct("doc", "sub", "start")).alias("least"))
+    long = stored(hot_starts(rows.join(hot, "anchor", "left_semi"), window), "starts")
+    # a table of its own, so that the join reads it through an exchange and AQE can split the leaves of a hot window
+    least = stored(long.groupBy("a", "b").agg(F.min(F.struct("doc", "sub", "start")).alias("least")), "least")
     others = long.join(least.hint("merge"), ["a", "b"]).where(F.struct("doc", "sub", "start") != F.col("least"))
-    cool = rows.join(hot.hint("merge"), "anchor", "left_anti")
+    cool = rows.join(hot, "anchor", "left_anti")
     return groups_of(cool, total, group).applyInPandas(tree, schema).unionByName(others.select("doc", "sub", F.col("start").alias("low"), F.col("start").alias("high")))
 
 
@@ -303,14 +314,14 @@ def _rows(docs: DataFrame, text: str, doc: str) -> DataFrame:
     return docs.select(F.coalesce(key, F.lit(int(FIRST))).alias("doc"), F.when(key.isNull(), F.xxhash64(body)).otherwise(F.lit(0)).alias("sub"), body.alias("text"))
 
 
-def _found(rows: DataFrame, window: int, fold: bool = True) -> tuple[DataFrame, DataFrame]:
+def _found(rows: DataFrame, window: int, beyond: int = 0, fold: bool = True) -> tuple[DataFrame, DataFrame]:
     """(repeated anchors, suffixes), both stored."""
     if window < 2 * PREFIX:
         raise ValueError(f"a window has {2 * PREFIX} words at least")
     repeated = stored(count_anchors(rows, window), "anchors")
     own = document_anchors(rows, window).join(repeated.select("anchor").hint("merge"), "anchor", "left_semi")
     wanted = own.groupBy(F.col("doc").alias("of"), F.col("sub").alias("of_sub")).agg(F.collect_set("anchor").alias("anchors"))
-    return repeated, stored(suffixes(rows, wanted, window, fold), "suffixes")
+    return repeated, stored(suffixes(rows, wanted, window, beyond, fold), "suffixes")
 
 
 def _total(found: DataFrame) -> int:
@@ -329,8 +340,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc: str = "doc_id",
     """
     rows = _rows(docs, text, doc)
     repeated, found = _found(rows, window)
-    hot = stored(repeated.where(F.col("n") > group).select("anchor"), "hot")
-    later = later_starts(packed_rows(found), hot if hot.limit(1).count() else None, _total(found), window, group)
+    later = later_starts(packed_rows(found), hot_anchors(repeated, group), _total(found), window, group)
     marks = later.groupBy(F.col("doc").alias("of"), F.col("sub").alias("of_sub")).agg(F.flatten(F.collect_list(F.array("low", "high"))).alias("later"))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -355,12 +365,13 @@ def maximal_repeats(docs: DataFrame, *, text: str = "text", doc: str = "doc_id",
     where it branches. Anchors with more than group places have no subtree here: their repeats are in the spans of
     remove_repeats. Nulls and empty tables as there.
     """
-    repeated, found = _found(_rows(docs, text, doc), window, fold=False)
-    hot = repeated.where(F.col("n") > group).select("anchor")
+    repeated, found = _found(_rows(docs, text, doc), window, BEYOND, fold=False)
+    hot = hot_anchors(repeated, group)
 
     def tree(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(Subtree(part, window).nodes()), columns=["depth", "n_leaves", "doc", "sub", "start"], dtype="int64")
+        return pd.DataFrame(list(Subtree(part, window, BEYOND).nodes()), columns=["depth", "n_leaves", "doc", "sub", "start"], dtype="int64")
 
-    rows = packed_rows(found).join(hot.hint("merge"), "anchor", "left_anti")
+    rows = packed_rows(found)
+    rows = rows.join(hot, "anchor", "left_anti") if hot else rows
     nodes = groups_of(rows, _total(found), group).applyInPandas(tree, "depth int, n_leaves long, doc long, sub long, start int")
     return nodes.select("depth", "n_leaves", F.when(F.col("doc") != int(FIRST), F.col("doc")).alias("doc_id"), "start")
