@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The values of these classes and profiles are fixed: results must equal those of the system they stand for.
+
+
 @dataclass(frozen=True)
 class AnomalyConfig:
     """Thresholds of the low-event analysis. Metres unless named otherwise."""
@@ -66,6 +69,22 @@ class PlaneConfig:
     residual_p95: float = 0.05
 
 
+@dataclass(frozen=True)
+class HeadingConfig:
+    """Gates and smoothing of the heading between local and global axes. Metres and radians."""
+
+    min_samples: int = 3
+    min_baseline: float = 50.0
+    valid_baseline: float = 100.0
+    ratio_min: float = 0.7
+    ratio_max: float = 1.3
+    max_rmse: float = 15.0
+    max_p95: float = 25.0
+    min_inlier_ratio: float = 0.7
+    alpha: float = 0.1
+    max_jump: float = 0.08726646259971647
+
+
 #: Profiles of the plane search: the active one of a tunnel drive, a roof survey and a small board.
 PROFILES = {
     "initial": PlaneConfig(),

@@ -39,14 +39,18 @@ def angular_distance(a: Column, b: Column) -> Column:
     return 2 * F.acos(F.least(F.abs(dot(a, b)), F.lit(1.0)))
 
 
-def slerp(a: Column, b: Column, ratio: Column) -> Column:
-    """The short way round; nearly equal quaternions are mixed in a straight line."""
-    raw = dot(a, b)
+def slerp_weights(raw: Column, ratio: Column) -> tuple[Column, Column]:
+    """Weights of two quaternions whose dot product is raw, the short way round; nearly equal ones are mixed in a straight line."""
     d, sign = F.abs(raw), F.when(raw < 0, -1.0).otherwise(1.0)
     angle = F.acos(F.least(d, F.lit(1.0)))
     near = d > 0.9995
     wa = F.when(near, 1 - ratio).otherwise(F.sin((1 - ratio) * angle) / F.sin(angle))
-    wb = F.when(near, ratio).otherwise(F.sin(ratio * angle) / F.sin(angle)) * sign
+    return wa, F.when(near, ratio).otherwise(F.sin(ratio * angle) / F.sin(angle)) * sign
+
+
+def slerp(a: Column, b: Column, ratio: Column) -> Column:
+    """The short way round between two quaternions."""
+    wa, wb = slerp_weights(dot(a, b), ratio)
     return normalise(quaternion(*[a[c] * wa + b[c] * wb for c in "wxyz"]))
 
 

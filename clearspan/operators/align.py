@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import HeadingConfig
 from ..functions.geodesy import finite, wrap_radians
 
 
@@ -52,34 +54,47 @@ def rigid_heading_fit(pairs: DataFrame, key: str = "task_id", *, floor: float =
     return fit.join(last, key).select(key, "n", "yaw", "tx", "ty", "baseline", "rmse", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), "max", (F.col("n") / F.col("all") >= inlier_ratio).alias("valid"))
 
 
-def spacing_filter(rows: DataFrame, spacing: float = 5.0, most: int = 100) -> DataFrame:
-    """Rows at least so far from the last one accepted, the newest most of them (a fold, one group for each task)."""
+def spacing_filter(rows: DataFrame, spacing: float = 5.0, most: int = 100, order_by: str = "seq") -> DataFrame:
+    """Rows in arrival order whose local place (x, y) is at least so far from the last one accepted and whose stamp is later; rows
+    with a part that isn't finite are refused. The newest most of them by task (a fold, one group for each task)."""
 
     def fold(task: pd.DataFrame) -> pd.DataFrame:
-        t, kept, last = task.sort_values("stamp_ns", kind="stable"), [], None
-        for i, x, y in zip(t.index, t["east"], t["north"], strict=True):
-            if last is None or (x - last[0]) ** 2 + (y - last[1]) ** 2 >= spacing * spacing:
+        t, kept, last = task.sort_values(order_by, kind="stable"), [], None
+        whole = np.isfinite(t[["x", "y", "east", "north"]].to_numpy(float)).all(axis=1)
+        for i, ok, stamp, x, y in zip(t.index, whole, t["stamp_ns"], t["x"], t["y"], strict=True):
+            if ok and (last is None or (stamp > last[0] and np.hypot(x - last[1], y - last[2]) >= spacing)):
                 kept.append(i)
-                last = (x, y)
+                last = (stamp, x, y)
         return t.loc[kept[-most:]]
 
     return rows.groupBy("task_id").applyInPandas(fold, rows.schema)
 
 
-def ema_gate(rows: DataFrame, alpha: float = 0.1, max_jump_deg: float = 5.0) -> DataFrame:
-    """(task_id, seq, heading, accepted): smoothed headings in degrees; a jump from the smoothed value is refused (a fold by task)."""
+def heading_filter(fits: DataFrame, c: HeadingConfig = HeadingConfig()) -> DataFrame:
+    """(task_id, seq, yaw, accepted, valid, reason): fits in order through the gates, then smoothed; a jump from the smoothed yaw is
+    refused. fits: task_id, seq, fit_valid, fit_reason, n, baseline, ratio, rmse, p95, inlier_ratio, yaw. The gates are column expressions;
+    only the smoothing is a fold, of one row a fit by task."""
+    gate = (F.when(~F.col("fit_valid"), F.col("fit_reason")).when(F.col("n") < max(2, c.min_samples), "INSUFFICIENT_SAMPLES").when(F.col("baseline") < c.min_baseline, "COLLECTING_BASELINE")
+        .when(~F.col("ratio").between(c.ratio_min, c.ratio_max), "BASELINE_RATIO_OUT_OF_RANGE").when(F.col("rmse") > c.max_rmse, "RMSE_TOO_LARGE").when(F.col("p95") > c.max_p95, "P95_RESIDUAL_TOO_LARGE")
+        .when(F.col("inlier_ratio") < c.min_inlier_ratio, "INLIER_RATIO_TOO_LOW"))
+    gated = fits.select("task_id", "seq", "yaw", "baseline", gate.alias("reason"))
 
     def fold(task: pd.DataFrame) -> pd.DataFrame:
         t, now, out = task.sort_values("seq", kind="stable"), None, []
-        for h in t["heading"]:
-            step = None if now is None else (h - now + 180) % 360 - 180
-            ok = step is None or abs(step) <= max_jump_deg
-            if ok:
-                now = h % 360 if step is None else (now + alpha * step) % 360
-            out.append((now, ok))
-        return pd.DataFrame({"task_id": t["task_id"], "seq": t["seq"], "heading": [o[0] for o in out], "accepted": [o[1] for o in out]})
-
-    return rows.groupBy("task_id").applyInPandas(fold, "task_id long, seq long, heading double, accepted boolean")
+        for yaw, baseline, reason in zip(t["yaw"].tolist(), t["baseline"].tolist(), t["reason"].tolist(), strict=True):
+            if reason is not None:
+                out.append((yaw, reason == "COLLECTING_BASELINE", False, reason))
+                continue
+            step = 0.0 if now is None else (yaw - now + np.pi) % (2 * np.pi) - np.pi
+            if abs(step) > c.max_jump:
+                out.append((now, False, False, "UPDATE_JUMP_EXCEEDED"))
+                continue
+            now = yaw if now is None else (now + c.alpha * step + np.pi) % (2 * np.pi) - np.pi
+            out.append((now, True, baseline >= c.valid_baseline, "NONE" if baseline >= c.valid_baseline else "PROVISIONAL_BASELINE"))
+        return pd.DataFrame(out, columns=["yaw", "accepted", "valid", "reason"]).assign(task_id=t["task_id"].to_numpy(), seq=t["seq"].to_numpy())[["task_id", "seq", "yaw", "accepted", "valid", "reason"]]
+
+    kind = fits.schema["task_id"].dataType.simpleString()
+    return gated.groupBy("task_id").applyInPandas(fold, f"task_id {kind}, seq long, yaw double, accepted boolean, valid boolean, reason string")
 
 
 def rate_limit(rows: DataFrame, period_ns: int) -> DataFrame:

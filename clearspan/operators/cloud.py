@@ -15,18 +15,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import PlaneConfig
+from ..functions import rotation as R
+from ..functions.geodesy import finite
+from .temporal import interpolate_join
 
 
 def in_roi(c: PlaneConfig) -> Column:
     x, y, z = (F.col(n).cast("double") for n in "xyz")
-    finite = ~(F.isnan(x) | F.isnan(y) | F.isnan(z))
-    return finite & (F.sqrt(x * x + y * y + z * z) >= c.min_range) & z.between(c.up_min, c.up_max) & (F.abs(F.degrees(F.atan2(x, z))) <= c.half_angle_east) & (F.abs(F.degrees(F.atan2(y, z))) <= c.half_angle_north)
+    return finite(x, y, z) & (F.sqrt(x * x + y * y + z * z) >= c.min_range) & z.between(c.up_min, c.up_max) & (F.abs(F.degrees(F.atan2(x, z))) <= c.half_angle_east) & (F.abs(F.degrees(F.atan2(y, z))) <= c.half_angle_north)
 
 
 def valid_point() -> Column:
     """Finite and not the (0, 0, 0) that marks an invalid return."""
     x, y, z = F.col("x"), F.col("y"), F.col("z")
-    return ~(F.isnan(x) | F.isnan(y) | F.isnan(z)) & ~((x == 0) & (y == 0) & (z == 0))
+    return finite(x, y, z) & ~((x == 0) & (y == 0) & (z == 0))
 
 
 def voxel(leaf: float) -> list[Column]:
@@ -149,20 +151,30 @@ def stride_limit(points: DataFrame, most: int) -> DataFrame:
 
 
 def spatial_limit(points: DataFrame, n: int, leaf: float) -> DataFrame:
-    """At most n points of a frame: all, else the voxel representatives thinned evenly, or filled up evenly with others."""
+    """At most n points of a frame: all, else the voxel representatives thinned evenly, or filled up: slot i of those left takes
+    the point at floor(i * N / slots) of all N, or the next one (from the start after the end) that isn't taken. The slots of a frame
+    follow from each other, so frames that need them are a group each, of point numbers alone."""
     sizes = points.groupBy("frame_id").agg(F.count("*").alias("__all"))
     reps = voxel_representatives(points, leaf)
     few = reps.groupBy("frame_id").agg(F.count("*").alias("__reps")).join(sizes, "frame_id")
     small = points.join(few.where(F.col("__all") <= n).select("frame_id"), "frame_id", "left_semi").select(reps.columns)
     thin = even_limit(reps.join(few.where((F.col("__all") > n) & (F.col("__reps") >= n)).select("frame_id"), "frame_id", "left_semi"), n)
-    open_ = few.where((F.col("__all") > n) & (F.col("__reps") < n))
-    kept = reps.join(open_.select("frame_id"), "frame_id", "left_semi")
-    rest = points.select(reps.columns).join(reps.select("frame_id", "point_idx"), ["frame_id", "point_idx"], "left_anti").join(open_, "frame_id")
-    order = W.partitionBy("frame_id").orderBy("point_idx")
-    ranked = rest.withColumn("__k", F.row_number().over(order).cast("long") - 1).withColumn("__m", F.count("*").over(W.partitionBy("frame_id"))).withColumn("__s", F.lit(n) - F.col("__reps"))
-    slot = F.expr("cast(ceil(__k * __s / __m) as bigint)")
-    fill = ranked.where((slot < F.col("__s")) & (F.expr("(cast(ceil(__k * __s / __m) as bigint) * __m) div __s") == F.col("__k"))).select(reps.columns)
-    return small.unionByName(thin).unionByName(kept).unionByName(fill)
+    open_ = few.where((F.col("__all") > n) & (F.col("__reps") < n)).select("frame_id")
+    marked = points.join(open_, "frame_id", "left_semi").select("frame_id", "point_idx").join(reps.select("frame_id", "point_idx", F.lit(True).alias("rep")).hint("merge"), ["frame_id", "point_idx"], "left")
+
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("point_idx")
+        taken = frame["rep"].notna().to_numpy().copy()
+        slots, size = n - int(taken.sum()), len(taken)
+        for slot in range(slots):
+            at = slot * size // slots
+            free = np.flatnonzero(~taken[at:])
+            taken[at + free[0] if len(free) else int(np.flatnonzero(~taken)[0])] = True
+        return frame.loc[taken, ["frame_id", "point_idx"]]
+
+    kept = marked.groupBy("frame_id").applyInPandas(fill, "frame_id long, point_idx long")
+    filled = points.join(kept.hint("merge"), ["frame_id", "point_idx"], "left_semi").select(reps.columns)
+    return small.unionByName(thin).unionByName(filled)
 
 
 def frame_end_stamp(points: DataFrame, stamps: DataFrame) -> DataFrame:
@@ -171,13 +183,54 @@ def frame_end_stamp(points: DataFrame, stamps: DataFrame) -> DataFrame:
     return stamps.join(ends, "frame_id").select("frame_id", (F.col("stamp_ns") + F.round(F.coalesce("tail", F.lit(0.0)) * 1e9).cast("long")).alias("end_ns"))
 
 
-def transform_statistics(points: DataFrame, min_coverage: float = 0.75, max_step: float = 2.5) -> DataFrame:
-    """By frame: finite, covered, uncovered points, their ratio, the largest translation and the mode of compensation. Points
-    have covered and shift (metres)."""
-    usable = ~F.isnan("x") & ~F.isnan("y") & ~F.isnan("z")
-    agg = points.groupBy("frame_id").agg(F.count(F.when(usable, 1)).alias("finite"), F.count(F.when(usable & F.col("covered"), 1)).alias("covered"), F.max(F.when(F.col("covered"), F.col("shift"))).alias("max_shift"))
-    ratio = F.col("covered") / F.greatest(F.col("finite"), F.lit(1))
-    return agg.withColumn("uncovered", F.col("finite") - F.col("covered")).withColumn("ratio", ratio).withColumn("mode", F.when(F.col("ratio") < min_coverage, "REJECTED").when(F.coalesce(F.col("max_shift") > max_step, F.lit(True)), "ROTATION_ONLY").otherwise("FULL"))
+def timed_points(points: DataFrame, frames: DataFrame) -> DataFrame:
+    """points with their frame's task_id and stamp_ns, usable (finite and not the invalid return) and t, the time of a usable point: null where the
+    offset isn't a finite number of seconds from 0 on."""
+    offset = F.col("offset_s").cast("double")
+    p = points.join(frames.select("frame_id", "task_id", "stamp_ns"), "frame_id").withColumn("usable", valid_point())
+    return p.withColumn("t", F.when(F.col("usable") & finite(offset) & (offset >= 0), F.col("stamp_ns") + F.round(offset * 1e9).cast("long")))
+
+
+def point_poses(timed: DataFrame, frames: DataFrame, poses: DataFrame, max_gap_ns: int) -> DataFrame:
+    """The poses at the different times of each frame's points, and at its own stamp: (task_id, frame_id, t, found, px, py, pz, qw, qx, qy, qz, ok). A
+    frame has some thousands of points at a few dozen times, so few rows are interpolated."""
+    times = timed.where("t IS NOT NULL").select("task_id", "frame_id", "t").union(frames.select("task_id", "frame_id", F.col("stamp_ns").alias("t"))).distinct()
+    return interpolate_join(times, poses, max_gap_ns, ["px", "py", "pz"], quaternion=("qw", "qx", "qy", "qz"), flags=("ok",))
+
+
+def transform_statistics(timed: DataFrame, at: DataFrame, frames: DataFrame, *, min_coverage: float = 0.75, max_step: float = 2.5, translate: bool = True) -> DataFrame:
+    """By frame: usable, bad_time, covered and uncovered points, their ratio, the largest translation, the mode of compensation and the reason against
+    the frame (NONE if there is none). at: point_poses. A frame is only rotated where its own pose is missing or has no valid place, or where
+    a pose of its points has none or lies further than max_step from it."""
+    own = at.join(frames.select("frame_id", "stamp_ns"), "frame_id").where("t = stamp_ns").select("frame_id", F.struct(F.col("found").alias("found"), F.col("ok").alias("ok"), *[F.col(c) for c in ("px", "py", "pz")]).alias("ref"))
+    step = F.sqrt(sum(F.pow(F.col(c) - F.col(f"ref.{c}"), 2) for c in ("px", "py", "pz")))
+    used = timed.where("t IS NOT NULL").select("frame_id", "t").distinct()
+    moved = at.join(used, ["frame_id", "t"], "left_semi").join(own, "frame_id").where("found")
+    shifts = moved.groupBy("frame_id").agg(F.max(step).alias("max_translation"), F.max((~F.col("ok") | ~finite(step) | (step > max_step)).cast("int")).alias("far"))
+    counts = timed.join(at.select("frame_id", "t", "found").hint("merge"), ["frame_id", "t"], "left").groupBy("frame_id").agg(
+        F.count(F.when(F.col("usable"), 1)).alias("usable"), F.count(F.when(F.col("usable") & F.col("t").isNull(), 1)).alias("bad_time"),
+        F.count(F.when(F.col("found"), 1)).alias("covered"), F.count(F.when(F.col("t").isNotNull() & ~F.coalesce("found", F.lit(False)), 1)).alias("uncovered"))
+    j = counts.join(own, "frame_id").join(shifts, "frame_id", "left")
+    full = F.coalesce(F.col("ref.found") & F.col("ref.ok") & (F.coalesce("far", F.lit(0)) == 0), F.lit(False)) & F.lit(translate)
+    ratio = F.when(F.col("usable") > 0, F.col("covered") / F.col("usable")).otherwise(0.0)
+    reason = F.when(F.col("usable") == 0, "NO_VALID_RAW_POINTS").when(F.col("covered") == 0, "NO_POINT_POSE_COVERED").when(ratio < min_coverage, "INSUFFICIENT_POSE_COVERAGE").otherwise("NONE")
+    return j.select("frame_id", "usable", "bad_time", "covered", "uncovered", ratio.alias("ratio"), F.when(F.col("ref.found") & F.col("ref.ok"), F.col("max_translation")).alias("max_translation"), F.when(full, "FULL").otherwise("ROTATION_ONLY").alias("mode"), reason.alias("reason"))
+
+
+def motion_compensate(points: DataFrame, frames: DataFrame, poses: DataFrame, *, max_gap_ns: int = 15_000_000, **limits) -> tuple[DataFrame, DataFrame]:
+    """(points, statistics): points of accepted frames as if all were seen at their frame's stamp: turned by the pose at their own time and shifted
+    by how far it lies from the frame's pose (FULL) or turned alone (ROTATION_ONLY). The invalid return stays 0, points without a time or pose are
+    NaN. points: frame_id, point_idx, x, y, z, offset_s; frames: frame_id, task_id, stamp_ns; poses: task_id, t, seq, px.., qw.., ok."""
+    timed = timed_points(points, frames)
+    at = point_poses(timed, frames, poses, max_gap_ns)
+    stats = transform_statistics(timed, at, frames, **limits)
+    ref = at.join(frames.select("frame_id", "stamp_ns"), "frame_id").where("t = stamp_ns").select("frame_id", *[F.col(c).alias(f"r{c}") for c in ("px", "py", "pz")])
+    j = timed.join(stats.where("reason = 'NONE'").select("frame_id", "mode"), "frame_id").join(ref, "frame_id").join(at.drop("task_id", "ratio").hint("merge"), ["frame_id", "t"], "left")
+    turned = R.rotate(R.quaternion(F.col("qw"), F.col("qx"), F.col("qy"), F.col("qz")), *[F.col(c).cast("double") for c in "xyz"])
+    zero = (F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0) & finite(F.col("offset_s")) & (F.col("offset_s") >= 0)
+    nan = F.lit(float("nan"))
+    placed = [F.when(F.coalesce(zero, F.lit(False)), 0.0).when(F.col("found"), turned[c] + F.when(F.col("mode") == "FULL", F.col(f"p{c}") - F.col(f"rp{c}")).otherwise(0.0)).otherwise(nan).cast("float").alias(c) for c in "xyz"]
+    return j.select("task_id", "frame_id", "point_idx", *placed), stats
 
 
 def detect_planes(points: DataFrame, config: PlaneConfig = PlaneConfig()) -> DataFrame:

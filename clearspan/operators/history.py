@@ -86,28 +86,41 @@ def series_prefix(samples: DataFrame, n: int) -> DataFrame:
 
 
 def full_history(samples: DataFrame, cap: int = 500_000) -> DataFrame:
-    """All samples of tasks that have cap samples at most; larger tasks give one row with over_cap set."""
-    sizes = samples.groupBy("task_id").agg(F.count("*").alias("n"))
-    joined = samples.join(sizes, "task_id")
-    return joined.where(F.col("n") <= cap).drop("n")
-
-
-def downsample_extrema(samples: DataFrame, max_points: int) -> DataFrame:
-    """At most max_points rows of each task that keep its extremes: of each time bucket the lowest, the highest and
-    the first invalid sample, and the task's first and last. Ties go to the smaller sample_index."""
+    """All samples of tasks that have cap samples at most, with over_cap false; a larger task gives one row with over_cap set and nothing
+    else, for the caller to refuse."""
+    sizes = samples.groupBy("task_id").agg((F.count("*") > cap).alias("over_cap"))
+    kept = samples.join(sizes.where("NOT over_cap"), "task_id")
+    return kept.unionByName(sizes.where("over_cap"), allowMissingColumns=True)
+
+
+def downsample_extrema(samples: DataFrame, max_points: int, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+    """Each task's samples of a window (all by default, clipped to the task's own time): all of them if they are max_points or
+    fewer, else those that keep its extremes: of each time bucket the lowest, the highest and the first sample that is invalid or has
+    no height, and the window's first and last. Ties go to the smaller sample_index."""
+    if max_points < 5:
+        raise ValueError("max_points is 5 at least")
     buckets = max(1, (max_points - 2) // 3)
-    span = samples.groupBy("task_id").agg(F.min("ts_ns").alias("__start"), F.max("ts_ns").alias("__end"))
-    bucket = F.least(F.lit(buckets - 1), F.expr(f"((ts_ns - __start) * {buckets}L) div greatest(__end - __start, 1)"))
+    low = F.lit(-(2**62) if start_ms is None else start_ms * 1_000_000)
+    high = F.lit(2**62 if end_ms is None else end_ms * 1_000_000 + 999_999)
+    if start_ms is not None and end_ms is not None and start_ms > end_ms:
+        raise ValueError("the window ends before it starts")
+    # the window covers whole milliseconds at both ends
+    spans = samples.groupBy("task_id").agg(
+        F.greatest(F.expr("min(ts_ns) div 1000000L") * 1_000_000, low).alias("__start"), F.least(F.expr("max(ts_ns) div 1000000L") * 1_000_000 + 999_999, high).alias("__end"),
+        F.count(F.when(F.col("ts_ns").between(low, high), 1)).alias("__size"))
+    own = samples.select("task_id", "sample_index", "ts_ns", "height", "valid").where(F.col("ts_ns").between(low, high)).join(spans, "task_id")
     row = F.struct("sample_index", "ts_ns", "height", "valid")
-    shown = F.when(F.col("valid") & F.col("height").isNotNull(), F.struct("height", "sample_index"))
-    falling = F.when(F.col("valid") & F.col("height").isNotNull(), F.struct((-F.col("height")).alias("h"), "sample_index"))
-    picked = samples.join(span, "task_id").withColumn("__bucket", bucket).groupBy("task_id", "__bucket").agg(
-        F.array(
-            F.min_by(row, shown), F.min_by(row, falling), F.min_by(row, F.when(~F.col("valid"), F.col("sample_index"))),
-            F.min_by(row, F.when(F.col("ts_ns") == F.col("__start"), F.col("sample_index"))), F.max_by(row, F.when(F.col("ts_ns") == F.col("__end"), F.col("sample_index"))),
-        ).alias("rows"))
-    chosen = F.array_distinct(F.filter("rows", lambda r: r.isNotNull()))
-    return picked.select("task_id", F.explode(chosen).alias("r")).select("task_id", "r.*")
+    bucket = F.least(F.lit(buckets - 1), F.expr(f"((ts_ns - __start) * {buckets}L) div (__end - __start + 1)"))
+    shown = F.col("valid") & F.col("height").isNotNull()
+    ends = F.struct("ts_ns", "sample_index")
+    picked = own.where(F.col("__size") > max_points).groupBy("task_id", bucket.alias("__bucket")).agg(
+        F.min_by(row, F.when(shown, F.struct("height", "sample_index"))).alias("lo"), F.min_by(row, F.when(shown, F.struct((-F.col("height")).alias("h"), "sample_index"))).alias("hi"),
+        F.min_by(row, F.when(~F.coalesce(shown, F.lit(False)), F.col("sample_index"))).alias("bad"), F.min_by(row, ends).alias("first"), F.max_by(row, ends).alias("last"))
+    whole_window = W.partitionBy("task_id")
+    edge = picked.withColumn("__a", F.min("__bucket").over(whole_window)).withColumn("__z", F.max("__bucket").over(whole_window))
+    rows = F.array("lo", "hi", "bad", F.when(F.col("__bucket") == F.col("__a"), F.col("first")), F.when(F.col("__bucket") == F.col("__z"), F.col("last")))
+    chosen = edge.select("task_id", F.explode(F.array_distinct(F.filter(rows, lambda r: r.isNotNull()))).alias("r")).select("task_id", "r.*")
+    return chosen.unionByName(own.where(F.col("__size") <= max_points).drop("__start", "__end", "__size"))
 
 
 def interval_coverage(ranges: DataFrame, *, start: int, end: int, target_ms: float) -> DataFrame:
@@ -131,11 +144,13 @@ def merge_series(*series: DataFrame) -> DataFrame:
 
 
 def chart_y_range(samples: DataFrame, pad: float = 0.12, min_span: float = 0.1) -> DataFrame:
-    """Axis limits of each task's finite heights: padded, of a least span, not below 0."""
+    """Axis limits of each task's finite heights: padded, not below 0, and never closer than min_span. Tasks without a finite height
+    have no limits and no row."""
     h = finite_or_null(F.col("height"))
-    limits = samples.groupBy("task_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi"))
+    limits = samples.groupBy("task_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo IS NOT NULL")
     span = F.greatest(F.col("hi") - F.col("lo"), F.lit(min_span))
-    return limits.select("task_id", F.greatest(F.col("lo") - span * pad, F.lit(0.0)).alias("y_min"), (F.col("hi") + span * pad).alias("y_max"))
+    low = F.greatest(F.col("lo") - span * pad, F.lit(0.0))
+    return limits.select("task_id", low.alias("y_min"), F.greatest(low + min_span, F.col("hi") + span * pad).alias("y_max"))
 
 
 def last_n(samples: DataFrame, n: int = 120) -> DataFrame:
@@ -154,10 +169,20 @@ def trim_history(samples: DataFrame, seconds: float, rows: int) -> DataFrame:
     return ranked.where((F.col("__age") <= int(seconds * 1e9)) & (F.col("__n") <= rows)).drop("__age", "__n")
 
 
-def stream_health(stream: DataFrame, *, last: int = 100, now_ns: int, timeout_s: float) -> DataFrame:
-    """Rate over the newest messages, age and state of each task's stream."""
+def stream_health(stream: DataFrame, *, last: int = 100, now_ns: int, timeout_s: float, expected: DataFrame | None = None, grace_s: float = 0.0) -> DataFrame:
+    """Rate over the newest messages (0 for fewer than two), age in whole milliseconds and state of each task's stream. expected: (task_id,
+    started_ns) of streams that ought to be there; one without a message has age -1 and waits for grace_s, then it timed out."""
     order = W.partitionBy("task_id").orderBy(F.desc("ts_ns"), F.desc("sample_index"))
     recent = stream.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= last)
     agg = recent.groupBy("task_id").agg(F.count("*").alias("n"), F.min("ts_ns").alias("a"), F.max("ts_ns").alias("b"))
-    age = (F.lit(now_ns) - F.col("b")) / 1e9
-    return agg.select("task_id", F.when((F.col("n") > 1) & (F.col("b") > F.col("a")), (F.col("n") - 1) * 1e9 / (F.col("b") - F.col("a"))).alias("rate_hz"), age.alias("age_s"), F.when(age > timeout_s, "timeout").otherwise("ok").alias("state"))
+    agg = agg.withColumn("started_ns", F.lit(None).cast("long")) if expected is None else expected.select("task_id", "started_ns").join(agg, "task_id", "full")
+    age = F.expr(f"({now_ns}L - b) div 1000000L")
+    waited = F.expr(f"({now_ns}L - started_ns) div 1000000L")
+    rate = F.when((F.col("n") > 1) & (F.col("b") > F.col("a")), (F.col("n") - 1) * 1e9 / (F.col("b") - F.col("a"))).otherwise(0.0)
+    state = F.when(F.col("n").isNull(), F.when(waited <= int(grace_s * 1000), "waiting").otherwise("timeout")).when(age <= int(timeout_s * 1000), "ok").otherwise("timeout")
+    return agg.select("task_id", rate.alias("rate_hz"), F.coalesce(age, F.lit(-1)).alias("age_ms"), state.alias("state"))
+
+
+def mount_adjusted_height(lidar_to_top: Column, mount: Column) -> Column:
+    """Height above the road: the measured distance and the height at which the sensor is mounted; null if either is."""
+    return lidar_to_top + mount

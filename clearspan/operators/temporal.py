@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rotation as R
+
 
 def _bucket(width: int, t: str = "t") -> Column:
     """floor(t / width) in whole numbers: doubles cannot hold nanoseconds."""
@@ -70,9 +73,10 @@ def nearest_join(left: DataFrame, right: DataFrame, tolerance_ns: int, key: str
     return both.select("__l.*", near.alias("near"))
 
 
-def interpolate_join(queries: DataFrame, poses: DataFrame, max_gap_ns: int, columns: list[str], key: str = "task_id") -> DataFrame:
+def interpolate_join(queries: DataFrame, poses: DataFrame, max_gap_ns: int, columns: list[str], key: str = "task_id", *, quaternion: tuple[str, str, str, str] | None = None, flags: tuple[str, ...] = ()) -> DataFrame:
     """queries with found and the interpolated columns: an exact hit, else between the poses around t if they are no
-    further apart than the gap. Nothing is extrapolated. Quaternions: interpolate with found, lower, upper and ratio by slerp."""
+    further apart than the gap. Nothing is extrapolated. columns mix in a straight line, the quaternion's four (w, x, y, z) by
+    slerp, and flags hold where both poses have them."""
     every = _both(queries, {"p": poses}, max_gap_ns, range(-1, 2), key)
     seq = F.col("p.seq")
     back = W.partitionBy(key, "__b").orderBy("t", "__side", seq).rowsBetween(W.unboundedPreceding, 0)
@@ -84,6 +88,16 @@ def interpolate_join(queries: DataFrame, poses: DataFrame, max_gap_ns: int, colu
     found = F.coalesce(exact, F.lit(False)) | F.coalesce(between, F.lit(False))
     ratio = F.when(exact, F.lit(0.0)).when(between, (F.col("t") - F.col("lower.t")) / gap)
     values = [F.when(exact, F.col(f"lower.{c}")).when(between, F.col(f"lower.{c}") + (F.col(f"upper.{c}") - F.col(f"lower.{c}")) * ratio).alias(c) for c in columns]
+    values += [F.when(exact, F.col(f"lower.{c}")).when(between, F.col(f"lower.{c}") & F.col(f"upper.{c}")).alias(c) for c in flags]
+    if quaternion:
+        a, b = (R.quaternion(*[F.col(f"{side}.{c}") for c in quaternion]) for side in ("lower", "upper"))
+        # one column after the other, so that none is written out many times in the next
+        both = both.withColumns({"__ratio": ratio, "__dot": R.dot(a, b)})
+        wa, wb = R.slerp_weights(F.col("__dot"), F.col("__ratio"))
+        both = both.withColumns({"__wa": F.when(exact, 1.0).otherwise(wa), "__wb": F.when(exact, 0.0).otherwise(wb)})
+        both = both.withColumns({f"__q{c}": a[c] * F.col("__wa") + F.when(exact, 0.0).otherwise(b[c] * F.col("__wb")) for c in "wxyz"})
+        both = both.withColumn("__n", F.sqrt(sum(F.col(f"__q{c}") * F.col(f"__q{c}") for c in "wxyz")))
+        values += [F.when(found, F.col(f"__q{part}") / F.col("__n")).alias(c) for part, c in zip("wxyz", quaternion, strict=True)]
     return both.select("__l.*", found.alias("found"), ratio.alias("ratio"), *values)
 
 
@@ -125,27 +139,54 @@ def repeat_index(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("repeat_index", F.row_number().over(W.partitionBy("task_id", "hold_seq").orderBy("t")).cast("long") - 1)
 
 
-def expand_bundles(rows: DataFrame, period_ns: int, *, anchor_last: bool = False) -> DataFrame:
-    """Rows that share a raw stamp t, in seq order, get stamps a period apart, the first (or last) of them at t; bundles that
-    begin no later than an earlier bundle of the task ended are dropped whole."""
+def expand_bundles(rows: DataFrame, period_ns: int, *, anchor_last: bool = False, reset_ns: int = 1_000_000_000) -> DataFrame:
+    """Rows that share a raw stamp t, in seq order, get stamps a period apart, the first (or last) of them at t. A bundle that begins no later
+    than the last published stamp is dropped whole; one that begins more than reset_ns before it starts the clock anew. Bundles
+    arrive in the order of their first seq; only they are folded, a row for each, by task."""
     own = W.partitionBy("task_id", "t")
     place, size = F.row_number().over(own.orderBy("seq")) - 1, F.count("*").over(own)
     shift = (place - size + 1) if anchor_last else place
     placed = rows.withColumn("stamp", F.col("t") + shift * period_ns)
-    bundles = placed.groupBy("task_id", "t").agg(F.min("stamp").alias("first"), F.max("stamp").alias("last"))
-    before = F.max("last").over(W.partitionBy("task_id").orderBy("t").rowsBetween(W.unboundedPreceding, -1))
-    kept = bundles.withColumn("before", before).where(F.col("before").isNull() | (F.col("first") > F.col("before"))).select("task_id", "t")
-    return placed.join(kept, ["task_id", "t"], "left_semi")
+    bundles = placed.groupBy("task_id", "t").agg(F.min("seq").alias("seq"), F.min("stamp").alias("first"), F.max("stamp").alias("last"))
+
+    def fold(task: pd.DataFrame) -> pd.DataFrame:
+        task, published, kept = task.sort_values("seq"), 0, []
+        for t, first, last in zip(task["t"].tolist(), task["first"].tolist(), task["last"].tolist(), strict=True):
+            if published > 0 and published - first > reset_ns:
+                published = 0
+            if t > 0 and first > 0 and (published <= 0 or first > published):
+                kept.append(t)
+                published = last
+        return pd.DataFrame({"task_id": [task["task_id"].iloc[0]] * len(kept), "t": kept})
+
+    schema = f"task_id {rows.schema['task_id'].dataType.simpleString()}, t long"
+    kept = bundles.groupBy("task_id").applyInPandas(fold, schema)
+    return placed.join(kept.hint("merge"), ["task_id", "t"], "left_semi")
 
 
 def epoch_id(rows: DataFrame, rollback_ns: int, order_by: str = "seq") -> DataFrame:
-    """Stamps in arrival order: epoch rises where a stamp falls by more than rollback_ns below the one before; accepted says
-    whether a row is later than all earlier rows of its epoch."""
-    order = W.partitionBy("task_id").orderBy(order_by)
-    fell = F.coalesce(F.lag("t").over(order) - F.col("t") > rollback_ns, F.lit(False))
-    epochs = rows.withColumn("epoch", F.sum(fell.cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    before = F.max("t").over(W.partitionBy("task_id", "epoch").orderBy(order_by).rowsBetween(W.unboundedPreceding, -1))
-    return epochs.withColumn("accepted", before.isNull() | (F.col("t") > before))
+    """Stamps in arrival order against the last accepted one: a fall of more than rollback_ns opens a new epoch, a smaller one is refused, an
+    equal stamp replaces the row before (accepted, and superseded says that a later row took its place). A fold of (t, order) by task."""
+    kind, by = rows.schema["task_id"].dataType.simpleString(), rows.schema[order_by].dataType.simpleString()
+
+    def fold(task: pd.DataFrame) -> pd.DataFrame:
+        task, last, epoch, at = task.sort_values(order_by, kind="stable"), None, 0, -1
+        epochs, accepted, replaced = [], [], [False] * len(task)
+        for i, t in enumerate(task["t"].tolist()):
+            ok = True
+            if last is not None and t < last:
+                ok = last - t > rollback_ns
+                epoch += ok
+            elif last is not None and t == last:
+                replaced[at] = True
+            if ok:
+                last, at = t, i
+            epochs.append(epoch)
+            accepted.append(ok)
+        return pd.DataFrame({"task_id": task["task_id"], order_by: task[order_by], "epoch": epochs, "accepted": accepted, "superseded": replaced})
+
+    folded = rows.select("task_id", order_by, "t").groupBy("task_id").applyInPandas(fold, f"task_id {kind}, {order_by} {by}, epoch long, accepted boolean, superseded boolean")
+    return rows.join(folded.hint("merge"), ["task_id", order_by])
 
 
 def pose_gaps(rows: DataFrame, limit_ns: int) -> DataFrame:

@@ -139,19 +139,41 @@ def a19(spark, d):
     return L.rigid_heading_fit(A.trajectory(spark, d))
 
 
-@query("w13_spacing_filter")
+@query("w13_spacing_filter", f"""WITH RECURSIVE {J}, o AS (SELECT task_id, stamp_ns, x, y, row_number() OVER (PARTITION BY task_id ORDER BY stamp_ns, line, x, y) AS seq, seq AS k FROM trajectory),
+f AS (SELECT task_id, seq, k, stamp_ns, x, y, true AS kept FROM o WHERE k = 1
+  UNION ALL SELECT o.task_id, o.seq, o.k, CASE WHEN ok THEN o.stamp_ns ELSE f.stamp_ns END, CASE WHEN ok THEN o.x ELSE f.x END, CASE WHEN ok THEN o.y ELSE f.y END, ok
+  FROM f JOIN o ON o.task_id = f.task_id AND o.k = f.k + 1, LATERAL (SELECT o.stamp_ns > f.stamp_ns AND sqrt(pow(o.x - f.x, 2) + pow(o.y - f.y, 2)) >= 20 AS ok))
+SELECT task_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY k DESC) AS n FROM f WHERE kept) WHERE n <= 100""")
 def w13(spark, d):
-    return L.spacing_filter(A.trajectory(spark, d).withColumn("stamp_ns", F.col("stamp_ns") * 10 + F.col("line")).drop("line"))
+    from pyspark.sql import Window as W
+
+    order = F.row_number().over(W.partitionBy("task_id").orderBy("stamp_ns", "line", "x", "y")).cast("long")
+    return L.spacing_filter(A.trajectory(spark, d).withColumn("seq", order).drop("line"), 20.0).select("task_id", "seq")
+
 
+FITS = """fits AS (SELECT user_id AS task_id, event_id AS seq, event_id % 13 > 0 AS fit_valid, event_id % 7 + 1 AS n, value * 3 AS baseline, 0.65::DOUBLE + event_id % 9 * 0.08::DOUBLE AS ratio, (event_id % 17) * 1.0::DOUBLE AS rmse, (event_id % 28) * 1.0::DOUBLE AS p95,
+  0.66::DOUBLE + event_id % 5 * 0.08::DOUBLE AS inlier_ratio, event_id % 97 * 0.0015::DOUBLE AS yaw, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+gated AS (SELECT *, CASE WHEN NOT fit_valid THEN 'DEGENERATE' WHEN n < 3 THEN 'INSUFFICIENT_SAMPLES' WHEN baseline < 50 THEN 'COLLECTING_BASELINE' WHEN ratio NOT BETWEEN 0.7 AND 1.3 THEN 'BASELINE_RATIO_OUT_OF_RANGE' WHEN rmse > 15 THEN 'RMSE_TOO_LARGE' WHEN p95 > 25 THEN 'P95_RESIDUAL_TOO_LARGE' WHEN inlier_ratio < 0.7 THEN 'INLIER_RATIO_TOO_LOW' END AS gate FROM fits)"""
 
-@query("w14_heading_filter")
+
+@query("w14_heading_filter", f"""WITH RECURSIVE {FITS},
+f AS (SELECT task_id, 0::BIGINT AS seq, 0::BIGINT AS k, NULL::DOUBLE AS now, NULL::DOUBLE AS yaw, NULL::VARCHAR AS gate, false AS jump, NULL::DOUBLE AS baseline FROM fits GROUP BY task_id
+  UNION ALL SELECT g.task_id, g.seq, g.k, CASE WHEN g.gate IS NOT NULL OR far THEN f.now WHEN f.now IS NULL THEN g.yaw ELSE f.now + 0.1 * (g.yaw - f.now) END, CASE WHEN g.gate IS NOT NULL THEN g.yaw END, g.gate, g.gate IS NULL AND far, g.baseline
+  FROM f JOIN gated g ON g.task_id = f.task_id AND g.k = f.k + 1, LATERAL (SELECT coalesce(abs(g.yaw - f.now) > 0.08726646259971647, false) AS far))
+SELECT task_id, seq, round(coalesce(yaw, now), 9) AS yaw, CASE WHEN gate IS NOT NULL THEN gate = 'COLLECTING_BASELINE' ELSE NOT jump END AS accepted, gate IS NULL AND NOT jump AND baseline >= 100 AS valid,
+  CASE WHEN gate IS NOT NULL THEN gate WHEN jump THEN 'UPDATE_JUMP_EXCEEDED' WHEN baseline >= 100 THEN 'NONE' ELSE 'PROVISIONAL_BASELINE' END AS reason FROM f WHERE k > 0""")
 def w14(spark, d):
-    return L.ema_gate(A.table(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), (F.col("value") % 360).alias("heading")))
+    k = F.col("event_id")
+    fits = A.table(spark, d, "events").select(F.col("user_id").alias("task_id"), k.alias("seq"), (k % 13 > 0).alias("fit_valid"), F.lit("DEGENERATE").alias("fit_reason"), (k % 7 + 1).alias("n"), (F.col("value") * 3).alias("baseline"), (0.65 + k % 9 * 0.08).alias("ratio"),
+        (k % 17).cast("double").alias("rmse"), (k % 28).cast("double").alias("p95"), (0.66 + k % 5 * 0.08).alias("inlier_ratio"), (k % 97 * 0.0015).alias("yaw"))
+    return rounded(L.heading_filter(fits), 9, "yaw")
 
 
-@query("w23_rate_limit")
+@query("w23_rate_limit", f"""WITH RECURSIVE {A.stream_sql('v', 'view')}, o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY t, seq) AS k FROM v),
+f AS (SELECT task_id, seq, k, t AS last, true AS run FROM o WHERE k = 1 UNION ALL SELECT o.task_id, o.seq, o.k, CASE WHEN t - last >= {40 * 3_600_000_000_000} THEN t ELSE last END, t - last >= {40 * 3_600_000_000_000} FROM f JOIN o ON o.task_id = f.task_id AND o.k = f.k + 1)
+SELECT task_id, seq FROM f WHERE run""")
 def w23(spark, d):
-    return L.rate_limit(A.stream_of(spark, d, "view"), 40 * 3_600_000_000_000)
+    return L.rate_limit(A.stream_of(spark, d, "view"), 40 * 3_600_000_000_000).select("task_id", "seq")
 
 
 @query("a10_voxel_centroids", f"WITH {P} SELECT frame_id, CAST(floor(x / 0.5) AS BIGINT) AS vx, CAST(floor(y / 0.5) AS BIGINT) AS vy, CAST(floor(z / 0.5) AS BIGINT) AS vz, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM points GROUP BY ALL")
@@ -223,7 +245,7 @@ def o5(spark, d):
 
 @query("o6_spatial_limit")
 def o6(spark, d):
-    return C.spatial_limit(A.points(spark, d), 30, 2.0).select("frame_id", "point_idx")
+    return C.spatial_limit(A.points(spark, d), 30, 8.0).select("frame_id", "point_idx")
 
 
 @query("o7_stride_limit", f"WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY point_idx) - 1 AS k, count(*) OVER (PARTITION BY frame_id) AS n FROM points) SELECT frame_id, point_idx FROM r WHERE k % CAST(ceil(n / 20.0) AS BIGINT) = 0")
@@ -237,10 +259,45 @@ def a30(spark, d):
     return C.frame_end_stamp(A.points(spark, d), stamps)
 
 
-@query("a23_transform_statistics", f"WITH {P}, g AS (SELECT frame_id, count(*) AS finite, count(*) FILTER (WHERE point_idx % 10 > frame_id % 4) AS covered, max(CASE WHEN point_idx % 10 > frame_id % 4 THEN offset_s END) AS max_shift FROM points GROUP BY 1) SELECT frame_id, finite, covered, finite - covered AS uncovered, round(covered / finite, 6) AS ratio, CASE WHEN covered / finite < 0.75 THEN 'REJECTED' WHEN coalesce(max_shift > 0.35, true) THEN 'ROTATION_ONLY' ELSE 'FULL' END AS mode FROM g")
+MOTION = f"""{P}, raw AS (SELECT frame_id, point_idx, CASE WHEN point_idx % 23 = 0 THEN 0 ELSE x END AS x, CASE WHEN point_idx % 23 = 0 THEN 0 ELSE y END AS y, CASE WHEN point_idx % 23 = 0 THEN 0 WHEN point_idx % 19 = 0 THEN 'inf'::DOUBLE ELSE z END AS z, CASE WHEN point_idx % 17 = 0 THEN -1 ELSE offset_s END AS offset_s, (frame_id + 1) * 300000000 AS stamp FROM points),
+timed AS (SELECT *, isfinite(z) AND NOT (x = 0 AND y = 0 AND z = 0) AS usable, CASE WHEN isfinite(z) AND NOT (x = 0 AND y = 0 AND z = 0) AND offset_s >= 0 THEN stamp + CAST(round(offset_s * 1e9) AS BIGINT) END AS t FROM raw),
+poses AS (SELECT event_id * 4000000 AS t, value / 200 + event_id * 0.004 AS px, event_id % 100 / 500.0::DOUBLE AS py, 0.0::DOUBLE AS pz, cos(event_id % 1000 / 500.0::DOUBLE / 2) AS qw, sin(event_id % 1000 / 500.0::DOUBLE / 2) AS qz, event_id % 613 > 0 AS ok FROM events WHERE event_id % 50 > 8),
+times AS (SELECT DISTINCT frame_id, stamp, t FROM timed WHERE t IS NOT NULL UNION SELECT DISTINCT frame_id, stamp, stamp FROM timed),
+lo AS (SELECT q.*, p.t AS ta, p.px AS ax, p.py AS ay, p.qw AS aw, p.qz AS az, p.ok AS aok FROM times q ASOF LEFT JOIN poses p ON q.t >= p.t),
+hi AS (SELECT lo.*, p.t AS tb, p.px AS bx, p.py AS by_, p.qw AS bw, p.qz AS bz, p.ok AS bok FROM lo ASOF LEFT JOIN poses p ON lo.t <= p.t),
+r0 AS (SELECT *, coalesce(ta = t, false) OR coalesce(tb > ta AND tb - ta <= 15000000, false) AS found, CASE WHEN ta = t THEN 0 ELSE (t - ta) / (tb - ta)::DOUBLE END AS u, abs(aw * bw + az * bz) AS dot, CASE WHEN aw * bw + az * bz < 0 THEN -1 ELSE 1 END AS sign FROM hi),
+r1 AS (SELECT *, CASE WHEN u = 0 THEN 1 WHEN dot > 0.9995 THEN 1 - u ELSE sin((1 - u) * acos(least(dot, 1))) / sin(acos(least(dot, 1))) END AS wa, CASE WHEN u = 0 THEN 0 WHEN dot > 0.9995 THEN u ELSE sin(u * acos(least(dot, 1))) / sin(acos(least(dot, 1))) END * sign AS wb FROM r0),
+at_ AS (SELECT frame_id, stamp, t, found, CASE WHEN u = 0 THEN ax ELSE ax + (bx - ax) * u END AS px, CASE WHEN u = 0 THEN ay ELSE ay + (by_ - ay) * u END AS py, CASE WHEN u = 0 THEN aok ELSE aok AND bok END AS ok, aw * wa + bw * wb AS w0, az * wa + bz * wb AS z0 FROM r1),
+own AS (SELECT frame_id, found AND ok AS good, px AS rx, py AS ry FROM at_ WHERE t = stamp),
+sh AS (SELECT a.frame_id, max(sqrt(pow(px - rx, 2) + pow(py - ry, 2))) AS far, bool_or(NOT ok OR sqrt(pow(px - rx, 2) + pow(py - ry, 2)) > 2.5) AS out_ FROM at_ a JOIN own USING (frame_id) WHERE found AND EXISTS (SELECT 1 FROM timed m WHERE m.frame_id = a.frame_id AND m.t = a.t) GROUP BY a.frame_id),
+cnt AS (SELECT p.frame_id, count(*) FILTER (WHERE usable) AS usable, count(*) FILTER (WHERE usable AND p.t IS NULL) AS bad_time, count(*) FILTER (WHERE found) AS covered, count(*) FILTER (WHERE p.t IS NOT NULL AND NOT found) AS uncovered FROM timed p LEFT JOIN at_ a ON a.frame_id = p.frame_id AND a.t = p.t GROUP BY p.frame_id),
+stats AS (SELECT frame_id, usable, bad_time, covered, uncovered, CASE WHEN usable > 0 THEN covered / usable ELSE 0 END AS ratio, CASE WHEN good THEN far END AS max_translation, CASE WHEN coalesce(good AND NOT coalesce(out_, false), false) THEN 'FULL' ELSE 'ROTATION_ONLY' END AS mode,
+  CASE WHEN usable = 0 THEN 'NO_VALID_RAW_POINTS' WHEN covered = 0 THEN 'NO_POINT_POSE_COVERED' WHEN covered / usable < 0.75 THEN 'INSUFFICIENT_POSE_COVERAGE' ELSE 'NONE' END AS reason FROM cnt JOIN own USING (frame_id) LEFT JOIN sh USING (frame_id))"""
+
+
+def motion(spark, d):
+    """Points, frames and poses: some points are the invalid return, infinite or without a time, and some poses are missing or have no valid place."""
+    i = F.col("point_idx")
+    p = A.points(spark, d)
+    p = p.withColumns({c: F.when(i % 23 == 0, 0.0).otherwise(F.when(i % 19 == 0, float("inf")).otherwise(F.col(c)) if c == "z" else F.col(c)) for c in "xyz"}).withColumn("offset_s", F.when(i % 17 == 0, -1.0).otherwise(F.col("offset_s")))
+    frames = p.select("frame_id").distinct().select("frame_id", F.lit(1).cast("long").alias("task_id"), ((F.col("frame_id") + 1) * 300_000_000).alias("stamp_ns"))
+    k, yaw = F.col("event_id"), F.col("event_id") % 1000 / 500
+    poses = A.table(spark, d, "events").where("event_id % 50 > 8").select(F.lit(1).cast("long").alias("task_id"), (k * 4_000_000).alias("t"), k.alias("seq"), (F.col("value") / 200 + k * 0.004).alias("px"), (k % 100 / 500).alias("py"), F.lit(0.0).alias("pz"),
+        F.cos(yaw / 2).alias("qw"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(yaw / 2).alias("qz"), (k % 613 > 0).alias("ok"))
+    return p, frames, poses
+
+
+@query("a23_transform_statistics", f"WITH {MOTION} SELECT frame_id, usable, bad_time, covered, uncovered, round(ratio, 6) AS ratio, round(max_translation, 6) AS max_translation, mode, reason FROM stats")
 def a23(spark, d):
-    p = A.points(spark, d).withColumn("covered", F.col("point_idx") % 10 > F.col("frame_id") % 4).withColumn("shift", F.col("offset_s"))
-    return rounded(C.transform_statistics(p, max_step=0.35).drop("max_shift"), 6, "ratio")
+    return rounded(C.motion_compensate(*motion(spark, d))[1], 6, "ratio", "max_translation")
+
+
+@query("d4_motion_compensate", f"""WITH {MOTION}, j AS (SELECT p.*, a.found, a.w0 / sqrt(w0 * w0 + z0 * z0) AS w, a.z0 / sqrt(w0 * w0 + z0 * z0) AS q, CASE WHEN mode = 'FULL' THEN px - rx ELSE 0 END AS dx, CASE WHEN mode = 'FULL' THEN py - ry ELSE 0 END AS dy
+  FROM timed p JOIN stats s ON s.frame_id = p.frame_id AND s.reason = 'NONE' JOIN own o ON o.frame_id = p.frame_id LEFT JOIN at_ a ON a.frame_id = p.frame_id AND a.t = p.t)
+SELECT 1::BIGINT AS task_id, frame_id, point_idx, round(CASE WHEN x = 0 AND y = 0 AND z = 0 AND offset_s >= 0 THEN 0 WHEN found THEN (1 - 2 * q * q) * x - 2 * w * q * y + dx ELSE 'nan'::DOUBLE END, 3) AS x,
+  round(CASE WHEN x = 0 AND y = 0 AND z = 0 AND offset_s >= 0 THEN 0 WHEN found THEN 2 * w * q * x + (1 - 2 * q * q) * y + dy ELSE 'nan'::DOUBLE END, 3) AS y, round(CASE WHEN x = 0 AND y = 0 AND z = 0 AND offset_s >= 0 THEN 0 WHEN found THEN z ELSE 'nan'::DOUBLE END, 3) AS z FROM j""")
+def d4(spark, d):
+    return C.motion_compensate(*motion(spark, d))[0].withColumns({c: F.round(F.col(c).cast("double"), 3) for c in "xyz"})
 
 
 @query("o9_lowest_candidate")

@@ -83,19 +83,37 @@ def o3(spark, d):
     return H.series_window(A.samples(spark, d), *WINDOW).select("task_id", "sample_index", "ts_ns", "height")
 
 
-@query("o4_downsample_extrema", f"""WITH {S}, sp AS (SELECT task_id, min(ts_ns) AS a, max(ts_ns) AS z FROM samples GROUP BY task_id),
-b AS (SELECT s.*, a, z, least(5, CAST((ts_ns - a) AS HUGEINT) * 6 // greatest(z - a, 1)) AS bucket FROM samples s JOIN sp USING (task_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY task_id, bucket, valid ORDER BY height, sample_index) AS lo, row_number() OVER (PARTITION BY task_id, bucket, valid ORDER BY height DESC, sample_index) AS hi,
-  row_number() OVER (PARTITION BY task_id, bucket, valid ORDER BY sample_index) AS fi,
+HOLED = S + """, holed AS (SELECT task_id, sample_index, ts_ns, CASE WHEN sample_index % 9 <> 4 THEN height END AS height, valid FROM samples)"""
+
+
+def holed(spark, d):
+    """Samples of which some have no height."""
+    return A.samples(spark, d).withColumn("height", F.when(F.col("sample_index") % 9 != 4, F.col("height")))
+
+
+def extrema_sql(low: int, high: int, most: int) -> str:
+    b = max(1, (most - 2) // 3)
+    return f"""WITH {HOLED}, sp AS (SELECT task_id, greatest(min(ts_ns) // 1000000 * 1000000, {low}) AS a, least(max(ts_ns) // 1000000 * 1000000 + 999999, {high}) AS z, count(*) FILTER (WHERE ts_ns BETWEEN {low} AND {high}) AS n FROM holed GROUP BY task_id),
+b AS (SELECT s.*, n, valid AND height IS NOT NULL AS ok, least({b - 1}, CAST((ts_ns - a) AS HUGEINT) * {b} // (z - a + 1)) AS bucket FROM holed s JOIN sp USING (task_id) WHERE ts_ns BETWEEN {low} AND {high}),
+r AS (SELECT *, row_number() OVER (PARTITION BY task_id, bucket, ok ORDER BY height, sample_index) AS lo, row_number() OVER (PARTITION BY task_id, bucket, ok ORDER BY height DESC, sample_index) AS hi,
+  row_number() OVER (PARTITION BY task_id, bucket, ok ORDER BY sample_index) AS fi,
   row_number() OVER (PARTITION BY task_id ORDER BY ts_ns, sample_index) AS f, row_number() OVER (PARTITION BY task_id ORDER BY ts_ns DESC, sample_index DESC) AS l FROM b)
-SELECT task_id, sample_index, ts_ns, height, valid FROM r WHERE (valid AND (lo = 1 OR hi = 1)) OR (NOT valid AND fi = 1) OR f = 1 OR l = 1""")
+SELECT task_id, sample_index, ts_ns, height, valid FROM r WHERE n <= {most} OR (ok AND (lo = 1 OR hi = 1)) OR (NOT ok AND fi = 1) OR f = 1 OR l = 1"""
+
+
+@query("o4_downsample_extrema", extrema_sql(-(2**62), 2**62, 20))
 def o4(spark, d):
-    return H.downsample_extrema(A.samples(spark, d), 20)
+    return H.downsample_extrema(holed(spark, d), 20)
+
+
+@query("o4_extrema_of_a_window", extrema_sql(WINDOW[0] * 1_000_000, WINDOW[1] * 1_000_000 + 999_999, 12))
+def o4_window(spark, d):
+    return H.downsample_extrema(holed(spark, d), 12, *WINDOW)
 
 
-@query("o14_full_history", f"WITH {S} SELECT task_id, sample_index, height FROM samples WHERE task_id IN (SELECT task_id FROM samples GROUP BY task_id HAVING count(*) <= 70)")
+@query("o14_full_history", f"WITH {S}, n AS (SELECT task_id, count(*) > 70 AS over_cap FROM samples GROUP BY task_id) SELECT task_id, sample_index, height, over_cap FROM samples JOIN n USING (task_id) WHERE NOT over_cap UNION ALL SELECT task_id, NULL, NULL, true FROM n WHERE over_cap")
 def o14(spark, d):
-    return H.full_history(A.samples(spark, d), cap=70).select("task_id", "sample_index", "height")
+    return H.full_history(A.samples(spark, d), cap=70).select("task_id", "sample_index", "height", "over_cap")
 
 
 RANGES = """ranges AS (SELECT user_id AS task_id, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + 40000000 + event_id % 7 * 10000000 AS end_ms, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 50 * (event_id % 3) END AS resolution_ms FROM events)"""
@@ -118,9 +136,12 @@ def u3(spark, d):
     return H.merge_series(s, s.where("sample_index % 5 = 0").withColumn("height", F.col("height") + 1))
 
 
-@query("a26_chart_y_range", f"WITH {S} SELECT task_id, round(greatest(min(height) - greatest(max(height) - min(height), 0.1) * 0.12, 0), 6) AS y_min, round(max(height) + greatest(max(height) - min(height), 0.1) * 0.12, 6) AS y_max FROM samples GROUP BY task_id")
+@query("a26_chart_y_range", f"""WITH {S}, h AS (SELECT task_id, CASE WHEN task_id % 7 = 0 THEN 'nan'::DOUBLE WHEN task_id % 5 = 0 THEN 0.01 WHEN sample_index % 9 <> 4 THEN height END AS height FROM samples),
+l AS (SELECT task_id, min(height) AS lo, max(height) AS hi FROM h WHERE isfinite(height) GROUP BY task_id), m AS (SELECT *, greatest(lo - greatest(hi - lo, 0.1) * 0.12, 0) AS y_min FROM l)
+SELECT task_id, round(y_min, 6) AS y_min, round(greatest(y_min + 0.1, hi + greatest(hi - lo, 0.1) * 0.12), 6) AS y_max FROM m""")
 def a26(spark, d):
-    return H.chart_y_range(A.samples(spark, d)).withColumns(r6("y_min", "y_max"))
+    h = F.when(F.col("task_id") % 7 == 0, float("nan")).when(F.col("task_id") % 5 == 0, 0.01).otherwise(F.col("height"))
+    return H.chart_y_range(holed(spark, d).withColumn("height", h)).withColumns(r6("y_min", "y_max"))
 
 
 @query("w18_last_n", f"WITH {S} SELECT task_id, sample_index, source_sequence FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY sample_index DESC) AS n FROM samples) WHERE n <= 12")
@@ -133,12 +154,15 @@ def w19(spark, d):
     return H.trim_history(A.samples(spark, d), 200_000, 8).select("task_id", "sample_index")
 
 
-@query("a28_stream_health", f"""WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts_ns DESC, sample_index DESC) AS n FROM samples),
+@query("a28_stream_health", f"""WITH {S}, e AS (SELECT c_custkey % 500 AS task_id, max(1706700000000000000 - c_custkey * 1000000000) AS started_ns FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts_ns DESC, sample_index DESC) AS n FROM samples WHERE task_id % 4 > 0),
 a AS (SELECT task_id, count(*) AS n, min(ts_ns) AS a, max(ts_ns) AS b FROM r WHERE n <= 20 GROUP BY task_id)
-SELECT task_id, round(CASE WHEN n > 1 AND b > a THEN (n - 1) * 1e9::DOUBLE / (b - a) END, 9) AS rate_hz, round((1706700000000000000 - b) / 1e9::DOUBLE, 6) AS age_s, CASE WHEN (1706700000000000000 - b) / 1e9::DOUBLE > 50000 THEN 'timeout' ELSE 'ok' END AS state FROM a""")
+SELECT task_id, round(CASE WHEN n > 1 AND b > a THEN (n - 1) * 1e9::DOUBLE / (b - a) ELSE 0 END, 9) AS rate_hz, coalesce((1706700000000000000 - b) // 1000000, -1) AS age_ms,
+  CASE WHEN n IS NULL THEN CASE WHEN (1706700000000000000 - started_ns) // 1000000 <= 60000 THEN 'waiting' ELSE 'timeout' END WHEN (1706700000000000000 - b) // 1000000 <= 50000000 THEN 'ok' ELSE 'timeout' END AS state FROM a FULL JOIN e USING (task_id)""")
 def a28(spark, d):
-    out = H.stream_health(A.samples(spark, d), last=20, now_ns=1_706_700_000_000_000_000, timeout_s=50_000.0)
-    return out.withColumns({"rate_hz": F.round("rate_hz", 9), "age_s": F.round("age_s", 6)})
+    k = F.col("c_custkey")
+    expected = A.table(spark, d, "customer").groupBy((k % 500).alias("task_id")).agg(F.max(F.lit(1_706_700_000_000_000_000) - k * 1_000_000_000).alias("started_ns"))
+    out = H.stream_health(A.samples(spark, d).where("task_id % 4 > 0"), last=20, now_ns=1_706_700_000_000_000_000, timeout_s=50_000.0, expected=expected, grace_s=60.0)
+    return out.withColumns({"rate_hz": F.round("rate_hz", 9)})
 
 
 L, R = A.stream_sql("l", "click"), A.stream_sql("r", "view")
@@ -214,21 +238,25 @@ def w7(spark, d):
 BUNDLES = f"rows_ AS (SELECT user_id AS task_id, epoch_us(ts) * 1000 // {48 * HOUR} * {48 * HOUR} AS t, event_id AS seq FROM events)"
 
 
-@query("w8_expand_bundles", f"""WITH {BUNDLES}, p AS (SELECT *, t + (row_number() OVER (PARTITION BY task_id, t ORDER BY seq) - 1) * {12 * HOUR} AS stamp FROM rows_),
-b AS (SELECT task_id, t, min(stamp) AS f, max(stamp) AS l FROM p GROUP BY ALL), k AS (SELECT *, max(l) OVER (PARTITION BY task_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b)
-SELECT p.task_id, p.seq, p.stamp FROM p JOIN k USING (task_id, t) WHERE before IS NULL OR f > before""")
+@query("w8_expand_bundles", f"""WITH RECURSIVE {BUNDLES}, p AS (SELECT *, t + (row_number() OVER (PARTITION BY task_id, t ORDER BY seq) - 1) * {12 * HOUR} AS stamp FROM rows_),
+b AS (SELECT task_id, t, min(stamp) AS f, max(stamp) AS l, row_number() OVER (PARTITION BY task_id ORDER BY min(seq)) AS k FROM p GROUP BY task_id, t),
+r AS (SELECT task_id, t, k, l AS published, true AS kept FROM b WHERE k = 1
+  UNION ALL SELECT b.task_id, b.t, b.k, CASE WHEN published - f > {300 * HOUR} OR f > published THEN l ELSE published END, published - f > {300 * HOUR} OR f > published FROM r JOIN b ON b.task_id = r.task_id AND b.k = r.k + 1)
+SELECT p.task_id, p.seq, p.stamp FROM p JOIN r USING (task_id, t) WHERE kept""")
 def w8(spark, d):
     e = A.table(spark, d, "events").select(F.col("user_id").alias("task_id"), ((A.micros() * 1000) - F.pmod(A.micros() * 1000, F.lit(48 * HOUR))).alias("t"), F.col("event_id").alias("seq"))
-    return T.expand_bundles(e, 12 * HOUR).select("task_id", "seq", "stamp")
+    return T.expand_bundles(e, 12 * HOUR, reset_ns=300 * HOUR).select("task_id", "seq", "stamp")
 
 
-@query("w9_epoch_id", f"""WITH j AS (SELECT user_id AS task_id, epoch_us(ts) * 1000 - CASE WHEN event_id % 11 = 0 THEN {200 * HOUR} WHEN event_id % 7 = 0 THEN {20 * HOUR} ELSE 0 END AS t, event_id AS seq FROM events),
-f AS (SELECT *, CASE WHEN lag(t) OVER (PARTITION BY task_id ORDER BY seq) - t > {100 * HOUR} THEN 1 ELSE 0 END AS fell FROM j),
-e AS (SELECT *, CAST(sum(fell) OVER (PARTITION BY task_id ORDER BY seq) AS BIGINT) AS epoch FROM f)
-SELECT task_id, seq, epoch, coalesce(t > max(t) OVER (PARTITION BY task_id, epoch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS accepted FROM e""")
+@query("w9_epoch_id", f"""WITH RECURSIVE j AS (SELECT user_id AS task_id, (epoch_us(ts) * 1000 - CASE WHEN event_id % 11 = 0 THEN {200 * HOUR} WHEN event_id % 7 = 0 THEN {20 * HOUR} ELSE 0 END) // {HOUR} * {HOUR} AS t, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT task_id, seq, k, t AS last, 0::BIGINT AS epoch, true AS accepted FROM j WHERE k = 1
+  UNION ALL SELECT j.task_id, j.seq, j.k, CASE WHEN t >= last OR last - t > {100 * HOUR} THEN t ELSE last END, epoch + CASE WHEN last - t > {100 * HOUR} THEN 1 ELSE 0 END, t >= last OR last - t > {100 * HOUR} FROM f JOIN j ON j.task_id = f.task_id AND j.k = f.k + 1),
+n AS (SELECT *, lead(last) OVER (PARTITION BY task_id ORDER BY k) = last AS again FROM f WHERE accepted)
+SELECT f.task_id, f.seq, f.epoch, f.accepted, coalesce(n.again, false) AS superseded FROM f LEFT JOIN n ON n.task_id = f.task_id AND n.k = f.k""")
 def w9(spark, d):
-    e = A.table(spark, d, "events").select(F.col("user_id").alias("task_id"), (A.micros() * 1000 - F.when(F.col("event_id") % 11 == 0, 200 * HOUR).when(F.col("event_id") % 7 == 0, 20 * HOUR).otherwise(0)).alias("t"), F.col("event_id").alias("seq"))
-    return T.epoch_id(e, 100 * HOUR).select("task_id", "seq", "epoch", "accepted")
+    t = A.micros() * 1000 - F.when(F.col("event_id") % 11 == 0, 200 * HOUR).when(F.col("event_id") % 7 == 0, 20 * HOUR).otherwise(0)
+    e = A.table(spark, d, "events").select(F.col("user_id").alias("task_id"), (t - F.pmod(t, F.lit(HOUR))).alias("t"), F.col("event_id").alias("seq"))
+    return T.epoch_id(e, 100 * HOUR).select("task_id", "seq", "epoch", "accepted", "superseded")
 
 
 @query("w10_pose_gaps", f"WITH {L}, g AS (SELECT task_id, lag(t) OVER (PARTITION BY task_id ORDER BY t, seq) AS gap_start, t AS gap_end FROM l) SELECT task_id, gap_start, gap_end, gap_end - gap_start AS gap_ns FROM g WHERE gap_end - gap_start > {60 * HOUR}")
