@@ -49,15 +49,30 @@ def asof_join(left: DataFrame, rights: dict[str, tuple[DataFrame, int]], key: st
     return found.select("__l.*", *fresh)
 
 
-def sample_hold(grid: DataFrame, source: DataFrame, timeout_ns: int, key: str = "task_id") -> DataFrame:
+def hold_join(left: DataFrame, right: DataFrame, width_ns: int, key: str = "task_id") -> DataFrame:
+    """left with held: the newest right row (by t, then seq) at or before t, however old. Each time bucket gets the last row of all earlier ones,
+    which a window over one row a bucket finds, so a long recording is as many partitions as it has buckets of width_ns."""
+    payload = F.struct(*[c for c in right.columns if c != key])
+    kind = right.select(payload.alias("x")).schema["x"].dataType
+    own = left.select(key, _bucket(width_ns).alias("__b"), "t", F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(kind).alias("r"))
+    none = F.lit(None).cast(own.schema["__l"].dataType)
+    rows = right.select(key, _bucket(width_ns).alias("__b"), "t", F.lit(0).alias("__side"), none.alias("__l"), payload.alias("r"))
+    lasts = rows.groupBy(key, "__b").agg(F.max_by("r", F.struct("t", "r.seq")).alias("r"))
+    # a bucket of left rows alone holds no last row, but is carried to
+    spots = lasts.unionByName(own.select(key, "__b").distinct().withColumn("r", F.lit(None).cast(kind)))
+    before = W.partitionBy(key).orderBy("__b").rangeBetween(W.unboundedPreceding, -1)
+    carried = spots.withColumn("r", F.last("r", ignorenulls=True).over(before)).where("r IS NOT NULL").distinct()
+    starts = carried.select(key, "__b", (F.col("__b") * width_ns).alias("t"), F.lit(-1).alias("__side"), none.alias("__l"), "r")
+    order = W.partitionBy(key, "__b").orderBy("t", "__side", "r.seq").rowsBetween(W.unboundedPreceding, 0)
+    return own.unionByName(rows).unionByName(starts).withColumn("held", F.last("r", ignorenulls=True).over(order)).where("__side = 1").select("__l.*", "held")
+
+
+def sample_hold(grid: DataFrame, source: DataFrame, timeout_ns: int, key: str = "task_id", *, width_ns: int = 60_000_000_000) -> DataFrame:
     """grid with the latest source row by receipt time: hold_t, hold_seq and age_ns however old it is, value only while it is
-    no older than the timeout, and a reason otherwise. The hold is unbounded, so it runs over the whole task."""
-    every = grid.select(key, "t", F.lit(1).alias("side"), F.lit(None).cast("struct<t:bigint,seq:bigint,v:double>").alias("s")).unionByName(
-        source.select(key, "t", F.lit(0).alias("side"), F.struct("t", "seq", "v").alias("s")))
-    order = W.partitionBy(key).orderBy("t", "side", "s.seq").rowsBetween(W.unboundedPreceding, 0)
-    held = every.withColumn("h", F.last("s", ignorenulls=True).over(order)).where("side = 1")
-    age = F.col("t") - F.col("h.t")
-    return held.select(key, "t", F.col("h.t").alias("hold_t"), F.col("h.seq").alias("hold_seq"), age.alias("age_ns"), F.when(age <= timeout_ns, F.col("h.v")).alias("value"),
+    no older than the timeout, and a reason otherwise."""
+    held = hold_join(grid.select(key, "t"), source.select(key, "t", "seq", "v"), width_ns, key)
+    age = F.col("t") - F.col("held.t")
+    return held.select(key, "t", F.col("held.t").alias("hold_t"), F.col("held.seq").alias("hold_seq"), age.alias("age_ns"), F.when(age <= timeout_ns, F.col("held.v")).alias("value"),
         F.when(age.isNull(), "source_unavailable").when(age > timeout_ns, "source_timeout").alias("reason"))
 
 
@@ -107,25 +122,28 @@ def sync_inner(samples: DataFrame, poses: DataFrame, max_gap_ns: int, columns: l
     return joined.where("found").drop("found"), joined.groupBy("task_id").agg(F.count(F.when(~F.col("found"), 1)).alias("dropped"))
 
 
-def exclude_pauses(samples: DataFrame, pauses: DataFrame) -> DataFrame:
-    """Samples outside every pause [start, end); a pause without an end lasts. The running maximum of the pause ends that began
-    no later than a sample decides, so there is no range join."""
+def exclude_pauses(samples: DataFrame, pauses: DataFrame, *, width_ns: int = 60_000_000_000, ns: str = "ts_ns") -> DataFrame:
+    """Samples outside every pause [start, end); a pause without an end lasts. The largest end of the pauses that began no later than a sample
+    decides, so there is no range join; buckets of width_ns get the largest end of all earlier ones."""
     far = 2**62
-    every = samples.select("task_id", F.col("ts_ns").alias("t"), F.lit(1).alias("side"), F.struct(*samples.columns).alias("s"), F.lit(None).cast("long").alias("until")).unionByName(
-        pauses.select("task_id", F.col("start_ns").alias("t"), F.lit(0).alias("side"), F.lit(None).cast(samples.select(F.struct(*samples.columns).alias("s")).schema["s"].dataType).alias("s"), F.coalesce("end_ns", F.lit(far)).alias("until")))
-    order = W.partitionBy("task_id").orderBy("t", "side").rowsBetween(W.unboundedPreceding, 0)
-    return every.withColumn("until", F.max("until").over(order)).where("side = 1").where(F.col("until").isNull() | (F.col("until") <= F.col("t"))).select("s.*")
-
-
-def endpoint_capture(events: DataFrame, fixes: DataFrame, max_age_ns: int) -> DataFrame:
+    own = samples.select("task_id", _bucket(width_ns, ns).alias("__b"), F.col(ns).alias("t"), F.lit(1).alias("side"), F.struct(*samples.columns).alias("s"), F.lit(None).cast("long").alias("until"))
+    none = F.lit(None).cast(own.schema["s"].dataType)
+    rows = pauses.select("task_id", _bucket(width_ns, "start_ns").alias("__b"), F.col("start_ns").alias("t"), F.lit(0).alias("side"), none.alias("s"), F.coalesce("end_ns", F.lit(far)).alias("until"))
+    spots = rows.groupBy("task_id", "__b").agg(F.max("until").alias("until")).unionByName(own.select("task_id", "__b").distinct().withColumn("until", F.lit(None).cast("long")))
+    before = W.partitionBy("task_id").orderBy("__b").rangeBetween(W.unboundedPreceding, -1)
+    carried = spots.withColumn("until", F.max("until").over(before)).where("until IS NOT NULL").distinct()
+    starts = carried.select("task_id", "__b", (F.col("__b") * width_ns).alias("t"), F.lit(-1).alias("side"), none.alias("s"), "until")
+    order = W.partitionBy("task_id", "__b").orderBy("t", "side").rowsBetween(W.unboundedPreceding, 0)
+    every = own.unionByName(rows).unionByName(starts).withColumn("until", F.max("until").over(order)).where("side = 1")
+    return every.where(F.col("until").isNull() | (F.col("until") <= F.col("t"))).select("s.*")
+
+
+def endpoint_capture(events: DataFrame, fixes: DataFrame, max_age_ns: int, *, width_ns: int = 60_000_000_000) -> DataFrame:
     """Events with the newest fix at or before them however old: fix_seq, age_ns, confirmed, reason. fixes: (task_id, t, seq, ok)."""
-    every = events.select("task_id", "t", F.lit(1).alias("side"), F.struct(*events.columns).alias("e"), F.lit(None).cast("struct<t:bigint,seq:bigint,ok:boolean>").alias("f")).unionByName(
-        fixes.select("task_id", "t", F.lit(0).alias("side"), F.lit(None).cast(events.select(F.struct(*events.columns).alias("e")).schema["e"].dataType).alias("e"), F.struct("t", "seq", "ok").alias("f")))
-    order = W.partitionBy("task_id").orderBy("t", "side", "f.seq").rowsBetween(W.unboundedPreceding, 0)
-    held = every.withColumn("h", F.last("f", ignorenulls=True).over(order)).where("side = 1")
-    age = F.col("t") - F.col("h.t")
-    reason = F.when(F.col("h.t").isNull(), "no_fix").when(~F.col("h.ok"), "invalid_fix").when(age > max_age_ns, "stale_fix")
-    return held.select("e.*", F.col("h.seq").alias("fix_seq"), age.alias("age_ns"), reason.isNull().alias("confirmed"), reason.alias("reason"))
+    held = hold_join(events, fixes.select("task_id", "t", "seq", "ok"), width_ns)
+    age = F.col("t") - F.col("held.t")
+    reason = F.when(F.col("held.t").isNull(), "no_fix").when(~F.col("held.ok"), "invalid_fix").when(age > max_age_ns, "stale_fix")
+    return held.select(*events.columns, F.col("held.seq").alias("fix_seq"), age.alias("age_ns"), reason.isNull().alias("confirmed"), reason.alias("reason"))
 
 
 def tick_mean(rows: DataFrame, tick_ns: int, columns: list[str]) -> DataFrame:

@@ -171,7 +171,7 @@ L, R = A.stream_sql("l", "click"), A.stream_sql("r", "view")
 @query("j2_sample_hold", f"""WITH {L}, {R} SELECT l.task_id, l.t, r.t AS hold_t, r.seq AS hold_seq, l.t - r.t AS age_ns, CASE WHEN l.t - r.t <= {20 * HOUR} THEN r.v END AS value,
 CASE WHEN r.t IS NULL THEN 'source_unavailable' WHEN l.t - r.t > {20 * HOUR} THEN 'source_timeout' END AS reason FROM l ASOF LEFT JOIN r ON l.task_id = r.task_id AND l.t >= r.t""")
 def j2(spark, d):
-    return T.sample_hold(A.stream_of(spark, d, "click"), A.stream_of(spark, d, "view"), 20 * HOUR)
+    return T.sample_hold(A.stream_of(spark, d, "click"), A.stream_of(spark, d, "view"), 20 * HOUR, width_ns=48 * HOUR)
 
 
 @query("j3_snapshot_join", f"""WITH {L}, {R}, {A.stream_sql('q', 'purchase')},
@@ -215,13 +215,13 @@ def j8(spark, d):
 SELECT task_id, sample_index FROM samples s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.task_id = s.task_id AND s.ts_ns >= a AND s.ts_ns < z)""")
 def j10(spark, d):
     p = A.stream_of(spark, d, "error").select("task_id", F.col("t").alias("start_ns"), F.when(F.col("seq") % 50 != 0, F.col("t") + 12 * HOUR).alias("end_ns"))
-    return T.exclude_pauses(A.samples(spark, d), p).select("task_id", "sample_index")
+    return T.exclude_pauses(A.samples(spark, d), p, width_ns=48 * HOUR).select("task_id", "sample_index")
 
 
 @query("j11_endpoint_capture", f"""WITH {A.stream_sql('e', 'signup')}, {R} SELECT e.task_id, e.t, e.seq, r.seq AS fix_seq, e.t - r.t AS age_ns,
 CASE WHEN r.t IS NULL THEN 'no_fix' WHEN r.v <= 20 THEN 'invalid_fix' WHEN e.t - r.t > {24 * HOUR} THEN 'stale_fix' END AS reason, r.t IS NOT NULL AND r.v > 20 AND e.t - r.t <= {24 * HOUR} AS confirmed FROM e ASOF LEFT JOIN r ON e.task_id = r.task_id AND e.t >= r.t""")
 def j11(spark, d):
-    return T.endpoint_capture(A.stream_of(spark, d, "signup").drop("v"), A.stream_of(spark, d, "view").withColumn("ok", F.col("v") > 20), 24 * HOUR)
+    return T.endpoint_capture(A.stream_of(spark, d, "signup").drop("v"), A.stream_of(spark, d, "view").withColumn("ok", F.col("v") > 20), 24 * HOUR, width_ns=48 * HOUR)
 
 
 @query("a5_tick_mean", f"WITH {L} SELECT task_id, t // {24 * HOUR} AS tick, count(*) AS n, round(avg(v), 6) AS v FROM l GROUP BY ALL")
@@ -231,7 +231,7 @@ def a5(spark, d):
 
 @query("w7_repeat_index", f"WITH {L}, {R}, h AS (SELECT l.task_id, l.t, r.seq AS hold_seq FROM l ASOF LEFT JOIN r ON l.task_id = r.task_id AND l.t >= r.t) SELECT task_id, t, hold_seq, row_number() OVER (PARTITION BY task_id, hold_seq ORDER BY t) - 1 AS repeat_index FROM h")
 def w7(spark, d):
-    h = T.sample_hold(A.stream_of(spark, d, "click"), A.stream_of(spark, d, "view"), HOUR).select("task_id", "t", "hold_seq")
+    h = T.sample_hold(A.stream_of(spark, d, "click"), A.stream_of(spark, d, "view"), HOUR, width_ns=48 * HOUR).select("task_id", "t", "hold_seq")
     return T.repeat_index(h)
 
 
