@@ -69,6 +69,31 @@ class PlaneConfig:
     residual_p95: float = 0.05
 
 
+@dataclass(frozen=True)
+class SurfaceConfig:
+    """Search of curved surfaces in one point-cloud frame. Metres and degrees."""
+
+    up_min: float = 1.0
+    up_max: float = 10.0
+    half_angle_east: float = 60.0
+    half_angle_north: float = 60.0
+    min_range: float = 0.2
+    voxel: float = 0.05
+    neighbours: int = 20
+    smoothness: float = 10.0
+    curvature: float = 0.10
+    min_cluster_points: int = 80
+    min_span: float = 0.30
+    grid: float = 0.05
+    min_cells: int = 20
+    max_p95: float = 0.10
+    max_curvature: float = 0.10
+    min_down: float = 0.05
+    max_points: int = 9999
+    min_confidence: float = 0.55
+    margin: float = 0.02
+
+
 @dataclass(frozen=True)
 class HeadingConfig:
     """Gates and smoothing of the heading between local and global axes. Metres and radians."""

@@ -61,7 +61,7 @@ def latest_batch(batches: DataFrame) -> DataFrame:
 def preview_order(requested: DataFrame, tasks: DataFrame) -> DataFrame:
     """The distinct requested tasks by global sequence, then display id."""
     first = requested.groupBy("task_id").agg(F.min("position").alias("position"))
-    return first.join(tasks, "task_id").withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("sequence", "display_id")))
+    return first.join(tasks, "task_id").orderBy("sequence", "display_id")
 
 
 def export_eligibility(tasks: DataFrame) -> DataFrame:
@@ -114,3 +114,33 @@ def track_segments(rows: DataFrame) -> DataFrame:
     grouped = lines.groupBy("task_id", "line").agg(F.first("source").alias("source"), F.min_by("__before", F.struct("t", "seq")).alias("b"), F.sort_array(F.collect_list(F.struct("t", "seq", "x", "y"))).alias("v"))
     shared = F.when(F.col("b.x").isNotNull(), F.array(F.struct(F.col("b.x").alias("x"), F.col("b.y").alias("y")))).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
     return grouped.select("task_id", "line", "source", F.concat(shared, F.transform("v", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))).alias("vertices"))
+
+
+def overdue_transitions(tasks: DataFrame, now_us: int) -> DataFrame:
+    """Active tasks that aren't deleted and whose deadline has passed."""
+    return tasks.where(F.col("active") & ~F.col("deleted") & (F.col("deadline_us") < now_us))
+
+
+def replay_summary(results: DataFrame) -> DataFrame:
+    """Per replay of results (task_id, seq, ok, planes, height, processing_ms, reason): frames, valid and invalid ones, planes (last, mean, most), heights of valid frames (last, least, mean, greatest), and the last
+    processing time, reason and validity. A frame is valid if it is marked so and has a finite height."""
+    h = F.col("height")
+    good = F.coalesce(F.col("ok") & ~F.isnan(h) & (F.abs(h) < float("inf")), F.lit(False))
+    shown, planes = F.when(good, h), F.greatest(F.col("planes"), F.lit(0))
+    return results.groupBy("task_id").agg(
+        F.count("*").alias("frames"), F.count(F.when(good, 1)).alias("valid_frames"), F.count(F.when(~good, 1)).alias("invalid_frames"), F.max_by(planes, "seq").alias("planes_last"), F.avg(planes).alias("planes_mean"), F.max(planes).alias("planes_max"),
+        F.max_by(shown, F.when(good, F.col("seq"))).alias("height_last"), F.min(shown).alias("height_min"), F.avg(shown).alias("height_mean"), F.max(shown).alias("height_max"), F.max_by("processing_ms", "seq").alias("processing_last"), F.max_by("reason", "seq").alias("reason_last"), F.max_by(good, "seq").alias("valid_last"))
+
+
+#: Topics without which a recording can't be replayed. Fixed values.
+REPLAY_TOPICS = ("/capture/lidar/points_raw", "/capture/odometry/high_rate_raw")
+
+
+def list_recordings(manifests: DataFrame, files: DataFrame, pattern: str = "^[0-9]{8}_[0-9]{6}$") -> DataFrame:
+    """Recordings with a usable id, newest first: profile, bytes, duration and replay_ready (both raw topics recorded). manifests: recording_id, profile, topics, duration_seconds; files: recording_id, length, modified_us."""
+    sizes = files.groupBy("recording_id").agg(F.sum("length").alias("bytes"), F.max("modified_us").alias("modified_us"))
+    ready = F.lit(True)
+    for t in REPLAY_TOPICS:
+        ready = ready & F.coalesce(F.array_contains("topics", t), F.lit(False))
+    j = sizes.where(F.col("recording_id").rlike(pattern)).join(manifests, "recording_id", "left")
+    return j.select("recording_id", "profile", "bytes", "modified_us", "duration_seconds", ready.alias("replay_ready")).orderBy(F.desc("modified_us"), "recording_id")

@@ -315,5 +315,5 @@ def lowest_candidate(candidates: DataFrame, confidence: float = 0.55, margin: fl
     within the margin a plane wins over a surface. candidates: (frame_id, order, kind, height, confidence)."""
     rows = F.array_sort(F.collect_list(F.struct("order", "kind", "height", "confidence")))
     fold = lambda best, c: F.when(best.isNull() | (c["height"] < best["height"] - margin) | ((F.abs(c["height"] - best["height"]) <= margin) & (c["kind"] == "PLANE") & (best["kind"] != "PLANE")), c).otherwise(best)
-    kept = candidates.where(F.col("confidence") > confidence).groupBy("frame_id").agg(rows.alias("c"))
+    kept = candidates.where(finite(F.col("height"), F.col("confidence")) & (F.col("confidence") > confidence)).groupBy("frame_id").agg(rows.alias("c"))
     return kept.select("frame_id", F.aggregate("c", F.lit(None).cast("struct<order:bigint,kind:string,height:double,confidence:double>"), fold).alias("b")).select("frame_id", "b.*")
