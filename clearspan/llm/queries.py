@@ -42,7 +42,7 @@ TARGETS = {"clean": 0.90, "poor": 0.04, "toxic": 0.06}
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return source_mixing.mix_sources(docs, _table(spark, sf_dir, "labels"), TARGETS).drop("text")
+    return source_mixing.mix_sources(docs, _table(spark, sf_dir, "labels"), TARGETS, keep_text=False)
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

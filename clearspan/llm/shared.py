@@ -16,9 +16,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own, in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("clearspan.scratch.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("clearspan.scratch.dir", where)
     return where.rstrip("/")
@@ -39,6 +41,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until it is none of the columns (upper and lower case alike)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def whole(column: Column) -> Column:
     """The text, a null one as an empty one."""
     return F.coalesce(column, F.lit(""))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import long_table, stored, whole, words_of
+from .shared import free_names, long_table, stored, whole, words_of
 
 DOMAINS = ("clean", "poor", "toxic")
 
@@ -38,12 +38,13 @@ STOPS = ".,;:!?"
 
 def hashes_of(words: Column) -> Column:
     """64-bit hashes: of each word and its first five characters, both without closing punctuation, and of its last two."""
-    bare = lambda w: F.rtrim(w, F.lit(STOPS))
-    return F.concat(
-        F.transform(words, lambda w: F.xxhash64(F.lit("word"), bare(w))),
-        F.transform(words, lambda w: F.xxhash64(F.lit("head"), F.substring(bare(w), 1, 5))),
-        F.transform(words, lambda w: F.xxhash64(F.lit("tail"), F.substring(w, -2, 2))),
-    )
+    bare = F.transform(words, lambda w: F.rtrim(w, F.lit(STOPS)))
+    none = F.array().cast("array<bigint>")
+    # both arrays are named in lambdas that they are handed to, so each is computed once
+    return F.aggregate(F.array(F.struct(words.alias("w"), bare.alias("b"))), none, lambda _, x: F.concat(
+        F.transform(x["b"], lambda w: F.xxhash64(F.lit(1), w)),
+        F.transform(x["b"], lambda w: F.xxhash64(F.lit(2), F.substring(w, 1, 5))),
+        F.transform(x["w"], lambda w: F.xxhash64(F.lit(3), F.substring(w, -2, 2)))))
 
 
 def low_words(text: str) -> Column:
@@ -79,7 +80,7 @@ def found_in(words: Column, features: list[int]) -> Column:
     for h in features:
         keys[((h % (1 << 64)) >> shift) % size] = h
     table = F.split(F.lit(",".join(map(str, keys))), ",").cast("array<bigint>")
-    return F.array_distinct(F.filter(hashes_of(words), lambda h: F.element_at(table, place_of(h, shift, size)) == h))
+    return F.array_distinct(F.filter(hashes_of(F.array_distinct(words)), lambda h: F.element_at(table, place_of(h, shift, size)) == h))
 
 
 def place_of(h: Column, shift: int, size: int) -> Column:
@@ -124,7 +125,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc:
     priors = math.log((toxic + 1) / (total - toxic + 2)), math.log((poor + 1) / (clean + 1))
     if not total:
         return DomainModel([], priors, (0.0, 0.0), ([], []), priors)
-    exploded = rows.select("__domain", F.explode(F.array_distinct(hashes_of(F.col("__words")))).alias("h"))
+    exploded = rows.select("__domain", F.explode(F.array_distinct(hashes_of(F.array_distinct("__words")))).alias("h"))
     counts = exploded.groupBy("h").agg(F.count("*").alias("seen"), *[F.count(F.when(F.col("__domain") == d, 1)).alias(d) for d in DOMAINS[1:]])
     telling = lambda d: F.abs(F.col(d) - F.col("seen") * sizes.get(d, 0) / total) / F.sqrt(F.col("seen") * sizes.get(d, 0) / total + 1)
     sure = stored(counts.select("h", *[telling(d).alias(d) for d in DOMAINS[1:]]).where(" OR ".join(f"{d} >= 5" for d in DOMAINS[1:])), "features")
@@ -154,15 +155,16 @@ def with_posteriors(docs: DataFrame, model: DomainModel, *, text: str = "text")
         for h, w in zip(model.features, weights, strict=True):
             table[((h % (1 << 64)) >> shift) % size] = w
         tables.append(long_table(table))
-    out = docs.withColumn("__words", low_words(text)).withColumn("n_tokens", F.size("__words").cast("long"))
-    out = out.withColumn("__found", F.transform(found_in(F.col("__words"), model.features), lambda h: place_of(h, shift, size))).drop("__words")
-    names, odds = ("__toxic", "__poor"), []
+    words, found, toxic, poor = free_names(docs.columns, "__words", "__found", "__toxic", "__poor")
+    out = docs.withColumn(words, low_words(text)).withColumn("n_tokens", F.size(words).cast("long"))
+    out = out.withColumn(found, F.transform(found_in(F.col(words), model.features), lambda h: place_of(h, shift, size))).drop(words)
+    odds = []
     for table, bias, length, prior in zip(tables, model.bias, model.length, model.priors, strict=True):
-        sum_of = F.aggregate("__found", F.lit(0.0), lambda acc, b: acc + F.element_at(table, b))  # noqa: B023
+        sum_of = F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.element_at(table, b))  # noqa: B023
         odds.append(F.when(F.col("n_tokens") > 0, F.lit(bias) + F.lit(length) * F.log1p("n_tokens") + sum_of).otherwise(F.lit(prior)))
-    out = out.withColumns({name: 1 / (1 + F.exp(-o)) for name, o in zip(names, odds, strict=True)}).drop("__found")
-    t, q = F.col("__toxic"), F.col("__poor")
-    return out.withColumns({"p_clean": (1 - t) * (1 - q), "p_poor": (1 - t) * q, "p_toxic": t}).drop(*names)
+    out = out.withColumns({name: 1 / (1 + F.exp(-o)) for name, o in zip((toxic, poor), odds, strict=True)}).drop(found)
+    t, q = F.col(toxic), F.col(poor)
+    return out.withColumns({"p_clean": (1 - t) * (1 - q), "p_poor": (1 - t) * q, "p_toxic": t}).drop(toxic, poor)
 
 
 def rate_after(steps: list[list[float]], most: float | None) -> Column:
@@ -216,8 +218,8 @@ def copies(rate: Column, doc: Column, seed: int) -> Column:
     return F.floor(rate + u).cast("long")
 
 
-def mix_sources(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, tokens: float = 1.0, text: str = "text", doc: str = "doc_id", most: float | None = None, fit_rows: int = 20_000, seed: int = 7) -> DataFrame:
-    """All rows and columns of docs with n_tokens, p_<domain>, rate and copies.
+def mix_sources(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, tokens: float = 1.0, text: str = "text", doc: str = "doc_id", most: float | None = None, fit_rows: int = 20_000, seed: int = 7, keep_text: bool = True) -> DataFrame:
+    """All rows and columns of docs (the text only if keep_text) with n_tokens, p_<domain>, rate and copies.
 
     weights are the target shares of the domains, tokens the target total as a multiple of the input's tokens. A null
     or empty text has no tokens: it moves no total and its rate follows its domain's. A domain without documents stays at 0,
@@ -226,13 +228,13 @@ def mix_sources(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *
     name of an output are replaced.
     """
     share = sum(weights.values()) or 1.0
-    return _mixed(docs, labels, lambda totals: {d: sum(totals.values()) * tokens * weights.get(d, 0.0) / share for d in DOMAINS}, text=text, doc=doc, most=most, fit_rows=fit_rows, seed=seed)
+    return _mixed(docs, labels, lambda totals: {d: sum(totals.values()) * tokens * weights.get(d, 0.0) / share for d in DOMAINS}, text=text, doc=doc, most=most, fit_rows=fit_rows, seed=seed, keep_text=keep_text)
 
 
 def cap_sources(docs: DataFrame, labels: DataFrame, ceilings: dict[str, float], *, text: str = "text", doc: str = "doc_id", fit_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """As mix_sources, at rates of 1 at most: domains of ceilings that have more than their share of the outcome are scaled down
     to it; all others have their own measured totals as targets, whatever the domains' shares of the input are."""
-    return _mixed(docs, labels, lambda totals: capped(totals, ceilings), text=text, doc=doc, most=1.0, fit_rows=fit_rows, seed=seed)
+    return _mixed(docs, labels, lambda totals: capped(totals, ceilings), text=text, doc=doc, most=1.0, fit_rows=fit_rows, seed=seed, keep_text=True)
 
 
 def capped(totals: dict[str, float], ceilings: dict[str, float]) -> dict[str, float]:
@@ -248,16 +250,14 @@ def capped(totals: dict[str, float], ceilings: dict[str, float]) -> dict[str, fl
         down |= more
 
 
-def _mixed(docs: DataFrame, labels: DataFrame, targets: Callable[[dict[str, float]], dict[str, float]], *, text: str, doc: str, most: float | None, fit_rows: int, seed: int) -> DataFrame:
+def _mixed(docs: DataFrame, labels: DataFrame, targets: Callable[[dict[str, float]], dict[str, float]], *, text: str, doc: str, most: float | None, fit_rows: int, seed: int, keep_text: bool) -> DataFrame:
     """targets makes the domains' target totals from their measured ones."""
     outputs = {"n_tokens", "rate", "copies", *[f"p_{d}" for d in DOMAINS]}
-    docs = docs.drop(*[c for c in docs.columns if c in outputs])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in outputs])
     model = fit_domains(docs, labels, text=text, doc=doc, fit_rows=fit_rows)
     scored = with_posteriors(docs, model, text=text)
-    narrow = stored(scored.select("n_tokens", *[f"p_{d}" for d in DOMAINS]), "posteriors")
-    measured = narrow.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in DOMAINS]).first()
-    steps = fit_rates(narrow, targets({d: float(measured[d]) for d in DOMAINS}), most=most)
-    rated = scored.withColumn("rate", rate_after(steps, most)).withColumns({"copies": copies(F.col("rate"), F.col(doc), seed), "__row": F.monotonically_increasing_id()})
-    # a filter on copies that moved below these columns would write out the posteriors for every gradient step; it can't move
-    # past a column that depends on the row, so one that is always true keeps it here
-    return rated.where("__row >= 0").drop("__row")
+    # scored once: the aggregates read the narrow columns of this table, and the rates are an expression of them
+    scored = stored(scored if keep_text else scored.drop(text), "posteriors")
+    measured = scored.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in DOMAINS]).first()
+    steps = fit_rates(scored, targets({d: float(measured[d]) for d in DOMAINS}), most=most)
+    return scored.withColumn("rate", rate_after(steps, most)).withColumn("copies", copies(F.col("rate"), F.col(doc), seed))
