@@ -2,10 +2,16 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
+
+A null text counts as an empty one, which the quality rules reject. Rows without an id are judged by their text alone and stay apart from
+each other; repeated rows are judged each for itself, and near-dedup keeps all rows that have the kept id. Empty tables give empty ones.
+Extra columns are carried, but by the last stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +22,21 @@ from clearspan.llm.shared import stored
 CEILINGS = {"poor": 0.02, "toxic": 0.10}
 
 
+def keeping(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work's rows with the columns of docs, whatever their names: while it works, all but doc_id and text have names that no operator uses."""
+    plain = [c if c in ("doc_id", "text") else f"__carried_{i}" for i, c in enumerate(docs.columns)]
+    return work(docs.toDF(*plain)).select(*plain).toDF(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    judged = quality_rules.with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("kept").select(docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return keeping(docs, lambda d: quality_rules.with_quality(d, labels).where("kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that 10 documents or more share go from all of them; n_chars follows the text."""
-    cleaned = line_dedup.drop_frequent_lines(docs, min_docs=10, min_chars=1).select(docs.columns)
+    cleaned = keeping(docs, lambda d: line_dedup.drop_frequent_lines(d, min_docs=10, min_chars=1))
     return cleaned.withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -37,8 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rates from 0 to 1 that scale domains down to CEILINGS; a document stays if its number of copies, by its rate and the hash of its id, is 1."""
-    mixed = source_mixing.cap_sources(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), CEILINGS)
-    return mixed.where("copies >= 1").select(docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return keeping(docs, lambda d: source_mixing.cap_sources(d, labels, CEILINGS).where("copies >= 1"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
