@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, lower_ascii, stored, whole
+from .shared import BLANKS, free_names, lower_ascii, stored, whole
 
 
 def line_key(line: Column) -> Column:
@@ -50,11 +50,12 @@ def drop_frequent_lines(docs: DataFrame, *, text: str = "text", doc: str = "doc_
     # as a table of its own it gets its own exchange below the join, so that AQE can split the rows of a hot line
     hot = stored(frequent_keys(docs, text=text, doc=doc, min_docs=min_docs, min_chars=min_chars).select("h"), "lines")
     owned = line_hashes(docs, text, doc, min_chars).join(hot.hint("merge"), "h", "left_semi")
-    lists = owned.groupBy("doc").agg(F.collect_set("h").alias("__hot"))
-    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.join(lists.hint("shuffle_hash"), docs[doc].eqNullSafe(lists["doc"]), "left").select(*[docs[c] for c in kept_columns], "__hot")
-    split = joined.withColumn("__lines", F.split(whole(F.col(text)), "\n", -1))
-    stay = F.filter("__lines", lambda x: ~F.array_contains(F.col("__hot"), key_hash(line_key(x))))
-    split = split.withColumn("__kept", F.when(F.col("__hot").isNull(), F.col("__lines")).otherwise(stay))
-    out = split.withColumn(text, F.array_join("__kept", "\n"))
-    return out.select(*kept_columns, F.size("__lines").cast("long").alias("n_lines"), (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"))
+    kept_columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    key, found, parts, stay = free_names(kept_columns, "__doc", "__hot", "__lines", "__kept")
+    lists = owned.groupBy(F.col("doc").alias(key)).agg(F.collect_set("h").alias(found))
+    joined = docs.select(*kept_columns).join(lists.hint("shuffle_hash"), F.col(doc).eqNullSafe(F.col(key)), "left").drop(key)
+    split = joined.withColumn(parts, F.split(whole(F.col(text)), "\n", -1))
+    staying = F.filter(parts, lambda x: ~F.array_contains(F.col(found), key_hash(line_key(x))))
+    split = split.withColumn(stay, F.when(F.col(found).isNull(), F.col(parts)).otherwise(staying))
+    out = split.withColumn(text, F.array_join(stay, "\n"))
+    return out.select(*kept_columns, F.size(parts).cast("long").alias("n_lines"), (F.size(parts) - F.size(stay)).cast("long").alias("n_dropped"))
