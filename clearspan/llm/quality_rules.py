@@ -1,8 +1,8 @@
 """Quality rules: counted rules, then a hashed n-gram log-likelihood ratio between trusted and raw text.
 
-N-grams are words, neighbouring pairs of words and the last two characters of words, hashed into a fixed number of
-buckets. One multinomial comes from every document of the table (raw), one from
-the trusted rows (labels.quality = 1). A document's score is the mean over its n-grams of log(trusted / raw), so its
+N-grams are words, neighbouring pairs of words and the last two characters of words, hashed into buckets whose number
+grows with the corpus (`buckets_for`). One multinomial comes from every document of the table (raw), one from every
+trusted row (labels.quality = 1). A document's score is the mean over its n-grams of log(trusted / raw), so its
 length cancels out; documents under a fixed threshold go. Every rule works inside one row on arrays: scoring has no
 shuffle, and fitting shuffles at most one row for each bucket and map task. Built-in functions only.
 """
@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, long_table, whole, words_of
+from .shared import BLANKS, free_names, long_table, whole, words_of
 
 #: Characters counted by n_symbols.
 SYMBOLS = "#*$%&|<>"
@@ -47,50 +47,64 @@ def _covered(h: Column, span: int) -> Column:
     return F.aggregate(twins, F.struct(F.lit(-span).alias("last"), F.lit(0).cast("long").alias("n")), lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(i - acc["last"], F.lit(span))).alias("n")), lambda acc: acc["n"])
 
 
-def base_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and __words."""
+def base_counts(docs: DataFrame, words: str, *, text: str = "text") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and a column words that holds them."""
+    (lined,) = free_names([*docs.columns, words], "__lines")
     body = whole(F.col(text))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     counted = docs.withColumns({
-        "__words": words_of(F.col(text)),
-        "__lines": lines,
+        words: words_of(F.col(text)),
+        lined: lines,
     }).withColumns({
-        "n_words": F.size("__words").cast("long"),
-        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_symbols": F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": F.when(F.size("__words") < 9, F.lit(0).cast("long")).otherwise(repeated_words(F.col("__words"))),
+        "n_dup_lines": (F.size(lined) - F.size(F.array_distinct(lined))).cast("long"),
+        "n_repeat_words": F.when(F.size(words) < 9, F.lit(0).cast("long")).otherwise(repeated_words(F.col(words))),
     })
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).drop("__lines")
+    return counted.withColumn("base_failed", failed).drop(lined)
 
 
-def grams(word: Column, following: Column, buckets: int) -> list[Column]:
-    """Bucket numbers from 0 of the n-grams that start with a word: itself, it and its follower, its last two characters."""
-    hashes = [F.xxhash64(word), F.xxhash64(word, following), F.xxhash64(F.lit("tail"), F.substring(word, -2, 2))]
-    return [F.pmod(h, F.lit(buckets)).cast("int") for h in hashes]
+def hashed(words: Column) -> tuple[Column, Column]:
+    """Arrays of each word's hash and of the hash of its last two characters."""
+    return F.transform(words, lambda w: F.xxhash64(w)), F.transform(words, lambda w: F.xxhash64(F.lit(2), F.substring(w, -2, 2)))
 
 
-def neighbours(words: Column) -> Column:
-    """Structs (w, next), one for each word; the last one's next is empty."""
-    return F.arrays_zip(words.alias("w"), F.concat(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), F.array(F.lit(""))).alias("next"))
+def bucket_of(h: Column, buckets: int) -> Column:
+    """From 0; buckets is a power of two."""
+    return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, *, doc: str = "doc_id", rows: int = 20_000) -> DataFrame:
-    """At most rows ids with quality = 1: those with the smallest hashes, so the same ones on every run."""
-    good = labels.where((F.col("quality") == 1) & F.col(doc).isNotNull()).select(F.col(doc).alias("__id")).distinct()
-    return good.orderBy(F.xxhash64("__id"), "__id").limit(rows)
+#: What stands for the word after the last one.
+END = 0
 
 
-def fit_ratio(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str = "doc_id", buckets: int = 16_384, target_rows: int = 20_000) -> list[float]:
-    """log(trusted / raw) by bucket. Raw counts cover all of docs; trusted ones the rows of trusted_ids (the documented
-    bound target_rows, which also bounds what is broadcast). Both get one added count a bucket. The result has
-    buckets numbers, however large the table."""
-    trusted = trusted_ids(labels, doc=doc, rows=target_rows).withColumn("__trusted", F.lit(1))
-    marked = docs.select(doc, text).join(F.broadcast(trusted), F.col(doc) == F.col("__id"), "left")
-    words = marked.withColumn("__words", words_of(F.col(text))).where(F.size("__words") > 0)
-    pairs = words.select(F.explode(neighbours(F.col("__words"))).alias("p"), "__trusted").select(F.col("p.w"), F.col("p.next"), "__trusted")
-    counts = pairs.select(F.explode(F.array(*grams(F.col("w"), F.col("next"), buckets))).alias("bucket"), "__trusted").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__trusted").alias("trusted")).collect()
+#: Least and most buckets. The most bounds the table that each task holds (131,072 doubles).
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 14, 1 << 17
+#: Trusted ids up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def buckets_for(docs: DataFrame, text: str) -> int:
+    """A power of two of buckets: one for 8 KB of text, between the bounds."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (size // 8192).bit_length() - 1 if size >= 8192 else 1))
+
+
+def fit_ratio(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str = "doc_id", buckets: int) -> list[float]:
+    """log(trusted / raw) by bucket: raw counts cover all of docs, trusted ones every row whose id has quality = 1. Both get one
+    added count a bucket. The driver gets a row for each bucket."""
+    good = labels.where((F.col("quality") == 1) & F.col(doc).isNotNull()).select(F.col(doc).alias("__id")).distinct().withColumn("__trusted", F.lit(1))
+    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marked = docs.select(F.col(doc).alias("__doc"), F.col(text).alias("__text")).join(good.hint("broadcast" if few else "shuffle_hash"), F.col("__doc") == F.col("__id"), "left")
+    words = marked.withColumn("__words", words_of(F.col("__text"))).where(F.size("__words") > 0)
+    own, tails = hashed(F.col("__words"))
+    words = words.select("__trusted", own.alias("w"), tails.alias("t"))
+    following = F.concat(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), F.array(F.lit(END).cast("long")))
+    pairs = words.select(F.explode(F.arrays_zip("w", following.alias("next"), "t")).alias("p"), "__trusted").select("p.w", "p.next", "p.t", "__trusted")
+    grams = F.array(*[bucket_of(h, buckets) for h in (F.col("w"), F.xxhash64("w", "next"), F.col("t"))])
+    counts = pairs.select(F.explode(grams).alias("bucket"), "__trusted").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__trusted").alias("trusted")).collect()
     raw, own = [1.0] * buckets, [1.0] * buckets
     for r in counts:
         raw[r["bucket"]] += r["raw"]
@@ -99,23 +113,25 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: st
     return [round(math.log(own[i] / raw[i]) + shift, 9) for i in range(buckets)]
 
 
-def _weight(table: Column, word: Column, following: Column, buckets: int) -> Column:
-    one, two, three = (F.element_at(table, b + 1) for b in grams(word, following, buckets))
-    return one + two + three
-
-
-def with_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str = "doc_id", buckets: int = 16_384, target_rows: int = 20_000, threshold: float = -0.4) -> DataFrame:
-    """All rows and columns of docs with the counts, base_failed, llr and kept.
+def with_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str = "doc_id", buckets: int | None = None, threshold: float = -0.4) -> DataFrame:
+    """All rows and columns of docs with the counts, base_failed, llr and kept. buckets: those of buckets_for, unless given.
 
     A null text counts as an empty one: no words, base_failed, llr 0. A text without words has llr 0. If no row is
     trusted the ratio is flat and only the counted rules decide. Repeated rows are judged each for itself; null ids are
-    never trusted; an empty table gives an empty one. Input columns with an output's name are replaced.
+    never trusted; an empty table gives an empty one. Input columns with an output's name are replaced, all others carried.
     """
-    weights = fit_ratio(docs, labels, text=text, doc=doc, buckets=buckets, target_rows=target_rows)
-    counted = base_counts(docs, text=text)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in OUTPUTS])
+    buckets = buckets or buckets_for(docs, text)
+    weights = fit_ratio(docs, labels, text=text, doc=doc, buckets=buckets)
+    (words,) = free_names(docs.columns, "__words")
+    counted = base_counts(docs, words, text=text)
     table = long_table(weights)
-    # one look over the words: the sum so far and the word before, whose n-grams become known with its follower
-    step = lambda acc, w: F.struct(acc["sum"] + _weight(table, acc["word"], w, buckets), w)
-    total = F.aggregate(F.concat(F.slice("__words", 2, F.greatest(F.size("__words") - 1, F.lit(0))), F.array(F.lit(""))), F.struct(F.lit(0.0).alias("sum"), F.element_at("__words", 1).alias("word")), step, lambda acc: acc["sum"])
-    scored = counted.withColumn("llr", F.when(F.size("__words") == 0, 0.0).otherwise(total / (3 * F.size("__words"))))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("__words")
+    weight = lambda h: F.get(table, bucket_of(h, buckets))
+    own, tails = hashed(F.col(words))
+    # one look over the hashes: the sum so far and the word before, whose pair becomes known with its follower
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("long").alias("before"))
+    step = lambda acc, h: F.struct((acc["sum"] + weight(h) + F.when(acc["before"].isNull(), 0.0).otherwise(weight(F.xxhash64(acc["before"], h)))).alias("sum"), h.alias("before"))
+    pairs = F.aggregate(own, start, step, lambda acc: acc["sum"] + weight(F.xxhash64(acc["before"], F.lit(END).cast("long"))))
+    total = pairs + F.aggregate(tails, F.lit(0.0), lambda acc, h: acc + weight(h))
+    scored = counted.withColumn("llr", F.when(F.size(words) == 0, 0.0).otherwise(total / (3 * F.size(words))))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop(words)

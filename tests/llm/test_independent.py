@@ -26,9 +26,11 @@ def sentence(seed, n):
 
 
 def spark_hash(*parts):
+    """Spark's xxhash64 of strings, 32-bit numbers given as int, and 64-bit numbers given as (int,)."""
     seed = 42
     for p in parts:
-        seed = xxhash.xxh64(p.encode(), seed=seed).intdigest()
+        raw = p.encode() if isinstance(p, str) else int(p).to_bytes(4, "little", signed=True) if isinstance(p, int) else p[0].to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64(raw, seed=seed).intdigest()
     return seed - 2**64 if seed >= 2**63 else seed
 
 
@@ -42,8 +44,8 @@ def test_llr_in_plain_python(spark):
     def places(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
         out = []
-        for a, b in zip(w, w[1:] + [""]):
-            out += [spark_hash(a) % buckets, spark_hash(a, b) % buckets, spark_hash("tail", a[-2:]) % buckets]
+        for a, b in zip(w, w[1:] + [None]):
+            out += [spark_hash(a) % buckets, spark_hash((spark_hash(a),), (spark_hash(b) if b else 0,)) % buckets, spark_hash(2, a[-2:]) % buckets]
         return out
 
     raw, own = collections.Counter(), collections.Counter()
