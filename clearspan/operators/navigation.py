@@ -209,3 +209,69 @@ def max_span_pair(pairs: DataFrame, key: str = "task_id", most: int = 100) -> Da
     turn = F.when((local > 1e-12) & (globe > 1e-12), wrap_radians(F.atan2(d["north"], d["east"]) - F.atan2(d["y"], d["x"])))
     j = size.join(best, key, "left")
     return j.select(key, F.col("p.seq1").alias("first"), F.col("p.seq2").alias("last"), local.alias("baseline"), globe.alias("baseline_global"), F.when(globe > 1e-12, local / globe).alias("ratio"), turn.alias("heading_error"), F.when(F.col("__n") > most, "TOO_MANY").when(F.col("p").isNull(), "TOO_FEW").otherwise("NONE").alias("reason"))
+
+
+MODES = ("WAITING_FOR_RTK", "RTK", "DEAD_RECKONING", "RECOVERY")
+
+
+def navigation_modes(ticks: DataFrame, *, recovery_s: float = 3.0, immediate: bool = False) -> DataFrame:
+    """(task_id, t, mode, anchor_t, start_t) of each tick (task_id, t, reliable, odom_ok, one row for each t). While fixes are reliable the mode is RTK, and the newest such tick with
+    odometry may become an anchor. Without them it is DEAD_RECKONING from that anchor, which stays until fixes are back and RECOVERY has lasted recovery_s (no time at all if immediate); without
+    an anchor or odometry it is WAITING_FOR_RTK. start_t is where the present stretch of dead reckoning or recovery began. A fold of three columns by task."""
+
+    def fold(task: pd.DataFrame) -> pd.DataFrame:
+        task, mode, candidate, anchor, start, out = task.sort_values("t"), 0, None, None, None, []
+        for t, reliable, odom in zip(task["t"].tolist(), task["reliable"].tolist(), task["odom_ok"].tolist(), strict=True):
+            if reliable and odom:
+                candidate = t
+            if mode in (0, 1):
+                if reliable:
+                    mode, start = 1, None
+                elif candidate is not None and odom:
+                    mode, anchor, start = 2, candidate, t
+                else:
+                    mode, start = 0, None
+            elif mode == 3 and not reliable:
+                mode, start = 2, t
+            if mode == 2 and reliable:
+                mode, start = (1, None) if immediate else (3, t)
+            if mode == 3 and t - start >= recovery_s * 1e9:
+                mode, start = 1, None
+            out.append((MODES[mode], anchor if mode > 1 else None, start))
+        times = [pd.array([o[i] for o in out], dtype="Int64") for i in (1, 2)]  # never as doubles, which cannot hold nanoseconds
+        return pd.DataFrame({"task_id": task["task_id"].to_numpy(), "t": task["t"].to_numpy(), "mode": [o[0] for o in out], "anchor_t": times[0], "start_t": times[1]})
+
+    return ticks.select("task_id", "t", "reliable", "odom_ok").groupBy("task_id").applyInPandas(fold, f"task_id {_kind(ticks, 'task_id')}, t long, mode string, anchor_t long, start_t long")
+
+
+def dead_reckoning(ticks: DataFrame, *, recovery_s: float = 3.0, max_s: float = 1800.0, max_m: float = 30_000.0) -> DataFrame:
+    """ticks (task_id, t, reliable, odom_ok, lat, lon, alt, x, y, z, yaw, horizontal, vertical) with mode, east, north, up about the anchor, distance, valid and reason. In RTK the place is the
+    fix's own; in DEAD_RECKONING it follows the odometry from the anchor, until max_s or max_m are passed; in RECOVERY it goes from the dead-reckoned place to the fix's, both where the stretch began."""
+    modes = navigation_modes(ticks, recovery_s=recovery_s)
+    own = ["lat", "lon", "alt", "x", "y", "z", "yaw", "horizontal", "vertical"]
+    j = ticks.join(modes.hint("merge"), ["task_id", "t"])
+    at = lambda key, name: ticks.select("task_id", F.col("t").alias(key), F.struct(*own).alias(name))
+    j = j.join(at("anchor_t", "a").hint("merge"), ["task_id", "anchor_t"], "left").join(at("start_t", "s").hint("merge"), ["task_id", "start_t"], "left")
+    moved = lambda p: scale_rotate(F.col(f"{p}x") - F.col("a.x"), F.col(f"{p}y") - F.col("a.y"), F.col(f"{p}z") - F.col("a.z"), F.col("a.yaw"), F.col("a.horizontal"), F.col("a.vertical"))
+    fix = llh_to_enu(F.col("a.lat"), F.col("a.lon"), F.col("a.alt"), F.col("s.lat"), F.col("s.lon"), F.col("s.alt"))
+    j = j.withColumns({"__now": moved(""), "__from": moved("s."), "__to": fix, "__r": F.least(F.greatest((F.col("t") - F.col("start_t")) / 1e9 / max(0.001, recovery_s), F.lit(0.0)), F.lit(1.0))})
+    names = ("east", "north", "up")
+    place = {c: F.when(F.col("mode") == "DEAD_RECKONING", F.col(f"__now.{c}")).when(F.col("mode") == "RECOVERY", F.col(f"__from.{c}") + F.col("__r") * (F.col(f"__to.{c}") - F.col(f"__from.{c}"))).when(F.col("mode") == "RTK", 0.0) for c in names}
+    j = j.withColumns(place).withColumn("distance", F.hypot("east", "north"))
+    drifting = F.col("mode") == "DEAD_RECKONING"
+    reason = F.when(F.col("mode") == "WAITING_FOR_RTK", "NO_VALID_RTK_ANCHOR").when(drifting & ((F.col("t") - F.col("start_t")) / 1e9 > max_s), "DR_TIME_LIMIT").when(drifting & (F.col("distance") > max_m), "DR_DISTANCE_LIMIT").otherwise("NONE")
+    return j.withColumns({"reason": reason, "valid": reason == "NONE"}).select(*ticks.columns, "mode", "anchor_t", "start_t", *names, "distance", "valid", "reason")
+
+
+def rolling_map(scans: DataFrame, poses: DataFrame, *, radius: float = 60.0, leaf: float = 0.15, most: int = 80_000) -> DataFrame:
+    """(task_id, epoch, point_idx, x, y, z): the map of each epoch: voxel centroids of its scans, turned and shifted by their poses, within radius of the newest pose, thinned by a stride above most points. scans: frame_id, point_idx, x, y, z;
+    poses: frame_id, task_id, epoch, t, px, py, pz, qw, qx, qy, qz."""
+    j = scans.join(poses, "frame_id").withColumn("__r", R.rotate(R.quaternion(*[F.col(c) for c in ("qw", "qx", "qy", "qz")]), F.col("x"), F.col("y"), F.col("z")))
+    placed = j.select("task_id", "epoch", *[(F.col(f"__r.{c}") + F.col(f"p{c}")).alias(c) for c in "xyz"])
+    newest = poses.groupBy("task_id", "epoch").agg(F.max_by(F.struct("px", "py", "pz"), "t").alias("c"))
+    near = placed.join(newest, ["task_id", "epoch"]).where(F.sqrt(sum(F.pow(F.col(c) - F.col(f"c.p{c}"), 2) for c in "xyz")) <= radius)
+    cells = [F.floor(F.col(c) / leaf).cast("long").alias(f"v{c}") for c in "xyz"]
+    made = near.groupBy("task_id", "epoch", *cells).agg(*[F.avg(c).alias(c) for c in "xyz"])
+    ordered = W.partitionBy("task_id", "epoch").orderBy("vx", "vy", "vz")
+    ranked = made.withColumn("point_idx", F.row_number().over(ordered).cast("long") - 1).withColumn("__n", F.count("*").over(W.partitionBy("task_id", "epoch")))
+    return ranked.where(F.col("point_idx") % F.ceil(F.col("__n") / most) == 0).select("task_id", "epoch", "point_idx", "x", "y", "z")

@@ -233,3 +233,34 @@ def d3(spark, d):
     from ..config import PlaneConfig
 
     return S.clearance_results(A.points(spark, d), PlaneConfig(distance=0.4, voxel=0.2, max_planes=2, min_remaining=10, min_inliers=8, grid=0.8, span_cells=2, cells=4, residual_p95=0.5, iterations=60), LOOSE)
+
+
+def drives(spark, d):
+    """A tick for each event: fixes fail in stretches, odometry now and then; the local place follows the fix."""
+    k, u = F.col("event_id"), F.col("user_id")
+    lat = 30 + F.col("value") / 1e4
+    return A.table(spark, d, "events").select(u.alias("task_id"), (A.micros() * 1000).alias("t"), (F.floor(k / 97) % 3 > 0).alias("reliable"), (k % 41 > 0).alias("odom_ok"), lat.alias("lat"), F.lit(114.0).alias("lon"), F.lit(0.0).alias("alt"), F.col("value").alias("x"), (k % 50).cast("double").alias("y"), F.lit(0.0).alias("z"), F.lit(0.3).alias("yaw"), F.lit(1.0).alias("horizontal"), F.lit(1.0).alias("vertical"))
+
+
+@query("d11_dead_reckoning", f"""WITH RECURSIVE o AS (SELECT user_id AS task_id, epoch_us(ts) * 1000 AS t, event_id // 97 % 3 > 0 AS rel, event_id % 41 > 0 AS odo, value AS x, event_id % 50 * 1.0::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+f AS (SELECT task_id, 0::BIGINT AS k, 0::BIGINT AS t, 0 AS mode, NULL::BIGINT AS cand, NULL::BIGINT AS anchor, NULL::BIGINT AS start FROM o GROUP BY 1
+  UNION ALL SELECT o.task_id, o.k, o.t, CASE WHEN m2 = 3 AND o.t - s2 >= {20 * HOUR} THEN 1 ELSE m2 END, c, CASE WHEN f.mode < 2 AND m1 = 2 THEN c ELSE f.anchor END, CASE WHEN m2 IN (0, 1) OR (m2 = 3 AND o.t - s2 >= {20 * HOUR}) THEN NULL ELSE s2 END
+  FROM f JOIN o ON o.task_id = f.task_id AND o.k = f.k + 1, LATERAL (SELECT CASE WHEN rel AND odo THEN o.t ELSE f.cand END AS c),
+    LATERAL (SELECT CASE WHEN f.mode < 2 THEN CASE WHEN rel THEN 1 WHEN c IS NOT NULL AND odo THEN 2 ELSE 0 END WHEN f.mode = 3 AND NOT rel THEN 2 ELSE f.mode END AS m1), LATERAL (SELECT CASE WHEN m1 = 2 AND rel THEN 3 ELSE m1 END AS m2), LATERAL (SELECT CASE WHEN m2 <> f.mode THEN o.t ELSE f.start END AS s2)),
+j AS (SELECT f.task_id, f.t, ['WAITING_FOR_RTK', 'RTK', 'DEAD_RECKONING', 'RECOVERY'][mode + 1] AS mode, CASE WHEN mode > 1 THEN anchor END AS anchor_t, start AS start_t, o.x - a.x AS dx, o.y - a.y AS dy FROM f JOIN o ON o.task_id = f.task_id AND o.k = f.k LEFT JOIN o a ON a.task_id = f.task_id AND a.t = f.anchor WHERE f.k > 0),
+e AS (SELECT *, CASE mode WHEN 'RTK' THEN 0 WHEN 'DEAD_RECKONING' THEN cos(0.3) * dx - sin(0.3) * dy END AS east, CASE mode WHEN 'RTK' THEN 0 WHEN 'DEAD_RECKONING' THEN sin(0.3) * dx + cos(0.3) * dy END AS north FROM j)
+SELECT task_id, t, mode, anchor_t, start_t, round(east, 6) AS east, round(north, 6) AS north, CASE WHEN mode = 'WAITING_FOR_RTK' THEN 'NO_VALID_RTK_ANCHOR' WHEN mode = 'DEAD_RECKONING' AND (t - start_t) / 1e9::DOUBLE > 100000 THEN 'DR_TIME_LIMIT' WHEN mode = 'DEAD_RECKONING' AND sqrt(east * east + north * north) > 60 THEN 'DR_DISTANCE_LIMIT' ELSE 'NONE' END AS reason FROM e""")
+def d11(spark, d):
+    out = N.dead_reckoning(drives(spark, d), recovery_s=20 * 3600.0, max_s=100_000.0, max_m=60.0)
+    shown = [F.round(F.when(F.col("mode") != "RECOVERY", F.col(c)), 6).alias(c) for c in ("east", "north")]
+    return out.select("task_id", "t", "mode", "anchor_t", "start_t", *shown, "reason")
+
+
+@query("d13_rolling_map", f"""WITH {P}, q AS (SELECT frame_id % 3 AS epoch, y * -1 + frame_id AS x, x AS y, z AS z, frame_id FROM points), c AS (SELECT frame_id % 3 AS epoch, max(frame_id) AS px FROM points GROUP BY 1),
+n AS (SELECT q.* FROM q JOIN c USING (epoch) WHERE sqrt(pow(x - px, 2) + pow(y, 2) + pow(z, 2)) <= 6.5), v AS (SELECT epoch, floor(x / 0.5) AS vx, floor(y / 0.5) AS vy, floor(z / 0.5) AS vz, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM n GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY vx, vy, vz) - 1 AS point_idx, count(*) OVER (PARTITION BY epoch) AS n FROM v) SELECT CAST(epoch AS BIGINT) AS epoch, point_idx, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM r WHERE point_idx % CAST(ceil(n / 30.0) AS BIGINT) = 0""")
+def d13(spark, d):
+    p = A.points(spark, d)
+    half = F.sqrt(F.lit(0.5))
+    poses = p.select("frame_id").distinct().select("frame_id", F.lit(1).alias("task_id"), (F.col("frame_id") % 3).alias("epoch"), F.col("frame_id").alias("t"), F.col("frame_id").cast("double").alias("px"), F.lit(0.0).alias("py"), F.lit(0.0).alias("pz"), half.alias("qw"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), half.alias("qz"))
+    return rounded(N.rolling_map(p, poses, radius=6.5, leaf=0.5, most=30).drop("task_id"), 6, "x", "y", "z")

@@ -11,16 +11,15 @@ SEPARATOR = "    "
 
 
 def read_detail(spark: SparkSession, path: str, columns: tuple[str, str]) -> DataFrame:
-    """(index, height, valid): rows under the header that names both columns. The header is found by the names; rows of another
-    width are left out; heights that are no finite number are null; valid is height > 0."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("line"))
+    """(index, height, valid): rows under the header that names both columns, found by the names in each file for itself; files without one give no rows. Rows of
+    another width are left out; heights that are no finite number are null; valid is height > 0."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"))
     parts = lines.withColumn("p", F.split("line", r"\t| {4,}"))
-    header = parts.where(F.array_contains("p", columns[0]) & F.array_contains("p", columns[1])).select(F.size("p").alias("width"), F.array_position("p", columns[0]).cast("int").alias("a"), F.array_position("p", columns[1]).cast("int").alias("b")).limit(1).collect()
-    if not header:
-        raise ValueError("no header names both columns")
-    h = header[0]
+    named = F.array_contains("p", columns[0]) & F.array_contains("p", columns[1])
+    headers = parts.where(named).groupBy("file").agg(F.first(F.struct(F.size("p").alias("width"), F.array_position("p", columns[0]).cast("int").alias("a"), F.array_position("p", columns[1]).cast("int").alias("b"))).alias("h"))
     number = lambda i: F.element_at("p", i).try_cast("double")
-    rows = parts.where((F.size("p") == h["width"]) & ~F.array_contains("p", columns[0])).select(number(h["a"]).cast("long").alias("index"), number(h["b"]).alias("height"))
+    own = parts.join(headers.hint("shuffle_hash"), "file").where((F.size("p") == F.col("h.width")) & ~named)
+    rows = own.select(number(F.col("h.a")).cast("long").alias("index"), number(F.col("h.b")).alias("height")).where("index IS NOT NULL")
     finite = ~F.isnan("height") & (F.abs("height") < F.lit(float("inf")))
     return rows.withColumn("height", F.when(finite, F.col("height"))).withColumn("valid", F.coalesce(F.col("height") > 0, F.lit(False)))
 
