@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import AnomalyConfig
 from ..functions.geodesy import finite, lateral_coordinate
+from ..tables import stored
 
 DEFAULT = AnomalyConfig()
 OUTLIER, REVIEW, PERIODIC, STRUCTURE = "HIGH_CONFIDENCE_OUTLIER", "REVIEW_REQUIRED", "PROTECTED_PERIODIC_STRUCTURE", "VALID_STRUCTURE"
@@ -109,12 +110,16 @@ def low_events(rows: DataFrame, c: AnomalyConfig = DEFAULT) -> DataFrame:
 
 
 def flanks(samples: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each low row's nearest normal sample before and after it (structs d, h, x, y, z), however far."""
-    normal = F.when(F.coalesce("normal", F.lit(False)), F.struct(F.col("distance").alias("d"), F.col("height").alias("h"), F.col("point_x").alias("x"), F.col("point_y").alias("y"), F.col("point_z").alias("z")))
-    marks = rows.select("task_id", "sample_index", (~F.col("low")).alias("normal"))
+    """Each sample's nearest normal one before and after it (structs d, h, x, y, z), however far; event_features takes those within its reach."""
+    marks = rows.select("task_id", "sample_index", "low")
+    return sides(samples.join(marks, ["task_id", "sample_index"], "left"))
+
+
+def sides(marked: DataFrame) -> DataFrame:
+    """flanks of samples that have low (null for unusable ones)."""
+    normal = F.when(F.coalesce(~F.col("low"), F.lit(False)), F.struct(F.col("distance").alias("d"), F.col("height").alias("h"), F.col("point_x").alias("x"), F.col("point_y").alias("y"), F.col("point_z").alias("z")))
     order = W.partitionBy("task_id").orderBy("sample_index")
-    s = samples.join(marks, ["task_id", "sample_index"], "left")
-    s = s.withColumn("before", F.last(normal, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))).withColumn("after", F.first(normal, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)))
+    s = marked.withColumn("before", F.last(normal, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))).withColumn("after", F.first(normal, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)))
     return s.select("task_id", "sample_index", "before", "after")
 
 
@@ -200,7 +205,7 @@ def periodic_groups(events: DataFrame, c: AnomalyConfig = DEFAULT) -> DataFrame:
 
 def score_events(events: DataFrame, groups: DataFrame, c: AnomalyConfig = DEFAULT) -> DataFrame:
     """events with group, period, score, rules and status."""
-    e = events.join(groups, ["task_id", "event"]).withColumn("sufficient", F.col("sufficient") & F.col("complete"))
+    e = events.join(groups.hint("merge"), ["task_id", "event"]).withColumn("sufficient", F.col("sufficient") & F.col("complete"))
     back = F.coalesce((F.col("front_height") >= F.col("baseline") - c.normal_return) & (F.col("back_height") >= F.col("baseline") - c.normal_return), F.lit(False))
     stable, long_enough, periodic = F.col("height_mad") <= c.structure_max_mad, F.col("length") >= c.structure_min_length, F.col("group").isNotNull()
     broken, whole = F.coalesce(~F.col("continuous"), F.lit(False)), F.coalesce("continuous", F.lit(False))
@@ -227,26 +232,29 @@ def score_events(events: DataFrame, groups: DataFrame, c: AnomalyConfig = DEFAUL
 
 
 def analyze(samples: DataFrame, c: AnomalyConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(events, rollup): the scored low events, and by task the raw and effective minimum with counts."""
+    """(events, rollup): the scored low events, and by task the raw and effective minimum with counts. The samples with their baselines, and the events, are
+    written to the shared folder once; all later steps read them there."""
     s = classify_samples(travel_distance(samples, c))
-    rows = local_baselines(s, c)
-    events = event_features(low_events(rows, c), flanks(s, rows), c)
-    scored = score_events(events, periodic_groups(events, c), c)
-    return scored, rollup(s, scored)
+    marked = stored(local_baselines(s, c).unionByName(s.where("NOT usable"), allowMissingColumns=True), "baselines")
+    events = stored(event_features(low_events(marked, c), sides(marked), c), "events")
+    scored = stored(score_events(events, periodic_groups(events, c), c), "scored")
+    return scored, rollup(marked, scored)
 
 
 def rollup(s: DataFrame, scored: DataFrame) -> DataFrame:
     """Minima and counts by task; the effective minimum leaves out the samples of high-confidence outliers."""
     gone = scored.where(F.col("status") == OUTLIER).select("task_id", F.explode("samples").alias("sample_index")).withColumn("gone", F.lit(True))
     kinds = scored.groupBy("task_id").agg(F.count("*").alias("events"), F.count(F.when(F.col("status") == OUTLIER, 1)).alias("outliers"), F.count(F.when(F.col("status") == REVIEW, 1)).alias("reviews"))
-    base = s.join(gone, ["task_id", "sample_index"], "left").groupBy("task_id").agg(
+    base = s.join(gone.hint("merge"), ["task_id", "sample_index"], "left").groupBy("task_id").agg(
         F.min(F.when(F.col("usable"), F.col("height"))).alias("raw_min"), F.min(F.when(F.col("usable") & F.col("gone").isNull(), F.col("height"))).alias("effective_min"),
         F.count(F.when(F.col("usable"), 1)).alias("n_valid"), F.count(F.when(~F.col("usable"), 1)).alias("n_invalid"), F.count(F.when(F.col("reason") == "duplicate_source_frame", 1)).alias("n_duplicate"))
     return base.join(kinds, "task_id", "left").withColumns({k: F.coalesce(k, F.lit(0)).cast("long") for k in ("events", "outliers", "reviews")})
 
 
-def event_pairs(events: DataFrame) -> DataFrame:
-    """Pairs of a task's events in order (at most 128 events a task)."""
+def event_pairs(events: DataFrame, most: int = 128) -> DataFrame:
+    """Pairs of a task's events in order. Tasks of more than most events have none, as no periodic group is searched in them."""
+    few = events.groupBy("task_id").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("task_id")
+    events = events.join(few, "task_id", "left_semi")
     a, b = events.select("task_id", F.col("event").alias("i"), F.col("centre").alias("ci")), events.select("task_id", F.col("event").alias("j"), F.col("centre").alias("cj"))
     return a.join(b, "task_id").where("i < j").select("task_id", "i", "j", ((F.col("cj") - F.col("ci")) / (F.col("j") - F.col("i"))).alias("period"))
 

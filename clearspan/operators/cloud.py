@@ -58,7 +58,7 @@ def cell_neighbours(cells: DataFrame) -> DataFrame:
     """Pairs of occupied cells that touch at a side or a corner: eight offsets and an equi-join."""
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
     moved = cells.select("frame_id", "cx", "cy", steps.alias("s")).select("frame_id", F.col("cx").alias("ax"), F.col("cy").alias("ay"), (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"))
-    return moved.join(cells.select("frame_id", "cx", "cy"), ["frame_id", "cx", "cy"]).select("frame_id", "ax", "ay", F.col("cx").alias("bx"), F.col("cy").alias("by"))
+    return moved.hint("merge").join(cells.select("frame_id", "cx", "cy"), ["frame_id", "cx", "cy"]).select("frame_id", "ax", "ay", F.col("cx").alias("bx"), F.col("cy").alias("by"))
 
 
 def label_cells(cells: DataFrame) -> DataFrame:
