@@ -22,9 +22,23 @@ from .shared import whole
 #: Phrases and labels of the base scan. Fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Templates and labels of the automata. Fixed values; the first word of each is mandatory.
+#: Templates and labels of the automata: short forms, and the whole wording of three licences (those that end in -text). Fixed values; the first word of each is mandatory.
 TEMPLATES = {
     "apache-2.0": "apache license [[version]] 2 [[0]]",
+    "bsd-2-clause-text": """redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        [[1.]] redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        [[2.]] redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        [[3. neither the name of {{holder:1-10}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.]]
+        this software is provided by {{provider:1-8}} as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.
+        in no event shall {{owner:1-8}} be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption)
+        however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.""",
+    "isc-text": """permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        the software is provided as is and {{author:1-6}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. in no event shall {{holder:1-6}} be liable for any special, direct, indirect, or consequential damages
+        or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.""",
+    "mit-text": """permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files [[(the software)]], to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+        copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions: the above copyright notice and this permission notice [[(including the next paragraph)]] shall be included in all copies or substantial portions of the software.
+        the software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. in no event shall {{holder:1-6}} be liable for any claim, damages or other liability,
+        whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.""",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-by-4.0": "cc by 4 0",
     "cc-by-nc-4.0": "cc by nc 4 0",

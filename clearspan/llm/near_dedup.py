@@ -30,7 +30,8 @@ from .shared import stored, whole
 
 BANDS, ROWS, BLOCK = 32, 4, 256
 COORDINATES = BANDS * ROWS
-#: Coordinates that must agree before a tile confirms a pair on its sets: a pair of similarity 0.8 falls below with a chance under 1e-8.
+#: Share of coordinates that must agree before a tile compares two sets. For 128 independent coordinates a pair of similarity 0.8 has fewer with a
+#: chance of 2.7e-8; together with the bands (5e-8) a link is missed with a chance under 1e-7.
 LEAST_AGREEING = 0.59
 
 

@@ -61,9 +61,10 @@ def best(queries: np.ndarray, query_ids: np.ndarray, values: np.ndarray, ids: np
         q = np.array([[int(x) for x in row] for row in q], dtype=object).reshape(q.shape)
         v = np.array([[int(x) for x in row] for row in v], dtype=object).reshape(v.shape)
         for row in range(len(q)):
-            scores = [int(s) for s in v.dot(q[row])] if dim else [0] * n
+            # at the limits before they are ranked, so that the result doesn't depend on how rows are packed
+            scores = [max(-(2**63), min(2**63 - 1, int(s))) for s in v.dot(q[row])] if dim else [0] * n
             top = sorted((c for c in range(n) if ids[c] != query_ids[row]), key=lambda c: (-scores[c], ids[c]))[:k]
-            out.append((np.full(len(top), row), np.array([max(-(2**63), min(2**63 - 1, scores[c])) for c in top], dtype=np.int64), ids[top]))
+            out.append((np.full(len(top), row), np.array([scores[c] for c in top], dtype=np.int64), ids[top]))
     else:
         for at in range(0, len(q), 256):
             part = q[at : at + 256]
@@ -89,7 +90,7 @@ def search(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id"
     candidates that are there twice take two ranks. Scores beyond a long end at its limits. No usable rows: no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double") if scale else x.cast("double")).alias("v"))
+    rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: _whole(x.cast("double") * scale) if scale else x.cast("double")).alias("v"))
     chosen = rows.where(F.col("id") % 100 == 0 if queries is None else queries)
     n_queries = max(1, chosen.count())
     per_block = 4096
@@ -133,5 +134,10 @@ def search(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id"
     return merged.select("query_id", F.posexplode("top").alias("place", "hit")).select("query_id", (F.col("place") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-1 - F.col("hit.under")).alias("score"))
 
 
+def _whole(x: Column) -> Column:
+    """floor as a double; from 2^52 on doubles are whole themselves, and a long couldn't hold all of them."""
+    return F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)
+
+
 def _top(entries: Column, k: int) -> Column:
     return F.slice(F.sort_array(entries), 1, k)
