@@ -13,10 +13,10 @@ SCHEMA = "frame_id long, point_idx long, x double, y double, z double"
 
 
 def test_three_planes_give_the_lowest(spark):
-    rows = grid(1.5, 1, 0.05) + grid(2.5, 1, 0.05, start=5000) + grid(3.5, 1, 0.05, start=10_000)
+    # at a 5 cm step the 3 cm cells of one plane would not touch each other
+    rows = grid(1.5, 0.6, 0.025) + grid(2.5, 0.6, 0.025, start=5000) + grid(3.5, 0.6, 0.025, start=10_000)
     found = cloud.detect_planes(spark.createDataFrame(rows, SCHEMA)).collect()
-    # at a 5 cm step the 3 cm cells of one plane do not touch each other
-    assert found == [] or abs(min(r.height for r in found) - 1.5) <= 0.03
+    assert len(found) >= 3 and abs(min(r.height for r in found) - 1.5) <= 0.03
 
 
 def test_dense_planes_are_found(spark):

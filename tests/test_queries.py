@@ -45,5 +45,7 @@ def test_query_equals_its_sql(spark, db, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, DIR).count() >= 0
+def test_query_without_sql_gives_rows(spark, name):
+    """Their values are held against plain Python or fixtures in the other tests."""
+    df = catalogue.QUERIES[name](spark, DIR)
+    assert len(df.columns) > 1 and df.count() > 0
