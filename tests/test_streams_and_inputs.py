@@ -190,3 +190,16 @@ def test_motion_compensation_of_the_fixture(spark):
     far = p.withColumn("px", F.col("px") * 5)
     moved, stats = cloud.motion_compensate(d, frames, far)
     assert {r.point_idx: round(r.x, 6) for r in moved.collect()} == {0: 1.0, 1: 0.0, 2: 2.0} and stats.first()["mode"] == "ROTATION_ONLY"
+
+
+def test_sample_table_and_recovery(spark):
+    from clearspan.sources import measurements
+
+    d = measurements.conform_schema(spark.createDataFrame([("a", 0, 1, 1, 0.0, 1), ("a", -1, 1, 1, 0.0, 1), ("a", 1, None, 1, 0.0, 1), ("a", 2, 1, 1, 0.0, 3)], "task_id string, sample_index long, source_timestamp_ns long, recorded_timestamp_ns long, elapsed_ms double, valid int"))
+    assert len(d.columns) == 46 and d.columns[-1] == "odin_qw"
+    assert {r.sample_index: r.violation for r in measurements.broken_samples(d).collect()} == {-1: "sample_index is negative", 1: "source_timestamp_ns is missing", 2: "valid is no flag"}
+    p = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, None), ("a", 5.0, 4.0), ("a", -1.0, 4.0)], "task_id string, started_elapsed_ms double, ended_elapsed_ms double")
+    assert sorted(r.started_elapsed_ms for r in measurements.broken_pauses(p).collect()) == [-1.0, 5.0]
+    meta = spark.createDataFrame([("a", 0, None, "confirmed"), ("b", 0, None, "stale_fix"), ("c", 1, "x", "confirmed")], "task_id string, complete int, ended_at string, exit_status string")
+    out = {r.task_id: (r.exit_status, r.n_samples, r.n_valid, r.n_frames) for r in measurements.recover_orphans(meta, d, spark.createDataFrame([("a",)], "task_id string")).collect()}
+    assert out == {"a": ("confirmed", 4, 3, 1), "b": ("unconfirmed", 0, 0, 0)}
