@@ -276,6 +276,16 @@ def test_token_store(docs, empty, tmp_path):
     assert token_store.read_tokens(token_store.write_tokens(empty, P.path("word_bpe_49k.json"))).count() == 0
 
 
+def test_encoder_equals_the_library_on_any_text():
+    from tokenizers import Tokenizer
+
+    made, library, r = token_store.Encoder(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json")), np.random.default_rng(6)
+    parts = ["the", "ing", "Él", "ß", "İ", "漢字", "😀", "e\u0301", "\u00a0", "\u200b", "\t", "\n", " ", "  ", ".", ",", "'s", "'", "1", "23", "-", "_", "<|endoftext|>", "<|startoftext|>", "</w>", "&amp;", "#", "\x00", "\x7f", "A"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts, size=int(r.integers(0, 12))))
+        assert np.frombuffer(made.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_planes_round_trip():
     for ids in (np.zeros(0, np.uint32), np.array([0]), np.array([2**32 - 1, 0, 7]), np.arange(70_001)):
         for kind in ("bit", "byte"):
