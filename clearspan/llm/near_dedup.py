@@ -5,7 +5,8 @@ value of a second permutation at (spread - k) mod 2^32, so two permutations serv
 4 rows miss a pair of similarity 0.8 with a chance of (1 - 0.8^4)^32 = 5e-8.
 
 Documents with equal shingle sets are one class from the start, so a group of copies costs one signature row. Then
- 1. star links: in each bucket every class is compared with the bucket's smallest one: linear in the bucket;
+ 1. star links: every class is compared with the smallest class that it shares a bucket with, and, where their components still differ,
+    with the smallest one of each other bucket: linear in the buckets;
  2. components of the verified links;
  3. buckets that still hold several components: their classes are compared in tiles of at most 2 x BLOCK classes, each
     of which returns only links that join components. Blocks of one component are never compared with each other, so
@@ -168,6 +169,12 @@ def tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("tile").applyInPandas(link, "a long, b long")
 
 
+def with_components(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, value, centre, doc, component) of the classes in shared buckets; a class without links is its own component."""
+    joined = members.select("band", "value", "centre", F.col("rep").alias("doc")).join(found.hint("merge"), F.col("doc") == F.col("node"), "left")
+    return joined.select("band", "value", "centre", "doc", F.coalesce("component", "doc").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: which rows are linked, directly or through others, by sets with
     100 * intersection >= percent * union; component_id is the smallest id reachable, kept whether it is the row's own.
@@ -187,10 +194,15 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc: str = "doc_id",
     members = stored(banded.join(shared.hint("merge"), ["band", "value"]).select("band", "value", "rep", "ha", "centre"), "members")
     wanted = members.select(F.col("rep").alias("doc"), "ha").distinct()
     sets = stored(sets_of(docs, wanted, text, doc, shingle_words).dropDuplicates(["doc"]), "sets")
-    pairs = members.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(confirmed(pairs, sets, percent), "links")
+    # each class against the smallest centre of its buckets, then against the centres of other components: a group of copies gives about a link a class
+    nearest = members.groupBy(F.col("rep").alias("b")).agg(F.min("centre").alias("a")).where("a != b").select("a", "b")
+    links = stored(confirmed(nearest, sets, percent), "links")
+    found = stored(with_components(members, components(links)), "found")
+    apart = found.groupBy("band", "value", "centre").agg(F.max_by("component", F.col("doc") == F.col("centre")).alias("own"))
+    others = found.join(stored(apart, "centres").hint("merge"), ["band", "value", "centre"]).where("component != own").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
+    links = stored(links.union(confirmed(others, sets, percent)), "links")
     first = components(links)
-    found = stored(members.select("band", "value", "rep").join(first.hint("merge"), F.col("rep") == F.col("node"), "left").select("band", "value", F.col("rep").alias("doc"), F.coalesce("component", "rep").alias("component")), "found")
+    found = stored(with_components(members, first), "found")
     mixed = found.groupBy("band", "value").agg(F.min("doc").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "value", "least")
     open_ = stored(found.join(stored(mixed, "mixed").hint("merge"), ["band", "value"]).select("doc", "component", "least").distinct(), "open")
     if open_.limit(1).count():
