@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, near_dedup, piece_coding, quality_rules, source_mixing, substring_dedup, token_store, topk_search, toxicity
+from . import embedding_join, license_scan, line_dedup, near_dedup, piece_coding, quality_rules, source_mixing, substring_dedup, token_store, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +114,28 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op11_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+linked AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT vec_id, vec_id AS top FROM embeddings
+  UNION SELECT l.b AS vec_id, r.top FROM reach r JOIN linked l ON l.a = r.vec_id WHERE r.top < l.b),
+tops AS (SELECT vec_id, min(top) AS top FROM reach GROUP BY vec_id),
+counts AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, top AS component_id, e.vec_id = top AS kept
+FROM embeddings e JOIN tops ON e.vec_id = tops.vec_id LEFT JOIN counts ON a = e.vec_id
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_source_mixing": op2_source_mixing,
@@ -125,5 +147,6 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_store": op10_token_store,
+    "op11_embedding_join": op11_embedding_join,
 }
-ORACLES = {"op3_exact_topk": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES = {"op3_exact_topk": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_embedding_join": OP11_SQL}
