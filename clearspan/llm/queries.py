@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_join, license_scan, line_dedup, near_dedup, piece_coding, quality_rules, source_mixing, substring_dedup, token_store, topk_search, toxicity
+from . import embedding_join, license_scan, line_dedup, near_dedup, phrase_mining, piece_coding, prefix_trie, quality_rules, source_mixing, substring_dedup, token_store, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,6 +136,77 @@ FROM embeddings e JOIN tops ON e.vec_id = tops.vec_id LEFT JOIN counts ON a = e.
 """
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(_table(spark, sf_dir, "documents"), threshold=10, cover=50, top=2000)
+
+
+OP12_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS size, unnest(w) AS phrase FROM split
+  UNION ALL SELECT lang, 2 AS size, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) AS phrase FROM split WHERE len(w) > 1
+  UNION ALL SELECT lang, 3 AS size, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS phrase FROM split WHERE len(w) > 2),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY lang, size, phrase HAVING count(*) >= 10),
+totals AS (SELECT lang, count(*) AS n FROM grams WHERE size = 1 GROUP BY lang),
+parts AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cuts AS (
+  SELECT p.lang, p.size, p.phrase, p.a, k, x.a AS l, y.a AS r, CAST((CAST(1000000 AS HUGEINT) * p.a * p.a) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM parts p, range(1, 3) t(k), f x, f y
+  WHERE k < p.size AND x.lang = p.lang AND x.phrase = array_to_string(p.w[1:k], ' ') AND y.lang = p.lang AND y.phrase = array_to_string(p.w[k + 1:], ' ')),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM parts WHERE size = 3
+  UNION ALL SELECT lang, array_to_string(w[2:3], ' ') AS phrase, a FROM parts WHERE size = 3),
+longest AS (SELECT lang, phrase, max(a) AS a FROM inside GROUP BY lang, phrase),
+kept AS (SELECT c.* FROM least c LEFT JOIN longest o ON o.lang = c.lang AND o.phrase = c.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * c.a)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM (
+  SELECT k.*, n, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept k JOIN totals USING (lang))
+WHERE rank <= 2000
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = """
+WITH crc AS (
+  SELECT range AS byte, list_reduce([range] || range(8), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(3988292384, r // 2) ELSE r // 2 END) AS v FROM range(256)),
+crcs AS (SELECT list(v ORDER BY byte) AS t FROM crc),
+raw AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT c, c - c % 20 AS base, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)),
+      lambda r, b: xor(r // 256, t[1 + xor(r % 256, b)]))) % 4 AS h
+  FROM (SELECT DISTINCT c FROM raw), crcs),
+parts AS (
+  SELECT i.c, 0 AS own, k, role, text FROM ids i JOIN raw r ON r.c = i.base WHERE k <= h
+  UNION ALL SELECT i.c, 1 AS own, k, role, text FROM ids i JOIN raw r ON r.c = i.c WHERE k > h),
+turns AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, k) AS depth, md5(length(role) || ':' || role || text) AS h,
+    len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words FROM parts),
+members AS (
+  SELECT c, depth, words, string_agg(h, '' ORDER BY depth) OVER (PARTITION BY c ORDER BY depth) AS path FROM turns
+  UNION ALL SELECT c, 0 AS depth, 0 AS words, '' AS path FROM ids),
+deepest AS (SELECT c, max(depth) AS depth FROM members GROUP BY c),
+ends AS (SELECT path, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ends FROM members JOIN deepest USING (c, depth) GROUP BY path),
+nodes AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, min(words) AS words FROM members GROUP BY path, depth),
+kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+flat AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+below AS (
+  SELECT a.path, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved
+  FROM (SELECT left(path, 32 * d) AS path, n_children, n_convs, words FROM flat, range((SELECT max(depth) + 1 FROM nodes)) r(d) WHERE d <= depth) b JOIN flat a USING (path) GROUP BY a.path)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM flat f JOIN below USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes p ON f.depth > 0 AND p.path = left(f.path, 32 * (f.depth - 1))
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_source_mixing": op2_source_mixing,
@@ -148,5 +219,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_store": op10_token_store,
     "op11_embedding_join": op11_embedding_join,
+    "op12_phrase_mining": op12_phrase_mining,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES = {"op3_exact_topk": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_embedding_join": OP11_SQL}
+ORACLES = {"op3_exact_topk": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_embedding_join": OP11_SQL, "op12_phrase_mining": OP12_SQL, "op13_prefix_trie": OP13_SQL}
