@@ -85,28 +85,38 @@ def profiles(docs: DataFrame, text: str, doc: str, size: int) -> DataFrame:
             for at in range(0, len(whole_batch), 500):
                 b = whole_batch.iloc[at : at + 500]
                 sets = shingle_sets(b["text"].tolist(), size)
+                hashes = [set_hashes(s) for s in sets]
                 yield pd.DataFrame({
                     "doc": b["doc"].astype("Int64").to_numpy(),
                     "n": [len(s) for s in sets],
-                    "ha": [int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets],
-                    "hb": [int(np.bitwise_xor.reduce(mix(s + np.uint64(0x632BE59BD9B4E019))).view(np.int64)) if len(s) else 0 for s in sets],
+                    "ha": [a for a, _ in hashes],
+                    "hb": [b for _, b in hashes],
                     "bands": [band_hashes(signature(s)) if len(s) else None for s in sets],
                 })
 
     return docs.select(F.col(doc).cast("long").alias("doc"), whole(F.col(text)).alias("text")).mapInPandas(profile, "doc long, n long, ha long, hb long, bands array<long>")
 
 
+def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    if not len(shingles):
+        return 0, 0
+    return int(mix(shingles).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(shingles + np.uint64(0x632BE59BD9B4E019))).view(np.int64))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc: str, size: int) -> DataFrame:
-    """(doc, shingles): the set of each wanted doc as bytes, made from its text."""
+    """(node, shingles): the set of each wanted class as bytes, made from a text of its rep that has just this set. wanted: (node, rep, ha, hb)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 500):
                 some = b.iloc[at : at + 500]
-                yield pd.DataFrame({"doc": some["doc"].to_numpy(), "ha": some["ha"].to_numpy(), "shingles": [s.tobytes() for s in shingle_sets(some["text"].tolist(), size)]})
+                sets = shingle_sets(some["text"].tolist(), size)
+                own = [set_hashes(s) == h for s, h in zip(sets, zip(some["ha"].tolist(), some["hb"].tolist(), strict=True), strict=True)]
+                yield pd.DataFrame({"node": some["node"].to_numpy()[own], "shingles": [s.tobytes() for s, o in zip(sets, own, strict=True) if o]})
 
-    texts = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), whole(F.col(text)).alias("text"))
-    return texts.join(wanted.hint("shuffle_hash"), "doc").mapInPandas(make, "doc long, ha long, shingles binary")
+    texts = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("rep"), whole(F.col(text)).alias("text"))
+    return texts.join(wanted.hint("shuffle_hash"), "rep").mapInPandas(make, "node long, shingles binary").dropDuplicates(["node"]).withColumnRenamed("node", "doc")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +181,7 @@ def tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def with_components(members: DataFrame, found: DataFrame) -> DataFrame:
     """(band, value, centre, doc, component) of the classes in shared buckets; a class without links is its own component."""
-    joined = members.select("band", "value", "centre", F.col("rep").alias("doc")).join(found.hint("merge"), F.col("doc") == F.col("node"), "left")
+    joined = members.select("band", "value", "centre", F.col("node").alias("doc")).join(found.withColumnRenamed("node", "of").hint("merge"), F.col("doc") == F.col("of"), "left")
     return joined.select("band", "value", "centre", "doc", F.coalesce("component", "doc").alias("component"))
 
 
@@ -188,14 +198,16 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc: str = "doc_id",
         raise ValueError("the banding finds pairs of similarity 0.8 and more")
     seen = stored(profiles(docs, text, doc, shingle_words), "profiles")
     named = seen.where("doc IS NOT NULL AND n > 0")
-    classes = stored(named.groupBy("ha", "hb", "n").agg(F.min_by("bands", "doc").alias("bands"), F.min("doc").alias("rep")), "classes")
-    banded = classes.select("rep", "ha", F.posexplode("bands").alias("band", "value"))
-    shared = stored(banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("rep").alias("centre")).where("n > 1").drop("n"), "buckets")
-    members = stored(banded.join(shared.hint("merge"), ["band", "value"]).select("band", "value", "rep", "ha", "centre"), "members")
-    wanted = members.select(F.col("rep").alias("doc"), "ha").distinct()
-    sets = stored(sets_of(docs, wanted, text, doc, shingle_words).dropDuplicates(["doc"]), "sets")
+    # a class has a number of its own: its smallest id may be that of another class too
+    grouped = named.groupBy("ha", "hb", "n").agg(F.min_by("bands", "doc").alias("bands"), F.min("doc").alias("rep"))
+    classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    banded = classes.select("node", "rep", "ha", "hb", F.posexplode("bands").alias("band", "value"))
+    shared = stored(banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n"), "buckets")
+    members = stored(banded.join(shared.hint("merge"), ["band", "value"]).select("band", "value", "node", "rep", "ha", "hb", "centre"), "members")
+    wanted = members.select("node", "rep", "ha", "hb").distinct()
+    sets = stored(sets_of(docs, wanted, text, doc, shingle_words), "sets")
     # each class against the smallest centre of its buckets, then against the centres of other components: a group of copies gives about a link a class
-    nearest = members.groupBy(F.col("rep").alias("b")).agg(F.min("centre").alias("a")).where("a != b").select("a", "b")
+    nearest = members.groupBy(F.col("node").alias("b")).agg(F.min("centre").alias("a")).where("a != b").select("a", "b")
     links = stored(confirmed(nearest, sets, percent), "links")
     found = stored(with_components(members, components(links)), "found")
     apart = found.groupBy("band", "value", "centre").agg(F.max_by("component", F.col("doc") == F.col("centre")).alias("own"))
@@ -212,7 +224,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc: str = "doc_id",
         final = components(links.union(more)) if more.limit(1).count() else first
     else:
         final = first
-    named_classes = stored(classes.join(final.hint("merge"), F.col("rep") == F.col("node"), "left").select("ha", "hb", "n", F.coalesce("component", "rep").alias("component_id")), "classes")
+    placed = stored(classes.join(final.withColumnRenamed("node", "of").hint("merge"), F.col("node") == F.col("of"), "left").select("ha", "hb", "n", "rep", F.coalesce("component", "node").alias("group")), "placed")
+    least = stored(placed.groupBy("group").agg(F.min("rep").alias("component_id")), "least")
+    named_classes = stored(placed.join(least.hint("merge"), "group").select("ha", "hb", "n", "component_id"), "classes")
     out = seen.drop("bands").join(named_classes.hint("merge"), ["ha", "hb", "n"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))

@@ -1,9 +1,9 @@
 """Exact top-k search: tiled matrix products of queries and shards, partial selection per tile, tree merging.
 
-Candidates are packed into shards and queries into blocks, each a few MB of integers. A tile task gets one block and a few
+Candidates are packed into shards and queries into blocks, each a few MB of integers. A tile task gets some BUNDLE blocks and a few
 shards, multiplies them in slices, and keeps k candidates a query. The lists of a query are then merged by twos of
 FAN, level by level, so that no task sees more than FAN lists of a query however many shards there are. Blocks
-are copied once for each group of shards and shards once for each block: the traffic of any tiled product.
+are copied once for each group of shards and shards once for each bundle of blocks: the traffic of any tiled product.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Lists of one query that a merge joins.
 FAN = 16
+#: Query blocks that a tile holds together: shards are copied once for each bundle of them.
+BUNDLE = 8
 EXACT = 2.0**53
 
 
@@ -89,7 +91,6 @@ def search(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id"
     no part. Missing components of a shorter vector count as 0. A query row that is there twice has two lists;
     candidates that are there twice take two ranks. Scores beyond a long end at its limits. No usable rows: no rows.
     """
-    spark = vectors.sparkSession
     rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: _whole(x.cast("double") * scale) if scale else x.cast("double")).alias("v"))
     chosen = rows.where(F.col("id") % 100 == 0 if queries is None else queries)
     n_queries = max(1, chosen.count())
@@ -99,11 +100,9 @@ def search(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id"
     from .shared import stored
 
     blocks, shards = stored(blocks, "blocks"), stored(packed(rows, megabytes), "shards")
-    groups = max(1, (shards.count() + 3) // 4)
-    names = spark.createDataFrame([(r["pack"], i) for i, r in enumerate(blocks.select("pack").collect())] or [(-1, -1)], "pack long, block int")
-    n_blocks = max(1, blocks.count())
-    left = blocks.join(F.broadcast(names), "pack").select("block", "ids", "values", "dim").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = shards.withColumn("group", F.pmod(F.xxhash64("pack"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("block", "group", "ids", "values", "dim")
+    groups, bundles = max(1, (shards.count() + 3) // 4), max(1, (blocks.count() + BUNDLE - 1) // BUNDLE)
+    left = blocks.withColumn("bundle", F.pmod(F.xxhash64("pack"), F.lit(bundles)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("bundle", "group", F.col("pack").alias("block"), "ids", "values", "dim")
+    right = shards.withColumn("group", F.pmod(F.xxhash64("pack"), F.lit(groups)).cast("int")).withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1)))).select("bundle", "group", "ids", "values", "dim")
 
     def unpack(r) -> tuple[np.ndarray, np.ndarray]:
         ids = np.frombuffer(r.ids, dtype=np.int64)
@@ -116,14 +115,14 @@ def search(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id"
             for s in others.itertuples():
                 ids, values = unpack(s)
                 row, score, found = best(q, query_ids, values, ids, k)
-                made.append(pd.DataFrame({"block": b.block, "group": b.group, "row": row, "query_id": query_ids[row], "score": score, "vec_id": found}))
+                made.append(pd.DataFrame({"block": b.block, "group": np.int32(b.group), "row": row, "query_id": query_ids[row], "score": score, "vec_id": found}))
         if not made:
-            return pd.DataFrame({"block": [], "group": [], "row": [], "query_id": [], "score": [], "vec_id": []}).astype({"block": "int32", "group": "int32"})
-        every = pd.concat(made).sort_values(["row", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-        return every.groupby("row", sort=False).head(k)
+            return pd.DataFrame({"block": [], "group": [], "row": [], "query_id": [], "score": [], "vec_id": []}).astype("int64")
+        every = pd.concat(made).sort_values(["block", "row", "score", "vec_id"], ascending=[True, True, False, True], kind="stable")
+        return every.groupby(["block", "row"], sort=False).head(k)
 
-    schema = "block int, group int, row long, query_id long, score long, vec_id long"
-    lists = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(tile, schema)
+    schema = "block long, group int, row long, query_id long, score long, vec_id long"
+    lists = left.groupBy("bundle", "group").cogroup(right.groupBy("bundle", "group")).applyInPandas(tile, schema)
     # ascending order of (-score - 1, vec_id) is descending score, then ascending id; -score - 1 cannot overflow
     entry = F.struct((-1 - F.col("score")).alias("under"), F.col("vec_id"))
     merged = lists.groupBy("block", "row", "query_id", F.floor(F.col("group") / FAN).cast("int").alias("group")).agg(_top(F.collect_list(entry), k).alias("top"))
