@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import new_path, stored
 
 #: Words of a pack; bytes of a text that are coded at once.
-PACK, SLICE = 4_000_000, 4_000_000
+PACK, SLICE = 3_000_000, 4_000_000
 #: Shards of the cycle.
 SHARDS = 2
 #: Buckets in which frequent words are numbered.
@@ -120,6 +120,12 @@ def coded(docs: DataFrame, lang: str, text: str, shards: int, pack: int) -> tupl
     return every.where("codes IS NOT NULL").select("shard", "pack", "codes", "tail"), every.where("code IS NOT NULL").select("shard", "pack", "code", "lang", "word", "n")
 
 
+def counted(keys: np.ndarray, since: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(scan, keys, their counts) for each scan in since; of all equal keys since is the same."""
+    for scan in np.flatnonzero(np.bincount(since)).tolist():
+        yield scan, *np.unique(keys[since == scan], return_counts=True)
+
+
 class Scanned:
     """A pack's words as numbers, with the scan from which each is active; and which of its pairs have reached the threshold, from which scan on."""
 
@@ -127,37 +133,37 @@ class Scanned:
         codes, tail = np.frombuffer(packs["codes"].iloc[0], dtype=np.int32), int(packs["tail"].iloc[0])
         words, pairs = known[known["pair"] < 0], known[known["pair"] >= 0]
         size = int(max(codes.max(initial=-1), BREAK)) + 2
-        number, since = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int32)
-        number[words["code"].to_numpy(np.int64)] = words["id"].to_numpy(np.int64)
-        since[words["code"].to_numpy(np.int64)] = words["at"].to_numpy(np.int64)
-        self.word, active = number[codes], since[codes]  # BREAK is the last entry, which is no word
+        number, active = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int8)
+        number[words["code"].to_numpy()] = words["id"].to_numpy()
+        active[words["code"].to_numpy()] = words["at"].to_numpy()
+        self.word, active = number[codes], active[codes]  # BREAK is the last entry, which is no word
         self.starts = len(codes) - tail
-        both = (self.word[:-1] >= 0) & (self.word[1:] >= 0)
-        self.pair = np.where(both, (self.word[:-1] << 32) | self.word[1:], -1)
+        self.pair = (self.word[:-1].astype(np.int64) << 32) | self.word[1:]
+        self.pair[(self.word[:-1] < 0) | (self.word[1:] < 0)] = -1
         self.since = np.maximum(active[:-1], active[1:])
         order = np.argsort(pairs["pair"].to_numpy(np.int64), kind="stable")
-        self.reached, self.reached_at = pairs["pair"].to_numpy(np.int64)[order], pairs["at"].to_numpy(np.int64)[order]
+        self.reached, self.reached_at = pairs["pair"].to_numpy(np.int64)[order], pairs["at"].to_numpy(np.int8)[order]
 
     def pairs(self, after: int, every: bool) -> pd.DataFrame:
         """(pair, n, since) of the pairs active since a scan later than after; every: and the others, with no count."""
         pair, since = self.pair[: self.starts], self.since[: self.starts]
         keep = pair >= 0 if every else (pair >= 0) & (since > after)
-        key, first, n = np.unique(pair[keep], return_index=True, return_counts=True)
-        since = since[keep][first]
-        return pd.DataFrame({"pair": key, "n": np.where(since > after, n, 0), "since": since})
+        made = [pd.DataFrame({"pair": key, "n": n if scan > after else 0 * n, "since": scan}) for scan, key, n in counted(pair[keep], since[keep])]
+        return pd.concat(made) if made else pd.DataFrame({"pair": [], "n": [], "since": []}, dtype="int64")
 
     def triples(self, after: int) -> pd.DataFrame:
         """(pair, third, n, since) of the triples active since a scan later than after."""
-        if not len(self.reached) or len(self.pair) < 2:
-            return pd.DataFrame({"pair": [], "third": [], "n": [], "since": []}, dtype="int64")
-        at = np.minimum(np.searchsorted(self.reached, self.pair), len(self.reached) - 1)
-        hit = (self.reached[at] == self.pair) & (self.pair >= 0)
-        since = np.maximum(self.reached_at[at[:-1]], self.reached_at[at[1:]])
-        keep = hit[:-1] & hit[1:] & (since > after)
-        keep[self.starts :] = False
-        place = np.flatnonzero(keep)
-        key, first, n = np.unique((at[place] << 32) | self.word[place + 2], return_index=True, return_counts=True)
-        return pd.DataFrame({"pair": self.reached[key >> 32], "third": key & (2**32 - 1), "n": n, "since": since[place][first]})
+        made = []
+        if len(self.reached) and len(self.pair) > 1:
+            at = np.minimum(np.searchsorted(self.reached, self.pair), len(self.reached) - 1).astype(np.int32)
+            hit = (self.reached[at] == self.pair) & (self.pair >= 0)
+            since = np.maximum(self.reached_at[at[:-1]], self.reached_at[at[1:]])
+            keep = hit[:-1] & hit[1:] & (since > after)
+            keep[self.starts :] = False
+            place = np.flatnonzero(keep)
+            keys = (at[place].astype(np.int64) << 32) | self.word[place + 2]
+            made = [pd.DataFrame({"pair": self.reached[key >> 32], "third": key & (2**32 - 1), "n": n, "since": scan}) for scan, key, n in counted(keys, since[place])]
+        return pd.concat(made) if made else pd.DataFrame({"pair": [], "third": [], "n": [], "since": []}, dtype="int64")
 
 
 def pairs_of(after: int, every: bool):
