@@ -110,6 +110,22 @@ class HeadingConfig:
     max_jump: float = 0.08726646259971647
 
 
+@dataclass(frozen=True)
+class RegistrationConfig:
+    """Correspondences of a scan with a map and the observability of their alignment. Metres, degrees; variances in their squares."""
+
+    max_points: int = 2500
+    neighbours: int = 10
+    cell: float = 0.5
+    max_distance: float = 1.5
+    max_variation: float = 0.20
+    least_relative: float = 1.0e-4
+    least_eigenvalue: float = 1.0e-5
+    blind_variance: float = 1.0e6
+    position_noise: float = 0.05
+    attitude_noise_deg: float = 0.20
+
+
 #: Profiles of the plane search: the active one of a tunnel drive, a roof survey and a small board.
 PROFILES = {
     "initial": PlaneConfig(),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import PlaneConfig, SurfaceConfig
 from ..functions.geodesy import finite
 from .cloud import detect_planes, in_roi, lowest_candidate, stride_limit, voxel_centroids
+from .registration import nearest_points
 
 MOMENTS = ["ee", "en", "nn", "e", "n", "one"]
 
@@ -120,22 +121,9 @@ def nearest(p: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, k), dtype=np.int64)
 
 
-def knn(points: DataFrame, k: int = 20) -> DataFrame:
-    """(frame_id, point_idx, rank, near_idx, distance): the k nearest other points of each point in its frame, ties to the smaller number. Frames are bounded by adaptive_voxel."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("point_idx")
-        p, idx = frame[["x", "y", "z"]].to_numpy(float), frame["point_idx"].to_numpy()
-        parts = []
-        for at in range(0, len(p), 512):
-            far = np.sqrt(((p[at : at + 512, None, :] - p[None, :, :]) ** 2).sum(axis=2))
-            far[np.arange(far.shape[0]), at + np.arange(far.shape[0])] = np.inf
-            order = np.argsort(far, axis=1, kind="stable")[:, : min(k, len(p) - 1)]
-            n = order.shape[1]
-            parts.append(pd.DataFrame({"frame_id": frame["frame_id"].iloc[0], "point_idx": np.repeat(idx[at : at + 512], n), "rank": np.tile(np.arange(1, n + 1), len(far)), "near_idx": idx[order].ravel(), "distance": np.take_along_axis(far, order, axis=1).ravel()}))
-        return pd.concat(parts)
-
-    return points.groupBy("frame_id").applyInPandas(run, "frame_id long, point_idx long, rank int, near_idx long, distance double")
+def knn(points: DataFrame, k: int = 20, cell: float = 0.5) -> DataFrame:
+    """(frame_id, point_idx, rank, near_idx, distance): the k nearest other points of each point in its frame, ties to the smaller number, through a voxel grid."""
+    return nearest_points(points, points, k, cell=cell, other=True).select("frame_id", "point_idx", "rank", "near_idx", "distance")
 
 
 def normals_of(p: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
