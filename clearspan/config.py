@@ -126,6 +126,24 @@ class RegistrationConfig:
     attitude_noise_deg: float = 0.20
 
 
+@dataclass(frozen=True)
+class FusionConfig:
+    """The inertial filter: limits, noise densities and first uncertainties. Metres, seconds, radians."""
+
+    gravity: float = 9.80665
+    max_step_s: float = 0.02
+    max_acceleration: float = 50.0
+    acceleration_noise: float = 0.20
+    attitude_noise: float = 0.01
+    bias_walk: float = 0.01
+    position_std: float = 0.10
+    velocity_std: float = 1.0
+    attitude_std: float = 0.35
+    bias_std: float = 0.30
+    max_position_std: float = 1.0
+    max_inertial_s: float = 2.0
+
+
 #: Profiles of the plane search: the active one of a tunnel drive, a roof survey and a small board.
 PROFILES = {
     "initial": PlaneConfig(),

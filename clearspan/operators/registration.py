@@ -59,7 +59,7 @@ def nearest_points(queries: DataFrame, targets: DataFrame, k: int, *, cell: floa
         else:
             state = state.withColumn("lost", F.lit(False))
         state = stored(state, "state")
-        done.append(ranked.join(state.where("sure AND NOT lost").select("frame_id", "point_idx").hint("merge"), ["frame_id", "point_idx"]))
+        done.append(stored(ranked.join(state.where("sure AND NOT lost").select("frame_id", "point_idx").hint("merge"), ["frame_id", "point_idx"]), "near"))
         open_ = state.where("NOT sure AND NOT lost").select(open_.columns)
         if not open_.limit(1).count():
             return functools.reduce(DataFrame.unionByName, done)

@@ -1,10 +1,11 @@
-"""Registered queries of nearest neighbours and alignments, each with its SQL where SQL can state it."""
+"""Registered queries of alignments and of the inertial filter, each with its SQL where SQL can state it."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..config import RegistrationConfig
+from ..operators import fusion as U
 from ..operators import navigation as N
 from ..operators import registration as G
 from . import adapters as A
@@ -101,3 +102,16 @@ def d14(spark, d):
     rows = q.select((F.col("frame_id") % 3).alias("task_id"), F.col("frame_id").alias("seq"), "fitness", "inlier_ratio", F.sqrt(F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty") + F.col("tz") * F.col("tz")).alias("shift"), "dof",
                     F.degrees(2 * F.acos(F.least(F.abs(F.col("qw")), F.lit(1.0)))).alias("rotation_deg"), "rotation_dof", F.lit(0.2).alias("improvement"), "qw", "qx", "qy", "qz")
     return N.gate_alignment(rows)
+
+
+@query("d12_fuse_navigation")
+def d12(spark, d):
+    """Samples as rows 5 ms apart, each eighth a fix; some steps and forces are out of bounds."""
+    k, v = F.col("sample_index"), F.col("height")
+    fix, yaw = k % 8 == 7, k * 0.002
+    late = F.floor(k / 61) * 100_000_000
+    zero = F.lit(0.0)
+    rows = A.samples(spark, d).select(
+        "task_id", (k * 5_000_000 + late + 1_000_000_000).cast("long").alias("t"), F.col("source_sequence").alias("seq"), fix.alias("fix"), F.when(fix, k * 0.01).otherwise(F.when(k % 97 == 50, 80.0).otherwise(v - 1)).alias("x"),
+        F.when(fix, v * 0.02).otherwise(zero).alias("y"), F.when(fix, zero).otherwise(9.80665).alias("z"), F.lit(0.04).alias("variance"), F.cos(yaw / 2).alias("qw"), zero.alias("qx"), zero.alias("qy"), F.sin(yaw / 2).alias("qz"))
+    return U.fuse_navigation(rows, bucket_ns=400_000_000)
