@@ -1,7 +1,6 @@
 """Quality rules: counted rules, then a hashed n-gram log-likelihood ratio between trusted and raw text.
 
-N-grams are words, neighbouring pairs of words and the last two characters of words, hashed into buckets whose number
-grows with the corpus (`buckets_for`). One multinomial comes from every document of the table (raw), one from every
+N-grams are words, neighbouring pairs of words and the last two characters of words, hashed into BUCKETS buckets. One multinomial comes from every document of the table (raw), one from every
 trusted row (labels.quality = 1). A document's score is the mean over its n-grams of log(trusted / raw), so its
 length cancels out; documents under a fixed threshold go. Every rule works inside one row on arrays: scoring has no
 shuffle, and fitting shuffles at most one row for each bucket and map task. Built-in functions only.
@@ -80,18 +79,12 @@ def bucket_of(h: Column, buckets: int) -> Column:
 END = 0
 
 
-#: Least and most buckets. The most bounds the table that each task holds (131,072 doubles).
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 14, 1 << 17
+#: Buckets, whatever the corpus's size: a table of 65,536 doubles in each task.
+BUCKETS = 1 << 16
 #: Trusted ids up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 
-def buckets_for(docs: DataFrame, text: str) -> int:
-    """A power of two of buckets: one for 8 KB of text, between the bounds."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
-    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (size // 8192).bit_length() - 1 if size >= 8192 else 1))
-
-
 def fit_ratio(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str = "doc_id", buckets: int) -> list[float]:
     """log(trusted / raw) by bucket: raw counts cover all of docs, trusted ones every row whose id has quality = 1. Both get one
     added count a bucket. The driver gets a row for each bucket."""
@@ -113,15 +106,14 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: st
     return [round(math.log(own[i] / raw[i]) + shift, 9) for i in range(buckets)]
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str = "doc_id", buckets: int | None = None, threshold: float = -0.4) -> DataFrame:
-    """All rows and columns of docs with the counts, base_failed, llr and kept. buckets: those of buckets_for, unless given.
+def with_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str = "doc_id", buckets: int = BUCKETS, threshold: float = -0.4) -> DataFrame:
+    """All rows and columns of docs with the counts, base_failed, llr and kept. buckets is a power of two.
 
     A null text counts as an empty one: no words, base_failed, llr 0. A text without words has llr 0. If no row is
     trusted the ratio is flat and only the counted rules decide. Repeated rows are judged each for itself; null ids are
     never trusted; an empty table gives an empty one. Input columns with an output's name are replaced, all others carried.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in OUTPUTS])
-    buckets = buckets or buckets_for(docs, text)
     weights = fit_ratio(docs, labels, text=text, doc=doc, buckets=buckets)
     (words,) = free_names(docs.columns, "__words")
     counted = base_counts(docs, words, text=text)

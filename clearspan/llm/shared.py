@@ -1,13 +1,13 @@
-"""Folders shared by the executors, and a few column helpers."""
+"""The shared folder's tables, and a few column helpers."""
 
-from __future__ import annotations
 
-import tempfile
-import uuid
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..tables import new_path, shared_dir, stored
+
 #: The six ASCII white-space characters, space first.
 BLANKS = " \t\n\x0b\x0c\r"
 #: The same as a Java character class.
@@ -15,32 +15,6 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own, in local mode only."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("clearspan.scratch.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("clearspan.scratch.dir", where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, lineage cut, safe from lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_names(columns: list[str], *names: str) -> list[str]:
     """The names, each with underscores added until it is none of the columns (upper and lower case alike)."""
     taken, out = {c.lower() for c in columns}, []
