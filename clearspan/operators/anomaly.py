@@ -252,11 +252,14 @@ def rollup(s: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def event_pairs(events: DataFrame, most: int = 128) -> DataFrame:
-    """Pairs of a task's events in order. Tasks of more than most events have none, as no periodic group is searched in them."""
-    few = events.groupBy("task_id").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("task_id")
-    events = events.join(few, "task_id", "left_semi")
-    a, b = events.select("task_id", F.col("event").alias("i"), F.col("centre").alias("ci")), events.select("task_id", F.col("event").alias("j"), F.col("centre").alias("cj"))
-    return a.join(b, "task_id").where("i < j").select("task_id", "i", "j", ((F.col("cj") - F.col("ci")) / (F.col("j") - F.col("i"))).alias("period"))
+    """(task_id, i, j, period, complete): pairs of a task's events in order. No periodic group is searched in a task of more than most events: it has one row instead, without a pair,
+    and complete is false."""
+    sized = events.join(events.groupBy("task_id").agg(F.count("*").alias("n")).hint("merge"), "task_id")
+    few = sized.where(F.col("n") <= most)
+    a, b = few.select("task_id", F.col("event").alias("i"), F.col("centre").alias("ci")), few.select("task_id", F.col("event").alias("j"), F.col("centre").alias("cj"))
+    pairs = a.join(b.hint("merge"), "task_id").where("i < j").select("task_id", "i", "j", ((F.col("cj") - F.col("ci")) / (F.col("j") - F.col("i"))).alias("period"), F.lit(True).alias("complete"))
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in pairs.dtypes if c in ("i", "j", "period")]
+    return pairs.unionByName(sized.where(F.col("n") > most).select("task_id").distinct().select("task_id", *none, F.lit(False).alias("complete")))
 
 
 def analysis_trace(scored: DataFrame, roll: DataFrame) -> DataFrame:

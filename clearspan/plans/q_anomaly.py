@@ -96,8 +96,10 @@ def j18(spark, d):
     return N.flanks(s, rows).join(lows, ["task_id", "sample_index"]).select("task_id", "sample_index", F.round("before.h", 6).alias("front"), F.round("after.h", 6).alias("back"))
 
 
-@query("j14_event_pairs", f"""WITH {LOOSE_SQL}, f AS (SELECT task_id, CAST(event AS BIGINT) AS event, (min(distance) + max(distance)) / 2 AS c FROM clustered GROUP BY ALL)
-SELECT a.task_id, a.event AS i, b.event AS j, round((b.c - a.c) / (b.event - a.event), 6) AS period FROM f a JOIN f b ON a.task_id = b.task_id AND a.event < b.event""")
+@query("j14_event_pairs", f"""WITH {LOOSE_SQL}, f AS (SELECT task_id, CAST(event AS BIGINT) AS event, (min(distance) + max(distance)) / 2 AS c FROM clustered GROUP BY ALL),
+sized AS (SELECT *, count(*) OVER (PARTITION BY task_id) AS n FROM f)
+SELECT a.task_id, a.event AS i, b.event AS j, round((b.c - a.c) / (b.event - a.event), 6) AS period, true AS complete FROM sized a JOIN sized b ON a.task_id = b.task_id AND a.event < b.event WHERE a.n <= 128
+UNION ALL SELECT DISTINCT task_id, NULL::BIGINT AS i, NULL::BIGINT AS j, NULL::DOUBLE AS period, false AS complete FROM sized WHERE n > 128""")
 def j14(spark, d):
     rows = N.local_baselines(N.classify_samples(N.travel_distance(breaking(spark, d))), LOOSE)
     e = N.low_events(rows, LOOSE).groupBy("task_id", "event").agg(((F.min("distance") + F.max("distance")) / 2).alias("centre"))

@@ -9,6 +9,7 @@ from ..functions.geodesy import llh_to_enu
 from ..operators import catalog as K
 from ..operators import navigation as N
 from ..operators import surface as S
+from ..operators.align import spacing_filter
 from . import adapters as A
 
 HOUR = 3_600_000_000_000
@@ -140,15 +141,21 @@ def j9(spark, d):
     return j.select("task_id", "seq", "t", F.round("x", 6).alias("x"), F.when(agrees, F.round(steps, 3)).alias("lat_steps"))
 
 
-@query("a20_max_span_pair", f"""WITH {A.TRAJECTORY}, o AS (SELECT task_id, x, y, east, north, row_number() OVER (PARTITION BY task_id ORDER BY stamp_ns, line, x, y) AS seq FROM trajectory), k AS (SELECT * FROM o WHERE seq <= 40 + task_id % 3 * 30), n AS (SELECT task_id, count(*) AS n FROM k GROUP BY 1),
-p AS (SELECT a.task_id, a.seq AS f, b.seq AS l, pow(b.x - a.x, 2) + pow(b.y - a.y, 2) AS far, sqrt(pow(b.east - a.east, 2) + pow(b.north - a.north, 2)) AS g, row_number() OVER (PARTITION BY a.task_id ORDER BY pow(b.x - a.x, 2) + pow(b.y - a.y, 2) DESC, a.seq, b.seq) AS r FROM k a JOIN k b ON a.task_id = b.task_id AND a.seq < b.seq JOIN n ON n.task_id = a.task_id WHERE n <= 80)
-SELECT n.task_id, f AS first, l AS last, round(sqrt(far), 6) AS baseline, round(sqrt(far) / g, 6) AS ratio, CASE WHEN n > 80 THEN NULL ELSE round(radians(30), 6) END AS heading_error, CASE WHEN n > 80 THEN 'TOO_MANY' ELSE 'NONE' END AS reason FROM n LEFT JOIN p ON p.task_id = n.task_id AND r = 1""")
+@query("a20_max_span_pair", f"""WITH RECURSIVE {A.TRAJECTORY}, o AS (SELECT task_id, stamp_ns, x, y, east, north, row_number() OVER (PARTITION BY task_id ORDER BY stamp_ns, line, x, y) AS seq FROM trajectory),
+f AS (SELECT *, true AS kept FROM o WHERE seq = 1
+  UNION ALL SELECT o.task_id, CASE WHEN ok THEN o.stamp_ns ELSE f.stamp_ns END, CASE WHEN ok THEN o.x ELSE f.x END, CASE WHEN ok THEN o.y ELSE f.y END, o.east, o.north, o.seq, ok
+  FROM f JOIN o ON o.task_id = f.task_id AND o.seq = f.seq + 1, LATERAL (SELECT o.stamp_ns > f.stamp_ns AND sqrt(pow(o.x - f.x, 2) + pow(o.y - f.y, 2)) >= 20 AS ok)),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) AS n FROM f WHERE kept) WHERE n <= 100),
+p AS (SELECT a.task_id, a.seq AS f, b.seq AS l, b.x - a.x AS dx, b.y - a.y AS dy, b.east - a.east AS de, b.north - a.north AS dn,
+  row_number() OVER (PARTITION BY a.task_id ORDER BY pow(b.x - a.x, 2) + pow(b.y - a.y, 2) DESC, a.seq, b.seq) AS r FROM k a JOIN k b ON a.task_id = b.task_id AND a.seq < b.seq)
+SELECT t.task_id, f AS first, l AS last, round(sqrt(dx * dx + dy * dy), 6) AS baseline, round(sqrt(dx * dx + dy * dy) / sqrt(de * de + dn * dn), 6) AS ratio,
+  round(atan2(sin(atan2(dn, de) - atan2(dy, dx)), cos(atan2(dn, de) - atan2(dy, dx))), 6) AS heading_error, CASE WHEN f IS NULL THEN 'TOO_FEW' ELSE 'NONE' END AS reason
+FROM (SELECT DISTINCT task_id FROM k) t LEFT JOIN p ON p.task_id = t.task_id AND r = 1""")
 def a20(spark, d):
     from pyspark.sql import Window as W
 
     t = A.trajectory(spark, d).withColumn("seq", F.row_number().over(W.partitionBy("task_id").orderBy("stamp_ns", "line", "x", "y")).cast("long"))
-    out = N.max_span_pair(t.where("seq <= 40 + task_id % 3 * 30"), most=80)
-    return rounded(out.drop("baseline_global"), 6, "baseline", "ratio", "heading_error")
+    return rounded(N.max_span_pair(spacing_filter(t, 20.0, 100), most=100).drop("baseline_global"), 6, "baseline", "ratio", "heading_error")
 
 
 @query("j19_overdue_transitions", "SELECT event_id AS task_id FROM events WHERE event_id % 3 = 0 AND event_id % 5 > 0 AND event_type <> 'error' AND epoch_us(ts) < 1705000000000000")
