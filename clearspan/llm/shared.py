@@ -1,6 +1,5 @@
 """The shared folder's tables, and a few column helpers."""
 
-
 from __future__ import annotations
 
 from pyspark.sql import Column
