@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rotation as R
 from ..functions.geodesy import enu_to_llh, finite, llh_to_enu, wrap_radians
+from .replay import replayed
 from .temporal import interpolate_join, receipt_to_sensor_time
 
 # Fixed values.
@@ -212,55 +213,93 @@ def max_span_pair(pairs: DataFrame, key: str = "task_id", most: int = 100) -> Da
 
 
 MODES = ("WAITING_FOR_RTK", "RTK", "DEAD_RECKONING", "RECOVERY")
+NEVER = -(2**63)
+ANCHOR = ["lat", "lon", "alt", "x", "y", "z", "yaw", "horizontal", "vertical"]
 
 
-def navigation_modes(ticks: DataFrame, *, recovery_s: float = 3.0, immediate: bool = False) -> DataFrame:
-    """(task_id, t, mode, anchor_t, start_t) of each tick (task_id, t, reliable, odom_ok, one row for each t). While fixes are reliable the mode is RTK, and the newest such tick with
-    odometry may become an anchor. Without them it is DEAD_RECKONING from that anchor, which stays until fixes are back and RECOVERY has lasted recovery_s (no time at all if immediate); without
-    an anchor or odometry it is WAITING_FOR_RTK. start_t is where the present stretch of dead reckoning or recovery began. A fold of three columns by task."""
+def drive_states(ticks: DataFrame, *, recovery_s: float = 3.0, max_s: float = 1800.0, max_m: float = 30_000.0, immediate: bool = False, bucket_ns: int = 3_600_000_000_000) -> DataFrame:
+    """(task_id, t, mode, anchor_t, start_t, recovery_t, held, reason, east, north, up, and lat, lon, alt of the anchor (a_) and of the fix a recovery goes to (r_)) of each tick; see dead_reckoning for the rules.
+    east, north, up: the dead-reckoned place, or where a recovery began. A fold of narrow rows, run by time buckets."""
+    lost = [math.nan] * 9
 
-    def fold(task: pd.DataFrame) -> pd.DataFrame:
-        task, mode, candidate, anchor, start, out = task.sort_values("t"), 0, None, None, None, []
-        for t, reliable, odom in zip(task["t"].tolist(), task["reliable"].tolist(), task["odom_ok"].tolist(), strict=True):
+    def fold(rows, entry: tuple[list, list] | None) -> tuple[list[tuple], tuple[list, list]]:
+        mode, seen, anchor, start, since = entry[0] if entry else [0, NEVER, NEVER, NEVER, NEVER]
+        d = entry[1] if entry else lost + lost + [math.nan] * 9
+        ahead, own, last, begin, aim = d[:9], d[9:18], d[18:21], d[21:24], d[24:27]  # the newest candidate, the anchor, the last valid place, where a recovery begins and ends
+        out = []
+        for t, reliable, odom, gyro, *at in rows:
             if reliable and odom:
-                candidate = t
-            if mode in (0, 1):
+                seen, ahead = t, at
+            if mode < 2:
                 if reliable:
-                    mode, start = 1, None
-                elif candidate is not None and odom:
-                    mode, anchor, start = 2, candidate, t
+                    mode = 1
+                elif seen != NEVER and odom:
+                    mode, anchor, own, start = 2, seen, ahead, t
                 else:
-                    mode, start = 0, None
+                    mode = 0
             elif mode == 3 and not reliable:
-                mode, start = 2, t
+                mode = 2  # dead reckoning goes on: its anchor and its clock stay
             if mode == 2 and reliable:
-                mode, start = (1, None) if immediate else (3, t)
-            if mode == 3 and t - start >= recovery_s * 1e9:
-                mode, start = 1, None
-            out.append((MODES[mode], anchor if mode > 1 else None, start))
-        times = [pd.array([o[i] for o in out], dtype="Int64") for i in (1, 2)]  # never as doubles, which cannot hold nanoseconds
-        return pd.DataFrame({"task_id": task["task_id"].to_numpy(), "t": task["t"].to_numpy(), "mode": [o[0] for o in out], "anchor_t": times[0], "start_t": times[1]})
-
-    return ticks.select("task_id", "t", "reliable", "odom_ok").groupBy("task_id").applyInPandas(fold, f"task_id {_kind(ticks, 'task_id')}, t long, mode string, anchor_t long, start_t long")
-
-
-def dead_reckoning(ticks: DataFrame, *, recovery_s: float = 3.0, max_s: float = 1800.0, max_m: float = 30_000.0) -> DataFrame:
-    """ticks (task_id, t, reliable, odom_ok, lat, lon, alt, x, y, z, yaw, horizontal, vertical) with mode, east, north, up about the anchor, distance, valid and reason. In RTK the place is the
-    fix's own; in DEAD_RECKONING it follows the odometry from the anchor, until max_s or max_m are passed; in RECOVERY it goes from the dead-reckoned place to the fix's, both where the stretch began."""
-    modes = navigation_modes(ticks, recovery_s=recovery_s)
-    own = ["lat", "lon", "alt", "x", "y", "z", "yaw", "horizontal", "vertical"]
-    j = ticks.join(modes.hint("merge"), ["task_id", "t"])
-    at = lambda key, name: ticks.select("task_id", F.col("t").alias(key), F.struct(*own).alias(name))
-    j = j.join(at("anchor_t", "a").hint("merge"), ["task_id", "anchor_t"], "left").join(at("start_t", "s").hint("merge"), ["task_id", "start_t"], "left")
-    moved = lambda p: scale_rotate(F.col(f"{p}x") - F.col("a.x"), F.col(f"{p}y") - F.col("a.y"), F.col(f"{p}z") - F.col("a.z"), F.col("a.yaw"), F.col("a.horizontal"), F.col("a.vertical"))
-    fix = llh_to_enu(F.col("a.lat"), F.col("a.lon"), F.col("a.alt"), F.col("s.lat"), F.col("s.lon"), F.col("s.alt"))
-    j = j.withColumns({"__now": moved(""), "__from": moved("s."), "__to": fix, "__r": F.least(F.greatest((F.col("t") - F.col("start_t")) / 1e9 / max(0.001, recovery_s), F.lit(0.0)), F.lit(1.0))})
-    names = ("east", "north", "up")
-    place = {c: F.when(F.col("mode") == "DEAD_RECKONING", F.col(f"__now.{c}")).when(F.col("mode") == "RECOVERY", F.col(f"__from.{c}") + F.col("__r") * (F.col(f"__to.{c}") - F.col(f"__from.{c}"))).when(F.col("mode") == "RTK", 0.0) for c in names}
-    j = j.withColumns(place).withColumn("distance", F.hypot("east", "north"))
-    drifting = F.col("mode") == "DEAD_RECKONING"
-    reason = F.when(F.col("mode") == "WAITING_FOR_RTK", "NO_VALID_RTK_ANCHOR").when(drifting & ((F.col("t") - F.col("start_t")) / 1e9 > max_s), "DR_TIME_LIMIT").when(drifting & (F.col("distance") > max_m), "DR_DISTANCE_LIMIT").otherwise("NONE")
-    return j.withColumns({"reason": reason, "valid": reason == "NONE"}).select(*ticks.columns, "mode", "anchor_t", "start_t", *names, "distance", "valid", "reason")
+                if math.isfinite(last[0]):
+                    since, begin, aim = t, last, at[:3]
+                mode = 3 if math.isfinite(last[0]) and not immediate else 1
+            place, reason, held = [math.nan] * 3, "NONE", False
+            if mode == 0:
+                reason = "NO_VALID_RTK_ANCHOR"
+            elif mode == 3:
+                place = begin
+            elif mode == 2 and not odom:
+                held = bool(gyro) and math.isfinite(last[0])
+                place, reason = (last, "NONE") if held else (place, "ODOMETRY_TIMEOUT")
+            elif mode == 2:
+                x, y, z = (at[i] - own[i] for i in (3, 4, 5))
+                c, s, h, v = math.cos(own[6]), math.sin(own[6]), own[7], own[8]
+                moved = [c * h * x - s * h * y, s * h * x + c * h * y, v * z]
+                if not all(map(math.isfinite, [*own, *at[3:6], *moved])):
+                    reason = "INVALID_ANCHOR_OR_ODIN"
+                elif (t - start) / 1e9 > max_s:
+                    reason = "DEAD_RECKONING_DURATION_EXCEEDED"
+                elif math.hypot(moved[0], moved[1]) > max_m:
+                    reason = "DEAD_RECKONING_DISTANCE_EXCEEDED"
+                else:
+                    last = place = moved
+            out.append((t, MODES[mode], anchor, start if mode > 1 else NEVER, since if mode == 3 else NEVER, held, reason, *place, *own[:3], *aim))
+            if mode == 3 and t - since >= max(0.001, recovery_s) * 1e9:
+                mode = 1
+            if mode != 3:  # what no later tick reads is cleared, so that states agree early
+                since, begin, aim = NEVER, lost[:3], lost[:3]
+            if mode < 2:
+                start = NEVER
+        return out, ([mode, seen, anchor, start, since], [*ahead, *own, *last, *begin, *aim])
+
+    gyro = F.coalesce(F.col("gyro_ok"), F.lit(False)) if "gyro_ok" in ticks.columns else F.lit(False)
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    narrow = ticks.select("task_id", "t", sure(F.col("reliable") & finite(*[F.col(c) for c in ANCHOR[:3]])).alias("reliable"), sure(F.col("odom_ok")).alias("odom_ok"), gyro.alias("gyro_ok"), *[F.coalesce(F.col(c).cast("double"), F.lit(math.nan)).alias(c) for c in ANCHOR])
+    places = ", ".join(f"{c} double" for c in ("east", "north", "up", "a_lat", "a_lon", "a_alt", "r_lat", "r_lon", "r_alt"))
+    made = replayed(narrow, fold, f"t long, mode string, anchor_t long, start_t long, recovery_t long, held boolean, reason string, {places}", bucket_ns=bucket_ns)
+    return made.withColumns({c: F.when(F.col(c) != NEVER, F.col(c)) for c in ("anchor_t", "start_t", "recovery_t")})
+
+
+def dead_reckoning(ticks: DataFrame, *, recovery_s: float = 3.0, max_s: float = 1800.0, max_m: float = 30_000.0, immediate: bool = False, bucket_ns: int = 3_600_000_000_000) -> DataFrame:
+    """ticks (task_id, t, reliable, odom_ok, lat, lon, alt, x, y, z, yaw, horizontal, vertical and, if there are any, gyro_ok and track; one row for each t) with mode, anchor_t, start_t, recovery_t, east, north, up about the
+    anchor, distance, valid, reason and heading_source.
+
+    While fixes are reliable the mode is RTK: the place is the fix's own about the anchor of the last dead reckoning (nought before there was one), and the newest such tick with odometry may become
+    an anchor. Without fixes it is DEAD_RECKONING from that anchor, following the odometry; a tick without odometry keeps the last place if gyro_ok, else is ODOMETRY_TIMEOUT; beyond max_s since start_t, or max_m, it isn't
+    valid either. Fixes that come back start RECOVERY, from the last valid dead-reckoned place to the fix of that tick, over recovery_s (if immediate, or without such a place: RTK at once); fixes lost meanwhile
+    lead back to dead reckoning with its anchor and its start_t. Without an anchor or odometry the mode is WAITING_FOR_RTK. Rows that aren't valid are at nought. A null flag is false, a fix with a null or non-finite part isn't reliable;
+    ticks without task or t are dropped."""
+    states = drive_states(ticks, recovery_s=recovery_s, max_s=max_s, max_m=max_m, immediate=immediate, bucket_ns=bucket_ns)
+    j = ticks.join(states.select("task_id", "t", *[F.col(c).alias(f"__{c}") for c in states.columns if c not in ("task_id", "t")]).hint("merge"), ["task_id", "t"])
+    anchor, ratio = [F.col(f"__a_{c}") for c in ANCHOR[:3]], F.least((F.col("t") - F.col("__recovery_t")) / 1e9 / max(0.001, recovery_s), F.lit(1.0))
+    j = j.withColumns({"__fix": llh_to_enu(*anchor, *[F.col(c) for c in ANCHOR[:3]]), "__aim": llh_to_enu(*anchor, *[F.col(f"__r_{c}") for c in ANCHOR[:3]]), "__ratio": ratio})
+    mode, valid = F.col("__mode"), F.col("__reason") == "NONE"
+    own = {c: F.when(~valid, 0.0).when(mode == "DEAD_RECKONING", F.col(f"__{c}")).when(mode == "RECOVERY", F.col(f"__{c}") + F.col("__ratio") * (F.col(f"__aim.{c}") - F.col(f"__{c}"))).when(F.col("__anchor_t").isNull(), 0.0).otherwise(F.col(f"__fix.{c}")) for c in ("east", "north", "up")}
+    track = finite(F.col("track")) if "track" in ticks.columns else F.lit(False)
+    turned = F.coalesce(F.col("odom_ok") & finite(F.col("yaw")), F.lit(False))
+    source = F.when(~valid, "INVALID").when(F.col("__held"), "IMU_GYRO").when((mode == "DEAD_RECKONING") | turned, "ODIN").when(track, "RTK_TRACK").otherwise("INVALID")
+    told = [F.col(f"__{c}").alias(c) for c in ("mode", "anchor_t", "start_t", "recovery_t")]
+    return j.select(*[F.col(c) for c in ticks.columns], *told, *[v.alias(c) for c, v in own.items()], F.hypot(own["east"], own["north"]).alias("distance"), valid.alias("valid"), F.col("__reason").alias("reason"), source.alias("heading_source"))
 
 
 def rolling_map(scans: DataFrame, poses: DataFrame, *, radius: float = 60.0, leaf: float = 0.15, most: int = 80_000) -> DataFrame:

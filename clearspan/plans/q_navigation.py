@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import SurfaceConfig
+from ..functions import geodesy as G
 from ..functions.geodesy import llh_to_enu
 from ..operators import catalog as K
 from ..operators import navigation as N
@@ -243,24 +244,33 @@ def d3(spark, d):
 
 
 def drives(spark, d):
-    """A tick for each event: fixes fail in stretches, odometry now and then; the local place follows the fix."""
+    """A tick for each event: fixes fail in stretches, odometry now and then, half of such ticks with a gyro; the local place follows the fix."""
     k, u = F.col("event_id"), F.col("user_id")
-    lat = 30 + F.col("value") / 1e4
-    return A.table(spark, d, "events").select(u.alias("task_id"), (A.micros() * 1000).alias("t"), (F.floor(k / 97) % 3 > 0).alias("reliable"), (k % 41 > 0).alias("odom_ok"), lat.alias("lat"), F.lit(114.0).alias("lon"), F.lit(0.0).alias("alt"), F.col("value").alias("x"), (k % 50).cast("double").alias("y"), F.lit(0.0).alias("z"), F.lit(0.3).alias("yaw"), F.lit(1.0).alias("horizontal"), F.lit(1.0).alias("vertical"))
-
-
-@query("d11_dead_reckoning", f"""WITH RECURSIVE o AS (SELECT user_id AS task_id, epoch_us(ts) * 1000 AS t, event_id // 97 % 3 > 0 AS rel, event_id % 41 > 0 AS odo, value AS x, event_id % 50 * 1.0::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
-f AS (SELECT task_id, 0::BIGINT AS k, 0::BIGINT AS t, 0 AS mode, NULL::BIGINT AS cand, NULL::BIGINT AS anchor, NULL::BIGINT AS start FROM o GROUP BY 1
-  UNION ALL SELECT o.task_id, o.k, o.t, CASE WHEN m2 = 3 AND o.t - s2 >= {20 * HOUR} THEN 1 ELSE m2 END, c, CASE WHEN f.mode < 2 AND m1 = 2 THEN c ELSE f.anchor END, CASE WHEN m2 IN (0, 1) OR (m2 = 3 AND o.t - s2 >= {20 * HOUR}) THEN NULL ELSE s2 END
-  FROM f JOIN o ON o.task_id = f.task_id AND o.k = f.k + 1, LATERAL (SELECT CASE WHEN rel AND odo THEN o.t ELSE f.cand END AS c),
-    LATERAL (SELECT CASE WHEN f.mode < 2 THEN CASE WHEN rel THEN 1 WHEN c IS NOT NULL AND odo THEN 2 ELSE 0 END WHEN f.mode = 3 AND NOT rel THEN 2 ELSE f.mode END AS m1), LATERAL (SELECT CASE WHEN m1 = 2 AND rel THEN 3 ELSE m1 END AS m2), LATERAL (SELECT CASE WHEN m2 <> f.mode THEN o.t ELSE f.start END AS s2)),
-j AS (SELECT f.task_id, f.t, ['WAITING_FOR_RTK', 'RTK', 'DEAD_RECKONING', 'RECOVERY'][mode + 1] AS mode, CASE WHEN mode > 1 THEN anchor END AS anchor_t, start AS start_t, o.x - a.x AS dx, o.y - a.y AS dy FROM f JOIN o ON o.task_id = f.task_id AND o.k = f.k LEFT JOIN o a ON a.task_id = f.task_id AND a.t = f.anchor WHERE f.k > 0),
-e AS (SELECT *, CASE mode WHEN 'RTK' THEN 0 WHEN 'DEAD_RECKONING' THEN cos(0.3) * dx - sin(0.3) * dy END AS east, CASE mode WHEN 'RTK' THEN 0 WHEN 'DEAD_RECKONING' THEN sin(0.3) * dx + cos(0.3) * dy END AS north FROM j)
-SELECT task_id, t, mode, anchor_t, start_t, round(east, 6) AS east, round(north, 6) AS north, CASE WHEN mode = 'WAITING_FOR_RTK' THEN 'NO_VALID_RTK_ANCHOR' WHEN mode = 'DEAD_RECKONING' AND (t - start_t) / 1e9::DOUBLE > 100000 THEN 'DR_TIME_LIMIT' WHEN mode = 'DEAD_RECKONING' AND sqrt(east * east + north * north) > 60 THEN 'DR_DISTANCE_LIMIT' ELSE 'NONE' END AS reason FROM e""")
+    lat, lon = 30 + F.col("value") / 1e6, 114 + k % 50 / 1e6
+    return A.table(spark, d, "events").select(u.alias("task_id"), (A.micros() * 1000).alias("t"), (F.floor(k / 97) % 3 > 0).alias("reliable"), (k % 41 > 0).alias("odom_ok"), (k % 2 > 0).alias("gyro_ok"), F.when(k % 5 > 0, (k % 360).cast("double")).alias("track"), lat.alias("lat"), lon.alias("lon"), F.lit(0.0).alias("alt"), F.col("value").alias("x"), (k % 50).cast("double").alias("y"), F.lit(0.0).alias("z"), F.lit(0.3).alias("yaw"), F.lit(1.0).alias("horizontal"), F.lit(1.0).alias("vertical"))
+
+
+@query("d11_dead_reckoning", f"""WITH RECURSIVE r AS (SELECT user_id AS task_id, epoch_us(ts) * 1000 AS t, event_id // 97 % 3 > 0 AS rel, event_id % 41 > 0 AS odo, event_id % 2 > 0 AS gyro, event_id % 5 > 0 AS track, value AS x, event_id % 50 * 1.0::DOUBLE AS y, radians(30 + value / 1e6::DOUBLE) AS p, radians(114 + event_id % 50 / 1e6::DOUBLE) AS l, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+o AS (SELECT *, {G.A!r}::DOUBLE / sqrt(1 - {G.E2!r} * sin(p) * sin(p)) AS big, big * cos(p) * cos(l) AS ex, big * cos(p) * sin(l) AS ey, big * (1 - {G.E2!r}) * sin(p) AS ez FROM r),
+f AS (SELECT task_id, 0::BIGINT AS k, 0 AS mode, 0 AS told, NULL::BIGINT AS cand, NULL::DOUBLE AS cx, NULL::DOUBLE AS cy, NULL::BIGINT AS anchor, NULL::DOUBLE AS ax, NULL::DOUBLE AS ay, NULL::BIGINT AS start, NULL::DOUBLE AS le, NULL::DOUBLE AS ln, NULL::BIGINT AS since, NULL::DOUBLE AS fe, NULL::DOUBLE AS fn, false AS held, '' AS reason FROM o GROUP BY 1
+  UNION ALL SELECT o.task_id, o.k, CASE WHEN m2 = 3 AND o.t - since2 >= {20 * HOUR} THEN 1 ELSE m2 END, m2, c, cx2, cy2, anchor2, ax2, ay2, start2, CASE WHEN why = 'NONE' AND m2 = 2 AND odo THEN e ELSE f.le END, CASE WHEN why = 'NONE' AND m2 = 2 AND odo THEN n ELSE f.ln END, since2,
+    CASE WHEN m1 = 2 AND m2 = 3 THEN f.le ELSE f.fe END, CASE WHEN m1 = 2 AND m2 = 3 THEN f.ln ELSE f.fn END, m2 = 2 AND NOT odo AND why = 'NONE', why
+  FROM f JOIN o ON o.task_id = f.task_id AND o.k = f.k + 1, LATERAL (SELECT CASE WHEN rel AND odo THEN o.t ELSE f.cand END AS c, CASE WHEN rel AND odo THEN o.x ELSE f.cx END AS cx2, CASE WHEN rel AND odo THEN o.y ELSE f.cy END AS cy2),
+    LATERAL (SELECT CASE WHEN f.mode < 2 THEN CASE WHEN rel THEN 1 WHEN c IS NOT NULL AND odo THEN 2 ELSE 0 END WHEN f.mode = 3 AND NOT rel THEN 2 ELSE f.mode END AS m1),
+    LATERAL (SELECT CASE WHEN m1 = 2 AND rel THEN CASE WHEN f.le IS NULL THEN 1 ELSE 3 END ELSE m1 END AS m2, f.mode < 2 AND m1 = 2 AS entered),
+    LATERAL (SELECT CASE WHEN entered THEN c ELSE f.anchor END AS anchor2, CASE WHEN entered THEN cx2 ELSE f.ax END AS ax2, CASE WHEN entered THEN cy2 ELSE f.ay END AS ay2, CASE WHEN entered THEN o.t ELSE f.start END AS start2, CASE WHEN m1 = 2 AND m2 = 3 THEN o.t ELSE f.since END AS since2),
+    LATERAL (SELECT cos(0.3) * (o.x - ax2) - sin(0.3) * (o.y - ay2) AS e, sin(0.3) * (o.x - ax2) + cos(0.3) * (o.y - ay2) AS n),
+    LATERAL (SELECT CASE WHEN m2 = 0 THEN 'NO_VALID_RTK_ANCHOR' WHEN m2 <> 2 THEN 'NONE' WHEN NOT odo THEN CASE WHEN gyro AND f.le IS NOT NULL THEN 'NONE' ELSE 'ODOMETRY_TIMEOUT' END WHEN (o.t - start2) / 1e9::DOUBLE > 100000 THEN 'DEAD_RECKONING_DURATION_EXCEEDED' WHEN sqrt(e * e + n * n) > 60 THEN 'DEAD_RECKONING_DISTANCE_EXCEEDED' ELSE 'NONE' END AS why)),
+j AS (SELECT f.*, o.t, o.odo, o.track, least((o.t - since) / 1e9::DOUBLE / {20 * 3600}, 1) AS part, CASE WHEN told = 3 THEN g.ex ELSE o.ex END - a.ex AS dx, CASE WHEN told = 3 THEN g.ey ELSE o.ey END - a.ey AS dy, CASE WHEN told = 3 THEN g.ez ELSE o.ez END - a.ez AS dz, a.p, a.l
+  FROM f JOIN o ON o.task_id = f.task_id AND o.k = f.k LEFT JOIN o a ON a.task_id = f.task_id AND a.t = f.anchor LEFT JOIN o g ON g.task_id = f.task_id AND g.t = f.since),
+u AS (SELECT *, cos(l) * dy - sin(l) * dx AS ue, cos(p) * dz - sin(p) * cos(l) * dx - sin(p) * sin(l) * dy AS un FROM j),
+e AS (SELECT *, CASE WHEN reason <> 'NONE' THEN 0 WHEN told = 2 THEN le WHEN told = 3 THEN fe + part * (ue - fe) WHEN anchor IS NULL THEN 0 ELSE ue END AS east, CASE WHEN reason <> 'NONE' THEN 0 WHEN told = 2 THEN ln WHEN told = 3 THEN fn + part * (un - fn) WHEN anchor IS NULL THEN 0 ELSE un END AS north FROM u)
+SELECT task_id, t, ['WAITING_FOR_RTK', 'RTK', 'DEAD_RECKONING', 'RECOVERY'][told + 1] AS mode, anchor AS anchor_t, CASE WHEN told > 1 THEN start END AS start_t, CASE WHEN told = 3 THEN since END AS recovery_t, round(east, 4) + 0.0 AS east, round(north, 4) + 0.0 AS north, reason,
+  CASE WHEN reason <> 'NONE' THEN 'INVALID' WHEN held THEN 'IMU_GYRO' WHEN told = 2 OR odo THEN 'ODIN' WHEN track THEN 'RTK_TRACK' ELSE 'INVALID' END AS heading_source FROM e WHERE k > 0""")
 def d11(spark, d):
-    out = N.dead_reckoning(drives(spark, d), recovery_s=20 * 3600.0, max_s=100_000.0, max_m=60.0)
-    shown = [F.round(F.when(F.col("mode") != "RECOVERY", F.col(c)), 6).alias(c) for c in ("east", "north")]
-    return out.select("task_id", "t", "mode", "anchor_t", "start_t", *shown, "reason")
+    out = N.dead_reckoning(drives(spark, d), recovery_s=20 * 3600.0, max_s=100_000.0, max_m=60.0, bucket_ns=240 * HOUR)
+    shown = [(F.round(c, 4) + 0.0).alias(c) for c in ("east", "north")]
+    return out.select("task_id", "t", "mode", "anchor_t", "start_t", "recovery_t", *shown, "reason", "heading_source")
 
 
 @query("d13_rolling_map", f"""WITH {P}, q AS (SELECT frame_id % 3 AS epoch, y * -1 + frame_id AS x, x AS y, z AS z, frame_id FROM points), c AS (SELECT frame_id % 3 AS epoch, max(frame_id) AS px FROM points GROUP BY 1),
