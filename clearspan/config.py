@@ -59,6 +59,7 @@ class PlaneConfig:
     distance: float = 0.04
     voxel: float = 0.04
     iterations: int = 200
+    probability: float = 0.99
     max_planes: int = 4
     min_remaining: int = 100
     min_inliers: int = 60

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import PlaneConfig
 from ..functions import rotation as R
 from ..functions.geodesy import finite
+from ..tables import stored
 from .temporal import interpolate_join
 
 
@@ -202,15 +203,15 @@ def transform_statistics(timed: DataFrame, at: DataFrame, frames: DataFrame, *,
     """By frame: usable, bad_time, covered and uncovered points, their ratio, the largest translation, the mode of compensation and the reason against
     the frame (NONE if there is none). at: point_poses. A frame is only rotated where its own pose is missing or has no valid place, or where
     a pose of its points has none or lies further than max_step from it."""
-    own = at.join(frames.select("frame_id", "stamp_ns"), "frame_id").where("t = stamp_ns").select("frame_id", F.struct(F.col("found").alias("found"), F.col("ok").alias("ok"), *[F.col(c) for c in ("px", "py", "pz")]).alias("ref"))
+    own = at.join(frames.select("frame_id", "stamp_ns").hint("merge"), "frame_id").where("t = stamp_ns").select("frame_id", F.struct(F.col("found").alias("found"), F.col("ok").alias("ok"), *[F.col(c) for c in ("px", "py", "pz")]).alias("ref"))
     step = F.sqrt(sum(F.pow(F.col(c) - F.col(f"ref.{c}"), 2) for c in ("px", "py", "pz")))
     used = timed.where("t IS NOT NULL").select("frame_id", "t").distinct()
-    moved = at.join(used, ["frame_id", "t"], "left_semi").join(own, "frame_id").where("found")
+    moved = at.join(used.hint("merge"), ["frame_id", "t"], "left_semi").join(own.hint("merge"), "frame_id").where("found")
     shifts = moved.groupBy("frame_id").agg(F.max(step).alias("max_translation"), F.max((~F.col("ok") | ~finite(step) | (step > max_step)).cast("int")).alias("far"))
     counts = timed.join(at.select("frame_id", "t", "found").hint("merge"), ["frame_id", "t"], "left").groupBy("frame_id").agg(
         F.count(F.when(F.col("usable"), 1)).alias("usable"), F.count(F.when(F.col("usable") & F.col("t").isNull(), 1)).alias("bad_time"),
         F.count(F.when(F.col("found"), 1)).alias("covered"), F.count(F.when(F.col("t").isNotNull() & ~F.coalesce("found", F.lit(False)), 1)).alias("uncovered"))
-    j = counts.join(own, "frame_id").join(shifts, "frame_id", "left")
+    j = counts.join(own.hint("merge"), "frame_id").join(shifts.hint("merge"), "frame_id", "left")
     full = F.coalesce(F.col("ref.found") & F.col("ref.ok") & (F.coalesce("far", F.lit(0)) == 0), F.lit(False)) & F.lit(translate)
     ratio = F.when(F.col("usable") > 0, F.col("covered") / F.col("usable")).otherwise(0.0)
     reason = F.when(F.col("usable") == 0, "NO_VALID_RAW_POINTS").when(F.col("covered") == 0, "NO_POINT_POSE_COVERED").when(ratio < min_coverage, "INSUFFICIENT_POSE_COVERAGE").otherwise("NONE")
@@ -222,10 +223,10 @@ def motion_compensate(points: DataFrame, frames: DataFrame, poses: DataFrame, *,
     by how far it lies from the frame's pose (FULL) or turned alone (ROTATION_ONLY). The invalid return stays 0, points without a time or pose are
     NaN. points: frame_id, point_idx, x, y, z, offset_s; frames: frame_id, task_id, stamp_ns; poses: task_id, t, seq, px.., qw.., ok."""
     timed = timed_points(points, frames)
-    at = point_poses(timed, frames, poses, max_gap_ns)
+    at = stored(point_poses(timed, frames, poses, max_gap_ns), "poses")
     stats = transform_statistics(timed, at, frames, **limits)
-    ref = at.join(frames.select("frame_id", "stamp_ns"), "frame_id").where("t = stamp_ns").select("frame_id", *[F.col(c).alias(f"r{c}") for c in ("px", "py", "pz")])
-    j = timed.join(stats.where("reason = 'NONE'").select("frame_id", "mode"), "frame_id").join(ref, "frame_id").join(at.drop("task_id", "ratio").hint("merge"), ["frame_id", "t"], "left")
+    ref = at.join(frames.select("frame_id", "stamp_ns").hint("merge"), "frame_id").where("t = stamp_ns").select("frame_id", *[F.col(c).alias(f"r{c}") for c in ("px", "py", "pz")])
+    j = timed.join(stats.where("reason = 'NONE'").select("frame_id", "mode").hint("merge"), "frame_id").join(ref.hint("merge"), "frame_id").join(at.drop("task_id", "ratio").hint("merge"), ["frame_id", "t"], "left")
     turned = R.rotate(R.quaternion(F.col("qw"), F.col("qx"), F.col("qy"), F.col("qz")), *[F.col(c).cast("double") for c in "xyz"])
     zero = (F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0) & finite(F.col("offset_s")) & (F.col("offset_s") >= 0)
     nan = F.lit(float("nan"))
@@ -233,25 +234,46 @@ def motion_compensate(points: DataFrame, frames: DataFrame, poses: DataFrame, *,
     return j.select("task_id", "frame_id", "point_idx", *placed), stats
 
 
-def detect_planes(points: DataFrame, config: PlaneConfig = PlaneConfig()) -> DataFrame:
-    """Near-horizontal planes of each frame: (frame_id, plane, nx, ny, nz, d, tilt, inliers, cells, p95, height, east, north).
+#: Columns of one plane in plane_search and detect_planes.
+PLANE = "nx double, ny double, nz double, d double, tilt double, inliers long, cells long, area double, median double, p95 double, height double, east double, north double"
 
-    Seeded by the frame's number: voxels are searched with random triples, the inliers of the best triple at full
-    resolution are cut into connected regions of grid cells, each region is fitted again and must pass its size, tilt
-    and residual gates; height is the lowest place of the plane over occupied cells. Inliers leave the search either way.
-    """
+
+def plane_search(points: DataFrame, config: PlaneConfig = PlaneConfig()) -> DataFrame:
+    """The rows of detect_planes, and for each frame with points in range one row more, whose plane is null: models, how many planes had enough
+    inliers, and small, whether one of them has no region of the size asked for. models and small are null in the rows of planes."""
+    names = [column.split()[0] for column in PLANE.split(", ")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("point_idx")
         frame_id, p = int(frame["frame_id"].iloc[0]), frame[["x", "y", "z"]].to_numpy(float)
-        rows = _planes(p, config, np.random.default_rng(frame_id & 0xFFFFFFFF))
-        out = pd.DataFrame(rows, columns=["nx", "ny", "nz", "d", "tilt", "inliers", "cells", "p95", "height", "east", "north"])
-        out.insert(0, "plane", np.arange(len(out)))
+        rows, models, small = _planes(p, config, np.random.default_rng(frame_id & 0xFFFFFFFF))
+        out = pd.DataFrame([*rows, (None,) * len(names)], columns=names)
+        out.insert(0, "plane", pd.array([*range(len(rows)), None], dtype="Int32"))
         out.insert(0, "frame_id", frame_id)
+        out["models"] = pd.array([None] * len(rows) + [models], dtype="Int32")
+        out["small"] = pd.array([None] * len(rows) + [small], dtype="boolean")
         return out
 
-    schema = "frame_id long, plane int, nx double, ny double, nz double, d double, tilt double, inliers long, cells long, p95 double, height double, east double, north double"
-    return points.where(in_roi(config)).groupBy("frame_id").applyInPandas(run, schema)
+    return points.where(in_roi(config)).groupBy("frame_id").applyInPandas(run, f"frame_id long, plane int, {PLANE}, models int, small boolean")
+
+
+def detect_planes(points: DataFrame, config: PlaneConfig = PlaneConfig()) -> DataFrame:
+    """Near-horizontal planes of each frame: (frame_id, plane, nx, ny, nz, d, tilt, inliers, cells, area, median, p95, height, east, north).
+
+    Seeded by the frame's number: voxels are searched with random triples until the probability of a better one is small, the best triple is fitted to
+    its voxels, and its inliers at full resolution are cut into connected regions of grid cells. Each region of enough cells is fitted again and must
+    pass the tilt and residual gates; height is the lowest place of the plane over occupied cells. Inliers leave the search either way.
+    """
+    return plane_search(points, config).where("plane IS NOT NULL").drop("models", "small")
+
+
+def plane_frames(points: DataFrame, search: DataFrame, config: PlaneConfig = PlaneConfig()) -> DataFrame:
+    """(frame_id, reason, models, valid_ratio) of every frame: why it has no plane (NONE if it has one), the planes found, and its share of points in
+    range. search: plane_search of the same points."""
+    inside = points.groupBy("frame_id").agg(F.count(F.when(in_roi(config), 1)).alias("n"), F.count("*").alias("all"))
+    told = search.groupBy("frame_id").agg(F.count("plane").alias("planes"), F.max("models").alias("models"), F.max("small").alias("small"))
+    reason = F.when(F.col("n") < config.min_remaining, "TOO_FEW_VALID_POINTS").when(F.col("planes") > 0, "NONE").when(F.col("small"), "NO_PLANE_PASSED_REGION_SIZE").when(F.col("models") > 0, "NO_PLANE_PASSED_QUALITY_CHECK").otherwise("NO_PLANE_FOUND")
+    return inside.join(told.hint("merge"), "frame_id", "left").select("frame_id", reason.alias("reason"), F.coalesce("models", F.lit(0)).alias("models"), (F.col("n") / F.col("all")).alias("valid_ratio"))
 
 
 def _fit(p: np.ndarray) -> tuple[np.ndarray, float]:
@@ -261,9 +283,28 @@ def _fit(p: np.ndarray) -> tuple[np.ndarray, float]:
     return normal, float(-normal @ centre)
 
 
-def _planes(left: np.ndarray, c: PlaneConfig, rng: np.random.Generator) -> list[tuple]:
-    found, total, steep = [], len(left), np.cos(np.radians(c.max_normal_angle))
-    need = max(c.min_inliers, int(np.ceil(c.min_inlier_ratio * total)))
+def _model(coarse: np.ndarray, c: PlaneConfig, rng: np.random.Generator) -> tuple[np.ndarray, float] | None:
+    """The plane of most voxels among random triples, fitted to those voxels."""
+    steep, best, inside, left = np.cos(np.radians(c.max_normal_angle)), 0, None, float(c.iterations)
+    for tried in range(1, c.iterations + 1):
+        a, b, e = coarse[rng.choice(len(coarse), 3, replace=False)]
+        v = np.cross(b - a, e - a)
+        size = np.linalg.norm(v)
+        if size >= 1e-9 and abs(v[2]) / size >= steep:
+            near = np.abs((coarse - a) @ (v / size)) <= c.distance
+            if near.sum() > best:
+                best, inside = int(near.sum()), near
+                hit = (best / len(coarse)) ** 3
+                left = np.log(1 - c.probability) / np.log1p(-hit) if hit < 1 else 0.0
+        if tried >= left:
+            break
+    return None if best < 3 else _fit(coarse[inside])
+
+
+def _planes(left: np.ndarray, c: PlaneConfig, rng: np.random.Generator) -> tuple[list[tuple], int, bool]:
+    """(planes, models, small), as plane_search tells them, of one frame's points in range."""
+    found, models, small = [], 0, False
+    need = max(c.min_inliers, int(np.ceil(c.min_inlier_ratio * len(left))))
     for _ in range(c.max_planes):
         if len(left) < max(c.min_remaining, 3):
             break
@@ -271,43 +312,41 @@ def _planes(left: np.ndarray, c: PlaneConfig, rng: np.random.Generator) -> list[
         place = place.ravel()
         n = np.bincount(place)
         coarse = np.stack([np.bincount(place, weights=left[:, k]) / n for k in range(3)], axis=1)
-        if len(coarse) < 3:
-            break
-        best, normal, offset = 0, None, 0.0
-        for _ in range(c.iterations):
-            a, b, e = coarse[rng.choice(len(coarse), 3, replace=False)]
-            v = np.cross(b - a, e - a)
-            size = np.linalg.norm(v)
-            if size < 1e-9 or abs(v[2]) / size < steep:
-                continue
-            v = v / size
-            count = int((np.abs(coarse @ v - v @ a) <= c.distance).sum())
-            if count > best:
-                best, normal, offset = count, v, float(-v @ a)
-        if normal is None:
+        model = _model(coarse, c, rng) if len(coarse) >= 3 else None
+        if model is None:
             break
+        normal, offset = model
         inside = np.abs(left @ normal + offset) <= c.distance
         if inside.sum() < need:
             break
+        models += 1
         points, left = left[inside], left[~inside]
-        cells, of = np.unique(np.floor(points[:, :2] / c.grid).astype(np.int64), axis=0, return_inverse=True)
-        labels = _components(cells)[of.ravel()]
-        for region in np.unique(labels):
-            part = points[labels == region]
-            own = np.unique(np.floor(part[:, :2] / c.grid).astype(np.int64), axis=0)
-            span = own.max(axis=0) - own.min(axis=0) + 1
-            if len(part) < need or len(own) < c.cells or span.min() < c.span_cells:
+        regions = [] if np.degrees(np.arccos(np.clip(normal[2], -1, 1))) > c.max_normal_angle else _regions(points, c)
+        small |= not regions
+        for part, own in regions:
+            if len(part) < 3:
                 continue
             v, d = _fit(part)
-            tilt, p95 = float(np.degrees(np.arccos(np.clip(v[2], -1, 1)))), float(np.quantile(np.abs(part @ v + d), 0.95))
+            tilt, (median, p95) = float(np.degrees(np.arccos(np.clip(v[2], -1, 1)))), np.quantile(np.abs(part @ v + d), [0.5, 0.95]).tolist()
             if tilt > c.max_normal_angle or p95 > c.residual_p95:
                 continue
             middle = (own + 0.5) * c.grid
             heights = -(v[0] * middle[:, 0] + v[1] * middle[:, 1] + d) / v[2]
             k = int(heights.argmin())
             if c.up_min <= heights[k] <= c.up_max:
-                found.append((*v.tolist(), d, tilt, len(part), len(own), p95, float(heights[k]), float(middle[k, 0]), float(middle[k, 1])))
-    return found
+                found.append((*v.tolist(), d, tilt, len(part), len(own), len(own) * c.grid * c.grid, median, p95, float(heights[k]), *middle[k].tolist()))
+    return found, models, small
+
+
+def _regions(points: np.ndarray, c: PlaneConfig) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(points, cells) of each connected region that has enough cells and spans enough of them both ways."""
+    cells, of = np.unique(np.floor(points[:, :2] / c.grid).astype(np.int64), axis=0, return_inverse=True)
+    labels, out = _components(cells), []
+    for region in np.unique(labels):
+        own = cells[labels == region]
+        if len(own) >= c.cells and (own.max(axis=0) - own.min(axis=0) + 1).min() >= c.span_cells:
+            out.append((points[labels[of.ravel()] == region], own))
+    return out
 
 
 def lowest_candidate(candidates: DataFrame, confidence: float = 0.55, margin: float = 0.02) -> DataFrame:

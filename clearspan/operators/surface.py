@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..config import PlaneConfig, SurfaceConfig
 from ..functions.geodesy import finite
-from .cloud import detect_planes, in_roi, lowest_candidate, stride_limit, voxel_centroids
+from ..tables import stored
+from .cloud import in_roi, lowest_candidate, plane_frames, plane_search, stride_limit, voxel_centroids
 from .registration import nearest_points
 
 MOMENTS = ["ee", "en", "nn", "e", "n", "one"]
@@ -184,7 +185,7 @@ def surface_candidates(clusters: DataFrame, c: SurfaceConfig = SurfaceConfig())
     off = own.join(fits, list(keys)).withColumn("off", F.abs(F.col("z") - model_height(F.col("x"), F.col("y")))).groupBy(*keys).agg(F.percentile("off", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))
     cells = own.select(*keys, F.floor(F.col("x") / c.grid).cast("long").alias("cx"), F.floor(F.col("y") / c.grid).cast("long").alias("cy")).distinct()
     counts = cells.groupBy(*keys).agg(F.count("*").alias("cells"))
-    j = shape.join(fits, list(keys)).join(off, list(keys)).join(counts, list(keys)).join(min_over_cells(cells, fits, c.grid, keys), list(keys))
+    j = shape.join(fits.hint("merge"), list(keys)).join(off.hint("merge"), list(keys)).join(counts.hint("merge"), list(keys)).join(min_over_cells(cells, fits, c.grid, keys).hint("merge"), list(keys))
     j = j.withColumns({"median": F.col("q")[0], "p95": F.col("q")[1], "area": F.col("cells") * c.grid * c.grid, "tilt": F.degrees(F.acos(F.greatest(F.least("down", F.lit(1.0)), F.lit(-1.0))))})
     passed = j.where((F.col("cells") >= c.min_cells) & (F.col("p95") <= c.max_p95) & F.col("height").between(c.up_min, c.up_max))
     return passed.withColumns({"kind": F.lit("SURFACE"), "confidence": surface_confidence(c)}).select(*keys, "kind", *"abcdef", "east0", "north0", "height", "east", "north", "points", "cells", "area", "tilt", "median", "p95", "curvature", "confidence")
@@ -194,8 +195,8 @@ def detect_surfaces(points: DataFrame, c: SurfaceConfig = SurfaceConfig()) -> tu
     """(candidates, frames): curved surfaces of each frame, and by frame the reason if it has none."""
     roi = points.where(in_roi(PlaneConfig(up_min=c.up_min, up_max=c.up_max, half_angle_east=c.half_angle_east, half_angle_north=c.half_angle_north, min_range=c.min_range)))
     small = adaptive_voxel(roi, c.voxel, c.max_points)
-    clusters = surface_clusters(small, c)
-    found = surface_candidates(clusters, c)
+    clusters = stored(surface_clusters(small, c), "clusters")
+    found = stored(surface_candidates(clusters, c), "surfaces")
     count = lambda df, name: df.groupBy("frame_id").agg(F.count("*").alias(name))
     frames = points.select("frame_id").distinct()
     for df, name in ((roi, "n_roi"), (small, "n_small"), (clusters, "n_clustered"), (found, "n_found")):
@@ -205,24 +206,28 @@ def detect_surfaces(points: DataFrame, c: SurfaceConfig = SurfaceConfig()) -> tu
     return found, frames.select("frame_id", reason.alias("reason"))
 
 
-def choose_results(planes: DataFrame, plane_frames: DataFrame, surfaces: DataFrame, surface_frames: DataFrame, c: SurfaceConfig = SurfaceConfig()) -> DataFrame:
-    """One row for each frame of plane_frames (frame_id, reason): the chosen candidate, planes before surfaces, or the reason there is none. Frames that surface_frames lacks were not searched for surfaces."""
-    flat = candidate_from_plane(planes).select("frame_id", F.col("plane").cast("long").alias("order"), "kind", "height", "confidence")
-    curved = surfaces.select("frame_id", (F.lit(1 << 20) + F.col("cluster")).cast("long").alias("order"), "kind", "height", "confidence")
-    every = flat.unionByName(curved).where(finite(F.col("height"), F.col("confidence")))
-    chosen = lowest_candidate(every, c.min_confidence, c.margin)
+def choose_results(planes: DataFrame, plane_frames: DataFrame, surfaces: DataFrame, surface_frames: DataFrame, c: SurfaceConfig = SurfaceConfig(), *, rate_limited: bool = False) -> DataFrame:
+    """One row for each frame of plane_frames (frame_id, reason, and columns that are carried): the chosen candidate with its measures, planes before
+    surfaces, or the reason there is none. Frames that surface_frames lacks were not searched for surfaces; if that is for a limit of rate, those
+    of them without a plane give no row, as their result is left to the next search."""
+    measures = ["points", "area", "tilt", "median", "p95", "east", "north"]
+    flat = candidate_from_plane(planes).withColumnRenamed("inliers", "points").select("frame_id", F.col("plane").cast("long").alias("order"), "kind", "height", "confidence", *measures)
+    curved = surfaces.select("frame_id", (F.lit(1 << 20) + F.col("cluster")).cast("long").alias("order"), "kind", "height", "confidence", *measures)
+    every = stored(flat.unionByName(curved).where(finite(F.col("height"), F.col("confidence"))), "candidates")
+    chosen = lowest_candidate(every.drop(*measures), c.min_confidence, c.margin).join(every.select("frame_id", "order", *measures).hint("merge"), ["frame_id", "order"])
     accepted = every.where(F.col("confidence") > c.min_confidence).groupBy("frame_id").agg(F.count("*").alias("candidates"), F.count(F.when(F.col("kind") == "SURFACE", 1)).alias("surfaces"))
-    j = plane_frames.select("frame_id", F.col("reason").alias("p")).join(surface_frames.select("frame_id", F.col("reason").alias("s")), "frame_id", "left").join(chosen.hint("merge"), "frame_id", "left").join(accepted.hint("merge"), "frame_id", "left")
+    carried = [name for name in plane_frames.columns if name not in ("frame_id", "reason")]
+    searched = surface_frames.select("frame_id", F.col("reason").alias("s"))
+    j = plane_frames.withColumnRenamed("reason", "p").join(searched.hint("merge"), "frame_id", "left").join(chosen.hint("merge"), "frame_id", "left").join(accepted.hint("merge"), "frame_id", "left")
+    if rate_limited:
+        j = j.where("s IS NOT NULL OR p = 'NONE'")
     reason = F.when(F.col("height").isNotNull(), "NONE").when(F.col("s").isNull(), F.col("p")).when(F.col("s") == "NONE", "NO_CANDIDATE_ABOVE_CONFIDENCE").otherwise(F.concat(F.lit("PLANE:"), "p", F.lit("|SURFACE:"), "s"))
-    return j.select("frame_id", F.col("height").isNotNull().alias("valid"), "kind", "height", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("surfaces", F.lit(0)).alias("surfaces"), reason.alias("reason"))
+    return j.select("frame_id", F.col("height").isNotNull().alias("valid"), "kind", "height", *measures, F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("surfaces", F.lit(0)).alias("surfaces"), *carried, reason.alias("reason"))
 
 
 def clearance_results(points: DataFrame, planes: PlaneConfig = PlaneConfig(), surfaces: SurfaceConfig = SurfaceConfig()) -> DataFrame:
     """Both searches of every frame and the choice among what they find."""
-    found = detect_planes(points, planes)
-    inside = points.groupBy("frame_id").agg(F.count(F.when(in_roi(planes), 1)).alias("n"))
-    have = found.select("frame_id", F.lit(True).alias("have")).distinct()
-    reason = F.when(F.col("n") < planes.min_remaining, "TOO_FEW_VALID_POINTS").when(F.col("have").isNull(), "NO_PLANE_FOUND").otherwise("NONE")
-    plane_frames = inside.join(have.hint("merge"), "frame_id", "left").select("frame_id", reason.alias("reason"))
+    search = stored(plane_search(points, planes), "planes")
     curved, curved_frames = detect_surfaces(points, surfaces)
-    return choose_results(found, plane_frames, curved, curved_frames, surfaces)
+    found = search.where("plane IS NOT NULL").drop("models", "small")
+    return choose_results(found, plane_frames(points, search, planes), curved, curved_frames, surfaces)

@@ -224,10 +224,12 @@ def receipt_to_sensor_time(reference_stamp: Column, reference_receipt: Column, r
     return reference_stamp + (receipt - reference_receipt) + F.lit(offset_ns)
 
 
-def frame_context(frames: DataFrame, pose_bounds: DataFrame) -> DataFrame:
-    """Frames (task_id, frame_id, first_ns, last_ns) against their task's poses (min_ns, max_ns): gaps at head and tail and
-    why a frame is dropped."""
-    j = frames.join(pose_bounds, "task_id", "left")
+def frame_context(frames: DataFrame, pose_bounds: DataFrame, *, partial_tail_ns: int = 0) -> DataFrame:
+    """Frames (task_id, frame_id, first_ns, last_ns) against their task's poses (min_ns, max_ns): gaps at head and tail, and why a frame is
+    dropped (null if it is not). A head without poses is never allowed and told first; at the tail up to partial_tail_ns may lack them. Bounds
+    that are null, zero or less are no poses, and leave both gaps 0."""
+    j = frames.join(pose_bounds.hint("merge"), "task_id", "left")
     head, tail = F.greatest(F.col("min_ns") - F.col("first_ns"), F.lit(0)), F.greatest(F.col("last_ns") - F.col("max_ns"), F.lit(0))
-    reason = F.when(F.col("min_ns").isNull(), "no_poses").when(F.col("last_ns") < F.col("min_ns"), "before_poses").when(F.col("first_ns") > F.col("max_ns"), "after_poses").when(tail > 0, "tail_uncovered").when(head > 0, "head_uncovered")
-    return j.select("task_id", "frame_id", head.alias("head_gap_ns"), tail.alias("tail_gap_ns"), reason.alias("drop_reason"))
+    none = F.coalesce((F.col("min_ns") <= 0) | (F.col("max_ns") <= 0), F.lit(True))
+    reason = F.when(none, "POSE_NOT_AVAILABLE").when(head > 0, "CLOUD_OLDER_THAN_POSE_CACHE").when(tail > partial_tail_ns, "POSE_TAIL_TIMEOUT")
+    return j.select("task_id", "frame_id", F.when(none, 0).otherwise(head).alias("head_gap_ns"), F.when(none, 0).otherwise(tail).alias("tail_gap_ns"), reason.alias("drop_reason"))

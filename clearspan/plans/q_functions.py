@@ -168,28 +168,39 @@ def p28(spark, d):
         X.fusion_mode(k % 13 != 0, k % 2 == 0, k % 5 == 0, k % 3 == 0, k % 7 == 0).alias("fusion"), X.localization_mode(k % 11 != 0, k % 2 == 0, k % 3 == 0).alias("mode"))
 
 
-LINES_SQL = f"""{A.FIXES}, body AS (SELECT fix_id, task_id, lat, lon, alt, printf('GPGGA,010203,%02d%010.7f,N,%03d%010.7f,E,%d,%d,0.8,%.1f,M,,M,,', CAST(floor(lat) AS INT), (lat - floor(lat)) * 60, CAST(floor(lon) AS INT), (lon - floor(lon)) * 60, fix_id % 6, 4 + fix_id % 9, abs(alt)) AS b FROM fixes)"""
+#: Sentences with the checksums that they are published with.
+RMC = "$GPRMC,123519,A,4807.038,N,01131.000,E,022.4,084.4,230394,003.1,W*"
+GSA = "$GPGSA,A,3,04,05,,09,12,,,24,,,,,2.5,1.3,2.1*"
 
 
 def gnss_lines(spark, d):
-    """GGA sentences of the fixes; every eleventh has a wrong checksum."""
+    """A sentence for each fix, in turn GGA with its place, RMC, GSA, and BESTPOSA with deviations that every fifth lacks; every eleventh has a wrong checksum."""
     k, lat, lon = F.col("fix_id"), F.col("lat"), F.col("lon")
     body = F.format_string("$GPGGA,010203,%02d%010.7f,N,%03d%010.7f,E,%d,%d,0.8,%.1f,M,,M,,*", F.floor(lat).cast("int"), (lat - F.floor(lat)) * 60, F.floor(lon).cast("int"), (lon - F.floor(lon)) * 60, k % 6, 4 + k % 9, F.abs("alt"))
-    f = A.fixes(spark, d).withColumn("__b", body).withColumn("sum", N.checksum(F.col("__b")))
-    return f.select("task_id", "fix_id", F.concat("__b", F.when(k % 11 == 0, F.lit("ZZ")).otherwise(F.col("sum"))).alias("line"))
+    f = A.fixes(spark, d).withColumn("__b", F.when(k % 4 == 0, body).when(k % 4 == 1, F.lit(RMC)).otherwise(F.lit(GSA)))
+    told = F.when(k % 4 == 0, N.checksum(F.col("__b"))).when(k % 4 == 1, F.lit("6A")).otherwise(F.lit("39"))
+    place = F.format_string("#BESTPOSA,COM1,0,90.5,FINESTEERING,1949,403742.000,02000000,b1f6,32768;SOL_COMPUTED,SINGLE,%.7f,%.7f,%.1f,-16.2,WGS84,%s,1.3921,2.4639*%s", lat, lon, F.col("alt"), F.when(k % 5 == 0, F.lit("")).otherwise((k % 7 / 10).cast("string")), F.when(k % 11 == 0, F.lit("00000000")).otherwise(F.lit("6ff02e9c")))
+    return f.select("task_id", "fix_id", F.when(k % 4 == 3, place).otherwise(F.concat("__b", F.when(k % 11 == 0, F.lit("77")).otherwise(told))).alias("line"))
 
 
-@query("p21_gnss_sentences", f"WITH {A.FIXES} SELECT fix_id, fix_id % 11 <> 0 AS ok, CASE WHEN fix_id % 11 <> 0 THEN round(lat, 7) END AS lat, CASE WHEN fix_id % 11 <> 0 THEN round(lon, 7) END AS lon, CASE WHEN fix_id % 11 <> 0 THEN fix_id % 6 END AS state, CASE WHEN fix_id % 11 <> 0 THEN 4 + fix_id % 9 END AS satellites FROM fixes")
+#: The state of each kind's sentence, null where the line is of another kind or its checksum is wrong.
+SENTENCES = f"""{A.FIXES}, line AS (SELECT *, ['GGA', 'RMC', 'GSA', 'BESTPOSA'][fix_id % 4 + 1] AS kind, fix_id % 4 = 3 OR fix_id % 11 <> 0 AS ok FROM fixes),
+told AS (SELECT *, CASE WHEN ok AND kind = 'GGA' THEN round(lat, 7) END AS shown_lat, CASE WHEN ok AND kind = 'GGA' THEN round(lon, 7) END AS shown_lon, CASE WHEN ok AND kind = 'GGA' THEN fix_id % 6 END AS state, CASE WHEN ok AND kind = 'GGA' THEN 4 + fix_id % 9 END AS satellites, CASE WHEN ok AND kind = 'RMC' THEN 22.4::DOUBLE END AS speed_knots, CASE WHEN ok AND kind = 'RMC' THEN '230394' END AS date,
+CASE WHEN ok AND kind = 'GSA' THEN 2.5::DOUBLE END AS pdop, CASE WHEN kind = 'BESTPOSA' THEN CASE WHEN fix_id % 5 = 0 THEN 0 ELSE round(fix_id % 7 / 10.0::DOUBLE, 4) END END AS lat_sigma FROM line)"""
+
+
+@query("p21_gnss_sentences", f"WITH {SENTENCES} SELECT fix_id, kind, ok, shown_lat AS lat, shown_lon AS lon, state, satellites, speed_knots, date, pdop, lat_sigma FROM told")
 def p21(spark, d):
-    out = N.parse_sentences(gnss_lines(spark, d)).select("fix_id", "ok", "gga.lat", "gga.lon", "gga.state", "gga.satellites")
+    out = N.parse_sentences(gnss_lines(spark, d)).select("fix_id", "kind", "ok", "gga.lat", "gga.lon", "gga.state", "gga.satellites", "rmc.speed_knots", "rmc.date", "gsa.pdop", F.round("bestpos.lat_sigma", 4).alias("lat_sigma"))
     return rounded(out, 7, "lat", "lon").withColumns({c: F.col(c).cast("long") for c in ("state", "satellites")})
 
 
-@query("a27_sentence_counters", "SELECT 'GGA' AS kind, count(*) AS n, count(*) FILTER (WHERE s_suppkey % 11 = 0) AS bad FROM supplier")
+@query("a27_sentence_counters", f"WITH {SENTENCES} SELECT kind, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS bad FROM told GROUP BY kind")
 def a27(spark, d):
     return N.sentence_counters(N.parse_sentences(gnss_lines(spark, d)))
 
 
-@query("w22_state_fold", f"WITH {A.FIXES} SELECT task_id, fix_id, last_value(CASE WHEN fix_id % 11 <> 0 THEN fix_id % 6 END IGNORE NULLS) OVER (PARTITION BY task_id ORDER BY fix_id ROWS UNBOUNDED PRECEDING) AS state FROM fixes")
+@query("w22_state_fold", f"WITH {SENTENCES} SELECT task_id, fix_id, {', '.join(f'last_value({c} IGNORE NULLS) OVER (PARTITION BY task_id ORDER BY fix_id ROWS UNBOUNDED PRECEDING) AS {c}' for c in ('state', 'speed_knots', 'pdop', 'lat_sigma'))} FROM told")
 def w22(spark, d):
-    return N.state_fold(N.parse_sentences(gnss_lines(spark, d)), "task_id", "fix_id").select("task_id", "fix_id", F.col("gga.state").cast("long").alias("state"))
+    folded = N.state_fold(N.parse_sentences(gnss_lines(spark, d)), "task_id", "fix_id")
+    return folded.select("task_id", "fix_id", F.col("gga.state").cast("long").alias("state"), "rmc.speed_knots", "gsa.pdop", F.round("bestpos.lat_sigma", 4).alias("lat_sigma"))

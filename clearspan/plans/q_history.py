@@ -270,8 +270,10 @@ def w11(spark, d):
     return T.continuous_duration(A.stream_of(spark, d, "click"), 60 * HOUR).select("task_id", "seq", "continuous_ns")
 
 
-@query("d16_frame_context", f"""WITH {L}, {R}, fr AS (SELECT task_id, seq AS frame_id, t AS first_ns, t + {10 * HOUR} AS last_ns FROM l), pb AS (SELECT task_id, min(t) AS lo, max(t) AS hi FROM r GROUP BY task_id)
-SELECT task_id, frame_id, greatest(lo - first_ns, 0) AS head_gap_ns, greatest(last_ns - hi, 0) AS tail_gap_ns, CASE WHEN lo IS NULL THEN 'no_poses' WHEN last_ns < lo THEN 'before_poses' WHEN first_ns > hi THEN 'after_poses' WHEN last_ns > hi THEN 'tail_uncovered' WHEN lo > first_ns THEN 'head_uncovered' END AS drop_reason FROM fr LEFT JOIN pb USING (task_id)""")
+@query("d16_frame_context", f"""WITH {L}, {R}, fr AS (SELECT task_id, seq AS frame_id, t AS first_ns, t + {10 * HOUR} AS last_ns FROM l), pb AS (SELECT task_id, min(t) AS lo, max(t) AS hi FROM r WHERE task_id % 50 > 0 GROUP BY task_id)
+SELECT task_id, frame_id, coalesce(greatest(lo - first_ns, 0), 0) AS head_gap_ns, coalesce(greatest(last_ns - hi, 0), 0) AS tail_gap_ns, CASE WHEN lo IS NULL THEN 'POSE_NOT_AVAILABLE' WHEN lo > first_ns THEN 'CLOUD_OLDER_THAN_POSE_CACHE' WHEN last_ns - hi > {4 * HOUR} THEN 'POSE_TAIL_TIMEOUT' END AS drop_reason FROM fr LEFT JOIN pb USING (task_id)""")
 def d16(spark, d):
     frames = A.stream_of(spark, d, "click").select("task_id", F.col("seq").alias("frame_id"), F.col("t").alias("first_ns"), (F.col("t") + 10 * HOUR).alias("last_ns"))
-    return T.frame_context(frames, A.stream_of(spark, d, "view").groupBy("task_id").agg(F.min("t").alias("min_ns"), F.max("t").alias("max_ns")))
+    # every fiftieth task has no poses
+    bounds = A.stream_of(spark, d, "view").where("task_id % 50 > 0").groupBy("task_id").agg(F.min("t").alias("min_ns"), F.max("t").alias("max_ns"))
+    return T.frame_context(frames, bounds, partial_tail_ns=4 * HOUR)

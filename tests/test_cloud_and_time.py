@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from clearspan.operators import cloud, history, temporal
+from clearspan.operators import cloud, history, surface, temporal
 
 
 def grid(z, half, step, shift=0.0, frame=1, start=0):
@@ -25,6 +25,38 @@ def test_dense_planes_are_found(spark):
     assert len(found) >= 2 and abs(min(r.height for r in found) - 1.5) <= 0.03
 
 
+def test_a_frame_without_a_plane_tells_why(spark):
+    """One frame for each reason; the third plane is rougher than the residual gate allows, the fourth frame is a wall."""
+    r = np.random.default_rng(7)
+    wall = [(4, i, 0.5, float(n), float(u)) for i, (n, u) in enumerate(r.uniform((-1, 1.5), (1, 4), (400, 2)))]
+    spots = [(2, i, float(e), float(n), 2.0) for i, (e, n) in enumerate(r.uniform(-0.02, 0.02, (300, 2)))]
+    rough = [(3, i, float(e), float(n), float(2 + d)) for i, (e, n, d) in enumerate(r.uniform((-0.5, -0.5, -0.04), (0.5, 0.5, 0.04), (9000, 3)))]
+    rows = grid(1.5, 0.6, 0.02, frame=1) + spots + rough + wall + [(5, 0, 0.0, 0.0, 2.0), (6, 0, 0.0, 0.0, -2.0)]
+    points, config = spark.createDataFrame(rows, SCHEMA), cloud.PlaneConfig(residual_p95=0.03, max_planes=1)
+    told = {f.frame_id: f for f in cloud.plane_frames(points, cloud.plane_search(points, config), config).collect()}
+    assert {k: f.reason for k, f in told.items()} == {1: "NONE", 2: "NO_PLANE_PASSED_REGION_SIZE", 3: "NO_PLANE_PASSED_QUALITY_CHECK", 4: "NO_PLANE_FOUND", 5: "TOO_FEW_VALID_POINTS", 6: "TOO_FEW_VALID_POINTS"}
+    assert told[1].models == 1 and told[1].valid_ratio == 1.0 and told[6].valid_ratio == 0.0
+    every = {f.frame_id: f for f in surface.clearance_results(points, config).collect()}
+    assert len(every) == 6 and every[1].valid and abs(every[1].height - 1.5) <= 0.03 and every[1].area > 0.3 and every[1].tilt < 1 and every[1].p95 < 0.01
+    assert every[2].reason.startswith("PLANE:NO_PLANE_PASSED_REGION_SIZE|SURFACE:") and every[5].reason == "PLANE:TOO_FEW_VALID_POINTS|SURFACE:TOO_FEW_SURFACE_ROI_POINTS"
+
+
+def test_frames_left_for_a_limit_of_rate_give_no_row(spark):
+    planes = cloud.detect_planes(spark.createDataFrame(grid(1.5, 0.6, 0.02), SCHEMA))
+    frames = spark.createDataFrame([(1, "NONE"), (2, "NO_PLANE_FOUND")], "frame_id long, reason string")
+    curved, searched = surface.detect_surfaces(spark.createDataFrame([], SCHEMA))
+    kept = lambda **how: sorted((r.frame_id, r.reason) for r in surface.choose_results(planes, frames, curved, searched, **how).collect())
+    assert kept() == [(1, "NONE"), (2, "NO_PLANE_FOUND")] and kept(rate_limited=True) == [(1, "NONE")]
+
+
+def test_frames_are_dropped_by_what_their_poses_lack(spark):
+    frames = spark.createDataFrame([(1, 1, 100, 200), (1, 2, 99, 200), (1, 3, 150, 305), (1, 4, 150, 306), (1, 5, 50, 400), (2, 6, 100, 200), (3, 7, 100, 200)], "task_id long, frame_id long, first_ns long, last_ns long")
+    bounds = spark.createDataFrame([(1, 100, 300), (3, 0, 300)], "task_id long, min_ns long, max_ns long")
+    got = {r.frame_id: r[2:] for r in temporal.frame_context(frames, bounds, partial_tail_ns=5).collect()}
+    old, tail, none = "CLOUD_OLDER_THAN_POSE_CACHE", "POSE_TAIL_TIMEOUT", "POSE_NOT_AVAILABLE"
+    assert got == {1: (0, 0, None), 2: (1, 0, old), 3: (0, 5, None), 4: (0, 6, tail), 5: (50, 100, old), 6: (0, 0, none), 7: (0, 0, none)}
+
+
 def test_interpolation_between_poses_only(spark):
     poses = spark.createDataFrame([(1, 1_000_000_000, 0, 0.0), (1, 1_010_000_000, 1, 1.0)], "task_id long, t long, seq long, x double")
     q = spark.createDataFrame([(1, 1_005_000_000), (1, 999_000_000), (1, 1_020_000_000), (1, 1_010_000_000)], "task_id long, t long")
