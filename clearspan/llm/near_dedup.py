@@ -30,6 +30,8 @@ from .hashing import mix, mix32, word_hashes
 from .shared import stored, whole
 
 BANDS, ROWS, BLOCK = 32, 4, 256
+#: Parts in which the components of a crowd are dealt when they meet the crowd's own row.
+SALTS = 16
 COORDINATES = BANDS * ROWS
 #: Share of coordinates that must agree before a tile compares two sets. For 128 independent coordinates a pair of similarity 0.8 has fewer with a
 #: chance of 2.7e-8; together with the bands (5e-8) a link is missed with a chance under 1e-7.
@@ -137,7 +139,9 @@ def tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     group. Components of more than BLOCK members in a crowd get blocks of their own, the others share blocks by hash."""
     sizes = members.groupBy("crowd", "component").agg(F.count("*").alias("size"))
     small = sizes.where(F.col("size") <= BLOCK).groupBy("crowd").agg(F.sum("size").alias("rest"))
-    shape = stored(sizes.join(small.hint("merge"), "crowd", "left"), "shape")
+    salted = sizes.withColumn("salt", F.pmod(F.xxhash64("component"), F.lit(SALTS)).cast("int"))
+    small = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shape = stored(salted.join(small.hint("merge"), ["crowd", "salt"], "left").drop("salt"), "shape")
     placed = members.join(shape.hint("merge"), ["crowd", "component"]).withColumn("large", F.col("size") > BLOCK)
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(n / F.lit(BLOCK / 2)))
     placed = stored(placed.select("doc", "crowd", "component",
