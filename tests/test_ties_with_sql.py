@@ -28,3 +28,17 @@ def coarse(tmp_path_factory):
 def test_drops_on_the_threshold(spark, coarse, name):
     ours, theirs = both(spark, coarse, "events", name)
     assert ours == theirs and ours
+
+
+@pytest.fixture(scope="module")
+def heights(tmp_path_factory):
+    """Fixes whose heights lie between two tenths, or round to nought from below."""
+    folder = tmp_path_factory.mktemp("heights")
+    duckdb.sql(f"copy (select k as s_suppkey, 'n' as s_name, CAST(k % 25 AS INTEGER) as s_nationkey, CASE WHEN k % 2 = 0 THEN 10.0 * (k % 900) + 5 ELSE -1.0 * (k % 7) END::DOUBLE as s_acctbal from range(2000) t(k)) to '{folder}/supplier.parquet'")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["p12_round_trip"])
+def test_heights_between_digits(spark, heights, name):
+    ours, theirs = both(spark, heights, "supplier", name)
+    assert ours == theirs and ours
