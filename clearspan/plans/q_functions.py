@@ -123,8 +123,9 @@ def p5(spark, d):
     return A.table(spark, d, "events").select("event_id", X.fix_type(F.col("event_id") % 6).alias("fix"), X.lane_text(F.lit("unknown"), direction, side).alias("lane"), X.diagnostic_level(F.col("event_id") % 4).alias("level"), X.quality(F.col("value") / 100).alias("quality"), X.rtk_sigma(F.col("value"), 2.0).alias("sigma"))
 
 
-@query("p7_p10_formats", f"""WITH {A.FIXES} SELECT fix_id, CASE WHEN fix_id % 5 = 0 THEN 'not recorded' ELSE printf('N%.7f E%.7f', lat, lon) || CASE WHEN fix_id % 3 = 0 THEN '' ELSE printf(' H%.3fm', round(alt, 1)) END END AS place,
-CASE WHEN fix_id % 3 = 0 THEN '0' ELSE printf('%.2f', round(alt, 1)) END AS height, CASE WHEN fix_id % 3 = 0 THEN '' WHEN fix_id % 3 = 1 THEN '1' ELSE '0' END AS flag FROM fixes""")
+# heights that round to nought have no sign: + 0.0
+@query("p7_p10_formats", f"""WITH {A.FIXES} SELECT fix_id, CASE WHEN fix_id % 5 = 0 THEN 'not recorded' ELSE printf('N%.7f E%.7f', lat, lon) || CASE WHEN fix_id % 3 = 0 THEN '' ELSE printf(' H%.3fm', round(alt, 1) + 0.0) END END AS place,
+CASE WHEN fix_id % 3 = 0 THEN '0' ELSE printf('%.2f', round(alt, 1) + 0.0) END AS height, CASE WHEN fix_id % 3 = 0 THEN '' WHEN fix_id % 3 = 1 THEN '1' ELSE '0' END AS flag FROM fixes""")
 def p7(spark, d):
     alt = F.when(F.col("fix_id") % 3 != 0, F.round("alt", 1))
     flag = F.when(F.col("fix_id") % 3 != 0, F.col("fix_id") % 3 == 1)

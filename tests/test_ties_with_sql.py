@@ -38,7 +38,7 @@ def heights(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["p12_round_trip"])
+@pytest.mark.parametrize("name", ["p12_round_trip", "p7_p10_formats"])
 def test_heights_between_digits(spark, heights, name):
     ours, theirs = both(spark, heights, "supplier", name)
     assert ours == theirs and ours
