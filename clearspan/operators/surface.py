@@ -11,12 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import PlaneConfig, SurfaceConfig
 from ..functions.geodesy import finite
 from ..tables import stored
-from .cloud import in_roi, lowest_candidate, plane_frames, plane_search, stride_limit, voxel_centroids
+from .cloud import in_roi, lowest_candidate, plane_frames, plane_search, voxel_centroids
 from .registration import nearest_points
 
 MOMENTS = ["ee", "en", "nn", "e", "n", "one"]
@@ -87,29 +88,46 @@ def lowest_plane(planes: DataFrame) -> DataFrame:
 def adaptive_voxel(points: DataFrame, leaf: float, most: int, tries: int = 4) -> DataFrame:
     """Voxel centroids (frame_id, point_idx, x, y, z) of each frame, at most so many: frames over the bound get a larger voxel, by the cube root of their excess, up
     to tries times, then a stride. The driver sees the number of frames left over, no points."""
-    sizes = points.select("frame_id").distinct().withColumn("leaf", F.lit(float(leaf)))
+    sizes = stored(points.select("frame_id").distinct().withColumn("leaf", F.lit(float(leaf))), "leaves")
     done, last = None, None
     for k in range(tries):
         cells = [F.floor(F.col(c) / F.col("leaf")).cast("long").alias(f"v{c}") for c in "xyz"]
-        made = points.join(sizes, "frame_id").groupBy("frame_id", "leaf", *cells).agg(*[F.avg(c).alias(c) for c in "xyz"]).drop("vx", "vy", "vz")
-        counts = made.groupBy("frame_id", "leaf").agg(F.count("*").alias("n"))
-        fit = made.join(counts.where(F.col("n") <= most).select("frame_id"), "frame_id", "left_semi")
+        made = stored(_with_frames(points, sizes).groupBy("frame_id", "leaf", *cells).agg(*[F.avg(c).alias(c) for c in "xyz"]).drop("vx", "vy", "vz"), "voxels")
+        counts = stored(made.groupBy("frame_id", "leaf").agg(F.count("*").alias("n")), "counts")
+        over = stored(counts.where(F.col("n") > most), "over")
+        fit = _with_frames(made, counts.where(F.col("n") <= most).select("frame_id"))
         done = fit if done is None else done.unionByName(fit)
-        over = counts.where(F.col("n") > most)
-        last = made.join(over.select("frame_id"), "frame_id", "left_semi")
-        if over.limit(1).count() == 0:
-            last = None
+        last = None if over.isEmpty() else _with_frames(made, over.select("frame_id", "n"))
+        if last is None:
             break
         sizes = over.select("frame_id", (F.col("leaf") * F.greatest(F.lit(1.1), F.cbrt(F.col("n") / most) * 1.05)).alias("leaf"))
-    place = F.row_number().over(_in_place()).cast("long")
+    place = F.row_number().over(W.partitionBy("frame_id").orderBy("x", "y", "z")).cast("long")
     numbered = done.withColumn("point_idx", place).select("frame_id", "point_idx", "x", "y", "z")
-    return numbered if last is None else numbered.unionByName(stride_limit(last.withColumn("point_idx", place), most).select("frame_id", "point_idx", "x", "y", "z"))
+    if last is None:
+        return numbered
+    strided = _numbered(last).where((F.col("point_idx") - 1) % F.ceil(F.col("n") / most) == 0)
+    return numbered.unionByName(strided.select("frame_id", "point_idx", "x", "y", "z"))
 
 
-def _in_place():
-    from pyspark.sql import Window as W
+#: Tables of a row for each frame are broadcast up to so many rows, counted first.
+FEW_FRAMES = 100_000
+#: Rows of a range in which a part of a frame is numbered.
+RANGE_ROWS = 100_000
 
-    return W.partitionBy("frame_id").orderBy("x", "y", "z")
+
+def _with_frames(points: DataFrame, frames: DataFrame) -> DataFrame:
+    """points joined with a row for each frame (few columns, read from the shared folder); a frame's points stay where they are, so that none lies in one task whole."""
+    return points.join(frames.hint("broadcast" if frames.count() <= FEW_FRAMES else "merge"), "frame_id")
+
+
+def _numbered(points: DataFrame) -> DataFrame:
+    """points with point_idx, their number from 1 in their frame by place. Ranges of all points are numbered by themselves, and a window over one row for each frame and range gives what lies before."""
+    order = ["frame_id", "x", "y", "z"]
+    ranged = stored(points.repartitionByRange(points.count() // RANGE_ROWS + 1, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("own").over(W.partitionBy("frame_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = ranged.groupBy("frame_id", "range").agg(F.count("*").alias("own")).withColumn("before", before).drop("own")
+    place = F.row_number().over(W.partitionBy("frame_id", "range").orderBy("x", "y", "z"))
+    return ranged.join(sizes.hint("merge"), ["frame_id", "range"]).withColumn("point_idx", F.col("before") + place).drop("range", "before")
 
 
 def nearest(p: np.ndarray, k: int) -> np.ndarray:
