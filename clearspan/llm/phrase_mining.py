@@ -19,14 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import new_path, stored
+from .shared import forget, new_path, stored
 
 #: Words of a pack; bytes of a text that are coded at once.
 PACK, SLICE = 3_000_000, 4_000_000
+#: Rows of a pack's results that leave a task at once.
+BATCH = 250_000
 #: Shards of the cycle.
 SHARDS = 2
 #: Buckets in which frequent words are numbered.
@@ -120,59 +123,85 @@ def coded(docs: DataFrame, lang: str, text: str, shards: int, pack: int) -> tupl
     return every.where("codes IS NOT NULL").select("shard", "pack", "codes", "tail"), every.where("code IS NOT NULL").select("shard", "pack", "code", "lang", "word", "n")
 
 
-def counted(keys: np.ndarray, since: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(scan, keys, their counts) for each scan in since; of all equal keys since is the same."""
-    for scan in np.flatnonzero(np.bincount(since)).tolist():
-        yield scan, *np.unique(keys[since == scan], return_counts=True)
+def counted(keys: np.ndarray, since: np.ndarray, keep: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(scan, keys, their counts) for each scan in since, of what keep marks; of all equal keys since is the same."""
+    for scan in np.unique(since[keep]).tolist():
+        own = keys[keep & (since == scan)]
+        own.sort()
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        yield scan, own[first], np.diff(first, append=len(own))
+
+
+def batched(schema: pa.Schema, parts: list[dict[str, np.ndarray]]) -> pa.Table:
+    """The parts' columns as a table in batches of BATCH rows, for no reader to hold it twice."""
+    tables = [pa.table({name: pa.array(p[name], kind) for name, kind in zip(schema.names, schema.types, strict=True)}, schema) for p in parts]
+    return pa.Table.from_batches([b for t in tables for b in t.to_batches(max_chunksize=BATCH)], schema)
 
 
 class Scanned:
     """A pack's words as numbers, with the scan from which each is active; and which of its pairs have reached the threshold, from which scan on."""
 
-    def __init__(self, packs: pd.DataFrame, known: pd.DataFrame):
-        codes, tail = np.frombuffer(packs["codes"].iloc[0], dtype=np.int32), int(packs["tail"].iloc[0])
-        words, pairs = known[known["pair"] < 0], known[known["pair"] >= 0]
+    def __init__(self, packs: pa.Table, known: pa.Table):
+        codes, tail = np.frombuffer(packs["codes"][0].as_buffer(), dtype=np.int32), packs["tail"][0].as_py()
+        code, number_of, at, pair = (known[c].to_numpy() for c in ("code", "id", "at", "pair"))
+        words = pair < 0
         size = int(max(codes.max(initial=-1), BREAK)) + 2
         number, active = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int8)
-        number[words["code"].to_numpy()] = words["id"].to_numpy()
-        active[words["code"].to_numpy()] = words["at"].to_numpy()
+        number[code[words]] = number_of[words]
+        active[code[words]] = at[words]
         self.word, active = number[codes], active[codes]  # BREAK is the last entry, which is no word
         self.starts = len(codes) - tail
-        self.pair = (self.word[:-1].astype(np.int64) << 32) | self.word[1:]
+        self.pair = self.word[:-1].astype(np.int64)
+        self.pair <<= 32
+        self.pair |= self.word[1:]
         self.pair[(self.word[:-1] < 0) | (self.word[1:] < 0)] = -1
         self.since = np.maximum(active[:-1], active[1:])
-        order = np.argsort(pairs["pair"].to_numpy(np.int64), kind="stable")
-        self.reached, self.reached_at = pairs["pair"].to_numpy(np.int64)[order], pairs["at"].to_numpy(np.int8)[order]
+        order = np.argsort(pair, kind="stable")[np.count_nonzero(words) :]
+        self.reached, self.reached_at = pair[order], at[order].astype(np.int8)
 
-    def pairs(self, after: int, every: bool) -> pd.DataFrame:
+    def pairs(self, after: int, every: bool) -> Iterator[dict[str, np.ndarray]]:
         """(pair, n, since) of the pairs active since a scan later than after; every: and the others, with no count."""
         pair, since = self.pair[: self.starts], self.since[: self.starts]
         keep = pair >= 0 if every else (pair >= 0) & (since > after)
-        made = [pd.DataFrame({"pair": key, "n": n if scan > after else 0 * n, "since": scan}) for scan, key, n in counted(pair[keep], since[keep])]
-        return pd.concat(made) if made else pd.DataFrame({"pair": [], "n": [], "since": []}, dtype="int64")
-
-    def triples(self, after: int) -> pd.DataFrame:
+        for scan, key, n in counted(pair, since, keep):
+            yield {"pair": key, "n": n if scan > after else 0 * n, "since": np.full(len(key), scan, dtype=np.int32)}
+
+    def places(self) -> np.ndarray:
+        """Of each pair the place among those that have reached the threshold, -1 for the others."""
+        out = np.full(len(self.pair), -1, dtype=np.int32)
+        for at in range(0, len(out), BATCH):
+            own = self.pair[at : at + BATCH]
+            place = np.minimum(np.searchsorted(self.reached, own), len(self.reached) - 1)
+            hit = (self.reached[place] == own) & (own >= 0)
+            out[at : at + BATCH][hit] = place[hit]
+        return out
+
+    def triples(self, after: int) -> Iterator[dict[str, np.ndarray]]:
         """(pair, third, n, since) of the triples active since a scan later than after."""
-        made = []
         if len(self.reached) and len(self.pair) > 1:
-            at = np.minimum(np.searchsorted(self.reached, self.pair), len(self.reached) - 1).astype(np.int32)
-            hit = (self.reached[at] == self.pair) & (self.pair >= 0)
+            at = self.places()
             since = np.maximum(self.reached_at[at[:-1]], self.reached_at[at[1:]])
-            keep = hit[:-1] & hit[1:] & (since > after)
+            keep = (at[:-1] >= 0) & (at[1:] >= 0) & (since > after)
             keep[self.starts :] = False
-            place = np.flatnonzero(keep)
-            keys = (at[place].astype(np.int64) << 32) | self.word[place + 2]
-            made = [pd.DataFrame({"pair": self.reached[key >> 32], "third": key & (2**32 - 1), "n": n, "since": scan}) for scan, key, n in counted(keys, since[place])]
-        return pd.concat(made) if made else pd.DataFrame({"pair": [], "third": [], "n": [], "since": []}, dtype="int64")
+            keys = at[:-1][keep].astype(np.int64)
+            keys <<= 32
+            keys |= self.word[2:][keep]
+            for scan, key, n in counted(keys, since[keep], np.ones(len(keys), dtype=bool)):
+                yield {"pair": self.reached[key >> 32], "third": key & (2**32 - 1), "n": n, "since": np.full(len(key), scan, dtype=np.int32)}
+
+
+PAIRS = pa.schema({"pack": pa.int64(), "pair": pa.int64(), "n": pa.int64(), "since": pa.int32()})
+TRIPLES = pa.schema({"pair": pa.int64(), "third": pa.int64(), "n": pa.int64(), "since": pa.int32()})
 
 
 def pairs_of(after: int, every: bool):
     """Scanned.pairs of a pack, as a grouped map."""
 
-    def of(packs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if packs.empty:
-            return pd.DataFrame({"pack": [], "pair": [], "n": [], "since": []}, dtype="int64")
-        return Scanned(packs, known).pairs(after, every).assign(pack=packs["pack"].iloc[0])
+    def of(packs: pa.Table, known: pa.Table) -> pa.Table:
+        if not packs.num_rows:
+            return batched(PAIRS, [])
+        pack = packs["pack"][0].as_py()
+        return batched(PAIRS, [p | {"pack": np.full(len(p["pair"]), pack)} for p in Scanned(packs, known).pairs(after, every)])
 
     return of
 
@@ -180,10 +209,8 @@ def pairs_of(after: int, every: bool):
 def triples_of(after: int):
     """Scanned.triples of a pack, as a grouped map."""
 
-    def of(packs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if packs.empty:
-            return pd.DataFrame({"pair": [], "third": [], "n": [], "since": []}, dtype="int64")
-        return Scanned(packs, known).triples(after)
+    def of(packs: pa.Table, known: pa.Table) -> pa.Table:
+        return batched(TRIPLES, list(Scanned(packs, known).triples(after)) if packs.num_rows else [])
 
     return of
 
@@ -223,7 +250,10 @@ def frequent(docs: DataFrame, *, lang: str = "lang", text: str = "text", thresho
             sent = stored(mine.select("pack", "code", "lang", "word").join(active.hint("merge"), ["lang", "word"]).select("pack", "code", "id", "at"), "known") if scan else None
             added = mine.groupBy("lang", "word").agg(F.sum("n").alias("n")).select("lang", "word", "n", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("at"))
             summed = state.unionByName(added).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.max("id").alias("id"), F.max("at").alias("at"))
-            state = stored(_numbered(stored(summed, "counts"), base, scan, threshold), "words")
+            counts, old = stored(summed, "counts"), state
+            state = stored(_numbered(counts, base, scan, threshold), "words")
+            forget(counts)
+            forget(old)
             top = state.agg(F.max("id").alias("id"), F.max("at").alias("at")).first()
             base, latest_words = BUCKETS * ((top["id"] or 0) // BUCKETS + 1), top["at"] or 0
             if base > MOST_WORDS:
@@ -238,10 +268,10 @@ def frequent(docs: DataFrame, *, lang: str = "lang", text: str = "text", thresho
         count_pairs, count_triples = latest_words > after, pairs is not None and latest_pairs > after
         if not count_pairs and not count_triples:
             continue
-        # no nulls, which would turn longs into doubles in pandas
+        # no nulls, which would turn longs into doubles in numpy
         sent = sent.withColumn("pair", F.lit(-1).cast("long"))
         before = pairs
-        found = own.groupBy("pack").cogroup(sent.groupBy("pack")).applyInPandas(pairs_of(after, count_triples), "pack long, pair long, n long, since int")
+        found = own.groupBy("pack").cogroup(sent.groupBy("pack")).applyInArrow(pairs_of(after, count_triples), "pack long, pair long, n long, since int")
         if count_pairs:
             found = stored(found, "pairs_of_packs") if count_triples else found
             pairs = _merged(before, found.where("n > 0"), ["pair"], scan, shards, threshold, "pairs")
@@ -249,8 +279,15 @@ def frequent(docs: DataFrame, *, lang: str = "lang", text: str = "text", thresho
         if count_triples:
             reached = before.where(F.col("at") <= scan).select("pair", "at")
             answers = found.select("pack", "pair").join(reached.hint("shuffle_hash"), "pair").select("pack", F.lit(-1).alias("code"), F.lit(-1).cast("long").alias("id"), "at", "pair")
-            counted = own.groupBy("pack").cogroup(sent.unionByName(answers).groupBy("pack")).applyInPandas(triples_of(after), "pair long, third long, n long, since int")
-            triples = _merged(triples, counted, ["pair", "third"], scan, shards, threshold, "triples")
+            counted = own.groupBy("pack").cogroup(sent.unionByName(answers).groupBy("pack")).applyInArrow(triples_of(after), "pair long, third long, n long, since int")
+            old, triples = triples, _merged(triples, counted, ["pair", "third"], scan, shards, threshold, "triples")
+            if old is not None:
+                forget(old)
+        if count_pairs:  # what this scan has merged is not read again
+            if count_triples:
+                forget(found)
+            if before is not None:
+                forget(before)
     none = spark.createDataFrame([], "pair long, third long, n long")
     return state.select("lang", "word", "n", "id"), (pairs.where(F.col("n") >= threshold) if pairs is not None else none).select("pair", "n"), (triples.where(F.col("n") >= threshold) if triples is not None else none).select("pair", "third", "n")
 

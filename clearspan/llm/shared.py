@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..tables import new_path, shared_dir, stored
+from ..tables import forget, new_path, shared_dir, stored
 
 #: The six ASCII white-space characters, space first.
 BLANKS = " \t\n\x0b\x0c\r"

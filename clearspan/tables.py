@@ -32,3 +32,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes a table that stored() made, as soon as nothing still to be computed reads it. Others stay until the driver ends."""
+    jvm = table.sparkSession._jvm
+    for file in table.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

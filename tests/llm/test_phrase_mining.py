@@ -1,12 +1,16 @@
 """op12's operator against plain counting."""
 
 import collections
+import pathlib
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clearspan.llm import phrase_mining
+from clearspan.llm.shared import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, n long, rank int, pair long, score string"
 
@@ -63,3 +67,35 @@ def test_scores(spark):
     rows = [(a, left, right) for a, left, right in ((10**13, 10**14 - 1, 10**13 + 7), (10, 10, 10), (99_999_999_999_999, 99_999_999_999_999, 99_999_999_999_999), (12, 13, 5_000_000))]
     df = spark.createDataFrame(rows, "a long, l long, r long").select("a", "l", "r", phrase_mining.cut_score("a", "l", "r").alias("score"))
     assert all(r["score"] == 1_000_000 * r["a"] ** 2 // (r["l"] * r["r"]) for r in df.collect())
+
+
+def test_a_pack_takes_little_memory():
+    """Bytes a word while a pack is counted, and rows that leave at once."""
+    n, words = 600_000, 3000
+    codes = np.random.default_rng(1).integers(0, words, n).astype(np.int32)
+    packs = pa.table({"pack": pa.array([7]), "codes": [codes.tobytes()], "tail": pa.array([0], pa.int32())})
+    ids = pa.table({"code": pa.array(range(words), pa.int32()), "id": pa.array(range(words)), "at": pa.array([1] * words, pa.int32()), "pair": pa.array([-1] * words)})
+    tracemalloc.start()
+    pairs = phrase_mining.pairs_of(-1, True)(packs, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    keys = pairs["pair"].to_numpy()
+    answers = pa.table({"code": pa.array(np.full(len(keys), -1, np.int32)), "id": pa.array(np.full(len(keys), -1)), "at": pa.array(np.full(len(keys), 2, np.int32)), "pair": pairs["pair"].combine_chunks()}, ids.schema)
+    known = pa.concat_tables([ids, answers])
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    triples = phrase_mining.triples_of(-1)(packs, known)
+    peak = max(peak, tracemalloc.get_traced_memory()[1] - before)
+    tracemalloc.stop()
+    assert peak < 110 * n
+    assert max(b.num_rows for t in (pairs, triples) for b in t.to_batches()) <= phrase_mining.BATCH
+    assert pairs["n"].to_numpy().sum() == n - 1 and triples["n"].to_numpy().sum() == n - 2
+
+
+def test_states_are_not_kept(spark):
+    """Of the tables that a scan replaces, none stays in the shared folder."""
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    here = set(folder.iterdir())
+    rows = [("en", "one two three four. " * 20)] * 8
+    got = phrase_mining.collocations(spark.createDataFrame([(1, t, lang, 1, 2, 3, "x") for lang, t in rows], SCHEMA).repartition(4)).collect()
+    made = collections.Counter(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - here)
+    assert len(got) == 2 and made["counts"] == made["pairs_of_packs"] == 0 and made["words"] == 1 and made["pairs"] == made["triples"] == 2  # the last state, and the named phrases
