@@ -8,7 +8,7 @@ Documents with equal shingle sets are one class from the start, so a group of co
  1. star links: every class is compared with the smallest class that it shares a bucket with, and, where their components still differ,
     with the smallest one of each other bucket: linear in the buckets;
  2. components of the verified links;
- 3. buckets that still hold several components: their classes are compared in tiles of at most 2 x BLOCK classes, each
+ 3. buckets that still hold several components beside their smallest class, which has met all others: those classes are compared in tiles of at most 2 x BLOCK classes, each
     of which returns only links that join components. Blocks of one component are never compared with each other, so
     a dense group, however large, costs nothing here;
  4. components of all links.
@@ -219,8 +219,10 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc: str = "doc_id",
     links = stored(links.union(confirmed(others, sets, percent)), "links")
     first = components(links)
     found = stored(with_components(members, first), "found")
-    mixed = found.groupBy("band", "value").agg(F.min("doc").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "value", "least")
-    open_ = stored(found.join(stored(mixed, "mixed").hint("merge"), ["band", "value"]).select("doc", "component", "least").distinct(), "open")
+    # a centre is linked to, or was held against, every class of its bucket by now: left are the pairs of the others, and none in a bucket of two
+    rest = found.where("doc != centre")
+    mixed = rest.groupBy("band", "value").agg(F.min("doc").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "value", "least")
+    open_ = stored(rest.join(stored(mixed, "mixed").hint("merge"), ["band", "value"]).select("doc", "component", "least").distinct(), "open")
     if open_.limit(1).count():
         crowds = components(open_.select(F.col("doc").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("doc"), F.col("component").alias("crowd"))
         joined = open_.select("doc", "component").distinct().join(crowds.hint("merge"), "doc")

@@ -69,3 +69,20 @@ def test_many_near_copies(spark):
         rows.append((doc, " ".join(words)))
     out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
     assert {tuple(x)[2:] for x in out.collect()} == {(0, True), (0, False)}
+
+
+def test_buckets_of_two_need_no_tiles(spark, monkeypatch):
+    """Texts that share buckets with one other, below the threshold: each was held against the smallest of its bucket, and nothing is left to compare."""
+    r, rows = np.random.default_rng(3), []
+    for k in range(60):
+        words = [f"t{k}w{i}" for i in range(60)]
+        rows.append((2 * k, " ".join(words)))
+        for at in (10, 25, 40, 55) if k % 2 else (10,):
+            words[at] = f"t{k}x{at}"
+        rows.append((2 * k + 1, " ".join(words)))
+    r.shuffle(rows)
+    rows = [(int(d), t) for d, t in rows]
+    monkeypatch.setattr(near_dedup, "tile_links", lambda *_: pytest.fail("tiles without a pair to compare"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, near_dedup.near_duplicates(df, shingle_words=2).collect()))
+    assert got == brute(rows, 2) and sum(not kept for *_, kept in got) == 30
