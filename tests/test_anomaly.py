@@ -47,3 +47,14 @@ def test_without_positions_rows_are_reviewed(spark):
     events, roll = anomaly.analyze(s)
     assert {e.status for e in events.collect()} == {anomaly.REVIEW}
     assert roll.first().effective_min == 3.8
+
+
+def test_an_analysis_spreads_over_tasks(spark, monkeypatch):
+    """Partitions follow the number of samples, whatever the shuffles' size."""
+    monkeypatch.setattr(anomaly, "SAMPLES_A_TASK", 10)
+    asked = []
+    plain = anomaly.travel_distance
+    monkeypatch.setattr(anomaly, "travel_distance", lambda s, c: asked.append(s.rdd.getNumPartitions()) or plain(s, c))
+    e = spark.range(200).selectExpr("id % 9 AS task_id", "id AS sample_index", "5.0 AS height", "true AS valid", "id AS source_sequence", *[f"(id + 1) * 0.5D AS {p}_{a}" for p in ("odo", "point") for a in "xyz"])
+    assert anomaly.analyze(e)[1].agg({"n_valid": "sum"}).first()[0] == 200
+    assert asked == [21]
