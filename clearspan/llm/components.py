@@ -11,17 +11,35 @@ from .shared import stored
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each linked node can reach, itself included.
 
-    Labels fall to the smallest label among neighbours and then to their label's label, so chains shorten by half in
-    each round and stars end in two. Each round is a stored table; the driver sees only a count. A node with very
-    many links is the larger side of sort-merge joins over stored tables, which AQE splits.
+    Each round sends a node to its smallest neighbour, and on from there while that has a smaller one itself: to a node without smaller
+    neighbours, found in steps of twice the length each. Then the links' ends are replaced by what they were sent to, and
+    links that became loops or equal ones are dropped, so the links get fewer in each round. A node that was sent somewhere is in no later
+    round; where nodes were sent is composed at the end, from the last and smallest round to the first. Each table is
+    stored; the driver sees only whether rows are left. A node with very many links is the larger side of sort-merge joins over stored
+    tables, which AQE splits.
     """
-    both = stored(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).distinct(), "links")
-    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least("node", F.min("y")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.hint("merge"), both["y"] == labels["node"]).groupBy("x").agg(F.min("label").alias("near"))
-        fell = stored(labels.join(near.hint("merge"), labels["node"] == near["x"]).select("node", F.least("label", "near").alias("label"), F.col("label").alias("before")), "labels")
-        heads = fell.select(F.col("node").alias("head"), F.col("label").alias("top"))
-        labels = stored(fell.join(heads.hint("merge"), fell["label"] == heads["head"]).select("node", F.col("top").alias("label"), (F.col("top") != F.col("before")).alias("moved")), "labels")
-        if labels.where("moved").limit(1).count() == 0:
-            return labels.select("node", F.col("label").alias("component"))
-        labels = labels.select("node", "label")
+    every = stored(links.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct(), "links")
+    left, sent = every.where("x != y"), []
+    while left.limit(1).count():
+        moves = stored(left.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("to")), "moves")
+        while True:
+            on = moves.select(F.col("node").alias("via"), F.col("to").alias("next"))
+            further = moves.join(on.hint("merge"), moves["to"] == on["via"], "left")
+            longer = stored(further.select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "moves")
+            moves = longer.select("node", "to")
+            if not longer.where("moved").limit(1).count():
+                break
+        sent.append(moves)
+        first, second = (moves.select(F.col("node").alias(f"from_{c}"), F.col("to").alias(f"to_{c}")) for c in "xy")
+        moved = left.join(first.hint("merge"), F.col("x") == F.col("from_x")).join(second.hint("merge"), F.col("y") == F.col("from_y"), "left")
+        p, q = F.col("to_x"), F.coalesce("to_y", "y")
+        left = stored(moved.where(p != q).select(F.greatest(p, q).alias("x"), F.least(p, q).alias("y")).distinct(), "links")
+    nodes = every.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    if not sent:
+        return nodes.select("node", F.col("node").alias("component"))
+    found = sent[-1].withColumnRenamed("to", "component")
+    for moves in reversed(sent[:-1]):
+        later = found.select(F.col("node").alias("at"), "component")
+        through = moves.join(later.hint("merge"), moves["to"] == later["at"], "left").select("node", F.coalesce("component", "to").alias("component"))
+        found = stored(through.unionByName(found), "found")
+    return stored(nodes.join(found.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
