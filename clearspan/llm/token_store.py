@@ -49,16 +49,24 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.letters, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
+        # composed small letters alone: its own steps leave them as they are and part them at blanks
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    def ids(self, text: str, tokenizer) -> np.ndarray:
+        """A tokenizer's ids of a text, without the offsets that its plain call makes too."""
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
     def alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.ids(text, self.tokenizer).tobytes()
 
     def learn(self, words: list[bytes]) -> None:
         known, parts = self.known, self.parts
@@ -67,21 +75,22 @@ class Encoder:
         if len(parts) + len(words) > self.most:
             parts.clear()
             parts[""] = b""
-        split, fresh = [], {}
-        for w in words:
-            text = w.decode()
-            m = _PLAIN.fullmatch(text)
-            if m is None:
+        split, fresh, plain = [], {}, _PLAIN.fullmatch
+        for w, text in zip(words, b"\n".join(words).decode().split("\n"), strict=True):
+            if w.isalpha():  # A-Z and a-z alone
+                letters, rest = text.lower(), ""
+            elif m := plain(text):
+                letters, rest = m[1].lower(), m[2]
+            else:
                 known[w] = self.alone(text)
                 continue
-            letters, rest = m[1].lower(), m[2]
             split.append((w, letters, rest))
             if letters not in parts:
                 fresh[letters] = None
             if rest not in parts:
                 parts[rest] = self.alone(rest)
         if fresh:
-            ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, dtype="<u4")
+            ids = self.ids(" ".join(fresh), self.letters)
             data, begin = ids.tobytes(), 0
             for letters, end in zip(fresh, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
                 parts[letters] = data[begin:end]
@@ -95,18 +104,16 @@ class Encoder:
         if b"<|" not in data and (text.isascii() or not _COMBINING.search(text)):
             data = data.lower()  # A-Z alone: what the vocabulary's own steps make of them anyway, in fewer different words
         words, known = data.split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            done = []
-            for at in range(0, len(words), 50_000):  # a giant text may hold more new words than the table keeps
-                some = words[at : at + 50_000]
-                new = [w for w in dict.fromkeys(some) if w not in known]
-                if len(known) + len(new) > self.most:
-                    new = list(dict.fromkeys(some))
-                self.learn(new)
-                done.append(b"".join([known[w] for w in some]))
-            return b"".join(done)
+        done = []
+        for at in range(0, len(words), 50_000):  # a giant text may hold more new words than the table keeps
+            some = words[at : at + 50_000]
+            new = set(some).difference(known)
+            if len(known) + len(new) > self.most:
+                new = set(some)
+            if new:
+                self.learn(list(new))
+            done.append(b"".join(map(known.__getitem__, some)))
+        return b"".join(done)
 
 
 def encoder(path: str) -> Encoder:
