@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,6 +38,13 @@ MOST_WORDS = 2**31
 BREAK = -1
 _SPACES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 CODED = "pack long, code int, lang string, word string, n long, codes binary, tail int, shard int"
+CODED_ARROW = pa.schema({"pack": pa.int64(), "code": pa.int32(), "lang": pa.string(), "word": pa.string(), "n": pa.int64(), "codes": pa.binary(), "tail": pa.int32(), "shard": pa.int32()})
+
+
+def shaped(rows: int, **columns) -> pa.RecordBatch:
+    """A batch of CODED: arrays as they are, numbers repeated, other columns null."""
+    given = {f.name: columns.get(f.name) for f in CODED_ARROW}
+    return pa.record_batch([v if isinstance(v, pa.Array) else pa.repeat(pa.scalar(v, CODED_ARROW.field(c).type), rows) for c, v in given.items()], CODED_ARROW)
 
 
 class Packer:
@@ -52,7 +58,7 @@ class Packer:
 
     def add(self, lang: str, words: list[bytes]) -> None:
         of = self.of.setdefault(lang, {b"": BREAK - 1, b"\n": BREAK})
-        for w in sorted(set(words).difference(of)):
+        for w in set(words).difference(of):
             of[w] = len(self.names)
             self.names.append((lang, w))
         codes = np.fromiter(map(of.__getitem__, words), dtype=np.int32, count=len(words))
@@ -60,12 +66,15 @@ class Packer:
         self.held.append(codes)
         self.n += len(codes)
 
-    def taken(self, tail: int) -> tuple[np.ndarray, pd.DataFrame]:
+    def taken(self, tail: int) -> tuple[np.ndarray, pa.Table]:
         """(codes, dictionary with the counts of all words but the last tail ones)."""
         codes = np.concatenate(self.held) if self.held else np.zeros(0, np.int32)
         own = codes[: len(codes) - tail]
         counts = np.bincount(own[own >= 0], minlength=len(self.names))
-        words = pd.DataFrame({"code": np.arange(len(self.names), dtype=np.int32), "lang": [k for k, _ in self.names], "word": [w.decode() for _, w in self.names], "n": counts})
+        tongues = {k: n for n, k in enumerate(self.of)}
+        lang = pa.DictionaryArray.from_arrays(np.fromiter((tongues[k] for k, _ in self.names), np.int32, len(self.names)), pa.array(list(tongues), pa.string()))
+        word = pa.array([w for _, w in self.names], pa.binary()).cast(pa.string())
+        words = pa.table({"code": np.arange(len(self.names), dtype=np.int32), "lang": lang.cast(pa.string()), "word": word, "n": counts.astype(np.int64)})
         return codes, words
 
 
@@ -86,25 +95,24 @@ def slices(raw: bytes) -> Iterator[bytes]:
 def coded(docs: DataFrame, lang: str, text: str, shards: int, pack: int) -> tuple[DataFrame, DataFrame]:
     """(packs, words), stored: (shard, pack, codes, tail) and (shard, pack, code, lang, word, n). The last tail words of a pack begin the next one."""
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, packs, p = TaskContext.get().partitionId(), 0, Packer()
 
-        def close(tail: int) -> Iterator[pd.DataFrame]:
+        def close(tail: int) -> Iterator[pa.RecordBatch]:
             nonlocal packs, p
             codes, words = p.taken(tail)
-            where = {"pack": np.int64((part << 24) + packs), "shard": np.int32((part + packs) % shards)}
+            pack_, shard = (part << 24) + packs, (part + packs) % shards
             names, p, packs = p.names, Packer(), packs + 1
             for c in codes[len(codes) - tail :]:
                 p.add(names[c][0], [names[c][1]])
-            for at in range(0, len(words), 100_000):
-                some = words.iloc[at : at + 100_000]
-                yield some.assign(codes=None, tail=pd.array([None] * len(some), "Int32"), **where)
-            yield pd.DataFrame({"code": pd.array([None], "Int32"), "lang": [None], "word": [None], "n": pd.array([None], "Int64"), "codes": [codes.tobytes()], "tail": pd.array([tail], "Int32")}).assign(**where)
+            for some in words.to_batches(max_chunksize=100_000):
+                yield shaped(some.num_rows, pack=pack_, shard=shard, **dict(zip(some.schema.names, some.columns, strict=True)))
+            yield shaped(1, pack=pack_, shard=shard, codes=pa.array([codes.tobytes()], pa.binary()), tail=tail)
 
         for b in batches:
-            for tongue, body in zip(b["lang"], b["text"], strict=True):
+            for tongue, body in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
                 for raw in slices(body.encode().translate(_SPACES)):
                     p.add(tongue, raw.replace(b"\n", b" \n ").split(b" "))
                     if p.n >= pack:  # within a text: up to two words go with both packs, so that no phrase is cut
@@ -116,7 +124,7 @@ def coded(docs: DataFrame, lang: str, text: str, shards: int, pack: int) -> tupl
         if p.n:
             yield from close(0)
 
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(code, CODED)
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(code, CODED)
     path = new_path(docs.sparkSession, "packs")
     rows.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     every = docs.sparkSession.read.schema(CODED).parquet(path)
@@ -247,8 +255,8 @@ def frequent(docs: DataFrame, *, lang: str = "lang", text: str = "text", thresho
         if scan < shards:
             mine = words.where(F.col("shard") == shard)
             active = state.where(F.col("at") <= scan)
-            sent = stored(mine.select("pack", "code", "lang", "word").join(active.hint("merge"), ["lang", "word"]).select("pack", "code", "id", "at"), "known") if scan else None
-            added = mine.groupBy("lang", "word").agg(F.sum("n").alias("n")).select("lang", "word", "n", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("at"))
+            sent = stored(mine.select("pack", "code", "lang", "word").join(active.hint("shuffle_hash"), ["lang", "word"]).select("pack", "code", "id", "at"), "known") if scan else None
+            added = mine.select("lang", "word", "n", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("at"))
             summed = state.unionByName(added).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.max("id").alias("id"), F.max("at").alias("at"))
             counts, old = stored(summed, "counts"), state
             state = stored(_numbered(counts, base, scan, threshold), "words")
@@ -260,7 +268,7 @@ def frequent(docs: DataFrame, *, lang: str = "lang", text: str = "text", thresho
                 raise ValueError("more frequent words than a number of 31 bits can tell")
         else:
             if known is None:  # every word has been counted
-                found = words.select("shard", "pack", "code", "lang", "word").join(state.where("id IS NOT NULL").hint("merge"), ["lang", "word"])
+                found = words.select("shard", "pack", "code", "lang", "word").join(state.where("id IS NOT NULL").hint("shuffle_hash"), ["lang", "word"])
                 known = stored(found.select("shard", "pack", "code", "id", "at"), "known")
             sent = known.where(F.col("shard") == shard).select("pack", "code", "id", "at")
         if not scan:
