@@ -91,18 +91,24 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Weights by Newton steps; the first two columns (bias and length) bear next to no ridge."""
     penalty = np.r_[1e-3, 1e-3, np.full(x.shape[1] - 2, ridge)]
     w = np.zeros(x.shape[1])
+    # the single-precision table becomes doubles by slices only
+    slices = [slice(at, at + 2000) for at in range(0, len(x), 2000)]
+
+    def scores(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([x[part].astype(float) @ v for part in slices])
 
     def loss(v: np.ndarray) -> float:
-        s = x @ v
+        s = scores(v)
         return float(np.logaddexp(0, s).sum() - y @ s + 0.5 * v @ (penalty * v))
 
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        h = np.diag(penalty)
-        for at in range(0, len(x), 2000):
-            part = x[at : at + 2000].astype(float)
-            h += part.T @ (part * (p[at : at + 2000] * (1 - p[at : at + 2000]))[:, None])
-        step = np.linalg.solve(h, x.T @ (p - y) + penalty * w)
+        p = 1 / (1 + np.exp(-np.clip(scores(w), -40, 40)))
+        h, slope = np.diag(penalty), penalty * w
+        for at in slices:
+            part = x[at].astype(float)
+            h += part.T @ (part * (p[at] * (1 - p[at]))[:, None])
+            slope += part.T @ (p[at] - y[at])
+        step = np.linalg.solve(h, slope)
         rate, now = 1.0, loss(w)
         while rate > 1e-4 and loss(w - rate * step) > now:
             rate /= 2

@@ -51,3 +51,21 @@ def test_links_that_are_settled_are_not_read_again(spark, monkeypatch):
     tables = [n for name, n in sizes if name == "links"]
     assert sum(tables) <= 2 * tables[0] and tables[0] <= len(links)
     assert len(sizes) < 50
+
+
+@pytest.mark.parametrize("links", list(graphs()))
+def test_rounds_and_the_last_task_agree(spark, links):
+    """All by rounds, and by rounds until few links are left."""
+    for few in (0, 40):
+        made = C.components(spark.createDataFrame(links, "a long, b long"), few=few).collect()
+        assert len({r.node for r in made}) == len(made)
+        assert {r.node: r.component for r in made} == plain(links)
+
+
+def test_a_long_row_of_few_links_takes_few_tables(spark, monkeypatch):
+    """The driver keeps what it knows of each job's tasks, so a tail of small rounds is no longer run job by job."""
+    made, plain_stored = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: (made.append(name), plain_stored(df, name))[1])
+    names = random.Random(3).sample(range(10_000), 300)
+    C.components(spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")).count()
+    assert len(made) <= 4

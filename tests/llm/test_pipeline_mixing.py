@@ -30,3 +30,21 @@ def test_capped():
     assert source_mixing.capped(rare, {"poor": 0.02, "toxic": 0.1}) == rare
     out = source_mixing.capped({"clean": 88.0, "poor": 30.0, "toxic": 50.0}, {"poor": 0.02, "toxic": 0.1})
     assert out["clean"] == 88.0 and abs(out["poor"] - 2) < 1e-9 and abs(out["toxic"] - 10) < 1e-9
+
+
+def test_the_fit_makes_no_second_table_of_doubles():
+    """The driver holds the single-precision table and slices of it."""
+    import tracemalloc
+
+    import numpy as np
+
+    from clearspan.llm.source_mixing import logistic
+
+    r = np.random.default_rng(4)
+    x = np.c_[np.ones(12_000), r.random((12_000, 201)) < 0.1].astype(np.float32)
+    y = (x[:, 2] + r.random(12_000) > 0.9).astype(float)
+    tracemalloc.start()
+    w = logistic(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert w[2] > 1 and peak < 1.5 * x.nbytes
