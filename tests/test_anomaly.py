@@ -58,3 +58,101 @@ def test_an_analysis_spreads_over_tasks(spark, monkeypatch):
     e = spark.range(200).selectExpr("id % 9 AS task_id", "id AS sample_index", "5.0 AS height", "true AS valid", "id AS source_sequence", *[f"(id + 1) * 0.5D AS {p}_{a}" for p in ("odo", "point") for a in "xyz"])
     assert anomaly.analyze(e)[1].agg({"n_valid": "sum"}).first()[0] == 200
     assert asked == [21]
+
+
+def plain_groups(events, c):
+    """The search as one loop, whatever the number of events: events of one task as rows (event, centre, length, min_height, lateral, rep_z)."""
+
+    def alike(a, b):
+        short, long = sorted((a[2], b[2]))
+        apart = [abs(x - y) > most for x, y, most in zip(a[3:], b[3:], (c.periodic_height, c.periodic_lateral, c.periodic_vertical)) if x is not None and y is not None]
+        return (long <= 1e-9 or short > 1e-9 and long / short <= c.periodic_length_ratio) and not any(apart)
+
+    candidates, groups = [], {}
+    for i, a in enumerate(events):
+        for j in range(i + 1, len(events)):
+            period = (events[j][1] - a[1]) / (j - i)
+            if period < c.periodic_min_spacing:
+                continue
+            members, ordinals, total = [], set(), 0.0
+            for k, b in enumerate(events):
+                ordinal = round((b[1] - a[1]) / period)
+                residual = abs(b[1] - (a[1] + ordinal * period))
+                if alike(a, b) and residual <= max(c.periodic_tolerance, c.periodic_tolerance_ratio * period) and ordinal not in ordinals:
+                    ordinals.add(ordinal)
+                    members.append(k)
+                    total += residual
+            if len(members) >= c.periodic_min_events:
+                candidates.append((-len(members), total, period, members))
+    for _, _, period, members in sorted(candidates, key=lambda f: f[:3]):
+        free = [k for k in members if k not in groups]
+        if len(free) >= c.periodic_min_events:
+            number = len({g for g, _ in groups.values()}) + 1
+            groups |= {k: (f"P{number:03d}", period) for k in free}
+    return {(e[0], *groups.get(k, (None, None))) for k, e in enumerate(events)}
+
+
+def made_events(n, seed):
+    """Events at uneven spacings, of three heights about and mixed lengths; some have no lateral place."""
+    import random
+
+    r, at, rows = random.Random(seed), 0.0, []
+    for k in range(n):
+        at += 2.1 + r.expovariate(0.25)
+        h = r.choice((3.0, 4.0, 4.5)) + r.random() * 0.3
+        rows.append((k + 1, at, r.choice((0.0, 0.5, 0.8, 1.5)), h, None if k % 11 == 5 else r.choice((0.0, 0.25, 1.0)), h - 2.25))
+    return rows
+
+
+def found_groups(spark, tasks, c):
+    import math
+
+    rows = [(task, *e) for task, events in tasks.items() for e in events]
+    d = spark.createDataFrame(rows, "task_id long, event long, centre double, length double, min_height double, lateral double, rep_z double")
+    found = {}
+    for r in anomaly.periodic_groups(d, c).collect():
+        found.setdefault(r.task_id, set()).add((r.event, r.group, None if r.period is None or math.isnan(r.period) else r.period))
+    return found
+
+
+def test_groups_of_large_tasks_are_those_of_the_plain_search(spark):
+    """Tasks of more events than one group takes have the same groups as any other, beside tasks of few and of none alike."""
+    c = anomaly.DEFAULT
+    tasks = {1: made_events(150, 1), 2: made_events(170, 2), 3: made_events(40, 3), 4: [(k + 1, k * 10.0, 0.0, k * 1.0, 0.0, 0.0) for k in range(140)], 5: made_events(2, 5)}
+    found = found_groups(spark, tasks, c)
+    assert found == {task: plain_groups(events, c) for task, events in tasks.items()}
+    assert all(any(g for _, g, _ in found[task]) for task in (1, 2, 3))
+
+
+def test_groups_do_not_depend_on_the_way_they_are_found(spark, monkeypatch):
+    """Small blocks and batches give what one group gives."""
+    from dataclasses import replace
+
+    tasks = {task: made_events(60 + task, task) for task in range(4)}
+    whole = found_groups(spark, tasks, anomaly.DEFAULT)
+    monkeypatch.setattr(anomaly, "ANCHORS", 7)
+    monkeypatch.setattr(anomaly, "PAIRS_A_TASK", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert found_groups(spark, tasks, replace(anomaly.DEFAULT, periodic_max_events=5)) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def long_tunnel(spark):
+    """150 even lows in one recording and a lone lower one."""
+    rows = []
+    for i in range(1530):
+        h = 3.0 if i == 705 else 5.0 if i % 10 == 0 and 0 < i <= 1500 else 7.0 + 0.02 * (i % 5 - 2)
+        x, y, z = (25.0, 10.0, h - 2.25) if h <= 5 else (0.0, 0.0, h - 2.25)
+        rows.append((1, i, h, True, i, i * 1.0, 0.0, 0.0, x, y, z, 90.0))
+    return spark.createDataFrame(rows, "task_id long, sample_index long, height double, valid boolean, source_sequence long, odo_x double, odo_y double, odo_z double, point_x double, point_y double, point_z double, heading double")
+
+
+def test_a_long_tunnel_of_even_lows_is_protected(spark):
+    """Many even lows are a periodic structure as three are; the lone one is an outlier."""
+    events, roll = anomaly.analyze(long_tunnel(spark))
+    status = [(e.start, e.status) for e in events.collect()]
+    assert len(status) == 151 and {at for at, kind in status if kind == anomaly.OUTLIER} == {705.0}
+    assert sum(kind == anomaly.PERIODIC for _, kind in status) == 150
+    assert roll.first().effective_min == 5.0
