@@ -156,3 +156,12 @@ def test_a_long_tunnel_of_even_lows_is_protected(spark):
     assert len(status) == 151 and {at for at, kind in status if kind == anomaly.OUTLIER} == {705.0}
     assert sum(kind == anomaly.PERIODIC for _, kind in status) == 150
     assert roll.first().effective_min == 5.0
+
+
+def test_the_trace_of_a_long_tunnel_holds_its_periodic_events(spark):
+    import json
+
+    trace = json.loads(anomaly.analysis_trace(*anomaly.analyze(long_tunnel(spark))).first().trace)
+    kinds = [e["status"] for e in trace["low_events"]]
+    assert len(kinds) == 151 and kinds.count(anomaly.PERIODIC) == 150 and kinds.count(anomaly.OUTLIER) == 1
+    assert (trace["raw_min"], trace["effective_min"]) == (3.0, 5.0)
